@@ -13,7 +13,7 @@ their features are computed on the executors.
 A text that is null or has no letter gets ``und`` and score 0. Null languages
 are never learned. One language alone is predicted for every text with a
 letter; without any labelled row every prediction is ``und``. Null ids and repeated rows are
-kept; extra columns are not looked at.
+kept. Columns of the input named lang_pred or score are replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklens.llm.spark import with_fields
+
 DIM = 1 << 12
 SAMPLE_ROWS = 4000  # bound of the labelled sample that the SVMs are fitted on
 MIN_SAMPLE = 8
@@ -161,6 +163,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns of docs, ``lang_pred`` and ``score`` (0 to 1, how clearly the weakest duels were won)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("lang_pred", "score")
     names = docs.columns
     at = names.index(text_col)
 
@@ -170,7 +173,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             got = [m.predict(x.as_py()) for x in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, docs.schema.add("lang_pred", "string").add("score", "double"))
+    return docs.mapInArrow(run, with_fields(docs, "lang_pred string, score double"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -8,8 +8,8 @@ The table is emptied when it grows past TABLE_ENTRIES or TABLE_BYTES, which
 bounds memory and changes no result. There is no shuffle.
 
 Null texts count as empty, so they give the begin and end ids alone. Repeated
-rows and null ids are kept, row by row. Extra columns of the input are not
-looked at, so that their names cannot clash.
+rows and null ids are kept, row by row. A column of the input that has the name
+of one added is replaced.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from tracklens.llm.spark import with_fields
+
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 TABLE_ENTRIES = 400_000
@@ -94,10 +96,8 @@ def table(model: str) -> ChunkTable:
 
 def encode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     """All columns of docs and ``ids`` (array of int): the whole text's ids with begin and end."""
-    schema = docs.schema
+    docs = docs.drop("ids")
     names = docs.columns
-    if names.count(text_col) != 1 or "ids" in names:
-        raise ValueError("docs needs one text column and none named ids")
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,12 +109,13 @@ def encode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
             ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(got) if got else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*names, "ids"])
 
-    return docs.mapInArrow(run, schema.add("ids", "array<int>"))
+    return docs.mapInArrow(run, with_fields(docs, "ids array<int>"))
 
 
 def decode(rows: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
     """All columns of rows and ``decoded``: the text of the ids; null ids give null."""
-    schema, names = rows.schema, rows.columns
+    rows = rows.drop("decoded")
+    names = rows.columns
     at = names.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +123,7 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x if x is None else t.sp.decode(x) for x in b.column(at).to_pylist()], pa.string())], names=[*names, "decoded"])
 
-    return rows.mapInArrow(run, schema.add("decoded", "string"))
+    return rows.mapInArrow(run, with_fields(rows, "decoded string"))
 
 
 def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

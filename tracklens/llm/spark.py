@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GROUP_BYTES = 8 << 20
 
@@ -32,6 +33,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def with_fields(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of df and more fields; df's own stays as it is."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

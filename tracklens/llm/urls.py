@@ -10,7 +10,8 @@ end, with A-Z lower-cased; the path follows up to ``?``, ``#`` or the end. A
 null URL, or one without ``://``, has both empty and fits no rule. A rule fits
 its host and all subdomains if the path starts with the rule's path, by
 characters. Rules with a null or empty host are left out; a null path counts as empty.
-Of rules that repeat with different verdicts, block holds. Null ids and repeated rows are kept.
+Of rules that repeat with different verdicts, block holds. Null ids and repeated rows are kept;
+columns of the input that have the name of one added are replaced.
 
 The work is done on distinct (host, path start) pairs, so one host with a
 third of all pages is expanded once. Rules are broadcast only if they are few
@@ -52,6 +53,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     rules = rules.withColumn("digest", F.sha2(F.concat("rule_host", "rule_path"), 256)).withColumn("short", F.substring("digest", 1, 8))
     rules = rules if many else F.broadcast(rules)
 
+    pages = pages.drop(*(c for c in ("rule", "verdict", "__start", "__h", "__s") if c != url_col))
     marked = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))}).withColumn("__start", F.substring("path", 1, longest))
     keys = marked.where("host <> ''").groupBy("host", "__start").agg(F.lit(1).alias("one")).drop("one")
     labels = F.split("host", r"\.", -1)
