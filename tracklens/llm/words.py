@@ -78,6 +78,7 @@ class Words:
     end: np.ndarray
     first: np.ndarray
     at: int
+    off: np.ndarray
 
     @property
     def counts(self) -> np.ndarray:
@@ -107,6 +108,9 @@ class Words:
     def text(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
+    def document(self, d: int) -> bytes:
+        return self.data[self.off[d] : self.off[d + 1]].tobytes()
+
 
 def slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES) -> Iterator[Words]:
     """Words of whole documents, about ``size`` bytes of text at a time; null counts as empty."""
@@ -135,7 +139,7 @@ def _split(data: np.ndarray, off: np.ndarray, at: int) -> Words:
     cut[off] = True
     start = np.flatnonzero(word[1:-1] & (~word[:-2] | cut[:-1]))
     end = np.flatnonzero(word[1:-1] & (~word[2:] | cut[1:])) + 1
-    return Words(data, start, end, np.searchsorted(start, off), at)
+    return Words(data, start, end, np.searchsorted(start, off), at, off)
 
 
 def lower_ascii(text: bytes) -> bytes:
