@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklens.llm import counting, langid, pieces, substrings, urls, warc
+from tracklens.llm import counting, langid, minhash, pieces, substrings, urls, warc
 from tracklens.llm.spark import read
 
 PIECES = "piece_bpe_32k.model"
@@ -32,6 +32,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op4_token_counts": op4_token_counts,
     "op6_url_filter": op6_url_filter,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
