@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklens.llm import counting, langid, minhash, pieces, substrings, urls, warc
+from tracklens.llm import counting, decontaminate, langid, minhash, pieces, substrings, urls, warc
 from tracklens.llm.spark import read
 
 PIECES = "piece_bpe_32k.model"
@@ -27,6 +27,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.token_counts(read(spark, sf_dir, "documents"), vocabulary_path(PIECES))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.pairs(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")], "host string, path string, verdict string")
     return urls.judge(read(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
@@ -53,6 +57,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op4_token_counts": op4_token_counts,
+    "op5_decontaminate": op5_decontaminate,
     "op6_url_filter": op6_url_filter,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_substring_dedup": op8_substring_dedup,
@@ -61,6 +66,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_decontaminate": r"""
+WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+h AS (SELECT DISTINCT id, len(w) - 4 AS size, p, array_to_string(w[p:p + 4], ' ') AS x FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS p FROM w)),
+iw AS (SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM benchmark),
+b AS (SELECT item_id, x, count(*) AS c FROM (SELECT item_id, p, array_to_string(w[p:p + 4], ' ') AS x FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS p FROM iw)) GROUP BY ALL),
+s AS (SELECT item_id, sum(c)::INT AS s FROM b GROUP BY ALL),
+hit AS (SELECT h.id, h.p, h.x, h.size, b.item_id, b.c, s.s FROM h JOIN b USING (x) JOIN s USING (item_id)),
+t AS (SELECT DISTINCT id, item_id, s, unnest(range(greatest(1, p - s + 1), least(p, size - s + 1) + 1)) AS start FROM hit),
+o AS (SELECT t.id, t.item_id, t.s, t.start, hit.x, least(count(*), any_value(hit.c)) AS m FROM t JOIN hit ON t.id = hit.id AND t.item_id = hit.item_id AND hit.p BETWEEN t.start AND t.start + t.s - 1 GROUP BY ALL),
+r AS (SELECT id, item_id, s, start, sum(m)::BIGINT AS shared FROM o GROUP BY ALL HAVING shared * 9 >= 8 * s)
+SELECT id AS doc_id, item_id, max(shared / (2 * s - shared)) AS similarity, arg_max(start - 1, shared * 1000000000 - start)::BIGINT AS start_word, (any_value(s) + 4)::BIGINT AS n_words FROM r GROUP BY id, item_id""",
     "op6_url_filter": r"""
 WITH u AS (SELECT page_id,
     translate(coalesce(regexp_extract(url, '^((?s).*?)://([^/?#]*)', 2), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

@@ -108,8 +108,10 @@ def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def train(pages: DataFrame, html_col: str) -> bytes:
     """A dictionary from the payloads with the smallest hashes; empty where there is too little to learn from."""
-    some = pages.where(F.octet_length(html_col) >= 64).select(F.substring(F.col(html_col).cast("binary"), 1, DICT_CUT).alias("b"), F.xxhash64(html_col).alias("h")).orderBy("h").limit(DICT_ROWS)
-    samples = [bytes(r.b) for r in some.collect()]
+    h = F.xxhash64(F.col(html_col))
+    hashes = [r.h for r in pages.where(F.octet_length(html_col) >= 64).select(h.alias("h")).distinct().orderBy("h").limit(DICT_ROWS).collect()]
+    some = pages.where(h.isin(hashes)).select(h.alias("h"), F.substring(F.col(html_col).cast("binary"), 1, DICT_CUT).alias("b")).dropDuplicates(["h"])
+    samples = [b for _, b in sorted((r.h, bytes(r.b)) for r in some.collect())]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes() if len(samples) >= 16 else b""
     except zstandard.ZstdError:
