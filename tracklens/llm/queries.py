@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklens.llm import counting, decontaminate, langid, minhash, pieces, substrings, urls, warc
+from tracklens.llm import counting, decontaminate, langid, minhash, neighbours, pieces, substrings, urls, warc
 from tracklens.llm.spark import read
 
 PIECES = "piece_bpe_32k.model"
@@ -23,6 +23,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(read(spark, sf_dir, "documents"), vocabulary_path(PIECES))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.token_counts(read(spark, sf_dir, "documents"), vocabulary_path(PIECES))
 
@@ -56,6 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_decontaminate": op5_decontaminate,
     "op6_url_filter": op6_url_filter,
@@ -66,10 +71,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_embedding_dedup": """
+WITH RECURSIVE n AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.9),
+r(id, c) AS (SELECT vec_id, vec_id FROM n UNION SELECT l.a, r.c FROM r JOIN l ON l.b = r.id)
+SELECT n.vec_id, coalesce(k.c, 0) AS n_links, m.c AS component_id, n.vec_id = m.c AS kept FROM n
+JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) m ON m.id = n.vec_id LEFT JOIN (SELECT a, count(*) AS c FROM l GROUP BY a) k ON k.a = n.vec_id""",
     "op5_decontaminate": r"""
-WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH w AS (SELECT doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 h AS (SELECT DISTINCT id, len(w) - 4 AS size, p, array_to_string(w[p:p + 4], ' ') AS x FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS p FROM w)),
-iw AS (SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM benchmark),
+iw AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
 b AS (SELECT item_id, x, count(*) AS c FROM (SELECT item_id, p, array_to_string(w[p:p + 4], ' ') AS x FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS p FROM iw)) GROUP BY ALL),
 s AS (SELECT item_id, sum(c)::INT AS s FROM b GROUP BY ALL),
 hit AS (SELECT h.id, h.p, h.x, h.size, b.item_id, b.c, s.s FROM h JOIN b USING (x) JOIN s USING (item_id)),
