@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklens.llm import counting, decontaminate, langid, minhash, neighbours, pieces, substrings, urls, warc
+from tracklens.llm import contextmix, counting, decontaminate, langid, minhash, neighbours, pieces, substrings, urls, warc
 from tracklens.llm.spark import read
 
 PIECES = "piece_bpe_32k.model"
@@ -23,6 +23,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(read(spark, sf_dir, "documents"), vocabulary_path(PIECES))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contextmix.score_texts(read(spark, sf_dir, "documents"))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_duplicates(read(spark, sf_dir, "embeddings"))
 
@@ -60,6 +64,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_lm_score": op2_lm_score,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_decontaminate": op5_decontaminate,
