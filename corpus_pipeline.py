@@ -1,8 +1,69 @@
-"""The corpus pipeline (stages follow)."""
+"""From raw documents to tokens: five stages, each written as Parquet and read again.
+
+1. language_id: documents whose language cannot be told (no letters) go.
+2. minhash_dedup: of each group of near-duplicates (five-word shingles,
+   similarity 0.8 or more) the document with the smallest id stays.
+3. substring_dedup: words covered by 13-word passages of earlier documents are
+   removed; a document of which no word is left goes.
+4. decontaminate: documents with a passage of the benchmark go.
+5. sentencepiece: ids of every text, and their decoding, as counts and digests.
+
+Documents with a null id are kept by stages 2 to 4 unless they are contaminated
+themselves; null texts are rejected by stage 1. All stages but the last return
+the columns of documents; n_chars follows the text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracklens.llm import decontaminate, langid, minhash, pieces, substrings
+from tracklens.llm.queries import PIECES, vocabulary_path
+from tracklens.llm.spark import read, scratch
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = langid.predict(docs, langid.fit(docs))
+    return judged.where("lang_pred <> 'und'").select(docs.columns)
+
+
+def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = minhash.near_duplicates(docs, num=80).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
 
-STAGES = []
-ORACLE_SQL = None
 
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = substrings.dedup(docs).where("n_words = 0 or n_removed < n_words")
+    out = out.withColumn("text", F.coalesce("kept_text", "text"))
+    return out.withColumn("n_chars", F.char_length("text").cast("bigint")).select(docs.columns)
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.digests(docs, vocabulary_path(PIECES), keep=("lang", "source"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("minhash_dedup", minhash_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontaminate", benchmark_decontamination),
+    ("sentencepiece", sentencepiece),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents; each result is written to the shared folder and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        out = scratch(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
+    return docs
+
+
+ORACLE_SQL = None

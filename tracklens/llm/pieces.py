@@ -126,8 +126,9 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
     return rows.mapInArrow(run, with_fields(rows, "decoded string"))
 
 
-def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256, n_decoded_bytes) of every whole text."""
+def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256, n_decoded_bytes) of every whole text, and the columns in keep."""
+    docs = docs.select(id_col, text_col, *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table(model)
@@ -140,6 +141,6 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 a.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 d.append(hashlib.sha256(back).hexdigest())
                 m.append(len(back))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), pa.array(m, pa.int64())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "n_decoded_bytes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), pa.array(m, pa.int64())], names=[id_col, *keep, "n_tokens", "ids_sha256", "decoded_sha256", "n_decoded_bytes"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_decoded_bytes long")
+    return docs.mapInArrow(run, with_fields(docs.drop(text_col), "n_tokens long, ids_sha256 string, decoded_sha256 string, n_decoded_bytes long"))
