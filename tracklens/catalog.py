@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from tracklens.plans import series_queries
+from tracklens.plans.base import Query
 
-def queries() -> dict:
-    return {}
+BOOKS = [series_queries.BOOK]
+
+
+def queries() -> dict[str, Query]:
+    return {k: f for b in BOOKS for k, f in b.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: x for b in BOOKS for k, x in b.sql.items()}
