@@ -97,7 +97,7 @@ st AS (SELECT user_id, i FROM y WHERE pos % 3 = 0 AND pos + 3 <= size),
 c AS (SELECT st.user_id, st.i, max(b.value) - min(b.value) AS drop_ FROM st JOIN e b ON b.user_id = st.user_id AND b.i BETWEEN st.i AND st.i + 9 GROUP BY ALL),
 best AS (SELECT user_id, i AS onset, drop_ FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY drop_ DESC, i) = 1),
 bk AS (SELECT best.user_id, best.onset, best.drop_, coalesce(max(b.i) + 1, 1) AS start FROM best LEFT JOIN e b ON b.user_id = best.user_id AND b.i < best.onset AND b.value <= 5 GROUP BY ALL),
-ev AS (SELECT bk.user_id, bk.onset, bk.drop_, bk.start, coalesce(min(b.i), bk.onset + 14) AS stop FROM bk LEFT JOIN e b ON b.user_id = bk.user_id AND b.i BETWEEN bk.onset AND bk.onset + 14 AND b.value < 1 GROUP BY ALL) """
+ev AS (SELECT bk.user_id, bk.onset, bk.drop_, bk.start, coalesce(min(b.i), bk.onset + 14) AS stop FROM bk LEFT JOIN e b ON b.user_id = bk.user_id AND b.i BETWEEN bk.onset AND bk.onset + 14 AND b.value < 1 GROUP BY bk.user_id, bk.onset, bk.drop_, bk.start) """
 
 
 def event_windows(e: DataFrame) -> DataFrame:
@@ -332,12 +332,12 @@ def q_last_valid(spark, d):
     return numbered(spark, d).groupBy("user_id").agg(F.max_by("value", v).alias("last_value"), F.max(v).alias("last_at"))
 
 
-@BOOK.add(_E + """, r AS (SELECT user_id, i, value / 100 + 0.9 * coalesce(lead(value) OVER (PARTITION BY user_id ORDER BY i), 0) / 100 - value / 100 AS delta FROM e WHERE i <= 40)
-SELECT a.user_id, a.i, round(sum(b.delta * pow(0.855, b.i - a.i)), 4) AS advantage FROM r a JOIN r b ON a.user_id = b.user_id AND b.i >= a.i GROUP BY ALL""")
+@BOOK.add(_E + """, r AS (SELECT user_id, i, value / 97 + 0.9 * coalesce(lead(value) OVER (PARTITION BY user_id ORDER BY i), 0) / 89 - value / 83 AS delta FROM e WHERE i <= 40)
+SELECT a.user_id, a.i, round(sum(b.delta * pow(0.855, b.i - a.i)), 9) AS advantage FROM r a JOIN r b ON a.user_id = b.user_id AND b.i >= a.i GROUP BY ALL""")
 def q_reverse_discount(spark, d):
     e, w = numbered(spark, d).where("i <= 40"), s.by("user_id", "i")
-    e = e.withColumn("delta", F.col("value") / 100 + 0.9 * F.coalesce(F.lead("value").over(w), F.lit(0.0)) / 100 - F.col("value") / 100)
-    return e.select("user_id", "i", F.round(s.discounted_ahead(F.col("delta"), F.col("i"), 0.855, "user_id", "i"), 4).alias("advantage"))
+    e = e.withColumn("delta", F.col("value") / 97 + 0.9 * F.coalesce(F.lead("value").over(w), F.lit(0.0)) / 89 - F.col("value") / 83)
+    return e.select("user_id", "i", F.round(s.discounted_ahead(F.col("delta"), F.col("i"), 0.855, "user_id", "i"), 9).alias("advantage"))
 
 
 @BOOK.add(_E + """SELECT user_id, min(CASE WHEN event_type = 'click' THEN t END) - min(CASE WHEN event_type = 'view' THEN t END) AS view_to_click, min(CASE WHEN event_type = 'purchase' THEN t END) - min(CASE WHEN event_type = 'click' THEN t END) AS click_to_purchase FROM e GROUP BY user_id""")
