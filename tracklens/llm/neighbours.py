@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklens.llm.packed import runs
+from tracklens.llm.packed import forest, runs
 from tracklens.llm.spark import components, cut
 
 LEAST, RECALL, CELL, BLOCK = 2, 0.998, 128, 1024
@@ -92,20 +92,6 @@ def _compare(plan: Plan, table: int, a: tuple, b: tuple | None) -> tuple[np.ndar
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (i[:0], j[:0])
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (node, root) that join what a-b joins."""
-    root = np.arange(n)
-    while True:
-        low = root.copy()
-        np.minimum.at(low, a, root[b])
-        np.minimum.at(low, b, root[a])
-        low = low[low]
-        if (low == root).all():
-            break
-        root = low
-    return [(int(x), int(root[x])) for x in np.unique(np.concatenate([a, b])) if root[x] != x]
-
-
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9) -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
     v = F.col(vector_col).cast("array<double>")
@@ -166,7 +152,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         order = np.argsort(rep, kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
-        for a, r in _forest(len(x), rank[i], rank[j]):
+        for a, r in forest(len(x), rank[i], rank[j]):
             to[order[a]] = rep[order[r]]
         some = links > 0
         return pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(links[some]), pa.array(np.where(to[some] < 0, rep[some], to[some]))], names=["rep", "links", "root"])

@@ -43,3 +43,17 @@ def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for k in keys:
         new[1:] |= k[1:] != k[:-1]
     return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (node, root) that join what a-b joins."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    return [(int(x), int(root[x])) for x in np.unique(np.concatenate([a, b])) if root[x] != x]
