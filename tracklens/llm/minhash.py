@@ -11,14 +11,17 @@ the Jaccard similarity of their sets is at least num/den, by exact integers.
    (2 to 4 shingles a bucket; several hash functions fill the registers of
    small sets), so registers are rarely empty. Sets just above a size class
    are sketched for the class below too, so two similar sets always share a class.
-2. Bands of BAND registers are bucket keys. A pair at similarity 0.85 misses all 42 bands
-   with a probability of about 2e-9. In every bucket each member is paired with one pivot, which another
-   band chooses differently, so a large group is one star a band and never all pairs.
+2. Bands of BAND registers are bucket keys. A pair at similarity 0.85 misses
+   all 42 bands with a probability of about 2e-9. In every bucket each member is paired with its
+   smallest id, so a large group is one star a band and never all pairs.
 3. Pairs are tried by size, then by the similarity that their registers
    estimate, corrected for chance collisions of registers (six standard
    deviations below the threshold still pass), and then verified on full sets.
-4. Links become components. Members of a bucket that are still in different
-   components are then paired with each other too and verified, so no link between components is lost to the choice of pivots.
+4. Links become components. Buckets whose members are still in different
+   components are dealt out in blocks; members of different components are
+   tried against each other inside a task, in the first band that they
+   share, so no link between components is lost to the choice of stars, and
+   only links that join components are emitted.
 
 Texts that are null or have no words are linked with nothing. So are rows with
 a null id; their component is null and they are kept. Rows that repeat an id
@@ -42,6 +45,8 @@ REGISTERS, BAND, MANTISSA = 252, 6, 10
 EMPTY = 0xFFFF
 _LOWER = Hasher(303, True)
 _MAX_P = 7
+BLOCK = 1024
+BROADCAST_IDS = 1_000_000
 
 
 def shingles(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -117,7 +122,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: i
 
 
 def bands(reps: DataFrame) -> DataFrame:
-    """(key, id) for each band of each sketch that has a register in it."""
+    """(key, id, band) for each band of each sketch that has a register in it; band counts on for registers of the class below."""
     n = REGISTERS // BAND
     odd = mix(np.arange(1, BAND + 1, dtype=U64)) | U64(1)
 
@@ -133,9 +138,9 @@ def bands(reps: DataFrame) -> DataFrame:
                 with np.errstate(over="ignore"):
                     key = mix((mix(regs.astype(U64) + U64(1)) * odd).sum(2) + mix(np.arange(n, dtype=U64) + U64(77))[None, :] + mix(level + U64(999))[:, None])
                 used = (regs != EMPTY).any(2)
-                yield pa.RecordBatch.from_arrays([pa.array(key[used].view(np.int64)), pa.array(np.repeat(ids[has], used.sum(1)))], names=["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[used].view(np.int64)), pa.array(np.repeat(ids[has], used.sum(1))), pa.array((np.nonzero(used)[1] + less * n).astype(np.int32))], names=["key", "id", "band"])
 
-    return reps.select("id", "n", "regs", "under").mapInArrow(run, "key long, id long")
+    return reps.select("id", "n", "regs", "under").mapInArrow(run, "key long, id long, band int")
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,10 +176,12 @@ def _plausible(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFra
     return j.mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """Pairs whose full shingle sets have den * intersection >= num * union."""
-    wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, F.col("id") == F.col("w"), "left_semi")
+def _sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(id, s): the full shingle sets of the documents whose ids are in ids (id)."""
+    few = ids.count() <= BROADCAST_IDS
+    wanted = ids.select(F.col("id").alias("w"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(F.broadcast(wanted) if few else wanted, F.col("id") == F.col("w"), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,7 +190,13 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int
                 out += [x.tobytes() for x in np.split(h, np.cumsum(n)[:-1])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "s"])
 
-    s = texts.select("id", "text").mapInArrow(sets, "id long, s binary")
+    return texts.mapInArrow(sets, "id long, s binary")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
+    """Pairs whose full shingle sets have den * intersection >= num * union."""
+    pairs = cut(pairs)
+    s = _sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), docs, id_col, text_col, k)
     j = pairs.join(s.select(F.col("id").alias("ia"), F.col("s").alias("sa")), F.col("a") == F.col("ia")).join(s.select(F.col("id").alias("ib"), F.col("s").alias("sb")), F.col("b") == F.col("ib")).select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,36 +204,81 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int
             keep = []
             for x, y in zip(t.column(2), t.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep.append(den * both >= num * (len(x) + len(y) - both))
+                keep.append(_alike(x, y, num, den))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([t.column(0).filter(keep), t.column(1).filter(keep)], names=["a", "b"])
 
     return j.mapInArrow(run, "a long, b long").distinct()
 
 
+def _alike(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return den * both >= num * (len(x) + len(y) - both)
+
+
+def _cross(open_: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join components inside the buckets open_ (key, i, band, part), without those that they imply.
+
+    A bucket is dealt out in blocks of BLOCK members, a pair of blocks to a
+    task. A pair is tried in the first band that it shares, and only if its
+    components differ, by size, registers and full sets.
+    """
+    ids = cut(open_.select(F.col("i").alias("id")).distinct())
+    sets = _sets(ids, docs, id_col, text_col, k)
+    about = reps.join(ids.select(F.col("id").alias("w")), F.col("id") == F.col("w"), "left_semi").select(F.col("id").alias("ri"), "n", "regs", "under")
+    about = cut(about.join(sets, F.col("ri") == F.col("id")).drop("id"))
+    blocks = open_.groupBy(F.col("key").alias("bk")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    d = open_.join(blocks, F.col("key") == F.col("bk"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    d = d.withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    d = d.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "i", "part", "band")
+    d = d.join(about, F.col("i") == F.col("ri")).withColumn("regs", F.when(F.col("band") >= REGISTERS // BAND, F.col("under")).otherwise(F.col("regs")))
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        bi, bj = key[1].as_py(), key[2].as_py()
+        own, ids, part, n, band = (t.column(c).to_numpy() for c in ("own", "i", "part", "n", "band"))
+        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(len(ids), REGISTERS)
+        sets = [np.frombuffer(x, U64) for x in t.column("s").to_pylist()]
+        first, second = (np.arange(len(ids)),) * 2 if bi == bj else (np.flatnonzero(own == bi), np.flatnonzero(own == bj))
+        this, goal, out = int(band[0]) % (REGISTERS // BAND), num / den, ([], [])
+        root = part.copy()
+        for x in first:
+            y = second[second > x] if bi == bj else second
+            y = y[(root[y] != root[x]) & (np.minimum(n[y], n[x]) * den >= np.maximum(n[y], n[x]) * num)]
+            if not len(y):
+                continue
+            earlier = (regs[y, : this * BAND] == regs[x, : this * BAND]).reshape(len(y), this, BAND).all(2)
+            earlier &= (regs[x, : this * BAND] != EMPTY).reshape(this, BAND).any(1)
+            y = y[~earlier.any(1)]
+            est, used = estimate(regs[y], regs[x][None])
+            for z in y[est >= goal - 6 * np.sqrt(goal * (1 - goal) / used) - 1e-9]:
+                if root[z] != root[x] and _alike(sets[x], sets[z], num, den):
+                    out[0].append(min(ids[x], ids[z]))
+                    out[1].append(max(ids[x], ids[z]))
+                    root[root == root[z]] = root[x]
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return d.select("key", "bi", "bj", "own", "i", "part", "n", "band", "regs", "s").groupBy("key", "bi", "bj").applyInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, num: int = 85, den: int = 100) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every document."""
     every = cut(sketch(docs, id_col, text_col, k, num, den))
     some = every.where("n > 0 and id is not null")
     classes = some.groupBy(F.col("s1").alias("c1"), F.col("s2").alias("c2")).agg(F.min("id").alias("rep"))
     reps = some.where("regs is not null").join(classes, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("id") == F.col("rep")), "left_semi").dropDuplicates(["id", "s1", "s2"])
+    reps = cut(reps)
     keyed = bands(reps)
-    # one pivot a bucket: the member that is nearest to the key by exclusive or, so bands choose different ones
-    buckets = keyed.groupBy(F.col("key").alias("k")).agg(F.min(F.expr("id ^ key")).alias("m"), F.count("*").alias("size")).where("size > 1").select("k", F.expr("m ^ k").alias("pivot"), "size")
-    member = cut(keyed.join(buckets, F.col("key") == F.col("k")).select("key", "id", "pivot", "size"))
-    tried = member.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    buckets = keyed.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1")
+    member = cut(keyed.join(buckets, F.col("key") == F.col("k")).select("key", "id", "band", "pivot", "size"))
+    tried = member.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     links = cut(verify(_plausible(tried, reps, num, den), docs, id_col, text_col, k, num, den))
     found = cut(components(links))
 
     part = F.coalesce("component_id", "i").alias("part")
-    left = member.where("size > 2").select("key", F.col("id").alias("i")).join(found, F.col("i") == F.col("id"), "left").select("key", "i", part)
-    open_ = left.groupBy(F.col("key").alias("k")).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
-    left = left.join(open_, F.col("key") == F.col("k"), "left_semi")
-    x, y = left.select("key", F.col("i").alias("a"), F.col("part").alias("pa")), left.select(F.col("key").alias("key2"), F.col("i").alias("b"), F.col("part").alias("pb"))
-    cross = x.join(y, (F.col("key") == F.col("key2")) & (F.col("pa") < F.col("pb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    cross = cross.join(tried.select(F.col("a").alias("ta"), F.col("b").alias("tb")), (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
-    more = cut(verify(_plausible(cross, reps, num, den), docs, id_col, text_col, k, num, den))
+    left = member.where("size > 2").select("key", F.col("id").alias("i"), "band").join(found, F.col("i") == F.col("id"), "left").select("key", "i", "band", part)
+    mixed = left.groupBy(F.col("key").alias("k")).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
+    open_ = cut(left.join(mixed, F.col("key") == F.col("k"), "left_semi"))
+    more = cut(_cross(open_, reps, docs, id_col, text_col, k, num, den))
     if not more.isEmpty():
         found = cut(components(links.union(more)))
 
