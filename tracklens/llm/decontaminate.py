@@ -6,9 +6,9 @@ as the item, has a weighted-shingle similarity of at least num/den to it. Words
 words is one shingle); the weight of a shingle is how often it occurs, and the
 similarity is the sum of the smaller weights over the sum of the larger.
 
-1. A window can qualify only if most of its shingles occur in some item: with S
-   shingles, at least 2 S num / (num + den) of them. Positions that hold a shingle of any
-   item come from a semi-join; windows below that exact bound are never made.
+1. A window can qualify only if most of its shingles occur in items of its size: with S
+   shingles, at least 2 S num / (num + den) of them. Positions that hold a shingle of any item of a
+   size come from an equi-join; windows below that exact bound are never made.
 2. Every other window gets a 64-bit SimHash, the bitwise majority of its shingle hashes, counted in
    bit-sliced counters.
 3. Windows meet items of the same size by a multi-index: 64 bits in BLOCKS blocks;
@@ -134,23 +134,24 @@ def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 def _matches(docs: DataFrame, items: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(id, th, item_id, similarity, start, n) for items of at least k words; docs: id, text, th; items: item_id, __h, s, n."""
     sizes = [r.s for r in items.select("s").distinct().collect()]  # one entry for each length of an item
-    shingles = _small(items.select(F.explode_outer("__h").alias("x")).distinct())
-    hits = with_shingles(docs, "text", k).select("id", "th", F.posexplode_outer("__h").alias("p", "x")).join(shingles, "x", "left_semi")
-    hits = cut(hits.groupBy("id", "th").agg(F.sort_array(F.collect_set("p")).alias("at")))
-    total = hits.agg(F.sum(F.size("at") + 4)).first()[0] or 0
-    near = hits.withColumnsRenamed({"id": "hid", "th": "hth"})
+    need = F.ceil(2 * F.col("s") * num / (num + den)).cast("int")
+    shingles = _small(items.select(F.explode_outer("__h").alias("x"), "s").distinct())
+    hits = with_shingles(docs, "text", k).select("id", "th", F.posexplode_outer("__h").alias("p", "x")).join(shingles, "x")
+    hits = hits.groupBy("id", "th", "s").agg(F.sort_array(F.collect_set("p")).alias("at")).where(F.size("at") >= need)
+    hits = cut(hits.groupBy("id", "th").agg(F.collect_list(F.struct("s", "at")).alias("sized"), F.sum(F.size("at") + 4).alias("held")))
+    total = hits.agg(F.sum("held")).first()[0] or 0
+    near = hits.select(F.col("id").alias("hid"), F.col("th").alias("hth"), "sized")
     near = F.broadcast(near) if total <= BROADCAST_POSITIONS else near
     some = docs.join(near, F.col("id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth"))).dropDuplicates(["id", "th"])
-    some = with_shingles(some, "text", k).select("id", "th", "__h", "at")
+    some = with_shingles(some, "text", k).select("id", "th", "__h", "sized")
 
-    wanted = [(s, -(-2 * s * num // (num + den))) for s in sorted(sizes)]
-    sized = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(m).alias("need")) for s, m in wanted]))
-    w = some.select("*", F.posexplode("at").alias("i", "p")).select("*", sized.alias("z")).select("*", F.explode(F.sequence(F.lit(0), F.col("z.s") - F.col("z.need"))).alias("j"))
+    w = some.select("id", "th", "__h", F.explode("sized").alias("z")).select("id", "th", "__h", F.col("z.s").alias("s"), F.col("z.at").alias("at"))
+    w = w.withColumn("need", need).select("*", F.posexplode("at").alias("i", "p")).select("*", F.explode(F.sequence(F.lit(0), F.col("s") - F.col("need"))).alias("j"))
     start = F.col("p") - F.col("j")
-    inside = (start >= 0) & (start + F.col("z.s") <= F.size("__h"))
+    inside = (start >= 0) & (start + F.col("s") <= F.size("__h"))
     first_hit = (F.col("i") == 0) | (F.get("at", F.col("i") - 1) < start)  # each window once, from its first hit
-    enough = F.get("at", F.col("i") + F.col("z.need") - 1) < start + F.col("z.s")
-    w = w.where(inside & first_hit & enough).select("id", "th", start.alias("start"), F.col("z.s").alias("s"), F.slice("__h", start + 1, F.col("z.s")).alias("win"))
+    enough = F.get("at", F.col("i") + F.col("need") - 1) < start + F.col("s")
+    w = w.where(inside & first_hit & enough).select("id", "th", start.alias("start"), "s", F.slice("__h", start + 1, F.col("s")).alias("win"))
     w = w.withColumn("fp", simhash(F.col("win"), max(sizes))).withColumn("kb", F.explode(window_keys("fp")))
 
     prints = items.withColumn("ifp", simhash(F.col("__h"), max(sizes)))
