@@ -82,22 +82,37 @@ def _shards(sorted_values: np.ndarray, bits: int, n: int) -> np.ndarray:
     return at
 
 
-def _sketch(scan: Scan, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each row of the sketch: its cells in order, and whether the group has more than one document in it."""
-    order = np.argsort(scan.h)
-    h, ids = scan.h[order], scan.ids[scan.doc[order]]
-    at, _ = runs(h)
-    if not len(at):
-        return [(np.zeros(0, U64), np.zeros(0, bool))] * DEPTH
-    count = 1 + (np.minimum.reduceat(ids, at) < np.maximum.reduceat(ids, at))
-    out = []
-    for row in range(DEPTH):
-        c = _cells(h[at], row, bits)
-        o = np.argsort(c)
-        c = c[o]
-        first, _ = runs(c)
-        out.append((c[first], np.add.reduceat(count[o], first) > 1))
-    return out
+class Sketch:
+    """The sparse count-min sketch of a group: for each row its cells in order, and how windows map to them."""
+
+    def __init__(self, scan: Scan, bits: int):
+        self.order = np.argsort(scan.h)
+        h = scan.h[self.order]
+        self.at, self.run = runs(h)
+        self.rows = []
+        for row in range(DEPTH):
+            c = _cells(h[self.at], row, bits)
+            o = np.argsort(c)
+            c = c[o]
+            first, cell = runs(c)
+            self.rows.append((o, first, cell, c[first]))
+
+    def many(self, scan: Scan) -> list[np.ndarray]:
+        """For each row, which cells the group has more than one document in."""
+        if not len(self.at):
+            return [np.zeros(0, bool)] * DEPTH
+        ids = scan.ids[scan.doc[self.order]]
+        count = 1 + (np.minimum.reduceat(ids, self.at) < np.maximum.reduceat(ids, self.at))
+        return [np.add.reduceat(count[o], first) > 1 for o, first, _, _ in self.rows]
+
+    def repeated(self, heavy: list[np.ndarray]) -> np.ndarray:
+        """The windows, in order of hash, all of whose cells count 2 or more."""
+        keep = np.ones(len(self.at), bool)
+        for (o, _, cell, cells), h in zip(self.rows, heavy, strict=True):
+            if len(h) != len(cells):
+                raise RuntimeError("replies don't fit the sketch of this group")
+            keep[o] &= h[cell]
+        return self.order[keep[self.run]]
 
 
 def _table(rows: list[tuple], kind: int) -> pa.Table:
@@ -113,30 +128,23 @@ def _messages(t: pa.Table) -> list[tuple]:
 
 
 def _repeated(scan: Scan, replies: list[tuple], bits: int) -> np.ndarray:
-    """Which windows are estimated to be in more than one document."""
-    keep = np.ones(len(scan.h), bool)
-    sketch = _sketch(scan, bits)
+    """Windows that are estimated to be in more than one document, in order of hash."""
     bodies: list[list[np.ndarray]] = [[] for _ in range(DEPTH)]
     for _, kind, shard, body, _ in replies:
         if kind == 1:
             bodies[shard % DEPTH].append(unpack_bits(body))
-    for row, (cells, _) in enumerate(sketch):
-        heavy = np.concatenate(bodies[row]) if bodies[row] else np.zeros(0, bool)
-        if len(heavy) != len(cells):
-            raise RuntimeError("replies don't fit the sketch of this group")
-        if len(cells):
-            keep &= heavy[np.searchsorted(cells, _cells(scan.h, row, bits))]
-    return keep
-
-
-def _candidates(scan: Scan, keep: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(windows in order of hash, hash, second hash, run of each, smallest id of each run)."""
-    w = np.flatnonzero(keep)
-    o = np.lexsort((scan.h2[w], scan.h[w]))
-    w = w[o]
-    at, run = runs(scan.h[w], scan.h2[w])
+    return Sketch(scan, bits).repeated([np.concatenate(x) if x else np.zeros(0, bool) for x in bodies])
+
+
+def _candidates(scan: Scan, w: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(windows in order of both hashes, hash, second hash, run of each, smallest id of each run)."""
+    h, h2 = scan.h[w], scan.h2[w]
+    if ((h[1:] == h[:-1]) & (h2[1:] != h2[:-1])).any():
+        o = np.lexsort((h2, h))
+        w, h, h2 = w[o], h[o], h2[o]
+    at, run = runs(h, h2)
     ids = scan.ids[scan.doc[w]]
-    return w, scan.h[w][at], scan.h2[w][at], run, np.minimum.reduceat(ids, at) if len(at) else ids
+    return w, h[at], h2[at], run, np.minimum.reduceat(ids, at) if len(at) else ids
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, digest: bool = False, **limits: int) -> DataFrame:
@@ -152,8 +160,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     shards = max(1, min(n, windows // n // LEAST_CELLS_A_MESSAGE))
 
     def ask(key: tuple, t: pa.Table) -> pa.Table:
-        rows = []
-        for row, (cells, many) in enumerate(_sketch(Scan(t, k), bits)):
+        rows, scan = [], Scan(t, k)
+        sketch = Sketch(scan, bits)
+        for row, ((_, _, _, cells), many) in enumerate(zip(sketch.rows, sketch.many(scan), strict=True)):
             at = _shards(cells, bits, shards)
             rows += [(key[0].as_py(), s * DEPTH + row, pack(cells[i:j], True), pack_bits(many[i:j])) for s, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if i < j]
         return _table(rows, 0)
