@@ -105,7 +105,7 @@ def blocks_view(x1, y1, x2, y2, bx, by, length, width, inflate: float = 0.0, clo
 
 
 def resample(df: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFrame:
-    """(keys, k, x, y): n points evenly spaced along each polyline, linear between its points."""
+    """(keys, point, x, y): n points evenly spaced along each polyline, linear between its points."""
     w = Window.partitionBy(*keys).orderBy(order)
     gap = F.coalesce(F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2)), F.lit(0.0))
     d = df.withColumn("_g", gap).withColumn("_s", F.sum("_g").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -114,4 +114,4 @@ def resample(df: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFram
     here = F.filter(at, lambda p: (p["t"] >= F.col("_s")) & ((p["t"] < F.col("_s2")) | (F.col("_s2").isNull() & (p["t"] >= F.col("_s")))))
     d = d.withColumn("_p", F.explode(here))
     f = F.coalesce((F.col("_p.t") - F.col("_s")) / F.nullif(F.col("_s2") - F.col("_s"), F.lit(0.0)), F.lit(0.0))
-    return d.select(*keys, "_p.k", (F.col("x") + f * (F.coalesce("_x2", "x") - F.col("x"))).alias("x"), (F.col("y") + f * (F.coalesce("_y2", "y") - F.col("y"))).alias("y"))
+    return d.select(*keys, F.col("_p.k").alias("point"), (F.col("x") + f * (F.coalesce("_x2", "x") - F.col("x"))).alias("x"), (F.col("y") + f * (F.coalesce("_y2", "y") - F.col("y"))).alias("y"))

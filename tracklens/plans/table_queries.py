@@ -95,14 +95,14 @@ def q_group_folds(spark, d):
 
 @BOOK.add("""WITH q AS (SELECT c_custkey, c_nationkey, c_acctbal, row_number() OVER (PARTITION BY c_nationkey ORDER BY sha256('few|' || c_custkey::VARCHAR), c_custkey) AS k FROM customer), o AS (SELECT c_nationkey, quantile_cont(c_acctbal, 0.5) AS off FROM q WHERE k <= 5 GROUP BY c_nationkey),
 x AS (SELECT q.c_nationkey, c_acctbal - off AS res, rank() OVER (PARTITION BY q.c_nationkey ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY q.c_nationkey, c_acctbal) - 1) / 2 AS ra, rank() OVER (PARTITION BY q.c_nationkey ORDER BY c_custkey) AS rb FROM q JOIN o USING (c_nationkey) WHERE k > 5)
-SELECT c_nationkey, round(avg(abs(res)), 4) AS mae, round(corr(ra, rb), 6) AS spearman FROM x GROUP BY c_nationkey""")
+SELECT c_nationkey, round(avg(abs(res)), 4) AS mae, round(CASE WHEN count(*) > 1 THEN corr(ra, rb) END, 6) AS spearman FROM x GROUP BY c_nationkey""")
 def q_few_shot(spark, d):
     w = Window.partitionBy("c_nationkey")
     c = table(spark, d, "customer").withColumn("k", F.row_number().over(w.orderBy(hs.salted_order("few", "c_custkey"), "c_custkey")))
     off = c.where("k <= 5").groupBy("c_nationkey").agg(F.percentile("c_acctbal", 0.5).alias("off"))
     x = c.where("k > 5").join(off, "c_nationkey")
     x = x.withColumns({"ra": F.rank().over(w.orderBy("c_acctbal")) + (F.count("*").over(Window.partitionBy("c_nationkey", "c_acctbal")) - 1) / 2, "rb": F.rank().over(w.orderBy("c_custkey"))})
-    return x.groupBy("c_nationkey").agg(F.round(F.avg(F.abs(F.col("c_acctbal") - F.col("off"))), 4).alias("mae"), F.round(F.corr("ra", "rb"), 6).alias("spearman"))
+    return x.groupBy("c_nationkey").agg(F.round(F.avg(F.abs(F.col("c_acctbal") - F.col("off"))), 4).alias("mae"), F.round(F.when(F.count("*") > 1, F.corr("ra", "rb")), 6).alias("spearman"))
 
 
 @BOOK.add("SELECT sha256(concat_ws(chr(30), 'c_acctbal=' || printf('%.2f', c_acctbal), 'c_mktsegment=' || c_mktsegment)) AS fingerprint, count(*) AS n FROM customer GROUP BY 1")
