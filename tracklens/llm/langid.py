@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tracklens.llm.spark import with_fields
 
 DIM = 1 << 12
-SAMPLE_ROWS = 4000  # bound of the labelled sample that the SVMs are fitted on
+SAMPLE_ROWS = 2000  # bound of the labelled sample that the SVMs are fitted on
 MIN_SAMPLE = 8
 LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 32, np.uint32)
@@ -59,17 +59,18 @@ def features(text: str) -> np.ndarray:
 
 def svm(x: np.ndarray, y: np.ndarray, c: float = 20.0, rounds: int = 200) -> np.ndarray:
     """Weights and bias of a linear SVM (squared hinge), by accelerated gradient steps. y: 1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+    y = y.astype(np.float32)
     cost = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * c
-    step = 1 / (1 + 2 * cost.max() * len(x) * 2)
-    step = max(step, 1 / (1 + 4 * c))
-    w = z = np.zeros(x.shape[1])
+    cost = cost.astype(np.float32)
+    step = np.float32(1 / (1 + 4 * c))
+    w = z = np.zeros(x.shape[1], np.float32)
     for k in range(rounds):
         miss = np.maximum(0, 1 - y * (x @ z))
         new = z - step * (z - 2 * x.T @ (cost * y * miss))
-        z = new + k / (k + 3) * (new - w)
+        z = new + np.float32(k / (k + 3)) * (new - w)
         w = new
-    return w
+    return w.astype(np.float64)
 
 
 @dataclass
@@ -147,7 +148,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
         return Model.fit(np.zeros((0, DIM)), [])
     each = max(MIN_SAMPLE, sample_rows // langs)
     picked = rows.select("lang", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= each).drop("r")
-    rows = rows.join(picked, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
+    rows = rows.join(F.broadcast(picked), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])  # at most sample_rows, or MIN_SAMPLE a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -157,7 +158,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     got = sorted((r.lang, bytes(r.v)) for r in rows.select("lang", "text").mapInArrow(run, "lang string, v binary").collect())
     if not got:
         return Model.fit(np.zeros((0, DIM)), [])
-    return Model.fit(np.frombuffer(b"".join(v for _, v in got), np.float32).reshape(len(got), DIM).astype(np.float64), [x for x, _ in got])
+    return Model.fit(np.frombuffer(b"".join(v for _, v in got), np.float32).reshape(len(got), DIM), [x for x, _ in got])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
