@@ -262,11 +262,15 @@ def test_archives(spark, tmp_path):
         if i is not None:
             largest[h or ""] = max(i, largest.get(h or "", i))
     out = f"file://{tmp_path}/w"
-    files = warc.write(pages, out).collect()
+    wrote = warc.write(pages, out)
+    files = wrote.collect()
     assert sum(f.records for f in files) == len(rows)
-    data = open(files[0].path, "rb").read()
+    data = (tmp_path / "w" / files[0].folder / files[0].name).read_bytes()
     assert data[:4] == b"\x5d\x2a\x4d\x18"
-    got = warc.read(spark, out).collect()
+    stray = tmp_path / "w" / "task-000000-99999"
+    stray.mkdir()
+    (stray / "0000.warc.zst").write_bytes(data)
+    got = warc.read(spark, warc.written(wrote, out)).collect()
     want = Counter()
     for i, _, h in rows:
         raw = (h or "").encode()

@@ -13,9 +13,10 @@ same page_id as the response are all responses; so are rows with a null page_id
 row has their payload, and revisits otherwise. Null html is an empty payload.
 A null URL has no WARC-Target-URI; line ends in URLs are percent-encoded.
 
-Archives are rolled at ARCHIVE_BYTES. They are written to a folder that
-driver and executors share, under a name of their own for each attempt and
-then renamed, so a repeated task leaves one whole file; reading goes through
+Archives are rolled at ARCHIVE_BYTES. They are written below a folder that
+driver and executors share, each attempt of a task in a folder of its own;
+write() tells the folders of the attempts that counted, and only those are
+read, so repeated or abandoned tasks add no record. Reading goes through
 Spark's binaryFile source. The dictionary is trained on at most DICT_ROWS payloads of
 at most DICT_CUT bytes each (it steers compression alone; payloads are stored whole).
 """
@@ -26,14 +27,13 @@ import base64
 import hashlib
 import re
 import struct
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklens.llm.spark import cut, scratch
@@ -126,27 +126,27 @@ def plan(pages: DataFrame, id_col: str, html_col: str, min_revisit_bytes: int) -
 
 
 def write(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
-    """Writes archives below out; returns (path, records, bytes), one row a file, computed once."""
+    """Writes archives below out; returns (folder, name, records, bytes), one row a file, computed once."""
     spark = pages.sparkSession
     rows = plan(pages.select(id_col, url_col, html_col), id_col, html_col, min_revisit_bytes).select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.coalesce(F.col(html_col), F.lit("")).cast("binary"), F.col("__first").cast("long"))
     shared = spark.sparkContext.broadcast(train(pages, html_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = fs.FileSystem.from_uri(out)
-        zip_, head, part = compressor(shared.value), header(shared.value), TaskContext.get().partitionId()
+        zip_, head, task = compressor(shared.value), header(shared.value), TaskContext.get()
+        folder = f"task-{task.partitionId():06d}-{task.taskAttemptId()}"
         frames, size, done = [], 0, []
 
         def roll() -> None:
             nonlocal frames, size
             if frames:
-                name = f"{top}/part-{part:06d}-{len(done):04d}.warc.zst"
-                tmp = f"{top}/.tmp-{uuid.uuid4().hex}"
-                with store.open_output_stream(tmp) as f:
+                name = f"{len(done):04d}.warc.zst"
+                store.create_dir(f"{top}/{folder}", recursive=True)
+                with store.open_output_stream(f"{top}/{folder}/{name}", compression=None) as f:
                     f.write(head)
                     for x in frames:
                         f.write(x)
-                store.move(tmp, name)
-                done.append((name, len(frames), size + len(head)))
+                done.append((folder, name, len(frames), size + len(head)))
                 frames, size = [], 0
 
         for b in batches:
@@ -165,15 +165,13 @@ def write(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "u
                 if size >= ARCHIVE_BYTES:
                     roll()
         roll()
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["path", "records", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["folder", "name", "records", "bytes"])
 
-    store, top = fs.FileSystem.from_uri(out)
-    store.create_dir(top, recursive=True)
-    return cut(rows.mapInArrow(run, "path string, records long, bytes long"))
+    return cut(rows.mapInArrow(run, "folder string, name string, records long, bytes long"))
 
 
-def read(spark, out: str) -> DataFrame:
-    """(page_id, record_type, payload_bytes, payload_digest, refers_to, url, payload) of all records below out.
+def read(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """(page_id, record_type, payload_bytes, payload_digest, refers_to, url, payload) of all records in the folders.
 
     payload is null for revisits. A record that fails a check fails the read.
     """
@@ -202,11 +200,18 @@ def read(spark, out: str) -> DataFrame:
                         rows, held = [], 0
                 yield pack(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").schema("path string, modificationTime timestamp, length long, content binary").load(out).select("content")
-    return files.mapInArrow(run, "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, url string, payload binary")
+    schema = "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, url string, payload binary"
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folders).select("content").mapInArrow(run, schema)
+
+
+def written(files: DataFrame, out: str) -> list[str]:
+    """The folders of a write, one for each task that had rows."""
+    return sorted(f"{out}/{r.folder}" for r in files.select("folder").distinct().collect())
 
 
 def round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     out = scratch(pages.sparkSession, "warc")
-    write(pages, out, min_revisit_bytes=min_revisit_bytes)
-    return read(pages.sparkSession, out).drop("payload", "url")
+    files = write(pages, out, min_revisit_bytes=min_revisit_bytes)
+    return read(pages.sparkSession, written(files, out)).drop("payload", "url")
