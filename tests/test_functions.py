@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracklens.functions import hashing as h
 from tracklens.functions import numbers as n
-from tracklens.operators import aggregates, classify, contracts, inference, ranking, sampling, sets
+from tracklens.operators import aggregates, classify, contracts, inference, models, ranking, sampling, sets
 from tracklens.operators import vectors as v
 
 
@@ -132,3 +132,35 @@ def test_samples_do_not_depend_on_input_order(spark):
     rungs = {r.id: r.rung for r in sampling.scale_ladder(d, "s", "id", [10, 40]).collect()}
     assert sum(x == 10 for x in rungs.values()) == 10 and sum(x is not None for x in rungs.values()) == 40
     assert sampling.evenly(d, ["g"], ["id"], 4).count() == 12
+
+
+def test_lookup_and_mappings(spark):
+    d = spark.createDataFrame([("a", {"CAN_4": "speed", "x": "CAN_7", "y": ""})], "k string, m map<string,string>")
+    dim = spark.createDataFrame([("a", "train")], "k string, split string")
+    assert classify.lookup(d, "k", dim, "split").first().split == "train"
+    with pytest.raises(Exception, match="unknown k: a"):
+        classify.lookup(d, "k", dim.where("k = 'b'"), "split").collect()
+    assert sorted((r.name, r.channel) for r in classify.mappings(d, "k", "m", "CAN_([0-9]+)").collect()) == [("CAN_4", "4"), ("x", "7")]
+
+
+def test_projection_keeps_limits(spark):
+    rows = [(1, i, float(i * i), 0.0) for i in range(12)] + [(2, i, 0.1 * i, 0.0) for i in range(12)]
+    d = spark.createDataFrame(rows, "id long, step long, x double, y double")
+    got = models.project(d, "id", "step", 0.1, 20.0, 30.0).orderBy("id", "step").collect()
+    x = np.array([r.x for r in got]).reshape(2, 12)
+    np.testing.assert_allclose(x[1], 0.1 * np.arange(12))
+    v = np.diff(x[0]) / 0.1
+    assert np.abs(v).max() <= 20 + 1e-9 and np.abs(np.diff(v)).max() <= 3 + 1e-9
+
+
+def test_kernel_ridge(spark):
+    rows = [([i / 10], float(np.sin(i / 10))) for i in range(40)]
+    d = spark.createDataFrame(rows, "v array<double>, y double")
+    m = models.KernelRidge(alpha=1e-6, width=0.5).fit(d, "v", "y")
+    assert max(abs(r.prediction - r.y) for r in m.predict(d, "v").collect()) < 1e-3
+    with pytest.raises(ValueError, match="at most"):
+        models.KernelRidge(most=3).fit(d, "v", "y")
+    book = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "token int, c array<double>")
+    assert models.reuse_codebook(book, 2, 1) is book
+    with pytest.raises(ValueError, match="not 3"):
+        models.reuse_codebook(book, 3, 1)

@@ -111,3 +111,11 @@ def test_streams(spark, tmp_path):
     assert drain(lambda s: streams.dedup(s, ["k", "t"], "t", "1 minute"), "once").count() == 4
     assert drain(lambda s: streams.gap_sessions(s, "k", "t", "2 minutes", "0 seconds"), "sessions").where("n_events = 3").count() == 1
     assert drain(lambda s: streams.windows(s, "k", "t", "x", "2 minutes", "0 seconds"), "tumbling").where("n = 3").count() == 1
+
+
+def test_json_lines_and_hashes(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": 1, "tags": ["x"], "spec": {"v": 2.5}}\n\n{"id": 2}\n{"id": \n')
+    good, bad = files.read_jsonl(spark, str(tmp_path), "id int, tags array<string>, spec struct<v: double>")
+    assert sorted((r.id, r.tags, r.spec and r.spec.v) for r in good.collect()) == [(1, ["x"], 2.5), (2, None, None)]
+    assert [r.line for r in bad.collect()] == ['{"id": ']
+    assert len(files.hash_files(spark, str(tmp_path)).first().sha256) == 64

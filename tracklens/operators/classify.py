@@ -74,3 +74,20 @@ def sections(lines: DataFrame, key: str, order: str, text: str) -> DataFrame:
     parts = F.split(text, "=", 2)
     s = s.withColumns({"name": F.trim(F.get(parts, 0)), "value": F.trim(F.get(parts, 1))})
     return s.groupBy(key, "section", "name").agg(F.min_by("value", order).alias("value"))
+
+
+def lookup(df: DataFrame, column: str, dim: DataFrame, name: str, most: int = 100_000) -> DataFrame:
+    """df with a column from a dimension (column, name) of at most ``most`` rows; unknown values raise when the rows are computed."""
+    n = dim.count()
+    if n > most:
+        raise ValueError(f"a dimension of {n} rows is larger than {most}")
+    j = df.join(F.broadcast(dim.select(column, F.col(name).alias("_found"))), column, "left")
+    unknown = F.raise_error(F.concat(F.lit(f"unknown {column}: "), F.coalesce(F.col(column).cast("string"), F.lit("null"))))
+    return j.withColumn(name, F.coalesce("_found", unknown.cast("string"))).drop("_found")
+
+
+def mappings(df: DataFrame, key: str, entries: str, pattern: str) -> DataFrame:
+    """(key, name, channel, known): entries of a map column whose name or value fits the pattern; channel is its first group."""
+    e = df.select(key, F.explode(entries).alias("name", "value"))
+    hit = F.coalesce(F.nullif(F.regexp_extract("name", pattern, 1), F.lit("")), F.nullif(F.regexp_extract("value", pattern, 1), F.lit("")))
+    return e.withColumn("channel", hit).where("channel is not null").select(key, "name", "channel", (F.trim("value") != "").alias("known"))

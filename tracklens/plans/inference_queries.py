@@ -111,9 +111,9 @@ def q_icc(spark, d):
     return x.variance_parts(table(spark, d, "lineitem"), "l_suppkey", "l_quantity").select(F.round("within", 4).alias("within"), F.round("between", 4).alias("between"), F.round("icc", 6).alias("icc"))
 
 
-@BOOK.add("WITH u AS (SELECT label, k, embedding[k + 1] AS x FROM embeddings, range(16) t(k)), s AS (SELECT label, k, count(*) AS n, avg((x > 0.1)::INT) AS up, avg((x < -0.1)::INT) AS down FROM u GROUP BY ALL) SELECT label, bool_or(n >= 5 AND up >= 0.2 AND down >= 0.2) AS multimodal, count(*) FILTER (n >= 5 AND up >= 0.2 AND down >= 0.2) AS dims FROM s GROUP BY label")
+@BOOK.add("WITH u AS (SELECT label, k, embedding[k + 1] AS x FROM embeddings, range(64) t(k)), s AS (SELECT label, k, count(*) AS n, avg((x > 0.1)::INT) AS up, avg((x < -0.1)::INT) AS down FROM u GROUP BY ALL) SELECT label, bool_or(n >= 5 AND up >= 0.2 AND down >= 0.2) AS multimodal, count(*) FILTER (n >= 5 AND up >= 0.2 AND down >= 0.2) AS dims FROM s GROUP BY label")
 def q_multimodality(spark, d):
-    u = table(spark, d, "embeddings").select("label", F.posexplode(F.slice("embedding", 1, 16)).alias("k", "x"))
+    u = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("k", "x"))
     s = u.groupBy("label", "k").agg(F.count("*").alias("n"), F.avg((F.col("x") > F.lit(0.1).cast("float")).cast("int")).alias("up"), F.avg((F.col("x") < F.lit(-0.1).cast("float")).cast("int")).alias("down"))
     both = (F.col("n") >= 5) & (F.col("up") >= 0.2) & (F.col("down") >= 0.2)
     return s.groupBy("label").agg(F.bool_or(both).alias("multimodal"), F.count_if(both).alias("dims"))
@@ -189,11 +189,13 @@ def q_medoid(spark, d):
     return v.medoid(vectors(spark, d), "label", "vec_id", "v")
 
 
-_BOOKSQL = "WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT vec_id // 50 AS token, v AS c FROM n WHERE vec_id % 50 = 0 AND vec_id < 500), a AS (SELECT vec_id, v, token, list_distance(v, c) AS d FROM n, c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, token) = 1) "
+_BOOKSQL = "WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT label AS token, list(m ORDER BY k) AS c FROM (SELECT label, k, avg(embedding[k + 1]::DOUBLE) AS m FROM embeddings, range(64) t(k) GROUP BY ALL) GROUP BY label), a AS (SELECT vec_id, v, token, list_distance(v, c) AS d FROM n, c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, token) = 1) "
 
 
 def codebook(spark, d):
-    return vectors(spark, d).where("vec_id % 50 = 0 and vec_id < 500").select((F.col("vec_id") / 50).cast("bigint").alias("token"), F.col("v").alias("c"))
+    """A centroid for each label: the mean of its vectors."""
+    m = vectors(spark, d).select("label", F.posexplode("v").alias("k", "x")).groupBy("label", "k").agg(F.avg("x").alias("m"))
+    return m.groupBy(F.col("label").alias("token")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("c"))
 
 
 @BOOK.add(_BOOKSQL + "SELECT vec_id, token, round(d * d, 6) AS d2 FROM a")
@@ -231,19 +233,19 @@ def q_joint_k(spark, d):
     return v.best_of(e.groupBy("scene", "k").agg(F.avg("ade").alias("m")), ["scene"], "m", "k").select("scene", "k", F.round("m", 6).alias("joint_ade"))
 
 
-@BOOK.add(_STEP + ", l AS (SELECT vec_id, arg_max(x, step) FILTER (y > 0) AS x0, arg_max(y, step) FILTER (y > 0) AS y0 FROM s WHERE step < 10 GROUP BY vec_id), p AS (SELECT vec_id, k, x0 + 0.1 * k * x0 AS px, y0 + 0.1 * k * y0 AS py FROM l, range(1, 6) t(k)) SELECT p.vec_id, round(avg(sqrt(pow(px - x, 2) + pow(py - y, 2))), 6) AS ade FROM p JOIN s ON s.vec_id = p.vec_id AND s.step = 9 + p.k WHERE px IS NOT NULL GROUP BY p.vec_id")
+@BOOK.add(_STEP + ", l AS (SELECT vec_id, arg_max(x, step) FILTER (y > 0) AS x0, arg_max(y, step) FILTER (y > 0) AS y0 FROM s WHERE step < 10 GROUP BY vec_id), p AS (SELECT vec_id, k, x0 + 0.1 * k * x0 AS px, y0 + 0.1 * k * y0 AS py FROM l, range(1, 23) t(k)) SELECT p.vec_id, round(avg(sqrt(pow(px - x, 2) + pow(py - y, 2))), 6) AS ade FROM p JOIN s ON s.vec_id = p.vec_id AND s.step = 9 + p.k WHERE px IS NOT NULL GROUP BY p.vec_id")
 def q_constant_velocity(spark, d):
     s = v.steps(vectors(spark, d), ["vec_id"], "v")
     seen = F.when((F.col("y") > 0) & (F.col("step") < 10), F.col("step"))
-    last = s.groupBy("vec_id").agg(F.max_by(F.struct("x", "y"), seen).alias("p")).where("p is not null").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    last = s.groupBy("vec_id").agg(F.max_by(F.struct("x", "y"), seen).alias("p")).where("p is not null").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(22))))
     p = last.select("vec_id", (F.col("k") + 9).alias("step"), *[(F.col(f"p.{c}") + 0.1 * F.col("k") * F.col(f"p.{c}")).alias(f"p{c}") for c in "xy"])
     j = p.join(s, ["vec_id", "step"])
     return j.groupBy("vec_id").agg(F.round(F.avg(F.sqrt(F.pow(F.col("px") - F.col("x"), 2) + F.pow(F.col("py") - F.col("y"), 2))), 6).alias("ade"))
 
 
-@BOOK.add(_STEP + "SELECT vec_id, step, round(sum(x) OVER w, 6) AS x, round(sum(y) OVER w, 6) AS y FROM s WHERE step < 8 WINDOW w AS (PARTITION BY vec_id ORDER BY step ROWS UNBOUNDED PRECEDING)")
+@BOOK.add(_STEP + "SELECT vec_id, step, round(sum(x) OVER w, 6) AS x, round(sum(y) OVER w, 6) AS y FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY step ROWS UNBOUNDED PRECEDING)")
 def q_decode(spark, d):
-    s = v.steps(vectors(spark, d), ["vec_id"], "v").where("step < 8").withColumnsRenamed({"x": "dx", "y": "dy"})
+    s = v.steps(vectors(spark, d), ["vec_id"], "v").withColumnsRenamed({"x": "dx", "y": "dy"})
     return v.decode(s, ["vec_id"], "step", "dx", "dy").select("vec_id", F.col("step").cast("bigint").alias("step"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 

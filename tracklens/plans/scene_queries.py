@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracklens.operators import inference as x
+from tracklens.operators import models
 from tracklens.operators import scenes as sc
 from tracklens.operators import vectors as v
 from tracklens.plans import episodes
@@ -13,7 +14,7 @@ from tracklens.plans.base import Book, table
 
 BOOK = Book()
 _S = "WITH s AS (SELECT vec_id, label, vec_id // 10 AS scene, embedding[1]::DOUBLE * 40 AS x, embedding[2]::DOUBLE * 40 AS y, embedding[3]::DOUBLE * 5 AS vx, embedding[4]::DOUBLE * 5 AS vy FROM embeddings), p AS (SELECT a.scene, a.vec_id, b.vec_id AS other, b.label AS olabel, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS d, -((b.x - a.x) * (b.vx - a.vx) + (b.y - a.y) * (b.vy - a.vy)) / nullif(sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)), 0) AS c FROM s a JOIN s b ON a.scene = b.scene AND a.vec_id <> b.vec_id) "
-_P = "WITH s AS (SELECT vec_id, k AS step, embedding[2 * k + 1]::DOUBLE AS x, embedding[2 * k + 2]::DOUBLE AS y FROM embeddings, range(8) t(k)) "
+_P = "WITH s AS (SELECT vec_id, k AS step, embedding[2 * k + 1]::DOUBLE AS x, embedding[2 * k + 2]::DOUBLE AS y FROM embeddings, range(32) t(k)) "
 
 
 def states(spark, d):
@@ -53,20 +54,20 @@ def q_scene_frame(spark, d):
 
 @BOOK.add(_P + "SELECT vec_id, step, x > 0 AS seen, CASE WHEN x > 0 THEN x ELSE 0 END AS x, CASE WHEN x > 0 THEN y ELSE 0 END AS y FROM s")
 def q_masked_history(spark, d):
-    s = v.steps(table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), ["vec_id"], "v").where("step < 8")
+    s = v.steps(table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), ["vec_id"], "v")
     return sc.masked_history(s, s.where("x > 0"), ["vec_id", "step"], ["x", "y"]).select("vec_id", F.col("step").cast("bigint").alias("step"), "seen", "x", "y")
 
 
 @BOOK.add(_P + """, g AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS g FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY step)), c AS (SELECT *, sum(g) OVER (PARTITION BY vec_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS q FROM g), n AS (SELECT *, lead(q) OVER w AS q2, lead(x) OVER w AS x2, lead(y) OVER w AS y2, max(q) OVER (PARTITION BY vec_id) AS total FROM c WINDOW w AS (PARTITION BY vec_id ORDER BY step))
 SELECT vec_id, k AS point, round(x + coalesce((k * total / 4 - q) / nullif(q2 - q, 0), 0) * (coalesce(x2, x) - x), 6) AS x, round(y + coalesce((k * total / 4 - q) / nullif(q2 - q, 0), 0) * (coalesce(y2, y) - y), 6) AS y FROM n, range(5) t(k) WHERE k * total / 4 >= q AND (k * total / 4 < q2 OR q2 IS NULL)""")
 def q_resample(spark, d):
-    s = v.steps(table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), ["vec_id"], "v").where("step < 8")
+    s = v.steps(table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), ["vec_id"], "v")
     return v.resample(s, ["vec_id"], "step", 5).select("vec_id", F.col("point").cast("bigint").alias("point"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @BOOK.add(_P + ", l AS (SELECT *, atan2(lead(y) OVER w - y, lead(x) OVER w - x) AS a, sqrt(pow(lead(x) OVER w - x, 2) + pow(lead(y) OVER w - y, 2)) AS n FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY step)), t AS (SELECT *, a - lag(a) OVER w AS d, lag(n) OVER w AS pn FROM l WINDOW w AS (PARTITION BY vec_id ORDER BY step)) SELECT vec_id, round(avg(abs((d - 2 * pi() * round_even(d / (2 * pi()), 0)) / nullif((n + pn) / 2, 0))), 4) AS mean_curvature FROM t GROUP BY vec_id")
 def q_curvature(spark, d):
-    s = v.steps(table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), ["vec_id"], "v").where("step < 8")
+    s = v.steps(table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), ["vec_id"], "v")
     return sc.curvature(s, ["vec_id"], "step").groupBy("vec_id").agg(F.round(F.avg(F.abs("curvature")), 4).alias("mean_curvature"))
 
 
@@ -146,3 +147,24 @@ def q_episodes(spark, d):
 def q_trigger_search(spark, d):
     n = table(spark, d, "nation").count()
     return episodes.search(episodes.sample(spark, n, "search"))
+
+
+@BOOK.add("WITH f AS (SELECT vec_id, list_transform(range(0, 64), lambda k: CASE WHEN embedding[k + 1] > 0 THEN embedding[k + 1]::DOUBLE ELSE 0 END) AS a, list_transform(range(0, 64), lambda k: (embedding[k + 1] > 0)::INT::DOUBLE) AS m FROM embeddings) SELECT vec_id, list_concat(a, m) AS features FROM f")
+def q_flat_features(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return e.withColumn("m", F.transform("v", lambda x_: x_ > 0)).select("vec_id", models.flat_features(["v"], "m").alias("features"))
+
+
+@BOOK.add()
+def q_kernel_ridge(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    m = models.KernelRidge(alpha=0.5).fit(e.where("vec_id % 5 <> 0"), "v", "label")
+    p = m.predict(e.where("vec_id % 5 = 0"), "v")
+    return p.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("prediction") - F.col("label"))), 4).alias("mae"))
+
+
+@BOOK.add()
+def q_projected_trajectories(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    s = v.steps(e, ["vec_id"], "v").select("vec_id", F.col("step").cast("bigint").alias("step"), "x", "y")
+    return models.project(s, "vec_id", "step", 0.1, 3.0, 20.0)

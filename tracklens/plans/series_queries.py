@@ -307,12 +307,12 @@ def q_kinematic_rates(spark, d):
     return k.groupBy("event_type").agg(F.count("v").alias("steps"), F.round(F.avg((a > 2).cast("int")), 6).alias("step_rate"), F.round(F.percentile(over, 0.5), 6).alias("exceed_median"), F.round(F.percentile(over, 0.95), 6).alias("exceed_p95"))
 
 
-@BOOK.add(_E + """, an AS (SELECT user_id, 0 AS step, 0.0 AS x FROM e WHERE i = 1 UNION ALL SELECT user_id, i, value FROM e WHERE i <= 20), d AS (SELECT *, abs(x - lag(x) OVER (PARTITION BY user_id ORDER BY step)) AS dv FROM an),
+@BOOK.add(_E + """, an AS (SELECT user_id, 0 AS step, 0.0 AS x FROM e WHERE i = 1 UNION ALL SELECT user_id, i, value FROM e), d AS (SELECT *, abs(x - lag(x) OVER (PARTITION BY user_id ORDER BY step)) AS dv FROM an),
 r AS (SELECT user_id, bool_or(dv > 150) AS big, bool_or(dv < 0.5) AS still, min(CASE WHEN dv > 150 OR dv < 0.5 THEN step END) AS first_bad FROM d GROUP BY user_id)
 SELECT user_id, concat_ws(',', CASE WHEN big THEN 'jump' END, CASE WHEN still THEN 'still' END) AS reasons, NOT (big OR still) AS valid, first_bad FROM r""")
 def q_anchored_validity(spark, d):
     e = numbered(spark, d)
-    rows = e.where("i = 1").select("user_id", F.lit(0).cast("bigint").alias("step"), F.lit(0.0).alias("x")).unionByName(e.where("i <= 20").select("user_id", F.col("i").alias("step"), F.col("value").alias("x")))
+    rows = e.where("i = 1").select("user_id", F.lit(0).cast("bigint").alias("step"), F.lit(0.0).alias("x")).unionByName(e.select("user_id", F.col("i").alias("step"), F.col("value").alias("x")))
     rows = rows.withColumn("dv", F.abs(F.col("x") - F.lag("x").over(s.by("user_id", "step"))))
     big, still = F.col("dv") > 150, F.col("dv") < 0.5
     r = rows.groupBy("user_id").agg(F.bool_or(big).alias("big"), F.bool_or(still).alias("still"), F.min(F.when(big | still, F.col("step"))).alias("first_bad"))
@@ -332,10 +332,10 @@ def q_last_valid(spark, d):
     return numbered(spark, d).groupBy("user_id").agg(F.max_by("value", v).alias("last_value"), F.max(v).alias("last_at"))
 
 
-@BOOK.add(_E + """, r AS (SELECT user_id, i, value / 97 + 0.9 * coalesce(lead(value) OVER (PARTITION BY user_id ORDER BY i), 0) / 89 - value / 83 AS delta FROM e WHERE i <= 40)
+@BOOK.add(_E + """, r AS (SELECT user_id, i, value / 97 + 0.9 * coalesce(lead(value) OVER (PARTITION BY user_id ORDER BY i), 0) / 89 - value / 83 AS delta FROM e)
 SELECT a.user_id, a.i, round(sum(b.delta * pow(0.855, b.i - a.i)), 9) AS advantage FROM r a JOIN r b ON a.user_id = b.user_id AND b.i >= a.i GROUP BY ALL""")
 def q_reverse_discount(spark, d):
-    e, w = numbered(spark, d).where("i <= 40"), s.by("user_id", "i")
+    e, w = numbered(spark, d), s.by("user_id", "i")
     e = e.withColumn("delta", F.col("value") / 97 + 0.9 * F.coalesce(F.lead("value").over(w), F.lit(0.0)) / 89 - F.col("value") / 83)
     return e.select("user_id", "i", F.round(s.discounted_ahead(F.col("delta"), F.col("i"), 0.855, "user_id", "i"), 9).alias("advantage"))
 

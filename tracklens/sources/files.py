@@ -98,3 +98,16 @@ def speed_limit(text: Column) -> Column:
     """km/h or mph text to m/s."""
     n = F.regexp_extract(text, r"([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
     return F.when(F.lower(text).contains("mph"), n * 0.44704).otherwise(n / 3.6)
+
+
+def hash_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size, sha256) of all files at path."""
+    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of JSON lines with a fixed schema, and (file, line) of those that don't parse."""
+    lines = spark.read.text(path).where("trim(value) <> ''").select(F.col("_metadata.file_path").alias("file"), "value")
+    parsed = lines.withColumn("row", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    bad = F.col("row").isNull() | F.col("row._bad").isNotNull()
+    return parsed.where(~bad).select("file", "row.*").drop("_bad"), parsed.where(bad).select("file", F.col("value").alias("line"))
