@@ -47,6 +47,7 @@ _LOWER = Hasher(303, True)
 _MAX_P = 7
 BLOCK = 1024
 BROADCAST_IDS = 1_000_000
+PAIR_ROWS = 250  # of an Arrow batch with two whole sets in each row
 
 
 def shingles(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -271,7 +272,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = keyed.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1")
     member = cut(keyed.join(buckets, F.col("key") == F.col("k")).select("key", "id", "band", "pivot", "size"))
     tried = member.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = cut(verify(_plausible(tried, reps, num, den), docs, id_col, text_col, k, num, den))
+    links = cut(verify(_plausible(tried, reps, num, den), docs, id_col, text_col, k, num, den), PAIR_ROWS)
     found = cut(components(links))
 
     part = F.coalesce("component_id", "i").alias("part")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 6 << 20
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,10 +28,20 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once into the shared folder, so that later reads survive lost executors."""
+def cut(df: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """Computes df once into the shared folder, so that later reads survive lost executors.
+
+    Arrow batches hold at most batch_rows rows meanwhile: with long texts or
+    sets in them, the usual number would need much memory on both sides.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    usual = conf.get(key)
+    conf.set(key, str(min(batch_rows, int(usual)) if int(usual) > 0 else batch_rows))
+    try:
+        return df.checkpoint()
+    finally:
+        conf.set(key, usual)
 
 
 def with_fields(df: DataFrame, ddl: str) -> T.StructType:
