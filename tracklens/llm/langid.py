@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tracklens.llm.spark import with_fields
 
 DIM = 1 << 12
-SAMPLE_ROWS = 2000  # bound of the labelled sample that the SVMs are fitted on
+SAMPLE_ROWS = 1600  # bound of the labelled sample that the SVMs are fitted on
 MIN_SAMPLE = 8
 LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 32, np.uint32)
@@ -59,7 +59,7 @@ def features(text: str) -> np.ndarray:
 
 def svm(x: np.ndarray, y: np.ndarray, c: float = 20.0, rounds: int = 200) -> np.ndarray:
     """Weights and bias of a linear SVM (squared hinge), by accelerated gradient steps. y: 1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+    x = np.hstack([x, np.ones((len(x), 1), np.float32)], dtype=np.float32)
     y = y.astype(np.float32)
     cost = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * c
     cost = cost.astype(np.float32)
@@ -153,12 +153,12 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = [(x, t) for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if LETTER.search(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in keep], pa.string()), pa.array([features(t).astype(np.float32).tobytes() for _, t in keep], pa.binary())], names=["lang", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in keep], pa.string()), pa.array([features(t).astype(np.float16).tobytes() for _, t in keep], pa.binary())], names=["lang", "v"])
 
     got = sorted((r.lang, bytes(r.v)) for r in rows.select("lang", "text").mapInArrow(run, "lang string, v binary").collect())
     if not got:
         return Model.fit(np.zeros((0, DIM)), [])
-    return Model.fit(np.frombuffer(b"".join(v for _, v in got), np.float32).reshape(len(got), DIM), [x for x, _ in got])
+    return Model.fit(np.frombuffer(b"".join(v for _, v in got), np.float16).reshape(len(got), DIM).astype(np.float32), [x for x, _ in got])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
