@@ -105,9 +105,12 @@ def item_keys(fp: str, radius: int = RADIUS, blocks: int = BLOCKS) -> Column:
     out = []
     for b, (shift, width) in enumerate(_blocks(blocks)):
         masks = [sum(1 << i for i in c) for r in range(radius // blocks + 1) for c in combinations(range(width), r)]
-        own = _block(F.col(fp), shift, width)
-        out += [F.struct(F.lit(b).alias("block"), own.bitwiseXOR(F.lit(m).cast("bigint")).alias("key")) for m in masks]
-    return F.array(*out)
+        out.append(_neighbours(b, _block(F.col(fp), shift, width), masks))
+    return F.concat(*out)
+
+
+def _neighbours(block: int, own: Column, masks: list[int]) -> Column:
+    return F.transform(F.array(*[F.lit(m).cast("bigint") for m in masks]), lambda m: F.struct(F.lit(block).alias("block"), own.bitwiseXOR(m).alias("key")))
 
 
 def first_block(x: Column, block: Column, radius: int = RADIUS, blocks: int = BLOCKS) -> Column:
