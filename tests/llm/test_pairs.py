@@ -37,8 +37,10 @@ def test_near_duplicates(spark, num):
     assert got == Counter((i, len(shingles(t)), of.get(i), i is None or of[i] == i) for i, t, *_ in rows)
 
 
-def test_no_link_is_lost_between_stars(spark):
+@pytest.mark.parametrize("block", [1024, 7])
+def test_no_link_is_lost_between_stars(spark, monkeypatch, block):
     """A chain of texts each close to the next alone, and many that share half their words."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(8)
     w = prose(rng, 150, 900).split()
     rows = []

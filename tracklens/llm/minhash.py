@@ -218,20 +218,25 @@ def _alike(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 
 
 def _cross(open_: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) that join components inside the buckets open_ (key, i, band, part), without those that they imply.
+    """Links (a, b) that join components inside the buckets open_ (key, i, band, part, main), without those that they imply.
 
-    A bucket is dealt out in blocks of BLOCK members, a pair of blocks to a
-    task. A pair is tried in the first band that it shares, and only if its
+    A large bucket is dealt out in blocks of BLOCK members, a pair of blocks
+    to a task. main is the component of the bucket's star; blocks of its members meet only
+    blocks of others, so a large group with a few others costs tasks in proportion to its size. A pair is tried in the first band that it shares, and only if its
     components differ, by size, registers and full sets.
     """
     ids = cut(open_.select(F.col("i").alias("id")).distinct())
     sets = _sets(ids, docs, id_col, text_col, k)
     about = reps.join(ids.select(F.col("id").alias("w")), F.col("id") == F.col("w"), "left_semi").select(F.col("id").alias("ri"), "n", "regs", "under")
     about = cut(about.join(sets, F.col("ri") == F.col("id")).drop("id"))
-    blocks = open_.groupBy(F.col("key").alias("bk")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    d = open_.join(blocks, F.col("key") == F.col("bk"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    d = d.withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    d = d.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "i", "part", "band")
+    other = F.col("part") != F.col("main")
+    blocks = open_.groupBy(F.col("key").alias("bk")).agg(F.count("*").alias("size"), F.ceil(F.count_if(other) / BLOCK).cast("int").alias("nr"), F.ceil(F.count_if(~other) / BLOCK).cast("int").alias("nm")).where(F.col("size") > BLOCK).drop("size")
+    d = open_.join(blocks, F.col("key") == F.col("bk"), "left").withColumns({"nr": F.coalesce("nr", F.lit(1)), "nm": F.coalesce("nm", F.lit(0))})
+    h = F.xxhash64("i")
+    own = F.when(other | (F.col("nm") == 0), F.pmod(h, F.col("nr"))).otherwise(F.col("nr") + F.pmod(h, F.nullif(F.col("nm"), F.lit(0))))
+    d = d.withColumn("own", own.cast("int"))
+    d = d.withColumn("with", F.explode(F.sequence(F.lit(0), F.when(F.col("own") < F.col("nr"), F.col("nr") + F.col("nm")).otherwise(F.col("nr")) - 1)))
+    d = d.select("key", F.least("own", "with").alias("bi"), F.greatest("own", "with").alias("bj"), "own", "i", "part", "band")
     d = d.join(about, F.col("i") == F.col("ri")).withColumn("regs", F.when(F.col("band") >= REGISTERS // BAND, F.col("under")).otherwise(F.col("regs")))
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
@@ -276,9 +281,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = cut(components(links))
 
     part = F.coalesce("component_id", "i").alias("part")
-    left = member.where("size > 2").select("key", F.col("id").alias("i"), "band").join(found, F.col("i") == F.col("id"), "left").select("key", "i", "band", part)
-    mixed = left.groupBy(F.col("key").alias("k")).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
-    open_ = cut(left.join(mixed, F.col("key") == F.col("k"), "left_semi"))
+    left = member.where("size > 2").select("key", F.col("id").alias("i"), "band", "pivot").join(found, F.col("i") == F.col("id"), "left").select("key", "i", "band", "pivot", part)
+    mixed = left.groupBy(F.col("key").alias("k")).agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.max(F.when(F.col("i") == F.col("pivot"), F.col("part"))).alias("main")).where("lo <> hi")
+    open_ = cut(left.join(mixed, F.col("key") == F.col("k")).select("key", "i", "band", "part", "main"))
     more = cut(_cross(open_, reps, docs, id_col, text_col, k, num, den))
     if not more.isEmpty():
         found = cut(components(links.union(more)))
