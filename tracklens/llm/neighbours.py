@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracklens.llm.packed import forest, runs
 from tracklens.llm.spark import components, cut
@@ -67,8 +68,11 @@ class Plan:
         return cell, unit @ sort
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
+def _units(column: pa.Array, dim: int, kind: type) -> np.ndarray:
+    """Vectors of length 1, in double precision, from the packed components as they came."""
+    x = np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim).astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def _compare(plan: Plan, table: int, a: tuple, b: tuple | None) -> tuple[np.ndarray, ...]:
@@ -104,22 +108,22 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     dim, n = shape.d, shape.c
     plan = Plan.calibrate(n, dim, cosine)
 
-    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = np.float32 if vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType()) else np.float64
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = b.column(1).flatten().to_numpy().reshape(-1, dim)
-                x = x / np.abs(x).max(1, keepdims=True)
-                x = x / np.sqrt((x * x).sum(1, keepdims=True))
+                x = b.column(1).flatten().to_numpy().reshape(-1, dim).astype(kind)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "unit"])
 
-    unit = cut(good.where(F.size("v") == dim).mapInArrow(units, "id long, unit binary").withColumn("class", F.sha2("unit", 256)))
+    unit = cut(good.where(F.size("v") == dim).mapInArrow(packed, "id long, unit binary").withColumn("class", F.sha2("unit", 256)))
     reps = unit.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
     reps = cut(reps)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                cell, _ = plan.project(_matrix(b.column(2), dim))
+                cell, _ = plan.project(_units(b.column(2), dim, kind))
                 for t in range(plan.tables):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), t, np.int32)), pa.array(cell[:, t]), *b.columns], names=["t", "cell", "rep", "copies", "unit"])
 
@@ -134,7 +138,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         table = pa.Table.from_batches(part)
         t, _, bi, bj = key
         own, rep, copies = (table.column(c).to_numpy() for c in ("own", "rep", "copies"))
-        x = _matrix(table.column("unit").combine_chunks(), dim)
+        x = _units(table.column("unit").combine_chunks(), dim, kind)
         cells, proj = plan.project(x)
         if bi == bj:
             first = second = np.arange(len(x))
