@@ -15,7 +15,11 @@ def inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-def discover(files: DataFrame, pattern: str = r"V\d+_T\d+_R\d+\.txt$", companion: str = ".spec") -> DataFrame:
+#: How run exports and their sidecars are named.
+RUN_NAME, SIDECAR = r"V\d+_T\d+_R\d+\.txt$", ".spec"
+
+
+def discover(files: DataFrame, pattern: str = RUN_NAME, companion: str = SIDECAR) -> DataFrame:
     """(path, stem, has_companion) of run files by name."""
     f = files.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("stem", F.regexp_replace("path", r"\.[^./]*$", ""))
     side = f.where(F.col("name").endswith(companion)).select("stem", F.lit(True).alias("_has")).distinct()
