@@ -23,17 +23,26 @@ from tracklens.llm.queries import PIECES, vocabulary_path
 from tracklens.llm.spark import read, scratch
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Documents can be long, so a session that runs stages moves at most 1,000 rows an Arrow batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, str(min(1000, int(spark.conf.get(key)))))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     judged = langid.predict(docs, langid.fit(docs))
     return judged.where("lang_pred <> 'und'").select(docs.columns)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     kept = minhash.near_duplicates(docs, num=80).where("kept").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     out = substrings.dedup(docs).where("n_words = 0 or n_removed < n_words")
     out = out.withColumn("text", F.coalesce("kept_text", "text"))
     return out.withColumn("n_chars", F.char_length("text").cast("bigint")).select(docs.columns)
@@ -44,6 +53,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return pieces.digests(docs, vocabulary_path(PIECES), keep=("lang", "source"))
 
 

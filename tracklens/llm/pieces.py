@@ -28,8 +28,8 @@ from tracklens.llm.spark import with_fields
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-TABLE_ENTRIES = 400_000
-TABLE_BYTES = 48 << 20
+TABLE_ENTRIES = 200_000
+TABLE_BYTES = 32 << 20
 
 
 class ChunkTable:
@@ -94,6 +94,12 @@ def table(model: str) -> ChunkTable:
     return ChunkTable(model)
 
 
+def _let_go(t: ChunkTable) -> None:
+    """Workers are used again by other stages: a task leaves no table behind."""
+    t.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def encode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     """All columns of docs and ``ids`` (array of int): the whole text's ids with begin and end."""
     docs = docs.drop("ids")
@@ -108,6 +114,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
             np.cumsum([len(x) for x in got], out=off[1:])
             ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(got) if got else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*names, "ids"])
+        _let_go(t)
 
     return docs.mapInArrow(run, with_fields(docs, "ids array<int>"))
 
@@ -142,5 +149,6 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 d.append(hashlib.sha256(back).hexdigest())
                 m.append(len(back))
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), pa.array(m, pa.int64())], names=[id_col, *keep, "n_tokens", "ids_sha256", "decoded_sha256", "n_decoded_bytes"])
+        _let_go(t)
 
     return docs.mapInArrow(run, with_fields(docs.drop(text_col), "n_tokens long, ids_sha256 string, decoded_sha256 string, n_decoded_bytes long"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 4 << 20
 BATCH_ROWS = 1000
 
 

@@ -40,7 +40,7 @@ from tracklens.llm.words import U64, Hasher, Words, mix, slices
 
 WINDOW = 13
 DEPTH, WIDTH = 2, 4
-LEAST_CELLS_A_MESSAGE = 64
+LEAST_CELLS_A_MESSAGE = 128
 _FIRST, _SECOND = Hasher(101, False), Hasher(202, False)
 
 
