@@ -26,7 +26,9 @@ from tracklens.llm.spark import read, scratch
 def short_batches(spark: SparkSession) -> None:
     """Documents can be long, so a session that runs stages moves at most 1,000 rows an Arrow batch."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark.conf.set(key, str(min(1000, int(spark.conf.get(key)))))
+    rows = int(spark.conf.get(key))
+    if rows <= 0 or rows > 1000:  # 0 or less: no limit
+        spark.conf.set(key, "1000")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
