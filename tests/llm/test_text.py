@@ -168,3 +168,12 @@ def test_probabilities_of_a_byte_sum_to_one(spark):
     docs = spark.createDataFrame([(i, x.decode()) for i, x in enumerate(words_)], "doc_id long, text string")
     got = contextmix.score_texts(docs).collect()
     assert sum(10**r.score for r in got) < 1
+
+
+def test_counters_stay_exact_beyond_single_precision():
+    """300 rare words share the start of a word that occurs 2**24 times."""
+    words_ = [b"aaaa", *[b"aaaa%03d" % i for i in range(300)]]
+    row = {"shard": 0, "h": np.arange(len(words_), dtype=np.uint64), "count": np.array([1 << 24] + [1] * 300), "size": np.array([len(x) for x in words_]), "raw": np.frombuffer(b"".join(words_), np.uint8)}
+    events = int((row["count"] * (row["size"] + 1)).sum()) * 8
+    assert [int(t.sum()) for t in contextmix._count_contexts([row])] == [events] * len(contextmix.ORDERS)
+    assert contextmix._local_table(row).max() >= (1 << 24) + 300
