@@ -177,3 +177,18 @@ def test_counters_stay_exact_beyond_single_precision():
     events = int((row["count"] * (row["size"] + 1)).sum()) * 8
     assert [int(t.sum()) for t in contextmix._count_contexts([row])] == [events] * len(contextmix.ORDERS)
     assert contextmix._local_table(row).max() >= (1 << 24) + 300
+
+
+def test_scores_depend_on_the_order_of_words(spark):
+    docs = spark.createDataFrame([(i, "red fish swims") for i in range(40)] + [(100, "swims red fish"), (101, "fish swims red"), (102, "red zebra")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in contextmix.score_texts(docs).collect()}
+    assert got[1] > got[100] + 1 and got[1] > got[101] + 1 and got[1] == pytest.approx(got[2])
+
+
+@given(st.lists(st.integers(0, 5), min_size=2, max_size=30), st.floats(0.05, 0.95))
+@settings(max_examples=100, deadline=None)
+def test_probabilities_after_a_word_sum_to_one(counts, discount):
+    both = np.array(counts)
+    n = len(both)
+    got = contextmix._after(both, np.full(n, both.sum()), np.full(n, (both > 0).sum()), np.full(n, -math.log10(n)), discount)
+    assert (10**got).sum() == pytest.approx(1)
