@@ -192,3 +192,18 @@ def test_probabilities_after_a_word_sum_to_one(counts, discount):
     n = len(both)
     got = contextmix._after(both, np.full(n, both.sum()), np.full(n, (both > 0).sum()), np.full(n, -math.log10(n)), discount)
     assert (10**got).sum() == pytest.approx(1)
+
+
+def test_probabilities_do_not_depend_on_shards(spark):
+    """One-byte words over several shards, which no text tells apart, have a total probability below 1 too."""
+    short = [chr(b) for b in range(33, 127)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(short * 20)] + [(-1, "x" * 250_000)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in contextmix.score_texts(docs).collect()}
+    assert sum(10 ** got[i] for i in range(len(short)) if short[i].lower() == short[i]) < 1
+
+
+def test_own_table_has_no_cap():
+    """A shard with over 8 MB of distinct words gets a slot for every bit that it learns."""
+    n, size = 600_000, 20
+    row = {"size": np.full(n, size), "count": np.ones(n, np.int64)}
+    assert 1 << contextmix._local_bits(row) > n * (size + 1 - 4) * 8 > 1 << 26
