@@ -130,6 +130,15 @@ def test_languages_without_labels(spark):
     assert langid.predict(docs.limit(0), langid.fit(docs.limit(0))).count() == 0
 
 
+def test_rows_without_letters_take_no_place_in_the_sample(spark):
+    rows = [(i, f"{i} !!", "de") for i in range(400)] + [(500, "der und", "de"), (501, "the and", "en")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=16)
+    assert model.langs == ["de", "en"]
+    odd = ["12 !!", "", "_", "é", "中", "Ⅷ", "²", "٣", "\n\x00a", "😀"]
+    got = spark.createDataFrame([(x,) for x in odd], "t string").select("t", F.col("t").rlike(langid.SQL_LETTER)).collect()
+    assert [b for _, b in got] == [bool(langid.LETTER.search(t)) for t, _ in got]
+
+
 def test_features_do_not_depend_on_pieces(monkeypatch):
     text = "Größe und Maß " * 50
     whole = langid.features(text)

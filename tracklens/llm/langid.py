@@ -34,6 +34,7 @@ DIM = 1 << 12
 SAMPLE_ROWS = 1600  # bound of the labelled sample that the SVMs are fitted on
 MIN_SAMPLE = 8
 LETTER = re.compile(r"[^\W\d_]")
+SQL_LETTER = r"[\p{L}\p{Nl}\p{No}]"  # the same for Spark
 _FOLD = np.full(256, 32, np.uint32)
 _FOLD[97:123], _FOLD[65:91], _FOLD[128:] = np.arange(97, 123), np.arange(97, 123), np.arange(128, 256)
 _PIECE = 1 << 20
@@ -142,7 +143,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     Chosen are the rows whose text has the smallest hashes, so that the
     sample depends on the set of rows alone; exact copies count once.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(SQL_LETTER)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     langs = rows.agg(F.countDistinct("lang")).first()[0]
     if not langs:
         return Model.fit(np.zeros((0, DIM)), [])
