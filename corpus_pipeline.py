@@ -1,6 +1,7 @@
 """From raw documents to tokens: five stages, each written as Parquet and read again.
 
-1. language_id: documents whose language cannot be told (no letters) go.
+1. language_id: documents whose language cannot be told (no letters) go; where
+   no row has a language to learn, those without letters go.
 2. minhash_dedup: of each group of near-duplicates (five-word shingles,
    similarity 0.8 or more) the document with the smallest id stays.
 3. substring_dedup: words covered by 13-word passages of earlier documents are
@@ -33,7 +34,10 @@ def short_batches(spark: SparkSession) -> None:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     short_batches(spark)
-    judged = langid.predict(docs, langid.fit(docs))
+    model = langid.fit(docs)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(langid.SQL_LETTER))
+    judged = langid.predict(docs, model)
     return judged.where("lang_pred <> 'und'").select(docs.columns)
 
 

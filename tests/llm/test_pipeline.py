@@ -66,6 +66,11 @@ def test_empty_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_documents_without_any_language_are_kept(spark):
+    docs = spark.createDataFrame([(1, "the ship", None), (2, "12 !!", None), (3, None, None), (4, "", None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()] == [1]
+
+
 def test_registered():
     import __spark_entry__
 
