@@ -10,7 +10,8 @@
 5. sentencepiece: ids of every text, and their decoding, as counts and digests.
 
 Documents with a null id are kept by stages 2 to 4 unless they are contaminated
-themselves; null texts are rejected by stage 1. All stages but the last return
+themselves; null texts are rejected by stage 1. Rows that repeat a doc_id count as one
+document in stages 2 and 3, so full copies of a row under its id survive. All stages but the last return
 the columns of documents; n_chars follows the text.
 """
 
