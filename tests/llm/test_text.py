@@ -27,9 +27,10 @@ TEXT = st.text(st.sampled_from(list("ab  \n\t▁éñ中😀<s>/\x00ﬁ　​Z.")
 @given(TEXT)
 @settings(max_examples=400, deadline=None)
 def test_ids_are_those_of_the_library(text):
-    got = pieces.table(MODEL).encode(text)
-    assert got.tolist() == SP.encode(text, add_bos=True, add_eos=True)
-    assert pieces.table(MODEL).decode(got) == SP.decode(got.tolist())
+    got, back = pieces.table(MODEL).both(text)
+    ids = np.frombuffer(got, "<u4").tolist()
+    assert ids == SP.encode(text, add_bos=True, add_eos=True)
+    assert back.decode() == SP.decode(ids)
 
 
 def test_table_is_emptied_without_effect(monkeypatch):
@@ -37,6 +38,11 @@ def test_table_is_emptied_without_effect(monkeypatch):
     t = pieces.ChunkTable(MODEL)
     for text in ("a b c d e f", "", "a b", "x" * 5000, " " * 9 + "q"):
         assert t.encode(text).tolist() == SP.encode(text, add_bos=True, add_eos=True)
+    want = t.both("a b c d")
+    t.both("z")
+    assert len(t.ids) == 1
+    t.sp = None  # words of the old generation aren't segmented again
+    assert t.both("a b c d") == want
 
 
 def test_encode_decode_frames(spark):

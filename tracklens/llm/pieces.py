@@ -2,10 +2,14 @@
 
 Where no piece of the model holds a whitespace marker after another character,
 no piece crosses into a marked word, so the ids of a text are those of its
-marked words, one after the other. Each task keeps a table of the marked words
-it has met, segments every new one once and joins the ids back by position.
-The table is emptied when it grows past TABLE_ENTRIES or TABLE_BYTES, which
-bounds memory and changes no result. There is no shuffle.
+marked words, one after the other, and its decoding is theirs, without the
+space that the model puts before a text. Each worker keeps a table of the
+marked words it has met, segments and decodes every new one once and joins ids
+and decoded bytes back by position. There is no shuffle.
+
+The table has two generations. When the young one holds TABLE_ENTRIES words or
+TABLE_BYTES bytes it becomes the old one; words met again move over as they are. That bounds
+memory, keeps what recurs and changes no result.
 
 Null texts count as empty, so they give the begin and end ids alone. Repeated
 rows and null ids are kept, row by row. A column of the input that has the name
@@ -28,62 +32,64 @@ from tracklens.llm.spark import with_fields
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-TABLE_ENTRIES = 200_000
-TABLE_BYTES = 32 << 20
+TABLE_ENTRIES = 150_000
+TABLE_BYTES = 48 << 20
 
 
 class ChunkTable:
-    """Ids of marked words: one growing id buffer, and start and length by word number."""
+    """Ids (as little-endian 32-bit integers) and decoded bytes of marked words."""
 
     def __init__(self, model: str):
-        self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
+        self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces):
             raise ValueError("pieces of this model cross whitespace markers")
-        self.lone = self.sp.piece_to_id(MARK)
+        self.lone = sp.piece_to_id(MARK)
+        self.begin, self.end = (np.array([x], "<u4").tobytes() for x in (sp.bos_id(), sp.eos_id()))
+        # a word that starts with a marker is decoded after another one, since the marker that begins a text is no space
+        self.before = [self.lone] + next([i] for i, p in enumerate(pieces) if re.fullmatch("[a-z]", p))
+        self.skip = len(sp.decode(self.before))
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids, self.start, self.size, self.held = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
-        self.used = 0
+        self.ids: dict[str, bytes] = {}
+        self.text: dict[str, bytes] = {}
+        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.held = 0
 
     def add(self, words: list[str]) -> None:
-        """Segments new words, each once; a lone marker stands at the end of a text only."""
-        got = self.sp.encode([w[1:] for w in words])
-        for w, ids in zip(words, got, strict=True):
-            if w == MARK:
-                ids = [self.lone]
-            n, k = len(self.number), len(ids)
-            while self.used + k > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            if n == len(self.start):
-                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-            self.ids[self.used : self.used + k] = ids
-            self.start[n], self.size[n] = self.used, k
-            self.number[w] = n
-            self.used += k
-            self.held += 4 * k + len(w) * 2 + 100
-
-    def encode(self, text: str | None) -> np.ndarray:
-        """All ids of a whole text, with begin and end."""
-        sp = self.sp
+        """Enters words that the young table lacks; those that the old one lacks are segmented, each once."""
+        if len(self.ids) >= TABLE_ENTRIES or self.held >= TABLE_BYTES:
+            self.old, self.ids, self.text, self.held = (self.ids, self.text), {}, {}, 0
+        ids, text = self.old
+        new = [w for w in words if w not in ids]
+        # with several threads, which is the default, every call would start one for each core
+        got = self.sp.encode([w[1:] for w in new], num_threads=1) if new else []
+        got = [[self.lone] if w == MARK else x for w, x in zip(new, got, strict=True)]  # a lone marker stands at the end of a text only
+        back = self.sp.decode([self.before + x for x in got], num_threads=1) if new else []
+        for w, x, t in zip(new, got, back, strict=True):
+            self.ids[w] = np.array(x, "<u4").tobytes()
+            self.text[w] = t[self.skip :].encode("utf-8", "replace")
+        for w in words:
+            if w not in self.ids:
+                self.ids[w], self.text[w] = ids[w], text[w]
+            self.held += len(self.ids[w]) + len(self.text[w]) + 4 * len(w)
+
+    def both(self, text: str | None) -> tuple[bytes, bytes]:
+        """All ids of a whole text, with begin and end, and what they decode to."""
         if not text:
-            return np.array([sp.bos_id(), sp.eos_id()], np.uint32)
-        if len(self.number) > TABLE_ENTRIES or self.held > TABLE_BYTES:
-            self.clear()
+            return self.begin + self.end, b""
         words = CHUNK.findall(MARK + text.replace(" ", MARK))
-        number = self.number
-        new = [w for w in dict.fromkeys(words) if w not in number]
+        new = [w for w in dict.fromkeys(words) if w not in self.ids]
         if new:
+            kept = len(self.ids)
             self.add(new)
-        at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        size = self.size[at]
-        end = np.cumsum(size)
-        out = np.empty(int(end[-1]) + 2, np.uint32)
-        out[0], out[-1] = sp.bos_id(), sp.eos_id()
-        out[1:-1] = self.ids[np.repeat(self.start[at] - (end - size), size) + np.arange(end[-1])]
-        return out
+            if len(self.ids) < kept + len(new):  # a new generation has begun
+                self.add([w for w in dict.fromkeys(words) if w not in self.ids])
+        return b"".join([self.begin, *map(self.ids.__getitem__, words), self.end]), b"".join(map(self.text.__getitem__, words))[1:]
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(self.both(text)[0], "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         return self.sp.decode(ids.tolist())
@@ -94,12 +100,6 @@ def table(model: str) -> ChunkTable:
     return ChunkTable(model)
 
 
-def _let_go(t: ChunkTable) -> None:
-    """Workers are used again by other stages: a task leaves no table behind."""
-    t.clear()
-    pa.default_memory_pool().release_unused()
-
-
 def encode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     """All columns of docs and ``ids`` (array of int): the whole text's ids with begin and end."""
     docs = docs.drop("ids")
@@ -114,7 +114,6 @@ def encode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
             np.cumsum([len(x) for x in got], out=off[1:])
             ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(got) if got else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*names, "ids"])
-        _let_go(t)
 
     return docs.mapInArrow(run, with_fields(docs, "ids array<int>"))
 
@@ -142,13 +141,11 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         for b in batches:
             n, a, d, m = [], [], [], []
             for x in b.column(1):
-                ids = t.encode(x.as_py())
-                back = t.decode(ids).encode("utf-8", "replace")
-                n.append(len(ids))
-                a.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                ids, back = t.both(x.as_py())
+                n.append(len(ids) // 4)
+                a.append(hashlib.sha256(ids).hexdigest())
                 d.append(hashlib.sha256(back).hexdigest())
                 m.append(len(back))
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), pa.array(m, pa.int64())], names=[id_col, *keep, "n_tokens", "ids_sha256", "decoded_sha256", "n_decoded_bytes"])
-        _let_go(t)
 
     return docs.mapInArrow(run, with_fields(docs.drop(text_col), "n_tokens long, ids_sha256 string, decoded_sha256 string, n_decoded_bytes long"))
