@@ -46,9 +46,11 @@ class ChunkTable:
             raise ValueError("pieces of this model cross whitespace markers")
         self.lone = sp.piece_to_id(MARK)
         self.begin, self.end = (np.array([x], "<u4").tobytes() for x in (sp.bos_id(), sp.eos_id()))
-        # a word that starts with a marker is decoded after another one, since the marker that begins a text is no space
-        self.before = [self.lone] + next([i] for i, p in enumerate(pieces) if re.fullmatch("[a-z]", p))
-        self.skip = len(sp.decode(self.before))
+        raw = [bytes([int(p[3:-1], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        raw[sp.unk_id()] = sp.decode([self.lone, sp.unk_id()]).encode()
+        self.leads = np.array([p.startswith(MARK) for p in pieces])
+        self.size = np.array([len(x) for x in raw])
+        self.at, self.raw = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(raw), np.uint8)
         self.clear()
 
     def clear(self) -> None:
@@ -63,18 +65,29 @@ class ChunkTable:
             self.old, self.ids, self.text, self.held = (self.ids, self.text), {}, {}, 0
         ids, text = self.old
         new = [w for w in words if w not in ids]
-        # with several threads, which is the default, every call would start one for each core
-        got = self.sp.encode([w[1:] for w in new], num_threads=1) if new else []
-        got = [[self.lone] if w == MARK else x for w, x in zip(new, got, strict=True)]  # a lone marker stands at the end of a text only
-        back = self.sp.decode([self.before + x for x in got], num_threads=1) if new else []
-        for w, x, t in zip(new, got, back, strict=True):
-            self.ids[w] = np.array(x, "<u4").tobytes()
-            self.text[w] = t[self.skip :].encode("utf-8", "replace")
+        plain = [w for w in new if w[1:2] != MARK and len(w) > 1]
+        if plain:  # one text of all words with a single marker; its pieces with a marker begin the words
+            self._enter(plain, self.sp.encode(" ".join([w[1:] for w in plain])))
+        for w in new if len(plain) < len(new) else ():
+            if w not in self.ids:
+                self._enter([w], [self.lone] if w == MARK else self.sp.encode(w[1:]))  # a lone marker stands at the end of a text only
         for w in words:
             if w not in self.ids:
                 self.ids[w], self.text[w] = ids[w], text[w]
             self.held += len(self.ids[w]) + len(self.text[w]) + 4 * len(w)
 
+    def _enter(self, words: list[str], ids: list[int]) -> None:
+        x = np.array(ids, "<u4")
+        first = np.flatnonzero(self.leads[x]) if len(words) > 1 else np.zeros(1, np.int64)
+        if len(first) != len(words):
+            raise ValueError("pieces don't follow the words")
+        size = self.size[x]
+        end = np.cumsum(size)
+        text = self.raw[np.repeat(self.at[x] - (end - size), size) + np.arange(end[-1])].tobytes()
+        raw, cuts, ends = x.tobytes(), [*(4 * first).tolist(), 4 * len(x)], [*(end - size)[first].tolist(), int(end[-1])]
+        for w, i, j, k, m in zip(words, cuts, cuts[1:], ends, ends[1:], strict=False):
+            self.ids[w], self.text[w] = raw[i:j], text[k:m]
+
     def both(self, text: str | None) -> tuple[bytes, bytes]:
         """All ids of a whole text, with begin and end, and what they decode to."""
         if not text:
