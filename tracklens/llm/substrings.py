@@ -10,13 +10,15 @@ windows, DEPTH rows of about WIDTH cells for each window of the whole input; a
 count of 2 stands for more than one document. Sketches are merged by ranges of cells, and each group
 learns which of its cells count 2 or more. Counts are never underestimated,
 so a window whose cells don't all count 2 is in one document only. Pass 2
-groups exactly, by 96 bits of two independent hashes, only the windows that
+groups exactly, by the 64-bit hash and a 64-bit BLAKE2b digest of the words, only the windows that
 are estimated repeated: a group sends each once, with the smallest id in it,
 and gets back whether another group has a smaller one. Pass 3 removes words.
 A window that a third of all documents share is thus one entry a group.
 
 All messages are packed arrays, so the exchanged bytes are about 3 a window;
-the text itself is shuffled once and its exchange is reused by all passes.
+the text itself is shuffled once and its exchange is reused by all passes. There are as many
+ranges as groups, so a range holds about as many cells as a group has windows at any input; messages get
+shorter instead, and are at most as many as there are cells.
 
 Null texts have no words. Documents with a null id neither lose words nor
 make others lose any. Rows that repeat an id count as one document. Texts of any length are
@@ -40,8 +42,7 @@ from tracklens.llm.words import U64, Hasher, Words, mix, slices
 
 WINDOW = 13
 DEPTH, WIDTH = 2, 4
-LEAST_CELLS_A_MESSAGE = 128
-_FIRST, _SECOND = Hasher(101, False), Hasher(202, False)
+_HASH = Hasher(101, False)
 
 
 class Scan:
@@ -52,21 +53,26 @@ class Scan:
         ids = t.column("id")
         self.valid = ids.is_valid().to_numpy(zero_copy_only=False)
         self.ids = ids.fill_null(0).to_numpy().astype(np.int64)
-        first, second, start, doc = [], [], [], []
-        words = 0
+        h, start, doc, words = [], [], [], 0
         for s in self.slices:
-            h, at = s.windows(s.hashes(_FIRST), k, _FIRST)
-            h2, _ = s.windows(s.hashes(_SECOND), k, _SECOND)
+            own, at = s.windows(s.hashes(_HASH), k, _HASH)
             d = s.doc[at] + s.at
             keep = self.valid[d]
-            first.append(h[keep])
-            second.append(h2[keep] >> U64(32))
+            h.append(own[keep])
             start.append(at[keep] + words)
             doc.append(d[keep])
             words += len(s.start)
-        self.words = words
+        self.words, self.k = words, k
         empty = np.zeros(0, np.int64)
-        self.h, self.h2, self.start, self.doc = (np.concatenate(x) if x else empty.astype(t_) for x, t_ in ((first, U64), (second, U64), (start, np.int64), (doc, np.int64)))
+        self.h, self.start, self.doc = (np.concatenate(x) if x else empty.astype(t_) for x, t_ in ((h, U64), (start, np.int64), (doc, np.int64)))
+
+    def digests(self, w: np.ndarray) -> np.ndarray:
+        """BLAKE2b of the words of windows, one space between."""
+        raw = b" ".join([s.joined() for s in self.slices if len(s.start)])
+        size = np.concatenate([s.end - s.start for s in self.slices] or [np.zeros(0, np.int64)]) + 1
+        end = np.concatenate([[0], np.cumsum(size)])
+        spans = zip(end[self.start[w]].tolist(), (end[self.start[w] + self.k] - 1).tolist(), strict=True)
+        return np.frombuffer(b"".join([hashlib.blake2b(raw[i:j], digest_size=8).digest() for i, j in spans]), U64)
 
 
 def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -137,8 +143,8 @@ def _repeated(scan: Scan, replies: list[tuple], bits: int) -> np.ndarray:
 
 
 def _candidates(scan: Scan, w: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(windows in order of both hashes, hash, second hash, run of each, smallest id of each run)."""
-    h, h2 = scan.h[w], scan.h2[w]
+    """(windows in order of hash and digest, hash, digest, run of each, smallest id of each run)."""
+    h, h2 = scan.h[w], scan.digests(w)
     if ((h[1:] == h[:-1]) & (h2[1:] != h2[:-1])).any():
         o = np.lexsort((h2, h))
         w, h, h2 = w[o], h[o], h2[o]
@@ -157,7 +163,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     groups, n, total = grouped(docs, id_col, text_col, rest=others, **limits)
     windows = max(1, total // 5)
     bits = min(56, max(16, (WIDTH * windows).bit_length()))
-    shards = max(1, min(n, windows // n // LEAST_CELLS_A_MESSAGE))
+    shards = n
 
     def ask(key: tuple, t: pa.Table) -> pa.Table:
         rows, scan = [], Scan(t, k)

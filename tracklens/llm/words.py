@@ -127,6 +127,15 @@ class Words:
     def text(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
+    def joined(self) -> bytes:
+        """All words, one space between."""
+        size = self.end - self.start
+        to = np.cumsum(size + 1) - size - 1
+        out = np.full(int(size.sum()) + len(size), 32, np.uint8)
+        at = np.repeat(self.start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        out[np.repeat(to - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] = self.data[at]
+        return out[:-1].tobytes()
+
     def document(self, d: int) -> bytes:
         return self.data[self.off[d] : self.off[d + 1]].tobytes()
 
