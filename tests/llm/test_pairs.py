@@ -54,6 +54,40 @@ def test_no_link_is_lost_between_stars(spark, monkeypatch, block):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == of
 
 
+def thue_morse(n):
+    """A word of 2**n letters and its complement: their hashes are equal under every polynomial modulo 2**64 once n is 11."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [11, 13])
+def test_structured_words_do_not_collide(spark, n):
+    x, y = thue_morse(n)
+    rest = " ".join(f"c{i}" for i in range(12))
+    rows = [(1, f"{x} {rest}"), (2, f"{y} {rest}"), (3, x), (4, y), (5, " ".join(x)), (6, " ".join(y)), (7, f"{x} {rest}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert got == near_reference(rows, 85, 100)
+    removed = {r.doc_id: r.n_removed for r in substrings.dedup(docs, digest=True).collect()}
+    assert removed == {i: brute_removed(rows, i) for i, _ in rows}
+    assert removed[2] == 0 and removed[7] == 13
+
+
+def brute_removed(rows, i, k=13):
+    earlier = {tuple(w[p : p + k]) for j, t in rows if j < i for w in [words(t, fold=False)] for p in range(len(w) - k + 1)}
+    w = words(dict(rows)[i], fold=False)
+    return len({p + q for p in range(len(w) - k + 1) if tuple(w[p : p + k]) in earlier for q in range(k)})
+
+
+def test_a_large_star_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "STAR", 4)
+    rng = random.Random(9)
+    base = prose(rng, 120, 900).split()
+    rows = [(i, " ".join(base[:i] + ["x"] + base[i + 1 :])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == near_reference(rows, 85, 100)
+
+
 def test_near_duplicates_of_nothing(spark):
     docs = spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")
     assert sorted(tuple(r) for r in minhash.near_duplicates(docs).collect()) == [(1, 0, 1, True), (2, 0, 2, True)]

@@ -4,8 +4,9 @@ A text's set is that of its distinct ``k``-word shingles (A-Z lower-cased); a
 text with fewer words has one, its whole word sequence. Two documents link when
 the Jaccard similarity of their sets is at least num/den, by exact integers.
 
-1. Sketch: texts with equal sets form a class, known by two 64-bit sums over
-   the set; only class representatives (smallest ids) go on. Sets are sketched by
+1. Sketch: texts with equal word sequences form a class, known by a SHA-256
+   digest of the words (where the set is so small that only an equal one can link, of the set's
+   shingles in order); only class representatives (smallest ids) go on. Sets are sketched by
    REGISTERS registers of 16 bits, leading-zero count and MANTISSA mantissa bits of
    the smallest hash of a bucket. The number of buckets follows the set's size
    (2 to 4 shingles a bucket; several hash functions fill the registers of
@@ -16,12 +17,14 @@ the Jaccard similarity of their sets is at least num/den, by exact integers.
    smallest id, so a large group is one star a band and never all pairs.
 3. Pairs are tried by size, then by the similarity that their registers
    estimate, corrected for chance collisions of registers (six standard
-   deviations below the threshold still pass), and then verified on full sets.
+   deviations below the threshold still pass), and then verified on the full sets of
+   shingles, as words. The members of a large star are dealt out in blocks of STAR, each with a
+   copy of the pivot's text, so no task gathers a star.
 4. Links become components. Buckets whose members are still in different
    components are dealt out in blocks; members of different components are
    tried against each other inside a task, in the first band that they
    share, so no link between components is lost to the choice of stars, and
-   only links that join components are emitted.
+   only links that join components are emitted; they are verified as words too.
 
 Texts that are null or have no words are linked with nothing. So are rows with
 a null id; their component is null and they are kept. Rows that repeat an id
@@ -30,6 +33,7 @@ are each judged, under that id. Extra columns are not looked at.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklens.llm.spark import components, cut
-from tracklens.llm.words import U64, Hasher, mix, slices
+from tracklens.llm.words import U64, Hasher, Words, mix, slices
 
 SHINGLE = 5
 REGISTERS, BAND, MANTISSA = 252, 6, 10
@@ -47,11 +51,12 @@ _LOWER = Hasher(303, True)
 _MAX_P = 7
 BLOCK = 1024
 BROADCAST_IDS = 1_000_000
-PAIR_ROWS = 250  # of an Arrow batch with two whole sets in each row
+PAIR_ROWS = 250  # of an Arrow batch with two whole texts in each row
+STAR = 256
 
 
-def shingles(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For some documents at a time: (hashes, their documents; distinct and in order of both, sizes by document)."""
+def shingles(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Words]]:
+    """For some documents at a time: (hashes, their documents; distinct and in order of both, sizes by document, words)."""
     for s in slices(column):
         h, at = s.windows(s.hashes(_LOWER), k, _LOWER, short=True)
         d = s.doc[at]
@@ -59,7 +64,22 @@ def shingles(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray,
         h, d = h[o], d[o]
         keep = np.ones(len(h), bool)
         keep[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-        yield h[keep], d[keep], np.bincount(d[keep], minlength=len(s.first) - 1)
+        yield h[keep], d[keep], np.bincount(d[keep], minlength=len(s.first) - 1), s
+
+
+def _sequences(s: Words) -> list[bytes]:
+    """The words of each document, A-Z lower-cased, one space between."""
+    raw = s.joined().lower() if len(s.start) else b""
+    ends = np.concatenate([[0], np.cumsum(s.end - s.start + 1)])
+    return [raw[i : max(i, j - 1)] for i, j in zip(ends[s.first[:-1]].tolist(), ends[s.first[1:]].tolist(), strict=True)]
+
+
+def shingle_set(words: bytes, k: int) -> set[bytes]:
+    """The distinct shingles of a word sequence."""
+    w = words.split(b" ") if words else []
+    if len(w) < k:
+        return {words} if w else set()
+    return {b" ".join(w[i : i + k]) for i in range(len(w) - k + 1)}
 
 
 def _level(n: np.ndarray) -> np.ndarray:
@@ -89,18 +109,15 @@ def least_size(num: int, den: int) -> int:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """(id, n, s1, s2, regs, under): set size, sums that identify the set, registers of its size class and, near its lower edge, of the class below."""
+    """(id, n, words, regs, under): set size, digest of the word sequence, registers of its size class and, near its lower edge, of the class below."""
     least = least_size(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, one, two, regs, under = [], [], [], [], []
-            for h, d, n in shingles(b.column(1), k):
-                first = np.concatenate([[0], np.cumsum(n)])
-                for out, salt in ((one, 0x5851F42D4C957F2D), (two, 0x14057B7EF767814F)):
-                    total = np.concatenate([[U64(0)], np.cumsum(mix(h ^ U64(salt)), dtype=U64)])
-                    out.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
+            sizes, seq, regs, under = [], [], [], []
+            for h, d, n, s in shingles(b.column(1), k):
                 sizes.append(n)
+                seq += [hashlib.sha256(b"\n".join(sorted(shingle_set(x, k))) if m < least else x).digest() for x, m in zip(_sequences(s), n, strict=True)]
                 level = _level(n)
                 own: list[bytes | None] = [None] * len(n)
                 below: list[bytes | None] = [None] * len(n)
@@ -116,10 +133,10 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: i
                 regs += own
                 under += below
             cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cat(sizes), pa.int64()), pa.array(cat(one), pa.int64()), pa.array(cat(two), pa.int64()), pa.array(regs, pa.binary()), pa.array(under, pa.binary())], names=["id", "n", "s1", "s2", "regs", "under"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cat(sizes), pa.int64()), pa.array(seq, pa.binary()), pa.array(regs, pa.binary()), pa.array(under, pa.binary())], names=["id", "n", "words", "regs", "under"])
 
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string"))
-    return d.mapInArrow(run, "id long, n long, s1 long, s2 long, regs binary, under binary")
+    return d.mapInArrow(run, "id long, n long, words binary, regs binary, under binary")
 
 
 def bands(reps: DataFrame) -> DataFrame:
@@ -177,35 +194,59 @@ def _plausible(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFra
     return j.mapInArrow(run, "a long, b long")
 
 
-def _sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, s): the full shingle sets of the documents whose ids are in ids (id)."""
+def _wanted(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the documents whose ids are in ids (id)."""
     few = ids.count() <= BROADCAST_IDS
     wanted = ids.select(F.col("id").alias("w"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(F.broadcast(wanted) if few else wanted, F.col("id") == F.col("w"), "left_semi")
+    return texts.join(F.broadcast(wanted) if few else wanted, F.col("id") == F.col("w"), "left_semi")
+
+
+def _sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(id, s): the hashed shingle sets of the documents whose ids are in ids (id)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[bytes] = []
-            for h, _, n in shingles(b.column(1), k):
+            for h, _, n, _ in shingles(b.column(1), k):
                 out += [x.tobytes() for x in np.split(h, np.cumsum(n)[:-1])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "s"])
 
-    return texts.mapInArrow(sets, "id long, s binary")
+    return _wanted(ids, docs, id_col, text_col).mapInArrow(sets, "id long, s binary")
+
+
+def _sequence_frame(texts: DataFrame) -> DataFrame:
+    """(id, words) of (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for s in slices(b.column(1)) for x in _sequences(s)], pa.binary())], names=["id", "words"])
+
+    return texts.mapInArrow(run, "id long, words binary")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """Pairs whose full shingle sets have den * intersection >= num * union."""
+    """Pairs whose full sets of shingles, as words, have den * intersection >= num * union."""
     pairs = cut(pairs)
-    s = _sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), docs, id_col, text_col, k)
-    j = pairs.join(s.select(F.col("id").alias("ia"), F.col("s").alias("sa")), F.col("a") == F.col("ia")).join(s.select(F.col("id").alias("ib"), F.col("s").alias("sb")), F.col("b") == F.col("ib")).select("a", "b", "sa", "sb")
+    texts = _sequence_frame(_wanted(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), docs, id_col, text_col))
+    stars = pairs.groupBy(F.col("a").alias("hot")).agg(F.ceil(F.count("*") / STAR).cast("int").alias("blocks")).where("blocks > 1")
+    stars = F.broadcast(stars) if stars.count() <= BROADCAST_IDS else stars
+    dealt = pairs.join(stars, F.col("a") == F.col("hot"), "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"))
+    first = dealt.select("a", "block").distinct().join(texts, F.col("a") == F.col("id")).select(F.col("a").alias("pa"), F.col("block").alias("pb"), F.col("words").alias("wa"))
+    second = dealt.join(texts, F.col("b") == F.col("id")).select("a", "block", "b", F.col("words").alias("wb"))
+    j = second.join(first, (F.col("a") == F.col("pa")) & (F.col("block") == F.col("pb"))).select("a", "b", "wa", "wb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, set()
         for t in batches:
             keep = []
-            for x, y in zip(t.column(2), t.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                keep.append(_alike(x, y, num, den))
+            for w, v in zip(t.column(2), t.column(3), strict=True):
+                w = w.as_py()
+                if w != last:
+                    last, x = w, shingle_set(w, k)
+                y = shingle_set(v.as_py(), k)
+                both = len(x & y)
+                keep.append(both > 0 and den * both >= num * (len(x) + len(y) - both))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([t.column(0).filter(keep), t.column(1).filter(keep)], names=["a", "b"])
 
@@ -270,8 +311,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_shingles, component_id, kept) of every document."""
     every = cut(sketch(docs, id_col, text_col, k, num, den))
     some = every.where("n > 0 and id is not null")
-    classes = some.groupBy(F.col("s1").alias("c1"), F.col("s2").alias("c2")).agg(F.min("id").alias("rep"))
-    reps = some.where("regs is not null").join(classes, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("id") == F.col("rep")), "left_semi").dropDuplicates(["id", "s1", "s2"])
+    classes = some.groupBy(F.col("words").alias("class")).agg(F.min("id").alias("rep"))
+    reps = some.where("regs is not null").join(classes, (F.col("words") == F.col("class")) & (F.col("id") == F.col("rep")), "left_semi").dropDuplicates(["id", "words"])
     reps = cut(reps)
     keyed = bands(reps)
     buckets = keyed.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1")
@@ -284,11 +325,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = member.where("size > 2").select("key", F.col("id").alias("i"), "band", "pivot").join(found, F.col("i") == F.col("id"), "left").select("key", "i", "band", "pivot", part)
     mixed = left.groupBy(F.col("key").alias("k")).agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.max(F.when(F.col("i") == F.col("pivot"), F.col("part"))).alias("main")).where("lo <> hi")
     open_ = cut(left.join(mixed, F.col("key") == F.col("k")).select("key", "i", "band", "part", "main"))
-    more = cut(_cross(open_, reps, docs, id_col, text_col, k, num, den))
+    more = cut(verify(_cross(open_, reps, docs, id_col, text_col, k, num, den), docs, id_col, text_col, k, num, den), PAIR_ROWS)
     if not more.isEmpty():
         found = cut(components(links.union(more)))
 
-    names = classes.join(found, F.col("rep") == F.col("id"), "left").select("c1", "c2", F.coalesce("component_id", "rep").alias("component_id"))
-    out = every.select("id", "n", "s1", "s2").join(names, (F.col("n") > 0) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
+    names = classes.join(found, F.col("rep") == F.col("id"), "left").select("class", F.coalesce("component_id", "rep").alias("component_id"))
+    out = every.select("id", "n", "words").join(names, (F.col("n") > 0) & (F.col("words") == F.col("class")), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
