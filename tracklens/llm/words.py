@@ -54,7 +54,7 @@ class Hasher:
         self.seed, self.lower = int(_splitmix(1, seed)[0]), lower
 
 
-def _hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
     """A hash of data[start:end] for each pair, the length included."""
     size = end - start
     padded = np.zeros(len(data) + 8, np.uint8)
@@ -97,7 +97,7 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
     def hashes(self, h: Hasher) -> np.ndarray:
-        return _hash_ranges(_FOLD[self.data] if h.lower else self.data, self.start, self.end, h.seed)
+        return hash_ranges(_FOLD[self.data] if h.lower else self.data, self.start, self.end, h.seed)
 
     def windows(self, hashes: np.ndarray, k: int, h: Hasher, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(hash, first word) of all k-word windows within documents, by position.
