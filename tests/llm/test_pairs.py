@@ -337,3 +337,18 @@ def test_forest():
     for x, r in packed.forest(50, a, b):
         parent[find(parent, x)] = find(parent, r)
     assert all((of[i] == of[j]) == (find(parent, i) == find(parent, j)) for i in range(50) for j in range(50))
+
+
+def test_very_long_hosts_and_paths(spark, monkeypatch):
+    """A host of a megabyte costs what the rules can reach; the shuffled join gives the same."""
+    rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("x.y.z", "", "block")], "host string, path string, verdict string")
+    long = "a." * (1 << 19)
+    rows = [(1, f"http://{long}net/{'p/' * 300000}"), (2, f"http://{long}example.net/en/q"), (3, "http://net/"), (4, "http://y.z/"), (5, "http://w.x.y.z"), (6, "http://.net/"), (7, None), (8, "http://xnet/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    want = {1: ("net/", "block"), 2: ("example.net/en/", "allow"), 3: ("net/", "block"), 4: (None, "allow"), 5: ("x.y.z", "block"), 6: ("net/", "block"), 7: (None, "allow"), 8: (None, "allow")}
+    for few in (500_000, 0):
+        monkeypatch.setattr(urls, "BROADCAST_PAIRS", few)
+        got = urls.judge(pages, rules).select("page_id", "rule", "verdict", F.length("host").alias("n")).collect()
+        assert {r.page_id: (r.rule, r.verdict) for r in got} == want
+        assert next(r.n for r in got if r.page_id == 1) == len(long) + 3
+    assert urls.judge(pages, rules.limit(0)).where("rule is null and verdict = 'allow'").count() == len(rows)

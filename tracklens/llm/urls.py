@@ -1,8 +1,8 @@
 """Operator 6: host and path rules on URLs, in DataFrame functions only.
 
 Every distinct pair of a host and the start of a path is expanded into
-host suffixes and path prefixes. The expansions meet the rules by an equi-join
-on the first 8 hex digits of SHA-256 of ``host + path``; then the full digests
+host suffixes and path prefixes, of the label counts and lengths that rules have. The expansions meet the rules by an equi-join
+on the first 8 hex digits of SHA-256 of ``host + path`` alone: rules that share them stand in one row. Then the full digests
 are compared, and the longest rule wins (of equal length: the longer host, then block).
 
 The host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the
@@ -14,10 +14,11 @@ Of rules that repeat with different verdicts, block holds. Null ids and repeated
 columns of the input that have the name of one added are replaced.
 
 The work is done on distinct (host, path start) pairs, so one host with a
-third of all pages is expanded once. Rules are broadcast only if they are few
-(BROADCAST_RULES rules); beyond that Spark joins by shuffle. No URL is
-longer than the path starts that rules can reach: only the first characters,
-as many as the longest rule path has, take part in the expansion; the path returned is whole.
+third of all pages is expanded once. Rules, and the pairs that a rule fits, are broadcast only if they are few
+(BROADCAST_RULES, BROADCAST_PAIRS rows); beyond that Spark joins by shuffle, the pairs dealt into SALTS parts, so that
+a host with many pages is not one task's. Hosts and paths of any length cost what the rules can reach: the last
+labels of the host, as many as the deepest rule has, and the first characters of the path, as many as the longest
+rule path has, take part in the expansion; host and path are returned whole.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_RULES = 20_000
+from tracklens.llm.spark import cut
+
+BROADCAST_RULES, BROADCAST_PAIRS, SALTS = 20_000, 500_000, 16
 
 
 def ascii_lower(c: Column) -> Column:
@@ -48,21 +51,32 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     """
     rules = rules.where("host is not null and host <> ''").select(ascii_lower(F.col("host")).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), F.lower("verdict").alias("said"))
     rules = rules.groupBy("rule_host", "rule_path").agg(F.max("said").alias("said"))  # block over allow
-    lengths = sorted(r[0] for r in rules.select(F.char_length("rule_path")).distinct().collect())
-    longest, many = max(lengths, default=0), rules.count() > BROADCAST_RULES
-    rules = rules.withColumn("digest", F.sha2(F.concat("rule_host", "rule_path"), 256)).withColumn("short", F.substring("digest", 1, 8))
-    rules = rules if many else F.broadcast(rules)
+    found = rules.select(F.collect_set(F.char_length("rule_path")).alias("lengths"), F.collect_set(F.size(F.split("rule_host", r"\.", -1))).alias("depths"), F.count("*").alias("n")).first()
+    lengths, depths, longest = sorted(found.lengths), sorted(found.depths), max(found.lengths, default=0)
+    rules = rules.withColumn("digest", F.sha2(F.concat("rule_host", "rule_path"), 256))
+    rules = rules.groupBy(F.substring("digest", 1, 8).alias("short")).agg(F.collect_list(F.struct("digest", "rule_host", "rule_path", "said")).alias("same"))
+    rules = F.broadcast(rules) if found.n <= BROADCAST_RULES else rules
 
-    pages = pages.drop(*(c for c in ("rule", "verdict", "__start", "__h", "__s") if c != url_col))
+    pages = pages.drop(*(c for c in ("rule", "verdict", "__start", "__h", "__s", "__salt") if c != url_col))
     marked = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))}).withColumn("__start", F.substring("path", 1, longest))
-    keys = marked.where("host <> ''").groupBy("host", "__start").agg(F.lit(1).alias("one")).drop("one")
-    labels = F.split("host", r"\.", -1)
-    hosts = keys.withColumn("suffix", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
-    prefixes = F.filter(F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>"), lambda n: n <= F.char_length("__start"))
-    tried = hosts.withColumn("prefix", F.explode(F.transform(prefixes, lambda n: F.col("__start").substr(F.lit(1), n))))
-    tried = tried.withColumn("full", F.sha2(F.concat("suffix", "prefix"), 256)).withColumn("near", F.substring("full", 1, 8))
-    fits = tried.join(rules, (tried.near == rules.short) & (tried.full == rules.digest) & (tried.suffix == rules.rule_host) & (tried.prefix == rules.rule_path))
-    best = fits.groupBy("host", "__start").agg(F.max(F.struct(F.char_length(F.concat("rule_host", "rule_path")).alias("n"), F.char_length("rule_host").alias("h"), "said", F.concat("rule_host", "rule_path").alias("rule"))).alias("best"))
-    best = best.select(F.col("host").alias("__h"), F.col("__start").alias("__s"), "best.rule", F.col("best.said").alias("verdict"))
-    out = marked.join(best, (marked.host == best["__h"]) & (marked["__start"] == best["__s"]), "left")
-    return out.withColumn("verdict", F.coalesce("verdict", F.lit(default))).drop("__h", "__s", "__start")
+    # the part of the host that rules can reach
+    deep = lambda n: F.substring_index("host", ".", -n)
+    marked = marked.withColumn("__end", deep(max(depths, default=1)))
+    keys = marked.where("host <> ''").select("__end", "__start").distinct()
+    labels = F.size(F.split("__end", r"\.", -1))
+    suffixes = F.filter(F.array(*[F.when(labels >= n, F.substring_index("__end", ".", -n)) for n in depths] or [F.lit(None).cast("string")]), lambda x: x.isNotNull())
+    prefixes = F.filter(F.array(*[F.when(F.char_length("__start") >= n, F.substring("__start", 1, n)) for n in lengths] or [F.lit(None).cast("string")]), lambda x: x.isNotNull())
+    tried = keys.withColumn("suffix", F.explode(suffixes)).withColumn("prefix", F.explode(prefixes)).withColumn("full", F.sha2(F.concat("suffix", "prefix"), 256)).withColumn("near", F.substring("full", 1, 8))
+    met = tried.join(rules, F.col("near") == F.col("short")).withColumn("r", F.explode("same"))
+    fits = met.where((F.col("r.digest") == F.col("full")) & (F.col("r.rule_host") == F.col("suffix")) & (F.col("r.rule_path") == F.col("prefix")))
+    name = F.concat("r.rule_host", "r.rule_path")
+    best = fits.groupBy("__end", "__start").agg(F.max(F.struct(F.char_length(name).alias("n"), F.char_length("r.rule_host").alias("h"), F.col("r.said").alias("said"), name.alias("rule"))).alias("best"))
+    best = cut(best.select(F.col("__end").alias("__h"), F.col("__start").alias("__s"), "best.rule", F.col("best.said").alias("verdict")))
+    same = (F.col("__end") == F.col("__h")) & (F.col("__start") == F.col("__s"))
+    if best.count() <= BROADCAST_PAIRS:
+        out = marked.join(F.broadcast(best), same, "left")
+    else:
+        marked = marked.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in pages.dtypes if t in ("bigint", "int", "string")]), F.lit(SALTS)).cast("int"))
+        best = best.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = marked.join(best, same & (F.col("__salt") == F.col("__part")), "left")
+    return out.withColumn("verdict", F.coalesce("verdict", F.lit(default))).drop("__h", "__s", "__start", "__end", "__salt", "__part")
