@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -306,7 +307,7 @@ def test_archives(spark, tmp_path):
     stray = tmp_path / "w" / "task-000000-99999"
     stray.mkdir()
     (stray / "0000.warc.zst").write_bytes(data)
-    got = warc.read(spark, warc.written(wrote, out)).collect()
+    got = warc.read(out, wrote).collect()
     want = Counter()
     for i, _, h in rows:
         raw = (h or "").encode()
@@ -318,6 +319,25 @@ def test_archives(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_of_many_records_are_read_in_linear_time():
+    block = random.Random(3).randbytes(2000)
+    zip_ = warc.compressor(b"")
+    frames = [zip_.compress(warc.record("response", [("WARC-Record-ID", f"<urn:page:{i}>")], block[i % 7 :])) for i in range(8000)]
+    data = warc.header(b"") + b"".join(frames)
+    began = time.process_time()
+    assert [h["warc-record-id"] for h, _ in warc.read_archive(data)] == [f"<urn:page:{i}>" for i in range(8000)]
+    assert time.process_time() - began < 3
+    big = warc.header(b"") + zip_.compress(warc.record("response", [("WARC-Record-ID", "<urn:page:1>")], block * 500)) + frames[0]
+    assert [len(b) for _, b in warc.read_archive(big)] == [1000000, 2000]
+
+
+def test_archives_of_clashing_columns(spark):
+    rows = [(1, "u", "x", "a", 5, None), (2, "u", "x", "b", None, "q")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, record_type string, payload_bytes int, __first string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()}
+    assert got == {1: ("revisit", 2), 2: ("response", None)}
+
+
 def test_broken_archives():
     rec = warc.record("response", [("WARC-Record-ID", "<urn:page:1>")], b"abc")
     head, zip_ = warc.header(b""), warc.compressor(b"")

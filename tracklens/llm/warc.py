@@ -15,9 +15,9 @@ A null URL has no WARC-Target-URI; line ends in URLs are percent-encoded.
 
 Archives are rolled at ARCHIVE_BYTES. They are written below a folder that
 driver and executors share, each attempt of a task in a folder of its own;
-write() tells the folders of the attempts that counted, and only those are
-read, so repeated or abandoned tasks add no record. Reading goes through
-Spark's binaryFile source. The dictionary is trained on at most DICT_ROWS payloads of
+write() tells the files of the attempts that counted, and only those are
+decoded, so repeated or abandoned tasks add no record. Reading goes through
+Spark's binaryFile source; the list of files stays a table. The dictionary is trained on at most DICT_ROWS payloads of
 at most DICT_CUT bytes each (it steers compression alone; payloads are stored whole).
 """
 
@@ -33,7 +33,7 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklens.llm.spark import cut, scratch
@@ -43,6 +43,8 @@ FRAME = b"\x28\xb5\x2f\xfd"
 ARCHIVE_BYTES = 16 << 20
 DICT_BYTES, DICT_ROWS, DICT_CUT = 32 << 10, 400, 8 << 10
 LEVEL = 3
+FIRST_PIECE, PIECE = 4 << 10, 64 << 10
+BROADCAST_FILES = 500_000
 
 
 def digest(payload: bytes) -> str:
@@ -95,15 +97,18 @@ def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     codec = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
     view = memoryview(data)
     while at < len(data):
-        frame = codec.decompressobj()
-        try:
-            raw = frame.decompress(view[at:])
-        except zstandard.ZstdError as e:
-            raise ValueError(f"bad frame at {at}: {e}") from e
+        frame, raw, next_ = codec.decompressobj(), [], at
+        while not frame.eof and next_ < len(data):  # pieces, since what a frame doesn't use is copied
+            piece = view[next_ : next_ + (PIECE if raw else FIRST_PIECE)]
+            try:
+                raw.append(frame.decompress(piece))
+            except zstandard.ZstdError as e:
+                raise ValueError(f"bad frame at {at}: {e}") from e
+            next_ += len(piece)
         if not frame.eof:
             raise ValueError("the last frame is cut short")
-        at = len(data) - len(frame.unused_data)
-        yield parse(raw)
+        at = next_ - len(frame.unused_data)
+        yield parse(b"".join(raw))
 
 
 def train(pages: DataFrame, html_col: str) -> bytes:
@@ -170,11 +175,12 @@ def write(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "u
     return cut(rows.mapInArrow(run, "folder string, name string, records long, bytes long"))
 
 
-def read(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """(page_id, record_type, payload_bytes, payload_digest, refers_to, url, payload) of all records in the folders.
+def read(out: str, files: DataFrame) -> DataFrame:
+    """(page_id, record_type, payload_bytes, payload_digest, refers_to, url, payload) of all records in the files (folder, name) below out.
 
     payload is null for revisits. A record that fails a check fails the read.
     """
+    spark = files.sparkSession
 
     def number(x: str | None) -> int | None:
         m = re.fullmatch(r"<urn:page:(-?\d+)>", x or "")
@@ -201,17 +207,15 @@ def read(spark: SparkSession, folders: list[str]) -> DataFrame:
                 yield pack(rows)
 
     schema = "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, url string, payload binary"
-    if not folders:
+    n = files.count()
+    if not n:
         return spark.createDataFrame([], schema)
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folders).select("content").mapInArrow(run, schema)
-
-
-def written(files: DataFrame, out: str) -> list[str]:
-    """The folders of a write, one for each task that had rows."""
-    return sorted(f"{out}/{r.folder}" for r in files.select("folder").distinct().collect())
+    counted = files.select(F.concat_ws("/", "folder", "name").alias("file"))
+    stored = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").option("recursiveFileLookup", "true").load(out)
+    stored = stored.join(F.broadcast(counted) if n <= BROADCAST_FILES else counted, F.substring_index("path", "/", -2) == F.col("file"), "left_semi")
+    return stored.select("content").mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     out = scratch(pages.sparkSession, "warc")
-    files = write(pages, out, min_revisit_bytes=min_revisit_bytes)
-    return read(pages.sparkSession, written(files, out)).drop("payload", "url")
+    return read(out, write(pages, out, min_revisit_bytes=min_revisit_bytes)).drop("payload", "url")
