@@ -208,14 +208,27 @@ def contamination(docs, items):
             if not n:
                 continue
             k, want = min(n, 5), bag(s, min(n, 5))
-            for a in range(len(w) - n + 1):
-                have = Counter(tuple(w[b : b + k]) for b in range(a, a + n - k + 1))
+            m = min(n, len(w))  # a shorter document is one window
+            for a in range(len(w) - m + 1):
+                have = Counter(tuple(w[b : b + k]) for b in range(a, a + m - k + 1))
                 low, high = sum((have & want).values()), sum((have | want).values())
                 if 5 * low >= 4 * high:
                     out[i, j] = max(out.get((i, j), (0, 0, 0)), (low / high, -a, n))
     return {(i, j, s, -a, n) for (i, j), (s, a, n) in out.items()}
 
 
+def test_recall_of_the_radius(spark):
+    """Of windows whose shingles just reach the similarity, the radius keeps over 99 %."""
+    rng, n = np.random.default_rng(2), 400
+    rows = []
+    for size in (20, 60, 150):
+        for _ in range(n):
+            h = rng.integers(-(2**63), 2**63, size + size // 9).tolist()
+            rows.append((h[:size], h[size // 9 :]))
+    d = spark.createDataFrame(rows, "a array<long>, b array<long>").select(decontaminate.simhash(F.col("a"), 150).alias("a"), decontaminate.simhash(F.col("b"), 150).alias("b"))
+    assert d.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= decontaminate.RADIUS).count() > 0.99 * len(rows)
+
+
 def test_contamination(spark):
     rng = random.Random(9)
     items = [(i, prose(rng, n, 500)) for i, n in enumerate((1, 3, 5, 6, 15, 30, 30, 59, 120))] + [(90, None), (91, " "), (None, prose(rng, 20)), (92, "ab " * 30), (3, prose(rng, 9, 500))]
@@ -228,6 +241,9 @@ def test_contamination(spark):
             for _ in range(k if v else 0):
                 v[rng.randrange(len(v))] = "zz"
             docs.append((200 + 10 * n + k, f"{prose(rng, 4, 500)} {' '.join(v)} {prose(rng, 3, 500)}"))
+    for n, (_, t) in enumerate(items):
+        v = (t or "").split()
+        docs += [(5000 + 10 * n + cut_, " ".join(v[cut_:])) for cut_ in range(4)] + [(6000 + n, " ".join(v[2:-1]))]
     docs += [docs[12], (None, docs[13][1]), (7000, None), (7001, ""), (7002, " ".join(docs[k][1] for k in (11, 15, 20)) + " " + prose(rng, 9000, 5000))]
     d = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, item_id int")
     b = spark.createDataFrame(items, "item_id long, text string")

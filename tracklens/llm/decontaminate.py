@@ -1,17 +1,16 @@
 """Operator 5: benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
 
 A document is contaminated by an item if a window of it, with as many words
-as the item, has a weighted-shingle similarity of at least num/den to it. Words are
+as the item (the whole document, if it has fewer), has a weighted-shingle similarity of at least num/den to it. Words are
 ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Shingles are ``k`` words (an item with fewer
 words is one shingle); the weight of a shingle is how often it occurs, and the
 similarity is the sum of the smaller weights over the sum of the larger.
 
-1. A window can qualify only if most of its shingles occur in items of its size: with S
-   shingles, at least 2 S num / (num + den) of them. Positions that hold a shingle of any item of a
-   size come from an equi-join; windows below that exact bound are never made.
-2. Every other window gets a 64-bit SimHash, the bitwise majority of its shingle hashes, counted in
+1. A window that shares no shingle with any item of its size has similarity 0; an equi-join
+   finds the positions that hold a shingle of an item, and every window around one is made.
+2. Each of them gets a 64-bit SimHash, the bitwise majority of its shingle hashes, counted in
    bit-sliced counters.
-3. Windows meet items of the same size by a multi-index: 64 bits in BLOCKS blocks;
+3. Windows meet items of the same size by a multi-index, which alone makes the candidates: 64 bits in BLOCKS blocks;
    two fingerprints within RADIUS bits agree in some block up to RADIUS // BLOCKS
    bits, and items are entered under all such keys, so no fingerprint within the radius is
    missed. Shingles that differ by a fifth move about 10 bits, with a deviation of 3; RADIUS is 20.
@@ -40,6 +39,7 @@ SHINGLE = 5
 RADIUS, BLOCKS = 20, 7
 BROADCAST_ROWS = 500_000
 BROADCAST_POSITIONS = 1_000_000
+ITEM_TASKS = 32
 _WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -137,10 +137,9 @@ def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 def _matches(docs: DataFrame, items: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(id, th, item_id, similarity, start, n) for items of at least k words; docs: id, text, th; items: item_id, __h, s, n."""
     sizes = [r.s for r in items.select("s").distinct().collect()]  # one entry for each length of an item
-    need = F.ceil(2 * F.col("s") * num / (num + den)).cast("int")
     shingles = _small(items.select(F.explode_outer("__h").alias("x"), "s").distinct())
     hits = with_shingles(docs, "text", k).select("id", "th", F.posexplode_outer("__h").alias("p", "x")).join(shingles, "x")
-    hits = hits.groupBy("id", "th", "s").agg(F.sort_array(F.collect_set("p")).alias("at")).where(F.size("at") >= need)
+    hits = hits.groupBy("id", "th", "s").agg(F.sort_array(F.collect_set("p")).alias("at"))
     hits = cut(hits.groupBy("id", "th").agg(F.collect_list(F.struct("s", "at")).alias("sized"), F.sum(F.size("at") + 4).alias("held")))
     total = hits.agg(F.sum("held")).first()[0] or 0
     near = hits.select(F.col("id").alias("hid"), F.col("th").alias("hth"), "sized")
@@ -149,22 +148,20 @@ def _matches(docs: DataFrame, items: DataFrame, k: int, num: int, den: int) -> D
     some = with_shingles(some, "text", k).select("id", "th", "__h", "sized")
 
     w = some.select("id", "th", "__h", F.explode("sized").alias("z")).select("id", "th", "__h", F.col("z.s").alias("s"), F.col("z.at").alias("at"))
-    w = w.withColumn("need", need).select("*", F.posexplode("at").alias("i", "p")).select("*", F.explode(F.sequence(F.lit(0), F.col("s") - F.col("need"))).alias("j"))
-    start = F.col("p") - F.col("j")
-    inside = (start >= 0) & (start + F.col("s") <= F.size("__h"))
-    first_hit = (F.col("i") == 0) | (F.get("at", F.col("i") - 1) < start)  # each window once, from its first hit
-    enough = F.get("at", F.col("i") + F.col("need") - 1) < start + F.col("s")
-    w = w.where(inside & first_hit & enough).select("id", "th", start.alias("start"), "s", F.slice("__h", start + 1, F.col("s")).alias("win"))
+    last = F.greatest(F.size("__h") - F.col("s"), F.lit(0))
+    around = F.transform("at", lambda p: F.sequence(F.least(F.greatest(p - F.col("s") + 1, F.lit(0)), last), F.least(p, last)))
+    w = w.withColumn("start", F.explode(F.array_distinct(F.flatten(around)))).select("id", "th", "start", "s", F.slice("__h", F.col("start") + 1, F.col("s")).alias("win"))
     w = w.withColumn("fp", simhash(F.col("win"), max(sizes))).withColumn("kb", F.explode(window_keys("fp")))
 
-    prints = items.withColumn("ifp", simhash(F.col("__h"), max(sizes)))
-    index = _small(prints.select(F.col("item").alias("item"), F.col("s").alias("is"), "ifp", F.explode(item_keys("ifp")).alias("ib")))
+    prints = items.repartition(ITEM_TASKS, "item").withColumn("ifp", simhash(F.col("__h"), max(sizes)))
+    index = _small(cut(prints.select(F.col("item").alias("item"), F.col("s").alias("is"), "ifp", F.explode(item_keys("ifp")).alias("ib"))))
     x = F.col("fp").bitwiseXOR(F.col("ifp"))
     met = w.join(index, (F.col("s") == F.col("is")) & (F.col("kb.block") == F.col("ib.block")) & (F.col("kb.key") == F.col("ib.key")) & (F.bit_count(x) <= RADIUS) & first_block(x, F.col("kb.block")))
     full = _small(items.select(F.col("item").alias("item2"), "item_id", "n", F.col("__h").alias("bag")))
     both = met.join(full, F.col("item") == F.col("item2")).withColumn("shared", shared_weight(F.col("win"), F.col("bag")))
-    both = both.where(F.col("shared") * (num + den) >= 2 * num * F.col("s"))
-    return both.select("id", "th", "item_id", (F.col("shared") / (2 * F.col("s") - F.col("shared"))).alias("similarity"), "start", "n")
+    weight = F.col("s") + F.size("win")  # of both together
+    both = both.where(F.col("shared") * (num + den) >= num * weight)
+    return both.select("id", "th", "item_id", (F.col("shared") / (weight - F.col("shared"))).alias("similarity"), "start", "n")
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = SHINGLE, num: int = 4, den: int = 5) -> DataFrame:
