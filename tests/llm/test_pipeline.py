@@ -77,3 +77,40 @@ def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_rows_that_repeat(spark, tmp_path):
+    """Null ids, full copies of a row, and ids that stand for several texts, with a column that clashes."""
+    rng = random.Random(3)
+    a, b, c = (" ".join(rng.choice(["the", "ship", prose(rng, 1, 900)]) for _ in range(60)) for _ in range(3))
+    rows = [(1, a, "en", "s", 0), (1, a, "en", "s", 0), (1, b, "en", "t", 0), (2, b, "en", "s", 0), (None, c, "en", "s", 0), (None, c, "en", "s", 0), (3, c, "en", "s", 0), (1, a, "en", "u", 0), (4, "solo the ship", None, "s", 0)]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, text_hash string")
+    out = corpus_pipeline.minhash_dedup(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id or 0, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (0, c), (0, c), (3, c), (4, "solo the ship")], key=str)
+    told = corpus_pipeline.language_id(spark, docs, "")
+    assert told.columns == docs.columns and {r.lang for r in told.collect()} == {"en"}
+
+
+def test_documents_whose_label_is_contradicted_go(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(NAMES[x].split()) for _ in range(40)), x) for i, x in enumerate(["en", "de"] * 60)]
+    rows += [(500, "der und mit schiff " * 20, "en"), (501, "the and with ship " * 20, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert 500 not in got and got[501] == "en" and len(got) == 121
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from tracklens.llm import spark as base
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="checkpoint"):
+        base.shared_dir(bare)

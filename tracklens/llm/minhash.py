@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklens.llm.spark import components, cut
@@ -109,7 +109,7 @@ def least_size(num: int, den: int) -> int:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """(id, n, words, regs, under): set size, digest of the word sequence, registers of its size class and, near its lower edge, of the class below."""
+    """(id, text_hash, n, words, regs, under): set size, digest of the word sequence, registers of its size class and, near its lower edge, of the class below."""
     least = least_size(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,10 +133,10 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: i
                 regs += own
                 under += below
             cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cat(sizes), pa.int64()), pa.array(seq, pa.binary()), pa.array(regs, pa.binary()), pa.array(under, pa.binary())], names=["id", "n", "words", "regs", "under"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cat(sizes), pa.int64()), pa.array(seq, pa.binary()), pa.array(regs, pa.binary()), pa.array(under, pa.binary())], names=["id", "text_hash", "n", "words", "regs", "under"])
 
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string"))
-    return d.mapInArrow(run, "id long, n long, words binary, regs binary, under binary")
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
+    return d.mapInArrow(run, "id long, text_hash long, n long, words binary, regs binary, under binary")
 
 
 def bands(reps: DataFrame) -> DataFrame:
@@ -309,6 +309,29 @@ def _cross(open_: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, num: int = 85, den: int = 100) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every document."""
+    return _judge(docs, id_col, text_col, k, num, den).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, num: int = 85, den: int = 100) -> DataFrame:
+    """The rows of docs with the smallest id of their component, with their columns.
+
+    Rows are told apart by id and text. Of rows that repeat both, that with the smallest
+    hash of all columns stays. Rows with a null id all stay.
+    """
+    judged = cut(_judge(docs, id_col, text_col, k, num, den).select("id", "text_hash", "kept"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__hash"))
+    named = judged.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), "kept").groupBy("__id", "__hash").agg(F.max("kept").alias("__kept"), F.count("*").alias("__n"))
+    kept = docs.join(named.where("__kept").select("__id", "__hash"), same, "left_semi")
+    again = cut(named.where("__kept and __n > 1 and __id is not null").select("__id", "__hash"))
+    if again.isEmpty():
+        return kept
+    order = Window.partitionBy(id_col, text_col).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    one = kept.join(again, same, "left_semi").withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
+    return kept.join(again, same, "left_anti").unionByName(one)
+
+
+def _judge(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
+    """(id, text_hash, n_shingles, component_id, kept) of every row."""
     every = cut(sketch(docs, id_col, text_col, k, num, den))
     some = every.where("n > 0 and id is not null")
     classes = some.groupBy(F.col("words").alias("class")).agg(F.min("id").alias("rep"))
@@ -330,6 +353,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = cut(components(links.union(more)))
 
     names = classes.join(found, F.col("rep") == F.col("id"), "left").select("class", F.coalesce("component_id", "rep").alias("component_id"))
-    out = every.select("id", "n", "words").join(names, (F.col("n") > 0) & (F.col("words") == F.col("class")), "left")
+    out = every.select("id", "text_hash", "n", "words").join(names, (F.col("n") > 0) & (F.col("words") == F.col("class")), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select("id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
