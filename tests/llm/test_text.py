@@ -193,7 +193,7 @@ def test_probabilities_sum_to_one():
     rank = np.array([int((contextmix.classes(count[:i]) == contextmix.classes(count[i : i + 1])[0]).sum()) for i in range(len(count))])
     code, kind = book.of(np.append(count, 0), np.append(rank, 0))
     assert len(set(code.tolist())) == len(code)
-    key = np.repeat(np.array([5, 5 << contextmix.CONTEXT_BITS, (5 << contextmix.CONTEXT_BITS) + 1], np.uint64), len(code))
+    key = np.repeat(np.array([5, 5 << 28, (5 << 28) + 256], np.uint64), len(code))
     seen = np.concatenate([rng.integers(0, 2, len(code)), rng.integers(0, 90, len(code)) * (rng.random(len(code)) < 0.2), np.zeros(len(code))]).astype(np.int64)
     code, kind = np.tile(code, 3), np.tile(kind, 3)
     order = np.lexsort((code, key))
@@ -204,7 +204,7 @@ def test_probabilities_sum_to_one():
 
 def test_counters_are_exact():
     common = contextmix._common(np.array([0, 1 << 63], np.uint64), np.array([False, True]))
-    assert contextmix._along(common, np.array([1 << 40, 1]), 2).tolist() == [[(1 << 40) + 1] * 2, [1 << 40, 1]]
+    assert contextmix._along(common, np.array([1 << 40, 1]), 2, np.array([2, 2])).tolist() == [[(1 << 40) + 1] * 2, [1 << 40, 1]]
 
 
 def test_spelling_sums_to_one():
@@ -250,8 +250,8 @@ def slow_scores(rows):
         before = [b"\n", b"\n", *ts]
         for k, x in enumerate(ts):
             one, two = np.array([hashes[before[k + 1]]]), np.array([hashes[before[k]]])
-            a = mix(one + mix(two) % U(count[before[k + 1]] // contextmix.SPLIT + 1) * U(0xD6E8FEB86659FD93))[0] >> U(24)
-            yield int(a), int(join(two, one)[0] >> U(40)), x
+            a = mix(one + mix(two) % U(count[before[k + 1]] // contextmix.SPLIT + 1) * U(0xD6E8FEB86659FD93))[0] >> U(28)
+            yield int(a), int(join(two, one)[0] >> U(44)), x
 
     told, asked = Counter(), set()
     for i, ts in texts:
@@ -281,24 +281,27 @@ def slow_scores(rows):
         better = min(1 - 1e-7, max(1e-7, 0.5 * p + 0.5 * (hit[at] + 8 * p) / (total[at] + 8)))
         return z, at, better if z > 0 else 1 - better if z < 0 else 0.5
 
-    some = [(k, told[k[0], k[1], k[3]]) for k in order if told[k[0], k[1], k[3]]]
+    cost = {}
     assert len(order) <= contextmix.SEGMENT
-    for s in range(0, len(some), contextmix.BATCH):
-        up, down, seen = Counter(), Counter(), []
-        for k, c in some[s : s + contextmix.BATCH]:
-            for xs, g in events(*k, 1):
-                z, at, _ = coded(xs, g)
-                q = 1 / (1 + math.exp(-z))
-                for j in range(3):
-                    up[g, j] += (1 - q) * c * xs[j]
-                    down[g, j] += q * (1 - q) * c * xs[j] ** 2
-                seen.append((at, c, 1 if z > 0 else 0 if z < 0 else 0.5))
-        for g, j in up:
-            w_[g][j] += 0.2 * max(-2, min(2, up[g, j] / (down[g, j] + 4)))
-        for at, c, y in seen:
-            hit[at] += c * y
-            total[at] += c
-    cost = {k: sum(math.log10(coded(xs, g)[2]) for xs, g in events(*k, 0)) + spelled[k[3]] for k in order}
+    for coding in (False, True):
+        for s in range(0, len(order), contextmix.BATCH):
+            up, down, seen = Counter(), Counter(), []
+            for k in order[s : s + contextmix.BATCH]:
+                c = told[k[0], k[1], k[3]]
+                if coding:
+                    cost[k] = sum(math.log10(coded(xs, g)[2]) for xs, g in events(*k, 0)) + spelled[k[3]]
+                for xs, g in events(*k, 1) if c else ():
+                    z, at, _ = coded(xs, g)
+                    q = 1 / (1 + math.exp(-z))
+                    for j in range(3):
+                        up[g, j] += (1 - q) * c * xs[j]
+                        down[g, j] += q * (1 - q) * c * xs[j] ** 2
+                    seen.append((at, c, 1 if z > 0 else 0 if z < 0 else 0.5))
+            for g, j in up:
+                w_[g][j] += 0.2 * max(-2, min(2, up[g, j] / (down[g, j] + 4)))
+            for at, c, y in seen:
+                hit[at] += c * y
+                total[at] += c
     return {i: sum(cost[a, b, bits(x), x] for a, b, x in contexts(ts)) for i, ts in texts}
 
 
@@ -342,4 +345,4 @@ def test_frequent_tokens_are_dealt_out(spark, monkeypatch):
     parts = [contextmix.Contexts(x, counts, g) for g in (0, 1)]
     assert all(int(p.count.sum()) == int(x.length[x.train].sum()) and len(p.of) == len(x.token) for p in parts)
     assert set(parts[0].key.tolist()) != set(parts[1].key.tolist())
-    assert len(set((parts[0].key >> np.uint64(24)).tolist())) > len(set((contextmix.Contexts(x, counts * 0, 0).key >> np.uint64(24)).tolist()))
+    assert len(set((parts[0].key >> np.uint64(28)).tolist())) > len(set((contextmix.Contexts(x, counts * 0, 0).key >> np.uint64(28)).tolist()))
