@@ -49,11 +49,32 @@ def two_way_bootstrap(cells: DataFrame, a: str, b: str, x: str, rounds: int, see
     return cells.agg(F.avg(x).alias("point")).join(per.agg(*_interval(per, [], F.col("_x"))))
 
 
+def ranked(df: DataFrame, group: Sequence[str], scale: Column, order: Sequence[str], name: str, buckets: int = 1024) -> DataFrame:
+    """df with the rank (1, 2, ...) of each row of a group in an order, without a task that sorts a whole group.
+
+    scale is a number that never falls along the order. It is cut into buckets of equal width between its
+    ends; a row's rank is its rank in its bucket and the sizes of the buckets before.
+    """
+    df = df.withColumn("_scale", scale)
+    ends = df.groupBy(*group).agg(F.min("_scale").alias("_low"), F.max("_scale").alias("_high")) if group else df.agg(F.min("_scale").alias("_low"), F.max("_scale").alias("_high"))
+    df = df.join(F.broadcast(ends), list(group)) if group else df.join(F.broadcast(ends))
+    part = F.floor((F.col("_scale") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)) * buckets)
+    df = df.withColumn("_bucket", F.coalesce(F.least(part, F.lit(buckets - 1)), F.lit(0)))
+    sizes = df.groupBy(*group, "_bucket").agg(F.count("*").alias("_size"))
+    before = sizes.select(*group, "_bucket", (F.sum("_size").over(Window.partitionBy(*group).orderBy("_bucket")) - F.col("_size")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(*order))
+    return df.withColumn("_rank", inside).join(before, [*group, "_bucket"]).withColumn(name, F.col("_rank") + F.col("_before")).drop("_scale", "_low", "_high", "_bucket", "_rank", "_before")
+
+
 def permutation_test(pairs: DataFrame, key: str, x: str, y: str, rounds: int, seed: str) -> DataFrame:
-    """observed = mean of x * y, p = (1 + rounds at least as large) / (rounds + 1), y permuted by order of hash."""
-    base = pairs.withColumn("_i", F.row_number().over(Window.orderBy(key)))
+    """observed = mean of x * y, p = (1 + rounds at least as large) / (rounds + 1), y permuted by order of hash.
+
+    Places come from ranked(), so no task sorts all rows of a round. key is a number.
+    """
+    base = ranked(pairs, [], F.col(key).cast("double"), [key], "_i")
     fan = base.select(F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"), "_i", x, y)
-    fan = fan.withColumn("_j", F.row_number().over(Window.partitionBy("round").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "round", "_i")), "_i")))
+    fan = fan.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), "round", "_i")))
+    fan = ranked(fan, ["round"], F.conv(F.substring("_h", 1, 8), 16, 10).cast("double"), ["_h", "_i"], "_j")
     per = fan.select("round", "_i", x).join(fan.select("round", F.col("_j").alias("_i"), y), ["round", "_i"]).groupBy("round").agg(F.avg(F.col(x) * F.col(y)).alias("_s"))
     seen = pairs.agg(F.avg(F.col(x) * F.col(y)).alias("observed"))
     return seen.join(per).groupBy("observed").agg(((1 + F.count_if(F.col("_s") >= F.col("observed") - 1e-12)) / (F.count("*") + 1)).alias("p"))
@@ -79,10 +100,14 @@ def best_threshold(df: DataFrame, keys: Sequence[str], label: str, x: str) -> Da
 
     Prefix sums over distinct values, no pairs of rows. Ties: nearest to the median value, then the lower threshold, then above.
     """
-    v = df.groupBy(*keys, x).agg(F.sum(F.col(label).cast("bigint")).alias("_p"), F.count("*").alias("_n"))
+    return _threshold(df.groupBy(*keys, x).agg(F.sum(F.col(label).cast("bigint")).alias("_p"), F.count("*").alias("_n")), keys, x)
+
+
+def _threshold(v: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
+    """best_threshold from (keys, x, _p, _n): positives and rows of each distinct value."""
+    med = v.groupBy(*keys).agg(F.percentile(x, 0.5, F.col("_n")).alias("_med"))
     w, all_ = Window.partitionBy(*keys).orderBy(x), Window.partitionBy(*keys)
     v = v.withColumns({"_P": F.sum("_p").over(all_), "_N": F.sum("_n").over(all_), "_mid": (F.col(x) + F.lead(x).over(w)) / 2, "_lp": F.sum("_p").over(w), "_ln": F.sum("_n").over(w)})
-    med = df.groupBy(*keys).agg(F.percentile(x, 0.5).alias("_med"))
     v = v.where("_mid is not null and _P > 0 and _P < _N")
     v = v.join(med, list(keys)) if keys else v.join(med)
     low = (F.col("_lp") / F.col("_P") + (F.col("_N") - F.col("_P") - (F.col("_ln") - F.col("_lp"))) / (F.col("_N") - F.col("_P"))) / 2
@@ -91,15 +116,20 @@ def best_threshold(df: DataFrame, keys: Sequence[str], label: str, x: str) -> Da
     return both.withColumn("_k", F.row_number().over(order)).where("_k = 1").select(*keys, F.col("_mid").alias("threshold"), "_o.above", "_o.score")
 
 
-def leave_one_group_out(df: DataFrame, group: str, label: str, x: str) -> DataFrame:
+def leave_one_group_out(df: DataFrame, group: str, label: str, x: str, most: int = 1000) -> DataFrame:
     """(group, rows, right): each group judged by the threshold fitted on the others.
 
-    Folds are made by copying rows to the folds that train on them; groups are few.
+    A fold's training rows are all rows less its own, so folds come from counts by distinct value: those of all
+    rows, for each fold, less the group's. There are at most ``most`` groups, else ValueError; groups may be hot.
     """
-    groups = df.select(F.col(group).alias("fold")).distinct()
-    train = df.join(groups, F.col(group) != F.col("fold"))
-    t = best_threshold(train.select("fold", label, x), ["fold"], label, x)
-    j = df.join(t, F.col(group) == F.col("fold"))
+    own = df.groupBy(group, x).agg(F.sum(F.col(label).cast("bigint")).alias("_gp"), F.count("*").alias("_gn"))
+    folds = df.agg(F.sort_array(F.collect_set(group)).alias("f")).first().f
+    if len(folds) > most:
+        raise ValueError(f"{len(folds)} groups are more than {most}")
+    total = own.groupBy(x).agg(F.sum("_gp").alias("_tp"), F.sum("_gn").alias("_tn")).withColumn("fold", F.explode(F.lit(folds) if folds else F.array().cast("array<string>")))
+    total = total.join(own.select(F.col(group).alias("_g"), F.col(x).alias("_x"), "_gp", "_gn"), (F.col("fold") == F.col("_g")) & (F.col(x) == F.col("_x")), "left")
+    rest = total.select("fold", x, (F.col("_tp") - F.coalesce("_gp", F.lit(0))).alias("_p"), (F.col("_tn") - F.coalesce("_gn", F.lit(0))).alias("_n")).where("_n > 0")
+    j = df.join(F.broadcast(_threshold(rest, ["fold"], x)), F.col(group) == F.col("fold"))  # a row for each fold
     guess = F.when(F.col("above"), F.col(x) > F.col("threshold")).otherwise(F.col(x) <= F.col("threshold"))
     return j.groupBy(group).agg(F.count("*").alias("rows"), F.count_if(guess == (F.col(label) == 1)).alias("right"))
 

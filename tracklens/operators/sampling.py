@@ -24,20 +24,18 @@ def quota(df: DataFrame, group: Sequence[str], cap: Column | int, salt: str, key
     return df.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= cap)
 
 
-def scale_ladder(df: DataFrame, salt: str, key: str, steps: Sequence[int], buckets: int = 256) -> DataFrame:
+def scale_ladder(df: DataFrame, salt: str, key: str, steps: Sequence[int], broadcast_rows: int = 1_000_000) -> DataFrame:
     """Adds rung: the smallest step whose nested sample holds the row, or null.
 
-    Global ranks are sums over hash buckets, so no task sorts all rows: the
-    first byte of the hash gives the bucket, and a row's rank is its rank in
-    the bucket plus the sizes of the buckets before it.
+    A top-k: each task keeps its max(steps) smallest hashes, and only those that
+    remain of all are ranked. key is unique.
     """
-    df = df.withColumn("_o", salted_order(salt, key)).withColumn("_b", F.substring("_o", 1, 2))
-    sizes = df.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))  # at most `buckets` rows
-    df = df.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_o", key))).join(F.broadcast(before), "_b")
-    rank = F.col("_r") + F.col("_before")
+    most = max(steps)
+    top = df.select(key, salted_order(salt, key).alias("_o")).orderBy("_o", key).limit(most)
+    rank = F.row_number().over(Window.orderBy("_o", key))  # of at most max(steps) rows
     rung = F.coalesce(*[F.when(rank <= n, F.lit(n)) for n in sorted(steps)])
-    return df.withColumn("rung", rung).drop("_o", "_b", "_r", "_before")
+    top = top.select(F.col(key).alias("_key"), rung.alias("rung"))
+    return df.join(F.broadcast(top) if most <= broadcast_rows else top, F.col(key) == F.col("_key"), "left").drop("_key")
 
 
 def evenly(df: DataFrame, group: Sequence[str], order: Sequence[str], limit: int) -> DataFrame:

@@ -71,8 +71,10 @@ def cube(spark, d):
     """Outcome cube in long form: condition, head, perturbation, y; combinations that never ran count as failures."""
     l = table(spark, d, "lineitem")
     c = l.groupBy((F.col("l_suppkey") % 20).alias("cond"), F.col("l_linenumber").alias("head"), (F.col("l_partkey") % 8).alias("pert")).agg(F.max((F.col("l_returnflag") == "R").cast("int")).alias("y"))
-    one = lambda k: c.select(k).distinct().withColumn("_k", F.lit(1))  # noqa: E731  # bounded by the cube's dimensions
-    grid = one("cond").join(one("head"), "_k").join(one("pert"), "_k").drop("_k")
+    # one row with the values of each dimension (20, 8 and 8 at most), unfolded
+    grid = c.agg(*[F.collect_set(k).alias(k) for k in ("cond", "head", "pert")])
+    for k in ("cond", "head", "pert"):
+        grid = grid.withColumn(k, F.explode(k))
     return grid.join(c, ["cond", "head", "pert"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
 
 
