@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 
 import numpy as np
 import pytest
@@ -164,3 +165,53 @@ def test_kernel_ridge(spark):
     assert models.reuse_codebook(book, 2, 1) is book
     with pytest.raises(ValueError, match="not 3"):
         models.reuse_codebook(book, 3, 1)
+
+
+def test_ranks_by_buckets(spark):
+    from tracklens.operators.inference import ranked
+
+    rng = random.Random(4)
+    rows = [(g, rng.choice([1.0, 1.0, 5.0, rng.random() * 100]), i) for g in "ab" for i in range(200)] + [("c", 3.0, 0)]
+    df = spark.createDataFrame(rows, "g string, x double, i int")
+    got = {(r.g, r.i): r.k for r in ranked(df, ["g"], F.col("x"), ["x", "i"], "k", buckets=7).collect()}
+    for g in "abc":
+        want = sorted((x, i) for h, x, i in rows if h == g)
+        assert all(got[g, i] == k + 1 for k, (_, i) in enumerate(want))
+
+
+def test_outcomes_and_screen_classes(spark):
+    from tracklens.operators import classify as c
+
+    rows = [(-0.1, 3.0), (0.4, None), (0.4, 40.0), (1.5, None), (9.0, None), (None, None), (-3.0, 2.0)]
+    got = [r[0] for r in spark.createDataFrame(rows, "n double, s double").select(c.contact_outcome(F.col("n"), F.col("s"), 0.5, 0.8, 15, 2.0)).collect()]
+    assert got == ["contact_and_stopped", "passed", "passed", "near", "clear", None, "passed"]
+    rows = [(True, 70.0, 0.0, 1, "x", True), (True, 0.0, 0.0, None, "x_no_force", False), (True, 0.0, 0.0, None, "x_no_force", True), (False, 70.0, 0.0, 9, "x", True), (False, 70.0, 0.0, 2, "x", True), (False, 0.0, 80.0, None, "x", True), (False, 0.0, 95.0, None, "x", True), (False, 0.0, 0.0, None, "x", True)]
+    d = spark.createDataFrame(rows, "q boolean, w double, b double, f int, s string, j boolean")
+    got = [r[0] for r in d.select(c.screen_class(F.col("q"), F.col("w"), F.col("b"), F.col("f"), F.col("s"), F.col("j"), 60, 4, 90)).collect()]
+    assert got == ["command_against_status", "signature_without_force", "x_no_force", "joined_in_window", "commanded_window", "light_touch_before", "large_pulse_before", "x"]
+
+
+def test_boosted_trees_beat_the_mean(spark):
+    from tracklens.operators.models import boosted_baseline
+
+    rng = random.Random(5)
+    rows = [(a, b, 3 * a + b * b, float(a > 0.5), i % 4 == 0) for i in range(400) for a, b in [(rng.random(), rng.random())]]
+    r = boosted_baseline(spark.createDataFrame(rows, "a double, b double, y double, l double, t boolean"), ["a", "b"], "y", "l", "t").first()
+    assert r.model_error < 0.4 * r.mean_error and r.auc > 0.95
+
+
+def test_checksums_of_blocks():
+    from tracklens.sources.records import BLOCK, POLYNOMIAL, crc32c
+
+    def slow(data):
+        c = 0xFFFFFFFF
+        for b in data:
+            c ^= b
+            for _ in range(8):
+                c = (c >> 1) ^ (POLYNOMIAL if c & 1 else 0)
+        return c ^ 0xFFFFFFFF
+
+    rng = random.Random(1)
+    for n in (0, 1, 9, BLOCK - 1, BLOCK, BLOCK + 1, 3 * BLOCK + 5):
+        data = rng.randbytes(n)
+        assert crc32c(data) == slow(data)

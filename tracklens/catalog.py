@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tracklens.plans import inference_queries, scene_queries, series_queries, table_queries, text_queries
+from tracklens.plans import inference_queries, run_queries, scene_queries, series_queries, table_queries, text_queries
 from tracklens.plans.base import Query
 
-BOOKS = [series_queries.BOOK, table_queries.BOOK, inference_queries.BOOK, text_queries.BOOK, scene_queries.BOOK]
+BOOKS = [series_queries.BOOK, table_queries.BOOK, inference_queries.BOOK, text_queries.BOOK, scene_queries.BOOK, run_queries.BOOK]
 
 
 def queries() -> dict[str, Query]:

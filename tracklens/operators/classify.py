@@ -91,3 +91,41 @@ def mappings(df: DataFrame, key: str, entries: str, pattern: str) -> DataFrame:
     e = df.select(key, F.explode(entries).alias("name", "value"))
     hit = F.coalesce(F.nullif(F.regexp_extract("name", pattern, 1), F.lit("")), F.nullif(F.regexp_extract("value", pattern, 1), F.lit("")))
     return e.withColumn("channel", hit).where("channel is not null").select(key, "name", "channel", (F.trim("value") != "").alias("known"))
+
+
+def validity(has_spec: Column, megabytes: Column, channels: Column, least_megabytes: float = 0.1, least_channels: int = 50) -> Column:
+    """The first gate that a run fails: no_spec, tiny_txt, few_channels; empty if none. Sizes at a limit fail."""
+    return ordered([(~F.coalesce(has_spec, F.lit(False)), "no_spec"), (megabytes <= least_megabytes, "tiny_txt"), (channels <= least_channels, "few_channels")], "")
+
+
+def contact_outcome(nearest: Column, at_first: Column, contact: float, crush: float, slow: float, near: float) -> Column:
+    """How a run ended: stopped at contact (not pressed in, slow at the first contact), passed, near, or clear.
+
+    nearest: smallest distance; at_first: speed at the first contact, null if there was none.
+    """
+    stopped = at_first.isNotNull() & (F.abs(nearest) <= crush) & (at_first <= slow)
+    return F.when(nearest.isNull(), None).when(nearest > near, "clear").when(nearest > contact, "near").when(stopped, "contact_and_stopped").otherwise("passed")
+
+
+def screen_class(quiet_status: Column, in_window: Column, before: Column, first_active: Column, signature: Column, judged: Column, quiet: float, late: float, light: float) -> Column:
+    """Class of a screened event, by what the run's status says and what its command channel does.
+
+    quiet_status: the status says that no command was given; in_window and before: the largest
+    command in the event's window and ahead of it; first_active: seconds to the first command; judged: whether the signature is final.
+    """
+    plain = F.when(~judged & signature.endswith("no_force"), "signature_without_force").otherwise(signature)
+    told = F.when(in_window > quiet, "command_against_status").otherwise(plain)
+    joined = F.when(first_active > late, "joined_in_window").otherwise("commanded_window")
+    touched = F.when(before <= light, "light_touch_before").otherwise("large_pulse_before")
+    return F.when(quiet_status, told).when(in_window > quiet, joined).when(before > quiet, touched).otherwise(plain)
+
+
+def light(text: str | Column) -> Column:
+    """night before day, by the word anywhere in the text; empty if neither."""
+    t = F.lower(col(text))
+    return ordered([(t.contains("night"), "night"), (t.contains("day"), "day")], "")
+
+
+def mapping_status(label: Column, context: Column, sounds: Sequence[str]) -> Column:
+    """What a mapped channel means: by its own label, by its run's context, or not confirmed."""
+    return ordered([(F.lower(label).rlike("|".join(sounds)), "by_label"), (context, "by_context")], "unconfirmed")

@@ -62,3 +62,10 @@ def hash_check(actual: DataFrame, expected: DataFrame, key: str, sha: str) -> Da
 
 def disjoint_windows(a_start, a_end, b_start, b_end, margin: float) -> Column:
     return (F.col(a_end) + margin < F.col(b_start)) | (F.col(b_end) + margin < F.col(a_start))
+
+
+def provenance(manifest: DataFrame, actual: DataFrame, key: str, digest: str) -> DataFrame:
+    """(key, state) of every key of either side: same, changed, missing (not there any more) or unlisted."""
+    j = manifest.select(key, F.col(digest).alias("_m")).join(actual.select(key, F.col(digest).alias("_a")), key, "full_outer")
+    state = F.when(F.col("_a").isNull(), "missing").when(F.col("_m").isNull(), "unlisted").when(F.col("_m") == F.col("_a"), "same").otherwise("changed")
+    return j.select(key, state.alias("state"))

@@ -79,6 +79,22 @@ def reuse_codebook(book: DataFrame, size: int, dim: int) -> DataFrame:
     return book
 
 
+def boosted_baseline(df: DataFrame, features: Sequence[str], target: str, label: str, test: str, rounds: int = 15, depth: int = 3, seed: int = 7) -> DataFrame:
+    """(model_error, mean_error, auc), one row: mean absolute errors on the test rows of boosted trees and of the training mean, and
+    the area under the curve of boosted trees for a 0/1 label. Training is distributed; test is a boolean column."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    from tracklens.operators.inference import auc
+
+    d = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip").transform(df.select(*features, F.col(target).cast("double").alias("_y"), F.col(label).cast("double").alias("_l"), F.col(test).alias("_t")))
+    train, held = d.where(~F.col("_t")), d.where("_t")
+    mean = train.agg(F.avg("_y")).first()[0]
+    fit = lambda y: GBTRegressor(featuresCol="_x", labelCol=y, predictionCol="_guess", maxIter=rounds, maxDepth=depth, seed=seed).fit(train)
+    errors = fit("_y").transform(held).agg(F.avg(F.abs(F.col("_guess") - F.col("_y"))).alias("model_error"), F.avg(F.abs(F.col("_y") - F.lit(mean))).alias("mean_error"))
+    return errors.join(auc(fit("_l").transform(held).withColumn("_l", F.col("_l").cast("int")), [], "_l", "_guess").select("auc"))
+
+
 def flat_features(values: Sequence[str], mask: str) -> Column:
     """Arrays of equal length, zero where the mask is false, then the mask as numbers, in one array."""
     parts = [F.zip_with(F.col(v), F.col(mask), lambda x, m: F.when(m, x).otherwise(F.lit(0.0))) for v in values]

@@ -69,3 +69,30 @@ def batches(df: DataFrame, source: str, key: str, seed: int, size: int) -> DataF
 
 def folds(key: Column, k: int, salt: str = "fold") -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(salt), key.cast("string"))), 1, 8), 16, 10).cast("bigint"), F.lit(k))
+
+
+def stream(df: DataFrame, source: str, key: str, seed: int, passes: int, size: int, buckets: int = 64) -> DataFrame:
+    """Every row of every pass over its source: pass, place (over all passes) and batch.
+
+    A pass has an order of its own, by a hash of (seed, pass, key). Places are ranks over hash buckets, so no
+    task sorts a whole source. A stream is resumed by ``place >= state``; exposure() counts what was shown.
+    """
+    d = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"))
+    h = salted_order(str(seed), F.concat_ws("|", F.col("pass").cast("string"), F.col(key).cast("string")))
+    d = d.withColumn("_h", h).withColumn("_b", F.floor(F.conv(F.substring("_h", 1, 4), 16, 10).cast("bigint") * buckets / 65536))
+    sizes = d.groupBy(source, "pass", "_b").agg(F.count("*").alias("_n"))
+    before = sizes.select(source, "pass", "_b", (F.sum("_n").over(Window.partitionBy(source).orderBy("pass", "_b")) - F.col("_n")).alias("_before"))
+    d = d.withColumn("_r", F.row_number().over(Window.partitionBy(source, "pass", "_b").orderBy("_h", key)) - 1)
+    d = d.join(before, [source, "pass", "_b"]).withColumn("place", F.col("_r") + F.col("_before"))
+    return d.withColumn("batch", F.floor(F.col("place") / size)).drop("_h", "_b", "_n", "_before", "_r")
+
+
+def exposure(shown: DataFrame, source: str, key: str) -> DataFrame:
+    """(source, shown, distinct, most): rows shown, different ones, and how often the most frequent one was."""
+    return shown.groupBy(source, key).agg(F.count("*").alias("_n")).groupBy(source).agg(F.sum("_n").alias("shown"), F.count("*").alias("distinct_"), F.max("_n").alias("most"))
+
+
+def row_pointers(df: DataFrame, order: Sequence[str], rows: int, by: Sequence[str] = ()) -> DataFrame:
+    """Adds shard and row: where a sample stands if shards of at most ``rows`` samples are filled in order."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+    return df.withColumn("_p", place).withColumns({"shard": F.floor(F.col("_p") / rows), "row": F.col("_p") % rows}).drop("_p")

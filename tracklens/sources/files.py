@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,7 +111,26 @@ def hash_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Rows of JSON lines with a fixed schema, and (file, line) of those that don't parse."""
-    lines = spark.read.text(path).where("trim(value) <> ''").select(F.col("_metadata.file_path").alias("file"), "value")
+    return parse_jsonl(spark.read.text(path).where("trim(value) <> ''").select(F.col("_metadata.file_path").alias("file"), "value"), schema)
+
+
+def parse_jsonl(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """read_jsonl of (file, value)."""
     parsed = lines.withColumn("row", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
     bad = F.col("row").isNull() | F.col("row._bad").isNotNull()
     return parsed.where(~bad).select("file", "row.*").drop("_bad"), parsed.where(bad).select("file", F.col("value").alias("line"))
+
+
+def shard_check(catalog: DataFrame, index: DataFrame, version: str) -> DataFrame:
+    """(file, problem): shards whose manifest (file, rows_, version) doesn't agree with the index (file, rows_), by the first reason."""
+    j = catalog.join(index.select("file", F.col("rows_").alias("_n")), "file", "full_outer")
+    problem = F.when(F.col("_n").isNull(), "not_indexed").when(F.col("rows_").isNull(), "no_manifest").when(F.col("version") != version, "version").when(F.col("rows_") != F.col("_n"), "row_count")
+    return j.select("file", problem.alias("problem")).where("problem is not null")
+
+
+def tracks_of_csv(lines: DataFrame, schema: str, required: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of (file, value) parsed by a schema, and (file, rows_, unparsable): a row counts as unparsable if a required column is null."""
+    row = F.from_csv("value", schema)
+    p = lines.withColumn("row", row).withColumn("_bad", F.greatest(*[F.col(f"row.{c}").isNull().cast("int") for c in required], F.lit(0)) == 1)
+    counts = p.groupBy("file").agg(F.count("*").alias("rows_"), F.count_if("_bad").alias("unparsable"))
+    return p.where(~F.col("_bad")).select("file", "row.*"), counts

@@ -30,7 +30,12 @@ def read_runs(spark: SparkSession, path: str, wanted: Sequence[str], strict: boo
     which is false where the width differs or a wanted cell isn't finite.
     The delimiter is a tab if the name line has one, else a comma. Channels that a file lacks are null.
     """
-    f = _files(spark, path).withColumn("d", F.when(F.get("lines", 2).contains("\t"), "\t").otherwise(","))
+    return parse_runs(_files(spark, path), wanted, strict, units)
+
+
+def parse_runs(files: DataFrame, wanted: Sequence[str], strict: bool = False, units: bool = True) -> DataFrame:
+    """read_runs of (run, lines)."""
+    f = files.withColumn("d", F.when(F.get("lines", 2).contains("\t"), "\t").otherwise(","))
     f = f.withColumn("names", F.split(F.get("lines", 2), F.col("d")))
     rows = f.select("run", "d", "names", F.posexplode(F.slice("lines", 5 if units else 4, F.size("lines"))).alias("seq", "line")).where("trim(line) <> ''")
     rows = rows.withColumn("cells", F.split("line", F.col("d")))
@@ -66,7 +71,12 @@ def inspect(series: DataFrame, key: str, order: str, t: str, declared: str, max_
 
 def read_specs(spark: SparkSession, path: str) -> DataFrame:
     """(run, name, value, types): sidecars; the first value of a name holds, values of Type are gathered in order."""
-    lines = _files(spark, path).select("run", F.posexplode("lines").alias("seq", "line")).where("line like '%=%'")
+    return parse_specs(_files(spark, path))
+
+
+def parse_specs(files: DataFrame) -> DataFrame:
+    """read_specs of (run, lines)."""
+    lines = files.select("run", F.posexplode("lines").alias("seq", "line")).where("line like '%=%'")
     kv = lines.select("run", "seq", F.trim(F.get(F.split("line", "=", 2), 0)).alias("name"), F.trim(F.get(F.split("line", "=", 2), 1)).alias("value"))
     types = kv.where("name = 'Type'").groupBy("run").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"]).alias("types"))
     return kv.groupBy("run", "name").agg(F.min_by("value", "seq").alias("value")).join(types, "run", "left")
