@@ -283,25 +283,22 @@ def slow_scores(rows):
 
     cost = {}
     assert len(order) <= contextmix.SEGMENT
-    for coding in (False, True):
-        for s in range(0, len(order), contextmix.BATCH):
-            up, down, seen = Counter(), Counter(), []
-            for k in order[s : s + contextmix.BATCH]:
-                c = told[k[0], k[1], k[3]]
-                if coding:
-                    cost[k] = sum(math.log10(coded(xs, g)[2]) for xs, g in events(*k, 0)) + spelled[k[3]]
-                for xs, g in events(*k, 1) if c else ():
-                    z, at, _ = coded(xs, g)
-                    q = 1 / (1 + math.exp(-z))
-                    for j in range(3):
-                        up[g, j] += (1 - q) * c * xs[j]
-                        down[g, j] += q * (1 - q) * c * xs[j] ** 2
-                    seen.append((at, c, 1 if z > 0 else 0 if z < 0 else 0.5))
-            for g, j in up:
-                w_[g][j] += 0.2 * max(-2, min(2, up[g, j] / (down[g, j] + 4)))
-            for at, c, y in seen:
-                hit[at] += c * y
-                total[at] += c
+    for step in range(contextmix.WARM + 1):
+        up, down, seen = Counter(), Counter(), []
+        for k in order:
+            c = told[k[0], k[1], k[3]]
+            cost[k] = sum(math.log10(coded(xs, g)[2]) for xs, g in events(*k, 0)) + spelled[k[3]]
+            for xs, g in events(*k, 1) if c else ():
+                z, at, _ = coded(xs, g)
+                q = 1 / (1 + math.exp(-z))
+                for j in range(3):
+                    up[g, j] += (1 - q) * c * xs[j]
+                    down[g, j] += q * (1 - q) * c * xs[j] ** 2
+                seen.append((at, c, 1 if z > 0 else 0 if z < 0 else 0.5))
+        if step == contextmix.WARM:
+            break
+        for g, j in up:
+            w_[g][j] += contextmix.RATE * max(-2, min(2, up[g, j] / (down[g, j] + 4)))
     return {i: sum(cost[a, b, bits(x), x] for a, b, x in contexts(ts)) for i, ts in texts}
 
 
