@@ -92,6 +92,14 @@ def test_token_counts(spark):
     assert got == want
 
 
+def test_token_counts_of_nothing_and_clashing_columns(spark):
+    assert counting.token_counts(spark.createDataFrame([], DOCS), MODEL).count() == 0
+    rows = spark.createDataFrame([(1, "a b", "x", 5), (1, "a b", "y", 6), (None, None, "z", 7)], "doc_id long, text string, n_words string, n_tokens int")
+    got = counting.token_counts(rows, MODEL)
+    assert got.columns == ["doc_id", "n_words", "n_tokens", "n_unknown"]
+    assert sorted((r.doc_id or 0, r.n_words, r.n_tokens) for r in got.collect()) == [(0, 0, 0), (1, 2, 2), (1, 2, 2)]
+
+
 def test_words_and_hashes():
     rng = random.Random(1)
     texts = ["".join(rng.choice("ab \n\tÀ\xa0C") for _ in range(rng.randint(0, 30))) for _ in range(500)] + [None, ""]
@@ -145,6 +153,52 @@ def test_rows_without_letters_take_no_place_in_the_sample(spark):
     assert [b for _, b in got] == [bool(langid.LETTER.search(t)) for t, _ in got]
 
 
+def test_more_families_rare_languages_and_repeated_rows(spark):
+    """Nine languages in three alphabets, one of three rows alone; every row twice."""
+    rng = random.Random(7)
+    alphabets = ["abcdefgh", "ijklmnop", "абвгдежз"]
+    vocabulary = {f"l{k}": ["".join(rng.choice(alphabets[k % 3]) for _ in range(4)) for _ in range(30)] for k in range(9)}
+    rows = [(i, " ".join(rng.choice(vocabulary[x]) for _ in range(80)), x) for i, x in enumerate([f"l{k % 8}" for k in range(320)] + ["l8"] * 3)]
+    held = {i for i, _, x in rows if i % 5 == 0 and x != "l8"}
+    docs = spark.createDataFrame(rows + rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs.where(~F.col("doc_id").isin(*held)))
+    assert len(model.langs) == 9 and len(model.families) == 3
+    assert all(len({int(model.langs[i][1:]) % 3 for i in g}) == 1 for g in model.families)
+    got = langid.predict(docs, model).collect()
+    assert len(got) == 2 * len(rows)
+    right = [r.lang_pred == r.lang for r in got if r.doc_id in held]
+    assert sum(right) / len(right) > 0.95
+    by = {}
+    assert all(by.setdefault(r.doc_id, (r.lang_pred, r.score)) == (r.lang_pred, r.score) for r in got)
+
+
+def votes(model, text):
+    """A prediction again, from the weights, by plain loops."""
+    v = langid.features(text)
+
+    def duel(d):
+        won, total, weakest = [0] * len(d.classes), [0.0] * len(d.classes), [math.inf] * len(d.classes)
+        for (a, b), w_ in zip(d.pairs, d.weights, strict=True):
+            m = sum(float(x) * float(y) for x, y in zip(w_[:-1], v, strict=True)) + float(w_[-1])
+            won[a if m >= 0 else b] += 1
+            total[a], total[b] = total[a] + m, total[b] - m
+            weakest[a], weakest[b] = min(weakest[a], m), min(weakest[b], -m)
+        best = sorted(range(len(won)), key=lambda i: (-won[i], -total[i], i))[0]
+        return best, 1 / (1 + math.exp(-2 * max(-20, min(20, weakest[best])))) if d.pairs else 1.0
+
+    family, a = duel(model.top)
+    lang, b = duel(model.within[family])
+    return model.langs[model.families[family][lang]], a * b
+
+
+def test_votes_equal_plain_loops(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where(F.length("text") < 3000)
+    model = langid.fit(docs)
+    for r in langid.predict(docs, model).orderBy("doc_id").limit(40).collect():
+        lang, score = votes(model, r.text)
+        assert r.lang_pred == lang and r.score == pytest.approx(score, rel=1e-6)
+
+
 def test_features_do_not_depend_on_pieces(monkeypatch):
     text = "Größe und Maß " * 50
     whole = langid.features(text)

@@ -33,6 +33,7 @@ from tracklens.llm.spark import with_fields
 DIM = 1 << 12
 SAMPLE_ROWS = 1600  # bound of the labelled sample that the SVMs are fitted on
 MIN_SAMPLE = 8
+PARTS = 64
 LETTER = re.compile(r"[^\W\d_]")
 SQL_LETTER = r"[\p{L}\p{Nl}\p{No}]"  # the same for Spark
 _FOLD = np.full(256, 32, np.uint32)
@@ -148,7 +149,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     if not langs:
         return Model.fit(np.zeros((0, DIM)), [])
     each = max(MIN_SAMPLE, sample_rows // langs)
-    picked = rows.select("lang", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= each).drop("r")
+    smallest = lambda df, *by: df.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("r") <= each).drop("r")
+    # first in parts of each language, so that one with most rows isn't a single task's
+    picked = smallest(smallest(rows.select("lang", "h").distinct().withColumn("part", F.pmod("h", F.lit(PARTS))), "lang", "part"), "lang").drop("part")
     rows = rows.join(F.broadcast(picked), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])  # at most sample_rows, or MIN_SAMPLE a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
