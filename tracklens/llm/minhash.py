@@ -226,8 +226,7 @@ def _sequence_frame(texts: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """Pairs whose full sets of shingles, as words, have den * intersection >= num * union."""
-    pairs = cut(pairs)
+    """Pairs (of a checkpointed table) whose full sets of shingles, as words, have den * intersection >= num * union."""
     texts = _sequence_frame(_wanted(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), docs, id_col, text_col))
     stars = pairs.groupBy(F.col("a").alias("hot")).agg(F.ceil(F.count("*") / STAR).cast("int").alias("blocks")).where("blocks > 1")
     stars = F.broadcast(stars) if stars.count() <= BROADCAST_IDS else stars
@@ -341,16 +340,17 @@ def _judge(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: i
     buckets = keyed.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1")
     member = cut(keyed.join(buckets, F.col("key") == F.col("k")).select("key", "id", "band", "pivot", "size"))
     tried = member.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = cut(verify(_plausible(tried, reps, num, den), docs, id_col, text_col, k, num, den), PAIR_ROWS)
+    links = cut(verify(cut(_plausible(tried, reps, num, den)), docs, id_col, text_col, k, num, den), PAIR_ROWS)
     found = cut(components(links))
 
     part = F.coalesce("component_id", "i").alias("part")
     left = member.where("size > 2").select("key", F.col("id").alias("i"), "band", "pivot").join(found, F.col("i") == F.col("id"), "left").select("key", "i", "band", "pivot", part)
     mixed = left.groupBy(F.col("key").alias("k")).agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.max(F.when(F.col("i") == F.col("pivot"), F.col("part"))).alias("main")).where("lo <> hi")
     open_ = cut(left.join(mixed, F.col("key") == F.col("k")).select("key", "i", "band", "part", "main"))
-    more = cut(verify(_cross(open_, reps, docs, id_col, text_col, k, num, den), docs, id_col, text_col, k, num, den), PAIR_ROWS)
-    if not more.isEmpty():
-        found = cut(components(links.union(more)))
+    if not open_.isEmpty():
+        crossed = cut(_cross(open_, reps, docs, id_col, text_col, k, num, den))
+        if not crossed.isEmpty():
+            found = cut(components(links.union(cut(verify(crossed, docs, id_col, text_col, k, num, den), PAIR_ROWS))))
 
     names = classes.join(found, F.col("rep") == F.col("id"), "left").select("class", F.coalesce("component_id", "rep").alias("component_id"))
     out = every.select("id", "text_hash", "n", "words").join(names, (F.col("n") > 0) & (F.col("words") == F.col("class")), "left")
