@@ -1,9 +1,12 @@
 """Lanes, neighbours, pulses and episodes on small cases."""
 
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracklens.operators import scenes
+from tracklens.operators import models, scenes, vectors
 from tracklens.plans import episodes
 
 
@@ -45,3 +48,83 @@ def test_braking_distance(spark):
     r = episodes.run(spec).first()
     travelled = 50.0 - r.min_clearance
     assert not r.collision and travelled == pytest.approx(10 * r.first_brake_time + 10.0, abs=0.3)
+
+
+def slow_episode(speed, gap, delay, limit, trigger):
+    """One scenario, step by step."""
+    step, lag = episodes.STEP, max(1, round(delay / episodes.STEP))
+    commands, command, low, first, effort = [], False, gap, None, 0.0
+    for k in range(round(episodes.SECONDS / step)):
+        if k % episodes.DECIDE == 0:
+            command = command or gap / max(speed, 1e-6) < trigger
+        commands.append(command)
+        acting = k >= lag and commands[k - lag]
+        if acting and first is None:
+            first = k * step
+        a = limit if acting else 0.0
+        gap -= max(speed * step - a * step * step / 2, 0)
+        speed = max(speed - a * step, 0)
+        effort += a * step
+        low = min(low, gap)
+        if gap <= 0:
+            return True, speed, low, first, (k + 1) * step, effort
+        if speed <= 0:
+            return False, 0.0, low, first, (k + 1) * step, effort
+    return False, 0.0, low, first, episodes.SECONDS, effort
+
+
+def test_episodes_equal_a_slow_version(spark):
+    specs = episodes.sample(spark, 40, "slow").withColumn("trigger", F.col("scenario") % 4 * 0.9 + 0.2)
+    want = {r.scenario: slow_episode(r.speed, r.gap, r.delay, r["limit"], r.trigger) for r in specs.collect()}
+    for r in episodes.run(specs).collect():
+        hit, speed, low, first, end, effort = want[r.scenario]
+        assert r.collision == hit and r.first_brake_time == pytest.approx(first)
+        assert (r.collision_speed, r.min_clearance, r.elapsed, r.effort) == pytest.approx((speed, low, end, effort))
+    assert len({w[0] for w in want.values()}) == 2
+
+
+def test_search_finds_less_effort_without_collisions(spark):
+    specs = episodes.sample(spark, 12, "find")
+    found = episodes.search(specs, rounds=2, candidates=8)
+    assert found.count() == 12 and found.where("mean < 0.1 or sd < 0.1 or mean > 6").count() == 0
+    rows = lambda d: [x for r in d.orderBy("scenario").collect() for x in (r.mean, r.sd)]
+    assert rows(episodes.search(specs.repartition(3), rounds=2, candidates=8)) == pytest.approx(rows(found))
+
+
+def test_kernel_ridge_equals_its_definition(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(30, 3)), rng.normal(size=30)
+    df = spark.createDataFrame([(i, x[i].tolist(), float(y[i])) for i in range(30)], "i int, v array<double>, y double")
+    got = {r.i: r.prediction for r in models.KernelRidge(alpha=0.7, width=1.3).fit(df.where("i < 20"), "v", "y").predict(df, "v").collect()}
+    k = np.array([[math.exp(-sum((a - b) ** 2 for a, b in zip(p, q, strict=True)) / (2 * 1.3**2)) for q in x[:20]] for p in x])
+    w = np.linalg.inv(k[:20] + 0.7 * np.eye(20)) @ (y[:20] - y[:20].mean())
+    assert [got[i] for i in range(30)] == pytest.approx((y[:20].mean() + k @ w).tolist())
+
+
+def test_projected_trajectories_keep_limits(spark):
+    rng = np.random.default_rng(3)
+    rows = [(t, k, float(x), float(y)) for t in range(4) for k, (x, y) in enumerate(np.cumsum(rng.normal(scale=0.1 if t == 0 else 0.6, size=(15, 2)) * (0.1 if t == 0 else 1), axis=0))]
+    out = models.project(spark.createDataFrame(rows, "t long, k long, x double, y double"), "t", "k", 0.1, 3.0, 20.0).collect()
+    by = {}
+    for r in sorted(out, key=lambda r: (r.t, r.k)):
+        by.setdefault(r.t, []).append((r.x, r.y))
+    for t, p in by.items():
+        v = np.diff(np.array(p), axis=0) / 0.1
+        assert (np.linalg.norm(v, axis=1) <= 3 + 1e-6).all() and (np.linalg.norm(np.diff(v, axis=0), axis=1) <= 2 + 1e-6).all()
+        if t == 0:
+            assert np.allclose(p, [r[2:] for r in rows if r[0] == 0])
+
+
+def test_codebooks_by_spread_starts_and_reseeding(spark):
+    rng = np.random.default_rng(5)
+    centres = np.array([[0, 0], [50, 0], [0, 50], [50, 50]])
+    rows = [(i, "many" if i % 10 else "few", (centres[i % 4] + rng.normal(size=2)).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, s string, v array<double>")
+    book = sorted((r.c for r in vectors.kmeans(df, "v", 4, 4, "seed", "i", balance="s", batch=30).collect()), key=lambda c: (round(c[1] / 50), c[0]))
+    assert np.allclose(book, [[0, 0], [50, 0], [0, 50], [50, 50]], atol=2)
+    whole = vectors.kmeans(df, "v", 4, 1, "seed", "i").collect()
+    near = np.argmin(((np.array([r[2] for r in rows])[:, None] - np.array([r.c for r in whole])[None]) ** 2).sum(2), 1)
+    assert all(np.allclose(whole[t].c, np.mean([r[2] for r, n in zip(rows, near, strict=True) if n == t], axis=0), atol=1e-6) for t in range(4))
+    few = spark.createDataFrame([(i, "s", [float(i % 2), 0.0]) for i in range(9)], "i int, s string, v array<double>")
+    assert sorted(r.c for r in vectors.kmeans(few, "v", 5, 2, "seed", "i").collect()) == [[0.0, 0.0], [1.0, 0.0]]
+    assert vectors.kmeans(few.limit(0), "v", 5, 2, "seed", "i").count() == 0

@@ -119,3 +119,13 @@ def test_json_lines_and_hashes(spark, tmp_path):
     assert sorted((r.id, r.tags, r.spec and r.spec.v) for r in good.collect()) == [(1, ["x"], 2.5), (2, None, None)]
     assert [r.line for r in bad.collect()] == ['{"id": ']
     assert len(files.hash_files(spark, str(tmp_path)).first().sha256) == 64
+
+
+def test_map_features(spark, tmp_path):
+    point = lambda x, y: field(1, 1, struct.pack("<d", x)) + field(2, 1, struct.pack("<d", y))
+    lane = field(1, 1, struct.pack("<d", 25.0)) + field(8, 2, point(1, 2)) + field(8, 2, point(3, 4)) + field(8, 2, field(1, 1, struct.pack("<d", 9.0)))
+    features = [field(1, 0, varint(7)) + field(3, 2, lane), field(1, 0, varint(8)) + field(7, 2, field(2, 2, point(5, 6))), field(8, 2, field(1, 2, point(0, 1))), field(1, 0, varint(9)) + field(4, 2, b""), field(1, 0, varint(10)) + field(9, 2, field(1, 2, point(float("nan"), 1)))]
+    record = field(5, 2, b"case") + b"".join(field(8, 2, f) for f in features)
+    (tmp_path / "a.rec").write_bytes(records.frame(record))
+    got = sorted((r.feature, r.kind, r.ord, r.x, r.y, round(r.speed, 6)) for r in records.read_map_points(spark, str(tmp_path)).collect())
+    assert got == [("7", "lane_center", 0, 1.0, 2.0, 11.176), ("7", "lane_center", 1, 3.0, 4.0, 11.176), ("8", "stop_line", 0, 5.0, 6.0, 0.0), ("unknown", "crosswalk", 0, 0.0, 1.0, 0.0)]

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklens.lineage import cut
+
 
 def ranked(df: DataFrame, group: Sequence[str], order: Sequence, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
@@ -37,7 +39,7 @@ def farthest_first(df: DataFrame, group: str, key: str, vector: str, k: int, sco
     """Greedy max-min choice of k rows a group, beginning with the best score: (group, key, round).
 
     k rounds of an aggregate and a join; each round's distances are to one
-    chosen row a group, so no pairs of rows are made.
+    chosen row a group, so no pairs of rows are made. Every round is cut, or plans would double with each.
     """
     pool = df.select(group, key, F.col(vector).alias("_v"), F.col(score).alias("_s"))
     best = lambda x, o: x.groupBy(group).agg(F.max_by(F.struct(key, "_v"), o).alias("c"))
@@ -47,7 +49,7 @@ def farthest_first(df: DataFrame, group: str, key: str, vector: str, k: int, sco
     for r in range(2, k + 1):
         last = chosen.select(group, F.col(f"c.{key}").alias("_k"), F.col("c._v").alias("_c"))
         gap = F.aggregate(F.zip_with("_v", "_c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
-        pool = pool.join(last, group).where(F.col(key) != F.col("_k")).withColumn("_near", F.least("_near", gap)).drop("_k", "_c")
+        pool = cut(pool.join(last, group).where(F.col(key) != F.col("_k")).withColumn("_near", F.least("_near", gap)).drop("_k", "_c"))
         chosen = best(pool, F.struct("_near", -F.col(key)))
         out = out.union(chosen.select(group, F.col(f"c.{key}").alias(key), F.lit(r).alias("round")))
     return out

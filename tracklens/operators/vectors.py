@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklens.functions.hashing import draw
+
 from tracklens.functions.numbers import col
 
 
@@ -47,16 +49,46 @@ def lloyd_step(df: DataFrame, vector: str, centroids: DataFrame) -> DataFrame:
     return old.join(got, ["token", "k"], "left").select("token", "k", F.coalesce("x", F.col("old").cast("double")).alias("x"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def kmeans(df: DataFrame, vector: str, k: int, rounds: int, seed: str, key: str) -> DataFrame:
-    """Centroids (token, c) after some rounds, from the k rows with the smallest hashes; each round is cut to bounded rows."""
-    v = df.select(key, F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    first = v.orderBy(F.sha2(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")), 256), key).limit(k)
-    book = first.withColumn("token", F.row_number().over(Window.orderBy(key)) - 1).select("token", F.col("v").alias("c"))
+def kmeans(df: DataFrame, vector: str, k: int, rounds: int, seed: str, key: str, balance: str | None = None, batch: int | None = None) -> DataFrame:
+    """Centroids (token, c) by k-means++ and mini-batches; each round is cut to k rows.
+
+    The first centroid is the row with the smallest hash. Each next one is drawn with a probability
+    in proportion to the squared distance to the nearest centroid: the row with the smallest -ln(u) / d2
+    wins, u from a hash, so a draw is one aggregate. A round moves every
+    centroid towards the mean of the rows of its batch, by their share of all rows it has had; one without
+    rows is set anew on the row of the batch that is farthest from its centroid. The batch of a
+    round has the ``batch`` rows with the smallest hashes for each value of balance (all rows if batch is None).
+    """
+    more = [balance] if balance else []
+    v = df.select(key, *more, F.transform(vector, lambda x: x.cast("double")).alias("v"))
     spark = df.sparkSession
-    for _ in range(rounds):
-        new = lloyd_step(v, "v", book).groupBy("token").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("c"))
-        book = spark.createDataFrame(new.collect(), new.schema)  # k rows
-    return book
+    book = lambda c: spark.createDataFrame(list(enumerate(c)), "token int, c array<double>")
+    centroids = [r.v for r in v.orderBy(F.sha2(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")), 256), key).limit(1).collect()]
+    while centroids and len(centroids) < k:
+        u = (draw(F.lit(1_000_000), seed, "init", str(len(centroids)), F.col(key)) + 0.5) / 1e6
+        r = nearest_centroid(v, "v", book(centroids)).where("d2 > 0").withColumn("_e", -F.log(u) / F.col("d2")).agg(F.min_by("v", F.struct("_e", key)).alias("v")).first()
+        if r.v is None:
+            break  # fewer different rows than k
+        centroids.append(r.v)
+    had = [0] * len(centroids)
+    for r in range(rounds if centroids else 0):
+        part = v
+        if batch is not None:
+            order = F.sha2(F.concat_ws("|", F.lit(seed), F.lit(str(r)), F.col(key).cast("string")), 256)
+            part = v.withColumn("_k", F.row_number().over(Window.partitionBy(*more or [F.lit(0)]).orderBy(order, key))).where(F.col("_k") <= batch).drop("_k")
+        near = nearest_centroid(part, "v", book(centroids))
+        sums = near.select("token", F.posexplode("v").alias("k", "x")).groupBy("token", "k").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
+        got = {g.token: g for g in sums.groupBy("token").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("c"), F.max("n").alias("n")).collect()}  # at most k rows
+        empty = [t for t in range(len(centroids)) if t not in got]
+        far = [x.v for x in near.orderBy(F.desc("d2"), key).limit(len(empty)).collect()] if empty else []
+        for t in range(len(centroids)):
+            if t in got:
+                had[t] += got[t].n
+                share = got[t].n / had[t]
+                centroids[t] = [a + share * (b - a) for a, b in zip(centroids[t], got[t].c, strict=True)]
+        for t, x in zip(empty, far, strict=False):
+            centroids[t], had[t] = x, 0
+    return book(centroids)
 
 
 def decode(df: DataFrame, keys: Sequence[str], order: str, dx: str, dy: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklens.functions.hashing import draw
+from tracklens.lineage import cut
 from tracklens.operators.ranking import elite_update
 
 STEP, DECIDE, SECONDS = 0.02, 5, 8.0
@@ -75,5 +76,5 @@ def search(specs: DataFrame, rounds: int = 3, candidates: int = 12, seed: str =
         c = c.withColumn("trigger", F.greatest(F.lit(0.1), F.col("mean") + F.col("sd") * z)).withColumn("scenario_id", F.col("scenario")).withColumn("scenario", F.col("scenario") * candidates + F.col("candidate"))
         scored = run(c).join(c.select("scenario", "scenario_id", "candidate", "trigger", "mean", "sd"), "scenario")
         scored = scored.withColumn("score", -F.col("effort") - F.when(F.col("collision"), 100.0 + F.col("collision_speed")).otherwise(0.0))
-        state = elite_update(scored, ["scenario_id"], [F.desc(F.round("score", 9)), "candidate"], "trigger", F.max("mean"), F.max("sd")).withColumnRenamed("scenario_id", "scenario")
+        state = cut(elite_update(scored, ["scenario_id"], [F.desc(F.round("score", 9)), "candidate"], "trigger", F.max("mean"), F.max("sd")).withColumnRenamed("scenario_id", "scenario"))
     return state

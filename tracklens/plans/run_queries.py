@@ -304,6 +304,28 @@ def q_lane_borders(spark, d):
     return scenes.lanes(maps)
 
 
+_TYPES = ["line_thin", "curbstone", "virtual", "pedestrian_marking", "stop_line", "fence"]
+
+
+@BOOK.add("SELECT p_partkey AS way, CASE p_partkey % 6 WHEN 0 THEN 'lane_boundary' WHEN 1 THEN 'road_boundary' WHEN 2 THEN 'lane_boundary' WHEN 3 THEN 'crosswalk' WHEN 4 THEN CASE WHEN p_size % 2 = 0 THEN 'other' ELSE 'stop_line' END ELSE 'other' END AS kind FROM part")
+def q_way_kinds(spark, d):
+    """Kinds of map lines: parts are ways, some without a type tag."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("way"), "p_size", F.element_at(F.array(*[F.lit(x) for x in _TYPES]), (F.col("p_partkey") % 6 + 1).cast("int")).alias("v"))
+    return files.way_kinds(p.where("not (v = 'stop_line' and p_size % 2 = 0)").select("way", F.lit("type").alias("k"), "v"), p)
+
+
+@BOOK.add("WITH m AS (SELECT c_custkey AS relation, c_nationkey AS ref FROM customer), r AS (SELECT n_nationkey AS ref, CASE WHEN n_nationkey % 3 = 1 THEN (30 + n_nationkey) / 3.6 END AS lim FROM nation WHERE n_nationkey % 3 <> 0) SELECT relation, round(coalesce(max(lim), 0), 9) AS speed FROM m LEFT JOIN r USING (ref) GROUP BY relation")
+def q_lane_speeds(spark, d):
+    """Speed limits of lanes: customers are lanes, nations the rules that they refer to."""
+    cust, nation = table(spark, d, "customer"), table(spark, d, "nation")
+    rule = nation.select((F.col("n_nationkey") + 10_000_000).alias("relation"), F.explode(F.create_map(
+        F.lit("type"), F.lit("regulatory_element"), F.lit("subtype"), F.when(F.col("n_nationkey") % 3 == 0, "right_of_way").otherwise("speed_limit"), F.lit("sign_type"), F.when(F.col("n_nationkey") % 3 == 1, F.concat(F.lit("de"), F.col("n_nationkey") + 30)).otherwise("unknown"),
+    )).alias("k", "v"))
+    lane = cust.select(F.col("c_custkey").alias("relation"), F.lit("type").alias("k"), F.lit("lanelet").alias("v"))
+    member = cust.select(F.col("c_custkey").alias("relation"), F.lit("regulatory_element").alias("role"), (F.col("c_nationkey") + 10_000_000).alias("ref"))
+    return files.lane_speeds(rule.union(lane), member).withColumn("speed", F.round("speed", 9))
+
+
 @BOOK.add()
 def q_boosted_baseline(spark, d):
     """(target, model_error, mean_error, auc): boosted trees against the mean, for prices; and how well a boosted classifier tells returns apart."""

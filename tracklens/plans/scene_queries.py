@@ -133,8 +133,8 @@ def q_interleaved_files(spark, d):
 
 @BOOK.add()
 def q_kmeans_codebook(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return v.kmeans(e, "v", 8, 3, "codebook", "vec_id")
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    return v.kmeans(e, "v", 8, 3, "codebook", "vec_id", balance="label", batch=2000)
 
 
 @BOOK.add()

@@ -315,7 +315,10 @@ def q_top_p(spark, d):
     return r.nucleus(s, ["p_brand"], "p", "p_type", 0.7003).select("p_brand", "p_type", F.col("rank").cast("bigint").alias("rank"))
 
 
-@BOOK.add()
+_NEXT = "c{1} AS (SELECT label, vec_id, v FROM n{0} QUALIFY row_number() OVER (PARTITION BY label ORDER BY near DESC, vec_id) = 1), n{1} AS (SELECT n{0}.vec_id, n{0}.label, n{0}.v, least(n{0}.near, list_distance(n{0}.v, c{1}.v)) AS near FROM n{0} JOIN c{1} ON n{0}.label = c{1}.label WHERE n{0}.vec_id <> c{1}.vec_id)"
+
+
+@BOOK.add("WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, embedding[1] AS s FROM embeddings), c1 AS (SELECT label, vec_id, v FROM e QUALIFY row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) = 1), n1 AS (SELECT e.vec_id, e.label, e.v, list_distance(e.v, c1.v) AS near FROM e JOIN c1 ON e.label = c1.label WHERE e.vec_id <> c1.vec_id), " + ", ".join(_NEXT.format(i, i + 1) for i in (1, 2, 3)) + " " + " UNION ALL ".join(f"SELECT label, vec_id, {i} AS round FROM c{i}" for i in (1, 2, 3, 4)))
 def q_farthest_first(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"), F.element_at("embedding", 1).alias("score"))
     return r.farthest_first(e, "label", "vec_id", "v", 4, "score")

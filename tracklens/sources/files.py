@@ -134,3 +134,28 @@ def tracks_of_csv(lines: DataFrame, schema: str, required: Sequence[str]) -> tup
     p = lines.withColumn("row", row).withColumn("_bad", F.greatest(*[F.col(f"row.{c}").isNull().cast("int") for c in required], F.lit(0)) == 1)
     counts = p.groupBy("file").agg(F.count("*").alias("rows_"), F.count_if("_bad").alias("unparsable"))
     return p.where(~F.col("_bad")).select("file", "row.*"), counts
+
+
+#: Kinds of map lines by the type that their tag gives.
+WAY_KINDS = {"lane_boundary": ("line_thin", "line_thick", "virtual"), "road_boundary": ("curbstone", "guard_rail", "road_border"), "crosswalk": ("pedestrian_marking",), "stop_line": ("stop_line",)}
+
+
+def way_kinds(way_tag: DataFrame, ways: DataFrame) -> DataFrame:
+    """(way, kind) of all ways by their type tag; other where it is none of the known ones."""
+    kind = None
+    for name, types in WAY_KINDS.items():
+        test = F.col("v").isin(*types)
+        kind = F.when(test, name) if kind is None else kind.when(test, name)
+    typed = way_tag.where("k = 'type'").groupBy("way").agg(F.max("v").alias("v"))
+    return ways.select("way").distinct().join(typed, "way", "left").select("way", F.coalesce(kind, F.lit("other")).alias("kind"))
+
+
+def lane_speeds(relation_tag: DataFrame, member: DataFrame) -> DataFrame:
+    """(relation, speed) of lane relations: the largest limit of the rules they refer to, in metres a second; 0 if none.
+
+    A rule is a relation of type regulatory_element and subtype speed_limit, whose sign_type holds km/h.
+    """
+    t = relation_tag.groupBy("relation").agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(k) for k in ("type", "subtype", "sign_type")])
+    rule = t.where("type = 'regulatory_element' and subtype = 'speed_limit'").select(F.col("relation").alias("ref"), (F.regexp_extract("sign_type", r"(\d+(?:\.\d+)?)", 1).try_cast("double") / 3.6).alias("limit"))
+    told = member.where("role = 'regulatory_element'").select("relation", "ref").join(rule, "ref").groupBy("relation").agg(F.max("limit").alias("limit"))
+    return t.where("type = 'lanelet'").select("relation").join(told, "relation", "left").select("relation", F.coalesce("limit", F.lit(0.0)).alias("speed"))
