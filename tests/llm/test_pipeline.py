@@ -109,8 +109,8 @@ def test_a_cluster_needs_a_shared_folder():
 
     import pytest
 
-    from tracklens.llm import spark as base
+    from tracklens import lineage
 
     bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: None))
     with pytest.raises(ValueError, match="checkpoint"):
-        base.shared_dir(bare)
+        lineage.shared_dir(bare)
