@@ -215,3 +215,12 @@ def test_checksums_of_blocks():
     for n in (0, 1, 9, BLOCK - 1, BLOCK, BLOCK + 1, 3 * BLOCK + 5):
         data = rng.randbytes(n)
         assert crc32c(data) == slow(data)
+
+
+@pytest.mark.parametrize("block", [None, 1, 3, 100])
+def test_pairs_in_blocks(spark, block):
+    df = spark.createDataFrame([("x", i) for i in range(17)] + [("y", i) for i in range(4)] + [("z", 0)], "g string, k int")
+    got = [(r.g, r.a, r.b) for r in v.pairs(df, "g", "k", [], block=block).collect()]
+    assert sorted(got) == [(g, a, b) for g, n in (("x", 17), ("y", 4)) for a in range(n) for b in range(a + 1, n)]
+    with pytest.raises(Exception, match="more than 10"):
+        v.pairs(df, "g", "k", [], block=block, most=10).collect()

@@ -83,11 +83,13 @@ def test_chain_and_windows(spark):
     assert [r.asDict() for r in s.contiguous_runs(d.where("x > 0"), "k", "i", 3).collect()] == [{"k": "a", "first": 3, "last": 7, "length": 5}]
 
 
-def test_reverse_sum(spark):
-    x, rate = [1.0, 2.0, 3.0, 4.0], 0.9
+@pytest.mark.parametrize(("n", "rate"), [(4, 0.9), (3000, 0.5), (900, 0.05)])
+def test_reverse_sum(spark, n, rate):
+    """Long series too, where rate**n is 0 in double precision."""
+    x = [float(i % 7) - 2 for i in range(n)]
     want, run = [], 0.0
     for v in reversed(x):
         run = v + rate * run
         want.append(run)
-    got = column(track(spark, range(4), x).withColumn("r", s.discounted_ahead(F.col("x"), F.col("i"), rate, "k", "i")))
-    np.testing.assert_allclose(got, want[::-1])
+    got = column(s.discounted_ahead(track(spark, range(n), x), "x", "i", rate, "k", "r"))
+    np.testing.assert_allclose(got, want[::-1], rtol=1e-9)

@@ -128,10 +128,21 @@ def until_first_success(df: DataFrame, key: Names, order: Names, success: Column
     return df if budget is None else df.where(F.col("attempt") <= budget)
 
 
-def discounted_ahead(delta: Column, step: Column, rate: float, key: Names, order: Names) -> Column:
-    """sum over k >= 0 of rate**k * delta at k steps ahead, by rescaled suffix sums; for series short enough that rate**-n is finite."""
-    scaled = F.sum(delta * F.pow(F.lit(rate), step)).over(by(key, order).rowsBetween(0, Window.unboundedFollowing))
-    return scaled / F.pow(F.lit(rate), step)
+def discounted_ahead(df: DataFrame, delta: str, step: str, rate: float, key: Names, name: str) -> DataFrame:
+    """Adds name: the sum over k >= 0 of rate**k * delta at k steps ahead; step counts a key's rows without gaps, 0 < rate < 1.
+
+    Suffix sums are rescaled inside blocks of steps so long that rate**block is about 1e-120, and a row adds what the two
+    blocks ahead are worth; all beyond is below what doubles hold. So series may be of any length.
+    """
+    keys, block = _list(key), max(1, int(-276 / math.log(rate)))
+    power = lambda n: F.pow(F.lit(rate), n)
+    d = df.withColumn("_b", F.floor(F.col(step) / block)).withColumn("_o", F.col(step) - F.col("_b") * block)
+    d = d.withColumn("_local", F.sum(F.col(delta) * power(F.col("_o"))).over(by([*keys, "_b"], step).rowsBetween(0, Window.unboundedFollowing)) / power(F.col("_o")))
+    heads = d.groupBy(*keys, "_b").agg(F.min_by(F.col("_local") * power(F.col("_o")), step).alias("_head"))  # worth at the start of the block
+    for k in (1, 2):
+        d = d.join(heads.select(*keys, (F.col("_b") - k).alias("_b"), F.col("_head").alias(f"_next{k}")), [*keys, "_b"], "left")
+    ahead = F.coalesce("_next1", F.lit(0.0)) + power(F.lit(block)) * F.coalesce("_next2", F.lit(0.0))
+    return d.withColumn(name, F.col("_local") + power(block - F.col("_o")) * ahead).drop("_b", "_o", "_local", "_next1", "_next2")
 
 
 def as_of(df: DataFrame, key: Names, order: Names, t: str, seen: Column, values: Sequence[str], stale: float) -> DataFrame:

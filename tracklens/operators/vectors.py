@@ -97,15 +97,31 @@ def decode(df: DataFrame, keys: Sequence[str], order: str, dx: str, dy: str) ->
     return df.withColumns({"x": F.sum(dx).over(w), "y": F.sum(dy).over(w)})
 
 
-def pairs(df: DataFrame, group: str, key: str, columns: Sequence[str]) -> DataFrame:
-    """Unordered pairs inside groups that a contract keeps small (candidates of a scene, heads of a model): (group, a, b, <c>_a, <c>_b)."""
-    side = lambda s: df.select(group, F.col(key).alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns])
-    return side("a").join(side("b"), group).where("a < b")
+def pairs(df: DataFrame, group: str, key: str, columns: Sequence[str], block: int | None = None, most: int = 20_000) -> DataFrame:
+    """Unordered pairs inside groups that a contract keeps small (candidates of a scene, heads of a model): (group, a, b, <c>_a, <c>_b).
+
+    A group of more than ``most`` rows is an error when the rows are computed. block: groups are dealt into blocks of so
+    many rows and every pair of blocks is joined on its own, so a few large groups are many tasks' work.
+    """
+    n = F.count("*").over(Window.partitionBy(group))
+    d = df.withColumn("_n", n).where(F.when(F.col("_n") > most, F.raise_error(F.concat(F.lit(f"a group of more than {most} rows: "), F.col("_n").cast("string"))).cast("boolean")).otherwise(True))
+    on = [group]
+    if block is not None:
+        blocks = F.ceil(F.col("_n") / block)
+        d = d.withColumn("_own", F.pmod(F.xxhash64(key), blocks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+        d = d.withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")})
+        on += ["_i", "_j"]
+    own = ["_own"] if block is not None else []
+    side = lambda s: d.select(*on, *[F.col(c).alias(f"{c}{s}") for c in own], F.col(key).alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns])
+    p = side("a").join(side("b"), on).where("a < b")
+    if block is not None:
+        p = p.where("_owna <> _ownb or _i = _j").drop("_i", "_j", "_owna", "_ownb")
+    return p
 
 
 def medoid(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:
     """The member with the smallest summed distance to the others of its group."""
-    p = pairs(df, group, key, [vector]).withColumn("d", F.sqrt(squared_distance(f"{vector}_a", f"{vector}_b")))
+    p = pairs(df, group, key, [vector], block=256).withColumn("d", F.sqrt(squared_distance(f"{vector}_a", f"{vector}_b")))
     both = p.select(group, F.col("a").alias(key), "d").union(p.select(group, F.col("b"), "d"))
     return both.groupBy(group, key).agg(F.sum("d").alias("total")).groupBy(group).agg(F.min(F.struct(F.round("total", 6).alias("total"), key)).alias("_m")).select(group, f"_m.{key}", "_m.total")
 

@@ -175,14 +175,14 @@ def vectors(spark, d):
 
 @BOOK.add(_VEC + ", m AS (SELECT label, quantile_cont(d, 0.5) AS h FROM pr GROUP BY label) SELECT pr.label, round(avg(exp(-d * d / (2 * h * h))), 6) AS kernel_mean, round(any_value(h), 6) AS width FROM pr JOIN m USING (label) GROUP BY pr.label")
 def q_kernel(spark, d):
-    p = v.pairs(vectors(spark, d), "label", "vec_id", ["v"]).withColumn("d2", v.squared_distance("v_a", "v_b"))
+    p = v.pairs(vectors(spark, d), "label", "vec_id", ["v"], block=256).withColumn("d2", v.squared_distance("v_a", "v_b"))
     p = p.withColumn("h", F.percentile(F.sqrt("d2"), 0.5).over(Window.partitionBy("label")))
     return p.groupBy("label").agg(F.round(F.avg(F.exp(-F.col("d2") / (2 * F.col("h") * F.col("h")))), 6).alias("kernel_mean"), F.round(F.max("h"), 6).alias("width"))
 
 
 @BOOK.add(_VEC + "SELECT label, round(avg(d), 6) AS diversity, count(*) AS pairs, count(*) FILTER (d < 0.2) AS close_pairs FROM pr GROUP BY label")
 def q_diversity(spark, d):
-    p = v.pairs(vectors(spark, d), "label", "vec_id", ["v"]).withColumn("d", F.sqrt(v.squared_distance("v_a", "v_b")))
+    p = v.pairs(vectors(spark, d), "label", "vec_id", ["v"], block=256).withColumn("d", F.sqrt(v.squared_distance("v_a", "v_b")))
     return p.groupBy("label").agg(F.round(F.avg("d"), 6).alias("diversity"), F.count("*").alias("pairs"), F.count_if(F.col("d") < 0.2).alias("close_pairs"))
 
 

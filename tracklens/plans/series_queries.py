@@ -337,7 +337,7 @@ SELECT a.user_id, a.i, round(sum(b.delta * pow(0.855, b.i - a.i)), 9) AS advanta
 def q_reverse_discount(spark, d):
     e, w = numbered(spark, d), s.by("user_id", "i")
     e = e.withColumn("delta", F.col("value") / 97 + 0.9 * F.coalesce(F.lead("value").over(w), F.lit(0.0)) / 89 - F.col("value") / 83)
-    return e.select("user_id", "i", F.round(s.discounted_ahead(F.col("delta"), F.col("i"), 0.855, "user_id", "i"), 9).alias("advantage"))
+    return s.discounted_ahead(e, "delta", "i", 0.855, "user_id", "advantage").select("user_id", "i", F.round("advantage", 9).alias("advantage"))
 
 
 @BOOK.add(_E + """SELECT user_id, min(CASE WHEN event_type = 'click' THEN t END) - min(CASE WHEN event_type = 'view' THEN t END) AS view_to_click, min(CASE WHEN event_type = 'purchase' THEN t END) - min(CASE WHEN event_type = 'click' THEN t END) AS click_to_purchase FROM e GROUP BY user_id""")

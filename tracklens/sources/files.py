@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracklens.lineage import cut
 from tracklens.operators.sets import union_all
 
 
@@ -45,7 +46,7 @@ def read_csv_auto(spark: SparkSession, path: str) -> DataFrame:
                 rows = [[(k, v or "") for k, v in r.items() if k is not None] for r in csv.DictReader(io.StringIO(text))]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.map_(pa.string(), pa.string()))], names=["file", "row", "cells"])
 
-    cells = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, row long, cells map<string,string>")
+    cells = cut(spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, row long, cells map<string,string>"))  # parsed once
     names = sorted(r[0] for r in cells.select(F.explode(F.map_keys("cells"))).distinct().collect())
     return cells.select("file", "row", *[F.col("cells")[n].alias(n) for n in names])
 
