@@ -129,3 +129,18 @@ def test_map_features(spark, tmp_path):
     (tmp_path / "a.rec").write_bytes(records.frame(record))
     got = sorted((r.feature, r.kind, r.ord, r.x, r.y, round(r.speed, 6)) for r in records.read_map_points(spark, str(tmp_path)).collect())
     assert got == [("7", "lane_center", 0, 1.0, 2.0, 11.176), ("7", "lane_center", 1, 3.0, 4.0, 11.176), ("8", "stop_line", 0, 5.0, 6.0, 0.0), ("unknown", "crosswalk", 0, 0.0, 1.0, 0.0)]
+
+
+def test_archives_of_arrays(spark, tmp_path):
+    import numpy as np
+
+    np.savez(tmp_path / "a.npz", x=np.arange(6.0).reshape(2, 3), n=np.array([7], np.int32))
+    got = sorted((r.name, r.shape, r.kind, r["values"]) for r in files.read_npz(spark, str(tmp_path / "*.npz")).collect())
+    assert got == [("n", [1], "int32", [7.0]), ("x", [2, 3], "float64", [0.0, 1.0, 2.0, 3.0, 4.0, 5.0])]
+
+
+def test_csv_with_a_mark_by_groups(spark, tmp_path):
+    a, b = spark.createDataFrame([("x", 1)], "g string, n int"), spark.createDataFrame([("y", "é")], "g string, t string")
+    files.write_csv(str(tmp_path / "c"), a, b, by=["g"])
+    raw = {p.parent.name: p.read_bytes() for p in (tmp_path / "c").rglob("*.csv")}
+    assert set(raw) == {"g=x", "g=y"} and all(r.startswith(b"\xef\xbb\xbfn,t") for r in raw.values())

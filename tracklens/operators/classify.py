@@ -129,3 +129,9 @@ def light(text: str | Column) -> Column:
 def mapping_status(label: Column, context: Column, sounds: Sequence[str]) -> Column:
     """What a mapped channel means: by its own label, by its run's context, or not confirmed."""
     return ordered([(F.lower(label).rlike("|".join(sounds)), "by_label"), (context, "by_context")], "unconfirmed")
+
+
+def varying(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, kinds) of the columns that hold more than one value; null counts as one. One aggregate, no distinct counts."""
+    two = [F.struct(F.lit(c).alias("column"), (F.min(F.col(c).cast("string")).eqNullSafe(F.max(F.col(c).cast("string"))) & ((F.count(c) == 0) | (F.count(c) == F.count("*")))).alias("same")) for c in columns]
+    return df.agg(F.array(*two).alias("a")).select(F.explode("a").alias("x")).where("not x.same").select("x.column")

@@ -143,6 +143,12 @@ def variance_parts(df: DataFrame, group: str, x: str) -> DataFrame:
     return t.select(within.alias("within"), between.alias("between"), (between / (within + between)).alias("icc"))
 
 
+def variance_variants(df: DataFrame, group: str, x: str) -> DataFrame:
+    """within and between with every group of equal weight, and their roots (spread inside a group, of the groups' means)."""
+    g = df.groupBy(group).agg(F.avg(x).alias("m"), F.var_pop(x).alias("v"))
+    return g.agg(F.avg("v").alias("within"), F.var_pop("m").alias("between"), F.sqrt(F.avg("v")).alias("rms_within"), F.stddev_pop("m").alias("rms_between"))
+
+
 def ridge(df: DataFrame, features: Sequence[str], target: str, alpha: float) -> dict[str, float]:
     """Weights and intercept of ridge regression: the Gram matrix is one aggregate, the small system is solved on the driver."""
     import numpy as np

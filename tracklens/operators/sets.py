@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def union_all(*frames: DataFrame) -> DataFrame:
@@ -30,3 +31,26 @@ def leaf_diff(a: DataFrame, b: DataFrame, key: str, fields: Sequence[str], ignor
     wide = lambda d, side: d.select(key, *[F.col(f).cast("string").alias(f) for f in fields if f not in ignore]).unpivot([key], [f for f in fields if f not in ignore], "path", side)
     j = wide(a, "left").join(wide(b, "right"), [key, "path"], "full_outer")
     return j.where(~F.col("left").eqNullSafe(F.col("right")))
+
+
+def leaves(schema: StructType, prefix: str = "") -> list[str]:
+    """Dotted paths of all fields of a schema that are no structs."""
+    out = []
+    for f in schema.fields:
+        path = f"{prefix}{f.name}"
+        out += leaves(f.dataType, f"{path}.") if isinstance(f.dataType, StructType) else [path]
+    return out
+
+
+def nested_diff(a: DataFrame, b: DataFrame, key: str, ignore: Sequence[str] = ()) -> DataFrame:
+    """leaf_diff of all leaves of nested tables; paths in ignore, and all below them, are left out."""
+    skipped = lambda p: any(p == i or p.startswith(f"{i}.") for i in (*ignore, key))
+    paths = sorted(p for p in {*leaves(a.schema), *leaves(b.schema)} if not skipped(p))
+
+    def wide(d: DataFrame, side: str) -> DataFrame:
+        have = set(leaves(d.schema))
+        cells = F.array(*[F.struct(F.lit(p).alias("path"), (F.col(p).cast("string") if p in have else F.lit(None).cast("string")).alias("x")) for p in paths])
+        return d.select(key, F.explode(cells).alias("c")).select(key, "c.path", F.col("c.x").alias(side))
+
+    j = wide(a, "left").join(wide(b, "right"), [key, "path"], "full_outer")
+    return j.where(~F.col("left").eqNullSafe(F.col("right")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracklens.functions.hashing import draw
 
-from tracklens.functions.numbers import col
+from tracklens.functions.numbers import col, into_frame
 
 
 def squared_distance(a: str | Column, b: str | Column) -> Column:
@@ -139,6 +139,14 @@ def clearance(cx, cy, c_yaw, c_len, c_wid, ox, oy, o_yaw, o_len, o_wid) -> Colum
     return F.greatest(*out)
 
 
+def clearance_circle(cx, cy, yaw, length, width, ox, oy, radius) -> Column:
+    """Separation of an oriented box and a circle: distance of the centre to the box less the radius; negative where they overlap."""
+    u, v = into_frame(ox, oy, cx, cy, yaw)
+    du, dv = F.abs(u) - col(length) / 2, F.abs(v) - col(width) / 2
+    outside = F.hypot(F.greatest(du, F.lit(0.0)), F.greatest(dv, F.lit(0.0)))
+    return outside + F.least(F.greatest(du, dv), F.lit(0.0)) - col(radius)
+
+
 def blocks_view(x1, y1, x2, y2, bx, by, length, width, inflate: float = 0.0, closed: bool = True) -> Column:
     """Whether an axis-aligned box around (bx, by) meets the segment from 1 to 2: the slab test."""
     t_low, t_high, parallel_out = [], [], F.lit(False)

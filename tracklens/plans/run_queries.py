@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracklens.functions import hashing as hs
 from tracklens.functions import numbers as nb
+from tracklens.lineage import shared_dir
 from tracklens.operators import classify as c
 from tracklens.operators import contracts as k
+from tracklens.operators import inference as x
 from tracklens.operators import models, scenes, sets
 from tracklens.operators import sampling as sm
+from tracklens.operators import vectors as v
 from tracklens.plans import episodes
 from tracklens.plans import series_queries as sq
 from tracklens.plans.base import Book, table
-from tracklens.sources import files, runs
+from tracklens.sources import files, records, runs
 
 BOOK = Book()
 
@@ -304,6 +309,91 @@ def q_lane_borders(spark, d):
     return scenes.lanes(maps)
 
 
+@BOOK.add("SELECT source AS file, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ordinal, octet_length(encode(text)) AS bytes, sha256(text) AS sha FROM documents")
+def q_record_round_trip(spark, d):
+    """Texts as records of a file a source: framed with checksums, joined, split and checked again."""
+    t = records.frames(table(spark, d, "documents").select("source", "doc_id", F.col("text").cast("binary").alias("b")), "b", "f")
+    whole = t.groupBy(F.col("source").alias("file")).agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "f"))), lambda x: F.hex(x["f"])).alias("f"))
+    got = records.parse_records(whole.select("file", F.unhex(F.array_join("f", "")).alias("content")))
+    return got.select("file", "ordinal", F.octet_length("record").alias("bytes"), F.sha2("record", 256).alias("sha"))
+
+
+@BOOK.add("SELECT 'customer' AS kind, c_custkey::VARCHAR AS id, c_name AS name, '' AS nation FROM customer UNION ALL SELECT 'supplier', s_suppkey::VARCHAR, '', s_nationkey::VARCHAR FROM supplier")
+def q_csv_round_trip(spark, d):
+    """Two sources in one CSV data set with a byte-order mark, read again by trial of encodings; what a source lacks is empty."""
+    a = table(spark, d, "customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    b = table(spark, d, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"))
+    out = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    files.write_csv(out, a, b)
+    return files.read_csv_auto(spark, f"{out}/*.csv").select("kind", "id", "name", "nation")
+
+
+@BOOK.add("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, doc_id, sha256(text) AS sha FROM documents")
+def q_input_order(spark, d):
+    """Inputs hashed wherever they are, told in the order of the input list."""
+    t = table(spark, d, "documents")
+    return x.ranked(t.select("doc_id", F.sha2("text", 256).alias("sha")), [], F.col("doc_id").cast("double"), ["doc_id"], "ord").withColumn("ord", F.col("ord") - 1)
+
+
+@BOOK.add("SELECT unnest(['p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice']) AS \"column\"")
+def q_varying_columns(spark, d):
+    p = table(spark, d, "part").withColumns({"fixed": F.lit("x"), "nothing": F.lit(None).cast("string")})
+    return c.varying(p, ["p_name", "p_brand", "fixed", "p_type", "p_size", "nothing", "p_retailprice"])
+
+
+@BOOK.add("SELECT o_orderkey, list_contains(s, 'ship') AS ships, list_contains(s, 'audit') AS audits, len(s) AS stages FROM (SELECT o_orderkey, list_filter(['read', CASE WHEN o_orderstatus = 'F' THEN 'ship' END, CASE WHEN o_totalprice > 100000 THEN 'audit' END], lambda x: x IS NOT NULL) AS s FROM orders)")
+def q_stage_selection(spark, d):
+    """Which stages of a plan run, by membership in an array."""
+    s = F.array_compact(F.array(F.lit("read"), F.when(F.col("o_orderstatus") == "F", "ship"), F.when(F.col("o_totalprice") > 100000, "audit")))
+    return table(spark, d, "orders").withColumn("s", s).select("o_orderkey", F.array_contains("s", "ship").alias("ships"), F.array_contains("s", "audit").alias("audits"), F.size("s").alias("stages"))
+
+
+@BOOK.add("WITH g AS (SELECT l_suppkey, avg(l_quantity) AS m, var_pop(l_quantity) AS v FROM lineitem GROUP BY l_suppkey) SELECT round(avg(v), 6) AS within, round(var_pop(m), 6) AS between, round(sqrt(avg(v)), 6) AS rms_within, round(stddev_pop(m), 6) AS rms_between FROM g")
+def q_variance_variants(spark, d):
+    return x.variance_variants(table(spark, d, "lineitem"), "l_suppkey", "l_quantity").select(*[F.round(k_, 6).alias(k_) for k_ in ("within", "between", "rms_within", "rms_between")])
+
+
+@BOOK.add("""WITH s AS (SELECT vec_id, embedding[1]::DOUBLE * 40 AS x, embedding[2]::DOUBLE * 40 AS y, label * 0.4 AS yaw FROM embeddings), f AS (SELECT vec_id, abs((3 - x) * cos(yaw) + (1 - y) * sin(yaw)) - 2 AS du, abs((1 - y) * cos(yaw) - (3 - x) * sin(yaw)) - 1 AS dv FROM s)
+SELECT vec_id, round(sqrt(greatest(du, 0) ** 2 + greatest(dv, 0) ** 2) + least(greatest(du, dv), 0) - 0.5, 6) AS clearance FROM f""")
+def q_circle_clearance(spark, d):
+    """Boxes against a round obstacle at (3, 1)."""
+    s = table(spark, d, "embeddings").select("vec_id", (F.get("embedding", 0).cast("double") * 40).alias("x"), (F.get("embedding", 1).cast("double") * 40).alias("y"), (F.col("label") * 0.4).alias("yaw"))
+    return s.select("vec_id", F.round(v.clearance_circle("x", "y", "yaw", F.lit(4.0), F.lit(2.0), F.lit(3.0), F.lit(1.0), F.lit(0.5)), 6).alias("clearance"))
+
+
+@BOOK.add("""WITH l AS (SELECT c_custkey, 'spec.segment' AS path, c_mktsegment AS "left", CASE WHEN c_custkey % 70 = 0 THEN c_mktsegment || '!' ELSE c_mktsegment END AS "right" FROM customer UNION ALL SELECT c_custkey, 'spec.name.text', c_name, CASE WHEN c_custkey % 50 <> 0 THEN c_name END FROM customer UNION ALL SELECT c_custkey, 'more', NULL, 'new' FROM customer WHERE c_custkey % 40 = 0) SELECT * FROM l WHERE "left" IS DISTINCT FROM "right" """)
+def q_nested_diff(spark, d):
+    t = table(spark, d, "customer")
+    nest = lambda name, segment: F.struct(segment.alias("segment"), F.struct(name.alias("text"), F.col("c_acctbal").alias("noise")).alias("name"))
+    a = t.select("c_custkey", nest(F.col("c_name"), F.col("c_mktsegment")).alias("spec"))
+    b = t.select("c_custkey", nest(F.when(F.col("c_custkey") % 50 != 0, F.col("c_name")), F.concat("c_mktsegment", F.when(F.col("c_custkey") % 70 == 0, "!").otherwise(""))).alias("spec"), F.when(F.col("c_custkey") % 40 == 0, "new").alias("more"))
+    return sets.nested_diff(a, b, "c_custkey", ignore=["spec.name.noise"])
+
+
+@BOOK.add("""WITH l AS (SELECT l_orderkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS i FROM lineitem), g AS (SELECT l_orderkey, list({i: i, c: l_linenumber} ORDER BY i) FILTER (l_returnflag = 'R') AS picks, count(*) AS n FROM l GROUP BY l_orderkey)
+SELECT c.c AS candidate, count(*) AS picked, round(count(*) / sum(count(*)) OVER (), 6) AS density, round(avg(i), 6) AS mean_place FROM (SELECT unnest(picks) AS c, (unnest(picks)).i AS i FROM g) GROUP BY c.c""")
+def q_candidate_histogram(spark, d):
+    """How often each candidate was chosen, from nested lists of choices a condition."""
+    from tracklens.plans.table_queries import attempts
+
+    l = attempts(spark, d)
+    g = l.groupBy("l_orderkey").agg(F.collect_list(F.when(F.col("l_returnflag") == "R", F.struct((F.col("attempt") - 1).alias("i"), F.col("l_linenumber").alias("c")))).alias("picks"))
+    h = g.select(F.explode("picks").alias("p")).groupBy(F.col("p.c").alias("candidate")).agg(F.count("*").alias("picked"), F.round(F.avg("p.i"), 6).alias("mean_place"))
+    total = h.agg(F.sum("picked").alias("_total"))
+    return h.join(F.broadcast(total)).select("candidate", "picked", F.round(F.col("picked") / F.col("_total"), 6).alias("density"), "mean_place")  # one row
+
+
+@BOOK.add("""SELECT (SELECT count(*) FROM documents) AS rows_, (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1)) AS repeated_ids, (SELECT count(*) FROM documents WHERE text IS NULL OR n_chars <> length(text)) AS wrong_sizes,
+(SELECT count(*) FROM (SELECT sha256(text) AS s FROM documents WHERE doc_id % 5 = 0 INTERSECT SELECT sha256(text) FROM documents WHERE doc_id % 5 <> 0)) AS leaks, (SELECT count(*) FROM (SELECT source FROM documents GROUP BY source HAVING count(DISTINCT doc_id % 5 = 0) > 1)) AS shared_groups""")
+def q_dataset_verification(spark, d):
+    """A data set's checks in one row: sizes, repeated ids, texts and groups on both sides of a split."""
+    t = table(spark, d, "documents").select("doc_id", "source", "n_chars", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha"), (F.col("doc_id") % 5 == 0).alias("held"))
+    both = lambda key: t.groupBy(key).agg(F.bool_or("held").alias("a"), F.bool_or(~F.col("held")).alias("b")).agg(F.count_if(F.col("a") & F.col("b")).alias("n"))
+    sums = t.agg(F.count("*").alias("rows_"), F.count_if(F.col("chars").isNull() | (F.col("n_chars") != F.col("chars"))).alias("wrong_sizes"))
+    ids = t.groupBy("doc_id").agg(F.count("*").alias("c")).agg(F.count_if(F.col("c") > 1).alias("repeated_ids"))
+    return sums.join(ids).join(both("sha").withColumnRenamed("n", "leaks")).join(both("source").withColumnRenamed("n", "shared_groups"))  # single rows
+
+
 _TYPES = ["line_thin", "curbstone", "virtual", "pedestrian_marking", "stop_line", "fence"]
 
 

@@ -51,9 +51,17 @@ def read_csv_auto(spark: SparkSession, path: str) -> DataFrame:
     return cells.select("file", "row", *[F.col("cells")[n].alias(n) for n in names])
 
 
-def write_csv(path: str, *frames: DataFrame) -> None:
-    """One CSV data set with a header from frames whose columns may differ."""
-    union_all(*frames).write.mode("overwrite").csv(path, header=True, encoding="UTF-8")
+def write_csv(path: str, *frames: DataFrame, mark: bool = True, by: Sequence[str] = ()) -> None:
+    """One CSV data set with a header from frames whose columns may differ, in the order in which they first appear.
+
+    mark: every file begins with the UTF-8 byte-order mark, as part of its header. by: a folder for each group.
+    """
+    every = union_all(*frames)
+    first = next(c for c in every.columns if c not in by)
+    if mark:
+        every = every.select(first, *[c for c in every.columns if c != first]).withColumnRenamed(first, f"\ufeff{first}")
+    writer = every.write.mode("overwrite")
+    (writer.partitionBy(*by) if by else writer).csv(path, header=True, encoding="UTF-8")
 
 
 def write_shards(df: DataFrame, path: str, partitions: tuple[str, ...] = ("source", "split"), rows: int = 4096) -> None:
@@ -160,3 +168,21 @@ def lane_speeds(relation_tag: DataFrame, member: DataFrame) -> DataFrame:
     rule = t.where("type = 'regulatory_element' and subtype = 'speed_limit'").select(F.col("relation").alias("ref"), (F.regexp_extract("sign_type", r"(\d+(?:\.\d+)?)", 1).try_cast("double") / 3.6).alias("limit"))
     told = member.where("role = 'regulatory_element'").select("relation", "ref").join(rule, "ref").groupBy("relation").agg(F.max("limit").alias("limit"))
     return t.where("type = 'lanelet'").select("relation").join(told, "relation", "left").select("relation", F.coalesce("limit", F.lit(0.0)).alias("speed"))
+
+
+def read_npz(spark: SparkSession, path: str) -> DataFrame:
+    """(file, name, shape, kind, values) of every numeric array in NumPy archives; objects are refused."""
+    import io
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                with np.load(io.BytesIO(data.as_py()), allow_pickle=False) as z:
+                    got = [(k, z[k]) for k in sorted(z.files)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(got)), pa.array([k for k, _ in got], pa.string()), pa.array([list(x.shape) for _, x in got], pa.list_(pa.int64())), pa.array([str(x.dtype) for _, x in got], pa.string()), pa.array([x.astype(float).reshape(-1).tolist() for _, x in got], pa.list_(pa.float64()))], names=["file", "name", "shape", "kind", "values"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, name string, shape array<long>, kind string, values array<double>")
