@@ -18,7 +18,8 @@ the Jaccard similarity of their sets is at least num/den, by exact integers.
 3. Pairs are tried by size, then by the similarity that their registers
    estimate, corrected for chance collisions of registers (six standard
    deviations below the threshold still pass), and then verified on the full sets of
-   shingles, as words. The members of a large star are dealt out in blocks of STAR, each with a
+   shingles, as words: first every member against one pivot, then the pairs that no link has
+   joined yet. The members of a large star are dealt out in blocks of STAR, each with a
    copy of the pivot's text, so no task gathers a star.
 4. Links become components. Buckets whose members are still in different
    components are dealt out in blocks; members of different components are
@@ -306,6 +307,19 @@ def _cross(open_: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text
     return d.select("key", "bi", "bj", "own", "i", "part", "n", "band", "regs", "s").groupBy("key", "bi", "bj").applyInArrow(run, "a long, b long").distinct()
 
 
+def _roots(links: DataFrame) -> DataFrame:
+    """(id, component_id) of links (a, b) in which every b has one smaller a: pointers are doubled until all stand at roots."""
+    p = cut(links.select(F.col("b").alias("id"), F.col("a").alias("component_id")))
+    while True:
+        up = p.select(F.col("id").alias("u"), F.col("component_id").alias("over"))
+        p = cut(p.join(up, F.col("component_id") == F.col("u"), "left").select("id", F.coalesce("over", "component_id").alias("component_id"), F.col("over").isNotNull().alias("moved")))
+        if p.where("moved").isEmpty():
+            break
+        p = p.drop("moved")
+    p = p.drop("moved")
+    return p.union(p.select("component_id", "component_id").distinct())
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, num: int = 85, den: int = 100) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every document."""
     return _judge(docs, id_col, text_col, k, num, den).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
@@ -340,8 +354,17 @@ def _judge(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: i
     buckets = keyed.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1")
     member = cut(keyed.join(buckets, F.col("key") == F.col("k")).select("key", "id", "band", "pivot", "size"))
     tried = member.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = cut(verify(cut(_plausible(tried, reps, num, den)), docs, id_col, text_col, k, num, den), PAIR_ROWS)
-    found = cut(components(links))
+    # first each member against one pivot, the smallest; then only pairs that are still in different trees
+    first = tried.groupBy(F.col("b").alias("m")).agg(F.min("a").alias("p"))
+    check = lambda p: cut(verify(cut(_plausible(p, reps, num, den)), docs, id_col, text_col, k, num, den), PAIR_ROWS)
+    links = check(first.select(F.col("p").alias("a"), F.col("m").alias("b")))
+    found = _roots(links)
+    root = lambda x: found.select(F.col("id").alias(f"i{x}"), F.col("component_id").alias(f"c{x}"))
+    rest = tried.join(first, F.col("b") == F.col("m")).where("a <> p").join(root("a"), F.col("a") == F.col("ia"), "left").join(root("b"), F.col("b") == F.col("ib"), "left")
+    more = check(rest.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"))
+    if not more.isEmpty():
+        links = links.union(more)
+        found = cut(components(links))
 
     part = F.coalesce("component_id", "i").alias("part")
     left = member.where("size > 2").select("key", F.col("id").alias("i"), "band", "pivot").join(found, F.col("i") == F.col("id"), "left").select("key", "i", "band", "pivot", part)
