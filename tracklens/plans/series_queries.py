@@ -102,14 +102,13 @@ ev AS (SELECT bk.user_id, bk.onset, bk.drop_, bk.start, coalesce(min(b.i), bk.on
 
 def event_windows(e: DataFrame) -> DataFrame:
     """(user_id, onset, drop_, start, stop): the sustained start with the largest drop ahead, extended back to the last low value."""
-    starts = s.event_starts(e, "user_id", "i", F.col("value") > 10, 3).select("user_id", "i")
     ahead = s.by("user_id", "i").rowsBetween(0, 9)
     e = e.withColumns({
         "drop_": F.max("value").over(ahead) - F.min("value").over(ahead),
         "low": F.last(F.when(F.col("value") <= 5, F.col("i")), ignorenulls=True).over(s.by("user_id", "i").rowsBetween(Window.unboundedPreceding, -1)),
         "stop": F.first(F.when(F.col("value") < 1, F.col("i")), ignorenulls=True).over(s.by("user_id", "i").rowsBetween(0, 14)),
     })
-    c = e.join(starts, ["user_id", "i"]).withColumn("r", F.row_number().over(s.by("user_id", [F.desc("drop_"), "i"]))).where("r = 1")
+    c = s.event_starts(e, "user_id", "i", F.col("value") > 10, 3).withColumn("r", F.row_number().over(s.by("user_id", [F.desc("drop_"), "i"]))).where("r = 1")
     return c.select("user_id", F.col("i").alias("onset"), "drop_", (F.coalesce("low", F.lit(0)) + 1).alias("start"), F.coalesce("stop", F.col("i") + 14).alias("stop"))
 
 
