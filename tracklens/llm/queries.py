@@ -91,8 +91,8 @@ s AS (SELECT item_id, sum(c)::INT AS s FROM b GROUP BY ALL),
 hit AS (SELECT h.id, h.p, h.x, h.size, b.item_id, b.c, s.s FROM h JOIN b USING (x) JOIN s USING (item_id)),
 t AS (SELECT DISTINCT id, item_id, s, size, unnest(range(least(greatest(1, p - s + 1), greatest(1, size - s + 1)), least(p, greatest(1, size - s + 1)) + 1)) AS start FROM hit),
 o AS (SELECT t.id, t.item_id, t.s, t.size, t.start, hit.x, least(count(*), any_value(hit.c)) AS m FROM t JOIN hit ON t.id = hit.id AND t.item_id = hit.item_id AND hit.p BETWEEN t.start AND t.start + t.s - 1 GROUP BY ALL),
-r AS (SELECT id, item_id, s, s + least(s, size) AS both, start, sum(m)::BIGINT AS shared FROM o GROUP BY ALL HAVING shared * 9 >= 4 * both)
-SELECT id AS doc_id, item_id, max(shared / (both - shared)) AS similarity, arg_max(start - 1, shared * 1000000000 - start)::BIGINT AS start_word, (any_value(s) + 4)::BIGINT AS n_words FROM r GROUP BY id, item_id""",
+r AS (SELECT id, item_id, s, s + least(s, size) AS weight, start, sum(m)::BIGINT AS shared FROM o GROUP BY ALL HAVING shared * 9 >= 4 * weight)
+SELECT id AS doc_id, item_id, max(shared / (weight - shared)) AS similarity, arg_max(start - 1, shared * 1000000000 - start)::BIGINT AS start_word, (any_value(s) + 4)::BIGINT AS n_words FROM r GROUP BY id, item_id""",
     "op6_url_filter": r"""
 WITH u AS (SELECT page_id,
     translate(coalesce(regexp_extract(url, '^((?s).*?)://([^/?#]*)', 2), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
