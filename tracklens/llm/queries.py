@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklens.llm import contextmix, counting, decontaminate, langid, minhash, neighbours, pieces, substrings, urls, warc
+from tracklens.llm import bytepairs, contextmix, counting, decontaminate, langid, minhash, neighbours, pieces, substrings, urls, warc
 from tracklens.llm.spark import read
 
 PIECES = "piece_bpe_32k.model"
+PAIRS = "word_bpe_49k.json"
 
 
 def vocabulary_path(name: str) -> str:
@@ -62,6 +63,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", langid.held_out().alias("held_out")), model).drop("text")
 
 
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytepairs.digests(read(spark, sf_dir, "documents"), vocabulary_path(PAIRS))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_lm_score": op2_lm_score,
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
+    "op13_byte_pairs": op13_byte_pairs,
 }
 
 ORACLES: dict[str, str] = {
