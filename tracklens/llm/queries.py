@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklens.llm import bytepairs, contextmix, counting, decontaminate, langid, minhash, neighbours, pieces, substrings, urls, warc
+from tracklens.llm import bytepairs, contextmix, counting, decontaminate, filteraudit, langid, minhash, neighbours, pieces, substrings, urls, warc
 from tracklens.llm.spark import read
 
 PIECES = "piece_bpe_32k.model"
@@ -63,6 +63,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", langid.held_out().alias("held_out")), model).drop("text")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytepairs.digests(read(spark, sf_dir, "documents"), vocabulary_path(PAIRS))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
+    "op12_filter_audit": op12_filter_audit,
     "op13_byte_pairs": op13_byte_pairs,
 }
 
@@ -132,4 +137,26 @@ d AS (SELECT hex, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0
     FROM f, range(32) t(i) GROUP BY hex)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < first THEN first END AS refers_to
 FROM s JOIN f USING (hex) JOIN d USING (hex)""",
+    "op12_filter_audit": r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+e AS (SELECT text, min(doc_id) AS first FROM t GROUP BY text),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT + 4 * (100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * len(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(first < t.doc_id, false)::INT AS mask
+    FROM t JOIN e USING (text) LEFT JOIN l ON l.doc_id = t.doc_id),
+f(x, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT p.x || q.x || r.x || s.x || u.x AS filter_order, [p.b, q.b, r.b, s.b, u.b] AS bits FROM f p, f q, f r, f s, f u WHERE p.b | q.b | r.b | s.b | u.b = 31),
+k AS (SELECT filter_order, bits, unnest(range(1, 6))::INT AS step FROM o),
+c AS (SELECT filter_order, step, bits[step] AS bit, list_sum(bits[1:step - 1])::INT AS before FROM k),
+g AS (SELECT part, mask, good, toxic, count(*) AS n FROM m GROUP BY ALL),
+a AS (SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (mask & (bit | coalesce(before, 0)) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & coalesce(before, 0) = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & coalesce(before, 0) <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (good AND mask & bit <> 0 AND mask & coalesce(before, 0) = 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(n) FILTER (toxic AND mask & bit <> 0 AND mask & coalesce(before, 0) = 0), 0)::BIGINT AS toxic_lost
+    FROM g, c GROUP BY ALL)
+SELECT * EXCLUDE (bit), sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM a""",
 }
