@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklens.llm import bytepairs, contextmix, counting, decontaminate, filteraudit, langid, minhash, neighbours, pieces, substrings, urls, warc
+from tracklens.llm import bytepairs, contextmix, counting, decontaminate, filteraudit, langid, minhash, neighbours, pieces, substrings, urls, warc, whitening
 from tracklens.llm.spark import read
 
 PIECES = "piece_bpe_32k.model"
@@ -63,6 +63,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", langid.held_out().alias("held_out")), model).drop("text")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(read(spark, sf_dir, "embeddings"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op12_filter_audit": op12_filter_audit,
     "op13_byte_pairs": op13_byte_pairs,
 }
