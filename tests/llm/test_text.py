@@ -150,7 +150,15 @@ def test_rows_without_letters_take_no_place_in_the_sample(spark):
     assert model.langs == ["de", "en"]
     odd = ["12 !!", "", "_", "é", "中", "Ⅷ", "²", "٣", "\n\x00a", "😀"]
     got = spark.createDataFrame([(x,) for x in odd], "t string").select("t", F.col("t").rlike(langid.SQL_LETTER)).collect()
-    assert [b for _, b in got] == [bool(langid.LETTER.search(t)) for t, _ in got]
+    assert [b for _, b in got] == [langid.has_letter(t) for t, _ in got] == [False, False, False, True, True, False, False, False, True, False]
+
+
+def test_texts_without_letters_have_no_language(spark):
+    docs = spark.createDataFrame([(1, "der und die", "de"), (2, "the and of", "en")], "doc_id long, text string, lang string")
+    odd = ["²½", "①② ⑳", "Ⅷ Ⅻ", "12 ३४ ٣", "\u0301", "!?", "😀", " ", None]
+    got = langid.predict(spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id long, text string"), langid.fit(docs)).collect()
+    assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0)] * len(odd)
+    assert langid.fit(docs.withColumn("text", F.lit("Ⅷ ²"))).langs == []
 
 
 def test_more_families_rare_languages_and_repeated_rows(spark):

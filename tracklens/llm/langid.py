@@ -10,7 +10,7 @@ of votes. All are fitted on the driver from a sample of at most SAMPLE_ROWS
 labelled rows, the same number for each language, chosen by a hash of the text;
 their features are computed on the executors.
 
-A text that is null or has no letter gets ``und`` and score 0. Null languages
+A text that is null or has no letter (number signs such as a superscript two are none) gets ``und`` and score 0. Null languages
 are never learned. One language alone is predicted for every text with a
 letter; without any labelled row every prediction is ``und``. Null ids and repeated rows are
 kept. Columns of the input named lang_pred or score are replaced.
@@ -18,7 +18,6 @@ kept. Columns of the input named lang_pred or score are replaced.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -34,13 +33,17 @@ DIM = 1 << 12
 SAMPLE_ROWS = 1600  # bound of the labelled sample that the SVMs are fitted on
 MIN_SAMPLE = 8
 PARTS = 64
-LETTER = re.compile(r"[^\W\d_]")
-SQL_LETTER = r"[\p{L}\p{Nl}\p{No}]"  # the same for Spark
+SQL_LETTER = r"\p{L}"  # what has_letter tells, for Spark
 _FOLD = np.full(256, 32, np.uint32)
 _FOLD[97:123], _FOLD[65:91], _FOLD[128:] = np.arange(97, 123), np.arange(97, 123), np.arange(128, 256)
 _PIECE = 1 << 20
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter (categories L*); number signs, marks and symbols are none."""
+    return any(map(str.isalpha, text))
+
+
 def features(text: str) -> np.ndarray:
     """Square roots of the hashed n-gram counts, of length 1."""
     x = _FOLD[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
@@ -130,7 +133,7 @@ class Model:
         return cls(langs, groups, top, [Duel.fit(x[np.isin(y, g)], np.searchsorted(g, y[np.isin(y, g)]), g) for g in groups])
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or not text or not LETTER.search(text):
+        if not self.langs or not text or not has_letter(text):
             return "und", 0.0
         v = features(text)
         family, a = self.top.predict(v)
@@ -156,7 +159,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [(x, t) for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if LETTER.search(t)]
+            keep = [(x, t) for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in keep], pa.string()), pa.array([features(t).astype(np.float16).tobytes() for _, t in keep], pa.binary())], names=["lang", "v"])
 
     got = sorted((r.lang, bytes(r.v)) for r in rows.select("lang", "text").mapInArrow(run, "lang string, v binary").collect())
