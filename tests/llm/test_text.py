@@ -343,13 +343,10 @@ def slow_scores(rows):
         better = min(1 - 1e-7, max(1e-7, 0.5 * p + 0.5 * (hit[at] + 8 * p) / (total[at] + 8)))
         return z, at, better if z > 0 else 1 - better if z < 0 else 0.5
 
-    cost = {}
-    assert len(order) <= contextmix.SEGMENT
-    for step in range(contextmix.WARM + 1):
+    def learn(some, map_too):
         up, down, seen = Counter(), Counter(), []
-        for k in order:
+        for k in some:
             c = told[k[0], k[1], k[3]]
-            cost[k] = sum(math.log10(coded(xs, g)[2]) for xs, g in events(*k, 0)) + spelled[k[3]]
             for xs, g in events(*k, 1) if c else ():
                 z, at, _ = coded(xs, g)
                 q = 1 / (1 + math.exp(-z))
@@ -357,10 +354,24 @@ def slow_scores(rows):
                     up[g, j] += (1 - q) * c * xs[j]
                     down[g, j] += q * (1 - q) * c * xs[j] ** 2
                 seen.append((at, c, 1 if z > 0 else 0 if z < 0 else 0.5))
-        if step == contextmix.WARM:
-            break
         for g, j in up:
             w_[g][j] += contextmix.RATE * max(-2, min(2, up[g, j] / (down[g, j] + 4)))
+        for at, c, up_ in seen if map_too else ():
+            hit[at] += c * up_
+            total[at] += c
+
+    cost, segments = {}, []
+    for k in order:  # whole last tokens until a segment has enough contexts of training texts
+        if not segments or k[0] != segments[-1][-1][0] and sum(told[x[0], x[1], x[3]] > 0 for x in segments[-1]) >= contextmix.SEGMENT:
+            segments.append([])
+        segments[-1].append(k)
+    for n, some in enumerate(segments):
+        for _ in range(contextmix.WARM if n == 0 else 0):
+            learn(some, False)
+        for k in some:
+            cost[k] = sum(math.log10(coded(xs, g)[2]) for xs, g in events(*k, 0)) + spelled[k[3]]
+        learn(some, True)
+    slow_scores.segments, slow_scores.bins = len(segments), sum(v > 0 for v in total.values())
     return {i: sum(cost[a, b, bits(x), x] for a, b, x in contexts(ts)) for i, ts in texts}
 
 
@@ -372,6 +383,50 @@ def test_scores_equal_a_slow_version(spark):
     assert got == pytest.approx(slow_scores(rows), rel=5e-3)  # costs come in parts of a bit, and single precision moves a few events to the next bin of the map
 
 
+def test_several_segments_and_a_filled_map_equal_a_slow_version(spark, monkeypatch):
+    monkeypatch.setattr(contextmix, "SEGMENT", 150)
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randrange(70)))) for i in range(70)] + [(99, "new words of one text w1 w2"), (100, None)]
+    t = pa.table({"id": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    x = contextmix.Lexicon(t, bytes_too=True)  # in this process, where SEGMENT is small
+    want = slow_scores(rows)
+    assert slow_scores.segments > 5 and slow_scores.bins > 30
+    kinds, mass = (np.bincount(contextmix.classes(x.count), weights=y, minlength=64) for y in (None, x.count))
+    kinds[63], mass[63] = 1, max(1, mass[0])
+    book, of = contextmix.Code(mass.astype(float), kinds.astype(int)), contextmix.classes(x.count)
+    rank = np.array([int((of[:i] == of[i]).sum()) if x.count[i] else 0 for i in range(len(of))])
+    c = contextmix.Contexts(x, x.count, 0)
+    code, kind = book.of(x.count, rank)
+    order = np.lexsort((code[c.token], c.key))
+    got = np.empty(len(order))
+    at, run = contextmix.runs(c.key[order], code[c.token][order])  # tokens that no training text has share a code
+    one = order[at]
+    score, _ = contextmix.code_contexts(c.key[one], code[c.token][one], kind[c.token][one], np.add.reduceat(c.count[order], at), book)
+    got[order] = score[run]
+    spelled = contextmix.spell(x.raw, x.size, x.count)
+    sums = np.bincount(x.doc, weights=got[c.of] + spelled[x.token])
+    assert dict(zip(t.column("id").to_pylist(), sums, strict=True)) == pytest.approx(want, rel=5e-3)
+
+
+def test_held_out_texts_change_no_other_score(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    held = sorted(r.doc_id for r in docs.select("doc_id").collect() if contextmix.is_held_out(r.doc_id))
+    gone = set(held[::2])
+    want = {r.doc_id: (r.score, r.fresh_bits_per_byte) for r in contextmix.score_texts(docs).collect() if r.doc_id not in gone}
+    got = {r.doc_id: (r.score, r.fresh_bits_per_byte) for r in contextmix.score_texts(docs.where(~F.col("doc_id").isin(*gone))).collect()}
+    assert len(gone) > 5 and got.keys() == want.keys()
+    assert max(abs(got[k][0] / want[k][0] - 1) for k in got) < 1e-6
+    other = docs.withColumn("text", F.when(F.col("doc_id").isin(*gone), "quite other zebra words " * 3000).otherwise(F.col("text")))
+    got = {r.doc_id: r.score for r in contextmix.score_texts(other).collect() if r.doc_id not in gone}
+    assert max(abs(got[k] / want[k][0] - 1) for k in got) < 1e-6
+
+
+def test_costs_of_any_size():
+    x = np.array([0.0, 1e-9, -1.0, -400.0, -1e6])
+    back = contextmix.unpack(contextmix.pack(contextmix.parts_of_a_bit(x))).astype(float) / (-np.log2(10) * contextmix.GRAIN)
+    assert back == pytest.approx(x, abs=2e-3)
+
+
 def test_scores_do_not_depend_on_partitions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("score", F.lit("clash"))
     usual, out = spark.conf.get("spark.sql.shuffle.partitions"), []

@@ -19,7 +19,8 @@ bits are predicted from the 1 and 3 bytes before, mixed by the same machinery; t
 counted in order of hash, and weights learned from those that occur once.
 
 Learning is online: a shard codes its contexts one segment
-after the other, in order, and after each moves weights and map by the training occurrences in it.
+after the other, in order, and after each moves weights and map by the training occurrences in it. Shards are as many as the
+bytes of training texts ask for and segments end by training contexts alone, so texts that are held out change no other score.
 What is learned takes away the occurrence that is coded, so weights learn how far
 counters are right about text not seen yet. What coding costs so is ``fresh_bits_per_byte``:
 of a training text, the cost of its tokens as if each was new, by which texts that occur
@@ -33,7 +34,8 @@ again stand apart. Held-out texts are fresh anyway.
    that may occur more than SPLIT_PAIRS times by the group too; no shard gathers all of a frequent token.
 3. Answers come back to the groups, which add them up by text.
 
-Shards depend on the data alone (their number on the bytes of text), so scores do not depend on the
+Each part of a frequent token counts what follows it alone, so its counters are those of a part of the corpus; so do the parts
+of a pair. Shards depend on the data alone (their number on the bytes of training text), so scores do not depend on the
 number of partitions or tasks. Messages are packed arrays, at most one for each token or context that a group has.
 
 base is the sum of log10((c + 0.1) / (N + 0.1 (V + 1))) over tokens: words and one end for each text.
@@ -386,15 +388,19 @@ class Bits:
 def code_contexts(key: np.ndarray, code: np.ndarray, kind: np.ndarray, count: np.ndarray, book: Code) -> tuple[np.ndarray, np.ndarray]:
     """(log10 of the probability, and of that without the occurrence itself) of distinct contexts in order of (key, code).
 
-    The contexts are coded in this order, a segment of about SEGMENT that ends with a last token at a time; weights and
-    map move after each. On the first segment the weights take WARM steps before coding begins. Events
+    The contexts are coded in this order, a segment with about SEGMENT contexts of training texts that ends with a last token
+    at a time; weights and map move after each. Contexts that training texts lack are coded with the state of their place and
+    move nothing, segment borders included. On the first segment the weights take WARM steps before coding begins. Events
     with equal counters are mixed once, weighted by their number.
     """
     fresh, score, mixer = np.zeros(len(key)), np.zeros(len(key)), Mixer(3, 7 * 7 * 2 * 2)
     ends = np.append(runs(key >> U64(64 - LAST_BITS))[0][1:], len(key))
-    i = 0
+    learned = np.cumsum(count > 0)[ends - 1] if len(key) else np.zeros(1, np.int64)  # contexts of training texts up to each end
+    i = before = 0
     while i < len(key):
-        j = int(ends[np.searchsorted(ends, min(i + SEGMENT, len(key)))])
+        left = int(learned[-1]) - before
+        at_end = int(np.searchsorted(learned, before + min(SEGMENT, left))) if left else len(ends) - 1
+        j, before = int(ends[at_end]), int(learned[at_end])
         some = slice(i, j)
         bits = Segment(key[some], code[some], kind[some], count[some], book).bits()
         if len(bits.context):
@@ -423,6 +429,11 @@ def code_contexts(key: np.ndarray, code: np.ndarray, kind: np.ndarray, count: np
     return score, fresh
 
 
+def parts_of_a_bit(log10: np.ndarray) -> np.ndarray:
+    """Costs as whole numbers of GRAIN parts of a bit; as large as they come."""
+    return np.maximum(np.rint(log10 * (-np.log2(10) * GRAIN)), 0).astype(U64)
+
+
 # spelling
 
 
@@ -589,7 +600,10 @@ def _vocabulary(docs: DataFrame, id_col: str, text_col: str, shards: int) -> Dat
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, fresh_bits_per_byte) of every whole text."""
-    groups, shards, _ = grouped(docs, id_col, text_col)
+    size, id_text = F.octet_length(F.col(text_col).cast("string")), F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit(""))
+    told = docs.agg(F.sum(size).alias("all"), F.sum(F.when(F.crc32(id_text.cast("binary")) % 10 != 0, size)).alias("train")).first()
+    groups, _, _ = grouped(docs, id_col, text_col, total=told["all"] or 0)
+    shards = max(1, -(-(told.train or 0) // GROUP_BYTES))
     groups = _bundles(groups)
     vocabulary = _vocabulary(docs, id_col, text_col, shards)
     by_class = vocabulary.select("shard", F.posexplode(F.arrays_zip("kinds", "mass")).alias("class", "x")).select("shard", "class", "x.kinds", "x.mass")
@@ -653,7 +667,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         of[order] = run
         one = order[at]
         score, fresh = code_contexts(k[one], code[one], kind[one], np.add.reduceat(count[order], at), book)
-        body = lambda x: [pack(y) for y in np.split(np.clip(np.rint(x * -np.log2(10) * GRAIN), 0, 65535).astype(U64)[of], each)]
+        body = lambda x: [pack(y) for y in np.split(parts_of_a_bit(x)[of], each)]
         return answers(t.column("g").to_pylist(), 2, t.column("shard").to_pylist(), body(score), body(fresh), [None] * t.num_rows)
 
     def finish(key: tuple, t: pa.Table, a: pa.Table) -> pa.Table:

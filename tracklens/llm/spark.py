@@ -43,15 +43,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def grouped(docs: DataFrame, id_col: str, text_col: str, group_bytes: int = GROUP_BYTES, rest: list[str] | None = None) -> tuple[DataFrame, int, int]:
+def grouped(docs: DataFrame, id_col: str, text_col: str, group_bytes: int = GROUP_BYTES, rest: list[str] | None = None, total: int | None = None) -> tuple[DataFrame, int, int]:
     """(g, id, text[, rest]), the number of groups and the bytes of text.
 
     A group has about group_bytes of text, however ids and texts repeat. It
     depends on id and text alone, so that a recomputed partition deals its
     rows out as before; equal texts of different ids spread. rest: a struct
-    of these columns.
+    of these columns. total: the bytes, where they are known.
     """
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    if total is None:
+        total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = max(1, -(-total // group_bytes))
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []))
     return d.select(F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int").alias("g"), *d.columns), n, total
