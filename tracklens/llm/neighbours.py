@@ -13,8 +13,8 @@ passes the count with probability RECALL. The bits grow with the number of vecto
 
 1. Count: (cell, id, rounded projections) is dealt out, a byte a projection. In a cell every projection is
    sorted, windows are found by binary search, collisions are counted by pair, and the members that have a pair to verify are told.
-2. Verify: the vectors of these members alone are dealt out by cell. A pair is handled in the first table in which it shares a cell;
-   tasks emit sums of links and the edges of a spanning forest, never lists of pairs.
+2. Verify: the vectors of these members alone are dealt out by cell, where the pairs that pass the count, and no others, are
+   compared. A pair is handled in the first table in which it shares a cell; tasks emit sums of links and the edges of a spanning forest, never lists of pairs.
 
 Equal vectors are one class and are compared once, weighted by their number.
 Cells are dealt to tasks in blocks of at most BLOCK vectors, and every pair of
@@ -121,22 +121,28 @@ def to_verify(a: np.ndarray, b: np.ndarray | None, least: int) -> tuple[np.ndarr
     return one, two
 
 
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The cosine of each row of a with the same row of b; both have length 1."""
+    return np.einsum("ij,ij->i", a, b)
+
+
 def _links(plan: Plan, table: int, a: tuple, b: tuple | None) -> tuple[np.ndarray, np.ndarray]:
-    """Verified pairs (i, j) of two blocks of a cell, or of one with itself, that share no cell in an earlier table."""
+    """Verified pairs (i, j) of two blocks of a cell, or of one with itself, that share no cell in an earlier table.
+
+    Collisions are counted first, a tile at a time; only pairs that pass the count are compared.
+    """
     (ua, ca, va), (ub, cb, vb) = a, a if b is None else b
-    out = []
+    out = [(np.zeros(0, np.int64),) * 2]
     for s in range(0, len(ua), TILE):
-        near = ua[s : s + TILE] @ ub.T >= plan.cosine - 1e-9
-        if b is None:
-            near &= np.arange(s, min(len(ua), s + TILE))[:, None] < np.arange(len(ub))[None, :]
-        i, j = np.nonzero(near)
-        i += s
-        for t in range(table):
-            keep = ca[i, t] != cb[j, t]
-            i, j = i[keep], j[keep]
-        keep = np.einsum("ij,ij->i", ua[i], ub[j]) >= plan.cosine
-        keep[keep] = (np.abs(va[i[keep]].astype(np.int16) - vb[j[keep]]) <= STEPS).sum(1) >= plan.least
-        out.append((i[keep], j[keep]))
+        for t in range(s if b is None else 0, len(ub), TILE):
+            met = collisions(va[s : s + TILE], vb[t : t + TILE]) >= plan.least
+            i, j = np.nonzero(np.triu(met, 1) if b is None and s == t else met)
+            i, j = i + s, j + t
+            for before in range(table):
+                keep = ca[i, before] != cb[j, before]
+                i, j = i[keep], j[keep]
+            keep = cosines(ua[i], ub[j]) >= plan.cosine
+            out.append((i[keep], j[keep]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
