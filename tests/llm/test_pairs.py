@@ -184,6 +184,31 @@ def test_neighbours(spark):
     assert all((got[k].n_links, got[k].component_id) == (0, k) for k, *_ in odd)
 
 
+def test_only_counted_pairs_are_compared(monkeypatch):
+    """Pairs that the cosine would link but the count doesn't reach are never compared; links equal a plain loop."""
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((40, 16))
+    u = np.concatenate([base, base + 0.2 * rng.standard_normal((40, 16)), base[:3] + 0.4 * rng.standard_normal((3, 16))])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    plan = neighbours.Plan.calibrate(500, 16, 0.9)
+    v, c = plan.values(u), plan.cells(u)
+    seen = []
+    usual = neighbours.cosines
+    monkeypatch.setattr(neighbours, "cosines", lambda a, b: seen.append(len(a)) or usual(a, b))
+    monkeypatch.setattr(neighbours, "TILE", 32)
+    met = lambda i, j: sum(abs(int(x) - int(y)) <= neighbours.STEPS for x, y in zip(v[i], v[j], strict=True))
+    for table in (0, 1):
+        counted = {(i, j) for i in range(len(u)) for j in range(i) if met(i, j) >= plan.least and not (c[i, :table] == c[j, :table]).any()}
+        seen.clear()
+        i, j = neighbours._links(plan, table, (u, c, v), None)
+        assert sum(seen) == len(counted) < len(u) * (len(u) - 1) / 8
+        want = {p for p in counted if u[p[0]] @ u[p[1]] >= 0.9}
+        assert {(max(p), min(p)) for p in zip(i.tolist(), j.tolist(), strict=True)} == want and len(i) == len(want)
+    half = (u[:40], c[:40], v[:40]), (u[40:], c[40:], v[40:])
+    i, j = neighbours._links(plan, 0, *half)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(a, b) for a in range(40) for b in range(43) if met(a, 40 + b) >= plan.least and u[a] @ u[40 + b] >= 0.9}
+
+
 def test_neighbours_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(7)
     x = np.concatenate([np.ones((1, 8)) + 0.05 * rng.standard_normal((120, 8)), rng.standard_normal((30, 8))])
@@ -335,6 +360,19 @@ def test_archives(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_revisits_need_their_response(spark, tmp_path):
+    rows = [(i, "u", h) for i, h in enumerate(["a" * 90, "b" * 90, "a" * 90, "b" * 90, "c", "a" * 90])]
+    out = f"file://{tmp_path}/w"
+    records = warc.read(out, warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), out))
+    assert warc.dangling(records).count() == 0 and records.where("record_type = 'revisit'").count() == 3
+    gone = warc.dangling(records.where("page_id <> 5"))
+    assert sorted(tuple(r) for r in gone.collect()) == [(0, 5, "missing"), (2, 5, "missing")]
+    other = records.withColumn("payload_digest", F.when(F.col("page_id") == 3, "x").otherwise(F.col("payload_digest"))).withColumn("payload_bytes", F.when(F.col("page_id") == 2, 7).otherwise(F.col("payload_bytes")))
+    assert sorted(tuple(r) for r in warc.dangling(other).collect()) == [(1, 3, "payload_digest"), (2, 5, "payload_bytes")]
+    twice = records.unionByName(records.where("page_id = 5").withColumn("payload_digest", F.lit("x")))
+    assert warc.dangling(twice).count() == 0 and warc.dangling(records.limit(0)).count() == 0
+
+
 def test_archives_of_many_records_are_read_in_linear_time():
     block = random.Random(3).randbytes(2000)
     zip_ = warc.compressor(b"")

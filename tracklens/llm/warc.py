@@ -216,6 +216,19 @@ def read(out: str, files: DataFrame) -> DataFrame:
     return stored.select("content").mapInArrow(run, schema)
 
 
+def dangling(records: DataFrame) -> DataFrame:
+    """(page_id, refers_to, problem) of revisits in the rows of read that no response backs: missing, payload_digest or payload_bytes.
+
+    A response that is there more than once backs a revisit if one of them agrees; revisits without a reference are missing theirs.
+    """
+    said = records.where("record_type = 'response'").select(F.col("page_id").alias("__id"), F.col("payload_digest").alias("__digest"), F.col("payload_bytes").alias("__bytes"))
+    found = records.where("record_type = 'revisit'").select("page_id", "refers_to", "payload_digest", "payload_bytes").join(said, F.col("refers_to") == F.col("__id"), "left")
+    same = F.col("payload_digest").eqNullSafe(F.col("__digest"))
+    worst = F.when(F.col("__id").isNull(), 3).when(~same, 2).when(~F.col("payload_bytes").eqNullSafe(F.col("__bytes")), 1).otherwise(0)
+    by = found.groupBy("page_id", "refers_to", "payload_digest", "payload_bytes").agg(F.min(worst).alias("k")).where("k > 0")
+    return by.select("page_id", "refers_to", F.element_at(F.array(F.lit("payload_bytes"), F.lit("payload_digest"), F.lit("missing")), F.col("k")).alias("problem"))
+
+
 def round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     out = scratch(pages.sparkSession, "warc")
     return read(out, write(pages, out, min_revisit_bytes=min_revisit_bytes)).drop("payload", "url")
