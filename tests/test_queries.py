@@ -51,3 +51,13 @@ def test_entry(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_entry_without_the_document_operators():
+    """In a process of its own, since modules stay imported: the guard names what is missing, and the other queries are there."""
+    import subprocess
+    import sys
+
+    code = "import sys, warnings; sys.modules['tracklens.llm'] = None; warnings.simplefilter('always'); import __spark_entry__ as e; print(sum(k.startswith('op') for k in e.queries()), len(e.queries()), sorted(e.oracle_sql())[0])"
+    got = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, check=True)
+    assert got.stdout.split()[:2] == ["0", str(len(QUERIES))] and "tracklens.llm" in got.stderr
