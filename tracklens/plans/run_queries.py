@@ -309,13 +309,58 @@ def q_lane_borders(spark, d):
     return scenes.lanes(maps)
 
 
-@BOOK.add("SELECT source AS file, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ordinal, octet_length(encode(text)) AS bytes, sha256(text) AS sha FROM documents")
+RECORD_SPLIT = 64 << 10  # far below a file, so that each is read by many tasks
+
+
+def _in_shared(spark, kind):
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+@BOOK.add("SELECT octet_length(encode(text)) AS bytes, sha256(text) AS sha, count(*) AS n FROM documents GROUP BY ALL")
 def q_record_round_trip(spark, d):
-    """Texts as records of a file a source: framed with checksums, joined, split and checked again."""
-    t = records.frames(table(spark, d, "documents").select("source", "doc_id", F.col("text").cast("binary").alias("b")), "b", "f")
-    whole = t.groupBy(F.col("source").alias("file")).agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "f"))), lambda x: F.hex(x["f"])).alias("f"))
-    got = records.parse_records(whole.select("file", F.unhex(F.array_join("f", "")).alias("content")))
-    return got.select("file", "ordinal", F.octet_length("record").alias("bytes"), F.sha2("record", 256).alias("sha"))
+    """Texts as framed records in files, read again by byte ranges: every record once, whatever range its bytes lie in."""
+    out = _in_shared(spark, "records")
+    records.write_records(table(spark, d, "documents").select(F.col("text").cast("binary").alias("record")), out)
+    got = records.read_records(spark, out, splitBytes=RECORD_SPLIT)
+    return got.groupBy(F.octet_length("record").cast("bigint").alias("bytes"), F.sha2("record", 256).alias("sha")).agg(F.count("*").alias("n"))
+
+
+@BOOK.add("""SELECT CASE WHEN doc_id % 50 = 3 THEN 'checksum' WHEN doc_id % 50 = 17 THEN 'length' ELSE 'good' END AS problem, count(*) AS n, sum(octet_length(encode(text)) + CASE WHEN doc_id % 50 = 17 THEN 16 ELSE 0 END)::BIGINT AS bytes FROM documents GROUP BY ALL""")
+def q_damaged_records(spark, d):
+    """Framed texts of which some have a wrong checksum and some a broken length: both are told, and all others are read."""
+    out = _in_shared(spark, "records")
+    f = records.frames(table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("b")), "b", "f").withColumn("n", F.octet_length("f"))
+    wrong = F.concat(F.substring("f", 1, F.col("n") - 4), F.unhex(F.lit("00000000")))
+    hurt = F.concat(F.unhex(F.lit("FFFFFFFF")), F.substring("f", 5, F.col("n") - 4))
+    f = f.withColumn("record", F.when(F.col("doc_id") % 50 == 3, wrong).when(F.col("doc_id") % 50 == 17, hurt).otherwise(F.col("f")))
+    records.write_records(f.sortWithinPartitions("doc_id"), out, framed=True)
+    got = records.read_records(spark, out, splitBytes=RECORD_SPLIT, mode="keep")
+    return got.groupBy(F.coalesce("problem", F.lit("good")).alias("problem")).agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+
+
+def _scenarios(spark, d):
+    """A scenario of each user: events are states of one track, those with an even id points of a lane."""
+    n = sq.numbered(spark, d).withColumn("s", F.col("t") / F.lit(1e6))
+    state = F.struct(F.col("s").alias("t"), F.col("value").alias("x"), F.col("event_id").cast("double").alias("y"), F.col("value").cast("float").alias("vx"), F.lit(0.5).cast("float").alias("vy"), (F.col("event_id") % 7 != 0).alias("valid"))
+    rows = n.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("i", state.alias("st")))).alias("a"))
+    even = F.transform(F.filter("a", lambda v: v["st"]["y"] % 2 == 0), lambda v: F.struct(v["st"]["x"].alias("x"), v["st"]["y"].alias("y")))
+    t = rows.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("scenario"), F.col("user_id").cast("long").alias("track"), F.lit(2).cast("long").alias("kind"), F.transform("a", lambda v: v["st"]).alias("states"), even.alias("points"), F.lit(25.0).alias("speed"))
+    out = _in_shared(spark, "scenarios")
+    records.write_records(records.encode_scenarios(t), out)
+    return out
+
+
+@BOOK.add(_LINES + "SELECT 'u' || user_id::VARCHAR AS scenario, user_id::BIGINT AS track, 2::BIGINT AS kind, seq::BIGINT AS frame, round(epoch_us(ts) / 1e6, 6) AS t, value AS x, event_id::DOUBLE AS y, round(value::FLOAT::DOUBLE, 6) AS vx, event_id % 7 <> 0 AS valid FROM e")
+def q_scenario_states(spark, d):
+    """States of binary scenario records, written and read by byte ranges; wire fields are decoded by number and kind."""
+    s = records.read_scenarios(spark, _scenarios(spark, d), splitBytes=RECORD_SPLIT)
+    return s.select("scenario", "track", "kind", "frame", F.round("t", 6).alias("t"), "x", "y", F.round("vx", 6).alias("vx"), "valid")
+
+
+@BOOK.add(_LINES + "SELECT 'u' || user_id::VARCHAR AS scenario, user_id::VARCHAR AS feature, 'lane_center' AS kind, row_number() OVER (PARTITION BY user_id ORDER BY seq) - 1 AS ord, value AS x, event_id::DOUBLE AS y, 11.176 AS speed FROM e WHERE event_id % 2 = 0")
+def q_scenario_lanes(spark, d):
+    """Points of lanes in scenario records, with the limit in metres a second."""
+    return records.read_map_points(spark, _scenarios(spark, d), splitBytes=RECORD_SPLIT).withColumn("speed", F.round("speed", 9))
 
 
 @BOOK.add("SELECT 'customer' AS kind, c_custkey::VARCHAR AS id, c_name AS name, '' AS nation FROM customer UNION ALL SELECT 'supplier', s_suppkey::VARCHAR, '', s_nationkey::VARCHAR FROM supplier")
