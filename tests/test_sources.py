@@ -18,7 +18,7 @@ def test_text_runs(spark, tmp_path):
     strict = runs.read_runs(spark, str(tmp_path), ["Speed"], strict=True).orderBy("seq").collect()
     assert [r.good for r in strict] == [True, False, False, True]
     p = runs.peek(spark, str(tmp_path)).first()
-    assert (p.declared, p.channels, p.first_time, p.last_time, p["read"]) == (4, 3, 0.0, 0.03, 4)
+    assert (p.declared, p.channels, p.first_time, p.last_time) == (4, 3, 0.0, 0.03)
 
 
 def test_specs_and_discovery(spark, tmp_path):
@@ -37,6 +37,40 @@ def test_inspection(spark):
     assert (r.rows_, r.truncated, r.monotonic, r.uniform, r.reasons) == (5, True, False, False, "truncated,not_monotonic,not_uniform")
 
 
+def test_bytes_read_of_runs_do_not_depend_on_their_size(spark, tmp_path):
+    def export(n, declared, wide=3):
+        names = "\t".join(["Point", "Time", *[f"C{k}" for k in range(wide - 2)]])
+        return f"banner\nPoints={declared}\n{names}\n-\n" + "".join(f"{i}\t{i * 0.01:.2f}\t{i % 7}\r\n" for i in range(n))
+
+    (tmp_path / "small.txt").write_text(export(900, 900))
+    (tmp_path / "large.txt").write_text(export(300_000, 300_001))
+    (tmp_path / "wide.txt").write_text(export(4000, 4000, 3000))
+    (tmp_path / "tail.txt").write_text(export(5000, 5000) + "end\tnone\n\n")
+    (tmp_path / "short.txt").write_text("banner\nPoints=x\n")
+    (tmp_path / "empty.txt").write_text("")
+    got = {r.run.rsplit("/", 1)[1]: r for r in runs.peek(spark, str(tmp_path)).collect()}
+    assert {k: (r.declared, r.channels, r.first_time, r.last_time) for k, r in got.items()} == {
+        "small.txt": (900, 3, 0.0, 8.99), "large.txt": (300_001, 3, 0.0, 2999.99), "wide.txt": (4000, 3000, 0.0, 39.99), "tail.txt": (5000, 3, 0.0, 49.99), "short.txt": (None, 1, None, None),
+    }
+    assert got["large.txt"].taken == got["small.txt"].taken == 2 * runs.PEEK < got["wide.txt"].taken < 6 * runs.PEEK
+    g = {r.run.rsplit("/", 1)[1]: r for r in runs.inspect_files(spark, str(tmp_path), max_rows=500).collect()}
+    assert (g["large.txt"].rows_, g["large.txt"].truncated, g["large.txt"].monotonic, g["large.txt"].uniform, g["large.txt"].reasons) == (500, True, True, True, "truncated")
+    assert g["large.txt"].taken == g["tail.txt"].taken <= 3 * runs.PEEK and g["short.txt"].reasons == ""
+    whole = {r.run.rsplit("/", 1)[1]: r for r in runs.inspect_files(spark, str(tmp_path), max_rows=5001).collect()}
+    assert (whole["tail.txt"].rows_, whole["small.txt"].rows_, whole["small.txt"].truncated) == (5001, 900, False)
+    with pytest.raises(ValueError, match="max_rows"):
+        runs.inspect_files(spark, str(tmp_path), max_rows=0)
+
+
+def test_runs_written_and_read(spark, tmp_path):
+    rows = spark.createDataFrame([(u, i, i * 0.5, None if i == 3 else f"k{i}") for u in (7, 8) for i in range(6 - u % 2)], "u int, i int, t double, c string").repartition(3)
+    runs.write_runs(rows, f"{tmp_path}/w", "u", ["i"], {"i": "-", "t": "s", "c": "m"})
+    texts = {p.parent.name: p.read_text() for p in (tmp_path / "w").glob("u=*/part*")}
+    assert texts["u=7"] == "export\nPoints=5\ni\tt\tc\n-\ts\tm\n0\t0.0\tk0\n1\t0.5\tk1\n2\t1.0\tk2\n3\t1.5\t\n4\t2.0\tk4\n" and len(texts) == 2
+    back = runs.read_runs(spark, f"{tmp_path}/w/*/part*", ["t"])
+    assert back.count() == 11 and back.agg(F.sum("t")).first()[0] == 12.5
+
+
 def varint(n):
     out = b""
     while n > 127:

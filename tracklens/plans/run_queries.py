@@ -309,13 +309,40 @@ def q_lane_borders(spark, d):
     return scenes.lanes(maps)
 
 
-RECORD_SPLIT = 64 << 10  # far below a file, so that each is read by many tasks
-
-
 def _in_shared(spark, kind):
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def _exports(spark, d):
+    """Events as text exports in the shared folder, a file a user."""
+    out = _in_shared(spark, "runs")
+    rows = sq.numbered(spark, d).select("user_id", F.col("i").alias("Point"), F.col("t").alias("Time"), "value")
+    runs.write_runs(rows, out, "user_id", ["Point"], {"Point": "-", "Time": "us", "value": "m"})
+    return out
+
+
+def _user(c="run"):
+    return F.regexp_extract(c, r"user_id=(-?\d+)/", 1).cast("bigint").alias("user_id")
+
+
+@BOOK.add(_LINES + "SELECT user_id, count(*)::INT AS declared, 3 AS channels, min(epoch_us(ts))::DOUBLE AS first_time, max(epoch_us(ts))::DOUBLE AS last_time FROM e GROUP BY user_id")
+def q_run_peek(spark, d):
+    """Declared points, channels, first and last time of exports, from the first and last 8 KiB of each file."""
+    return runs.peek(spark, _exports(spark, d)).select(_user(), "declared", "channels", "first_time", "last_time")
+
+
+@BOOK.add(_LINES + """, n AS (SELECT *, epoch_us(ts) AS t, count(*) OVER (PARTITION BY user_id) AS declared FROM e), h AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY seq) AS dt FROM n WHERE seq < 40), m AS (SELECT user_id, quantile_cont(dt, 0.5) AS med FROM h GROUP BY user_id),
+g AS (SELECT h.user_id, max(declared)::INT AS declared, count(*) AS rows_, max(declared) > count(*) AS truncated, coalesce(bool_and(dt > 0), true) AS monotonic, coalesce(max(abs(dt - med)) <= 0.05 * max(med), true) AS uniform FROM h JOIN m ON h.user_id = m.user_id GROUP BY h.user_id)
+SELECT *, concat_ws(',', CASE WHEN truncated THEN 'truncated' END, CASE WHEN NOT monotonic THEN 'not_monotonic' END, CASE WHEN NOT uniform THEN 'not_uniform' END) AS reasons FROM g""")
+def q_run_inspection(spark, d):
+    """At most 40 rows of each export, read from its beginning alone: truncation, order and step of the times."""
+    g = runs.inspect_files(spark, _exports(spark, d), max_rows=40)
+    return g.select(_user(), "declared", "rows_", "truncated", "monotonic", "uniform", "reasons")
+
+
+RECORD_SPLIT = 64 << 10  # far below a file, so that each is read by many tasks
+
+
 @BOOK.add("SELECT octet_length(encode(text)) AS bytes, sha256(text) AS sha, count(*) AS n FROM documents GROUP BY ALL")
 def q_record_round_trip(spark, d):
     """Texts as framed records in files, read again by byte ranges: every record once, whatever range its bytes lie in."""

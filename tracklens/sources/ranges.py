@@ -25,7 +25,7 @@ def store_of(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def listing(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(file, size) of every file at path, by Spark's own listing; contents aren't read."""
+    """(file, size) of every file at path that isn't empty, by Spark's own listing, which leaves empty ones out; contents aren't read."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     return (r.option("pathGlobFilter", glob) if glob else r).load(path).select(F.col("path").alias("file"), F.col("length").alias("size"))
 
