@@ -84,5 +84,5 @@ class Window:
     def pieces(self, at: int, size: int = _PIECE) -> Iterator[tuple[int, bytes]]:
         """(place, bytes) from at to the end of the file."""
         while at < self.size:
-            yield at, self.get(at, size)
+            yield at, self.get(at, size, size)
             at += size
