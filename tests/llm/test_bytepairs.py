@@ -1,8 +1,10 @@
 """Operator 13 against the library and against merging by hand."""
 
 import hashlib
+import json
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -53,7 +55,8 @@ def test_long_and_odd_texts(text):
 def test_the_array_and_the_queue_merge_alike(word):
     m = bytepairs.table(PATH).merges
     s = m.symbols(word)
-    assert m.scanned(s) == m.queued(s)
+    cut = m.queued(s)
+    assert m.scanned(s) == [m.token[s[i:j]] for i, j in zip(cut, cut[1:], strict=False)]
 
 
 def test_merges_by_hand():
@@ -75,6 +78,7 @@ def test_merges_by_hand():
 
 def test_table_is_emptied_without_effect(monkeypatch):
     monkeypatch.setattr(bytepairs, "TABLE_ENTRIES", 3)
+    monkeypatch.setattr(bytepairs, "PIECE_ENTRIES", 2)
     t = bytepairs.WordTable(PATH)
     rng = random.Random(3)
     for _ in range(60):
@@ -84,10 +88,24 @@ def test_table_is_emptied_without_effect(monkeypatch):
     want = t.both(b"a b c d")
     t.both(b"z")
     assert len(t.ids) == 1
-    t.merges = None  # words of the old generation aren't merged again
+    t.merges = t.pieces = None  # words of the old generation aren't merged again
     assert t.both(b"a b c d") == want
 
 
+@given(st.text(st.characters(min_codepoint=33, max_codepoint=126), max_size=40))
+@settings(max_examples=400, deadline=None)
+def test_printable_words_are_cut_as_the_library_cuts_them(word):
+    t = bytepairs.table(PATH)
+    assert t.plain(word.lower()) == [p for p, _ in t.pre(t.norm(word))]
+
+
+def test_the_pattern_is_used_for_such_tokenizers_alone():
+    spec = json.loads(Path(PATH).read_text())
+    assert bytepairs._plain_pattern(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}}):
+        assert bytepairs._plain_pattern(spec | change) is None
+
+
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError, match="word ends"):
         bytepairs.WordTable(public_tokenizers.path("byte_bpe_50k.json"))

@@ -1,19 +1,20 @@
 """Operator 13: byte-pair encoding and decoding with a contiguous array of ranks.
 
 A word is a string of symbols: one for each of its bytes, another set of symbols for a byte that ends a word.
-Its parts are held by their boundaries, and beside them stands the rank of the merge of each two neighbours. The
+Its parts stand in an array, and beside them, for each boundary between two, the rank of their merge. The
 smallest rank is looked for again and again (the leftmost where it is held twice), its boundary goes, and the ranks
 on both sides of the new part are looked up anew. That is the least work for short words; words of more than LONG
 symbols get the same merges from a heap of the same ranks, in n log n steps.
 
 Texts are cut at ASCII white space first. The tokenizers that this operator takes (word ends, white space dropped)
 never carry anything across it, which is checked, so that ids of a text are those of its words, one after the
-other. Each word is normalised and cut into parts by the library's own normaliser and pre-tokeniser, so both agree
-with it in every character class. Strings of added tokens inside a text count as these tokens, as the library does.
+other. Each word is normalised and cut into pieces by the library's own normaliser and pre-tokeniser, so both agree
+with it in every character class; words of printable ASCII are cut by the tokenizer's own pattern. Strings of added tokens inside a text count as these tokens, as the library does.
 
 Each worker keeps a table of the words that it has met, with their ids and their decoded bytes. It has two generations:
 when the young one holds TABLE_ENTRIES words or TABLE_BYTES bytes it becomes the old one, and words met again move over as
-they are. That bounds memory, keeps what recurs and changes no result. There is no shuffle.
+they are. A second table of the same kind holds the pieces of words, since many words differ in case and signs around them
+alone. That bounds memory, keeps what recurs and changes no result. There is no shuffle.
 
 Null and empty texts, and such of white space alone, have no ids and decode to nothing. Repeated rows and null ids are kept,
 row by row. A column of the input that has the name of one added is replaced. The memory of a task follows the longest text;
@@ -26,12 +27,14 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
@@ -39,6 +42,7 @@ from tracklens.llm.spark import with_fields
 
 TABLE_ENTRIES = 150_000
 TABLE_BYTES = 48 << 20
+PIECE_ENTRIES = 150_000
 LONG = 256
 NEVER = 1 << 62
 
@@ -49,12 +53,14 @@ class Merges:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str):
         made = {a + b for a, b in merges}
         spelled = {t: chr(i) for t, i in vocab.items() if t not in made}
-        if max(map(ord, spelled.values())) >= 0xD800:
-            raise ValueError("too many symbols")
+        if max(map(ord, spelled.values())) >= 0xD800 or max(vocab.values()) >= 1 << 20:
+            raise ValueError("too many tokens")
         self.rank: dict[tuple[str, str], int] = {}
+        self.pair: dict[int, int] = {}  # the same by tokens
+        self.made = [vocab[a + b] for a, b in merges]
         for r, (a, b) in enumerate(merges):
             spelled.setdefault(a + b, spelled[a] + spelled[b])
-            self.rank[spelled[a], spelled[b]] = r
+            self.rank[spelled[a], spelled[b]] = self.pair[vocab[a] << 20 | vocab[b]] = r
         self.token = {s: vocab[t] for t, s in spelled.items()}
         self.inner = {ord(t): s for t, s in spelled.items() if len(t) == 1}
         self.last = {t[0]: s for t, s in spelled.items() if len(t) == 1 + len(suffix) and t.endswith(suffix) and t not in made}
@@ -63,23 +69,29 @@ class Merges:
         return piece[:-1].translate(self.inner) + self.last[piece[-1]]
 
     def ids(self, word: str) -> list[int]:
-        cut = self.scanned(word) if len(word) <= LONG else self.queued(word)
+        if len(word) <= LONG:
+            return self.scanned(word)
+        cut = self.queued(word)
         return [self.token[word[i:j]] for i, j in zip(cut, cut[1:], strict=False)]
 
     def scanned(self, word: str) -> list[int]:
-        """Boundaries of the parts that are left when no two neighbours have a merge."""
-        look = self.rank.get
-        cut = list(range(len(word) + 1))
-        ranks = [look(pair, NEVER) for pair in zip(word, word[1:], strict=False)]
+        """Tokens of the parts that are left when no two neighbours have a merge. A part is held by its token, a boundary by the
+        rank of its two sides, so both arrays stay without gaps."""
+        look, made = self.pair.get, self.made
+        parts = [ord(x) for x in word]
+        ranks = [look(a << 20 | b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
         while ranks and (least := min(ranks)) < NEVER:
             i = ranks.index(least)
-            del cut[i + 1], ranks[i]
-            for k in range(max(i - 1, 0), min(i + 1, len(ranks))):
-                ranks[k] = look((word[cut[k] : cut[k + 1]], word[cut[k + 1] : cut[k + 2]]), NEVER)
-        return cut
+            parts[i] = new = made[least]
+            del parts[i + 1], ranks[i]  # the boundary goes
+            if i:
+                ranks[i - 1] = look(parts[i - 1] << 20 | new, NEVER)
+            if i < len(ranks):
+                ranks[i] = look(new << 20 | parts[i + 1], NEVER)
+        return parts
 
     def queued(self, word: str) -> list[int]:
-        """What scanned gives; for long words, whose array would be read too often."""
+        """Boundaries of the parts that scanned gives; for long words, whose array would be read too often."""
         look, n = self.rank.get, len(word)
         end, before = list(range(1, n + 1)), list(range(-1, n))  # of the part that begins here; an end of 0: none does
         queue = [(r, i, i + 1, i + 2) for i, pair in enumerate(zip(word, word[1:], strict=False)) if (r := look(pair)) is not None]
@@ -115,6 +127,7 @@ class WordTable:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.name = {i: t.encode() + b" " for t, i in tok.get_vocab(with_added_tokens=True).items()}
+        self.plain = _plain_pattern(spec)
         self.clear()
 
     def clear(self) -> None:
@@ -122,18 +135,36 @@ class WordTable:
         self.text: dict[bytes, bytes] = {}
         self.old: tuple[dict[bytes, bytes], dict[bytes, bytes]] = ({}, {})
         self.held = 0
+        self.pieces: dict[str, tuple[bytes, bytes]] = {}
+        self.old_pieces: dict[str, tuple[bytes, bytes]] = {}
 
-    def word(self, word: str) -> list[int]:
-        """Ids of a text without ASCII white space."""
-        out: list[int] = []
+    def word(self, word: str) -> Iterator[tuple[bytes, bytes]]:
+        """Ids and decoded bytes of the pieces of a text without ASCII white space."""
         at = 0
         for m in self.split.finditer(word) if self.split else ():
-            out += [*self._plain(word[at : m.start()]), self.added[m[0]]]
+            yield from map(self.piece, self._cut(word[at : m.start()]))
+            i = self.added[m[0]]
+            yield np.array([i], "<u4").tobytes(), self.name[i]
             at = m.end()
-        return out + self._plain(word[at:])
-
-    def _plain(self, word: str) -> list[int]:
-        return [i for p, _ in self.pre(self.norm(word)) for i in self.merges.ids(self.merges.symbols(p))] if word else []
+        yield from map(self.piece, self._cut(word[at:]))
+
+    def _cut(self, word: str) -> list[str]:
+        if self.plain and word.isascii() and word.isprintable():
+            return self.plain(word.lower())
+        return [p for p, _ in self.pre(self.norm(word))] if word else []
+
+    def piece(self, piece: str) -> tuple[bytes, bytes]:
+        found = self.pieces.get(piece)
+        if found is None:
+            if len(self.pieces) >= PIECE_ENTRIES:
+                self.old_pieces, self.pieces = self.pieces, {}
+            found = self.old_pieces.get(piece)
+            if found is None:
+                x = self.merges.ids(self.merges.symbols(piece))
+                found = array("I", x).tobytes(), b"".join(map(self.name.__getitem__, x))
+            if len(piece) <= LONG:
+                self.pieces[piece] = found
+        return found
 
     def add(self, words: set[bytes]) -> None:
         """Enters words that the young table lacks; those that the old one lacks are encoded, each once."""
@@ -142,8 +173,8 @@ class WordTable:
             if w in ids:
                 self.ids[w], self.text[w] = ids[w], text[w]
             else:
-                x = self.word(w.decode())
-                self.ids[w], self.text[w] = np.array(x, "<u4").tobytes(), b"".join(map(self.name.__getitem__, x))
+                got = list(self.word(w.decode()))
+                self.ids[w], self.text[w] = got[0] if len(got) == 1 else (b"".join([x for x, _ in got]), b"".join([x for _, x in got]))
             self.held += len(w) + len(self.ids[w]) + len(self.text[w])
 
     def both(self, text: bytes | None) -> tuple[bytes, bytes]:
@@ -158,6 +189,20 @@ class WordTable:
         return b"".join(self.name.get(i, b"") for i in ids)[:-1].decode()
 
 
+def _plain_pattern(spec: dict) -> Callable[[str], list[str]] | None:
+    """How printable ASCII words in lower case are cut, where the tokenizer does nothing else to them: its own pattern, whose
+    classes are the same for ASCII in any version of Unicode. None: the library cuts them."""
+    norm, pre = spec["normalizer"], spec["pre_tokenizer"]
+    kinds = [n["type"] for n in norm.get("normalizers", [norm])]
+    steps = pre.get("pretokenizers", [pre])
+    lowers = kinds.count("Lowercase") == 1 and set(kinds) <= {"NFC", "Lowercase", "Replace"} and all(n["pattern"] == {"Regex": r"\s+"} for n in norm.get("normalizers", []) if n["type"] == "Replace")
+    if not lowers or [p["type"] for p in steps] != ["Split", "ByteLevel"] or steps[1]["add_prefix_space"] or steps[1]["use_regex"]:
+        return None
+    if steps[0]["behavior"] != "Removed" or not steps[0]["invert"] or "Regex" not in steps[0]["pattern"]:
+        return None
+    return regex.compile(steps[0]["pattern"]["Regex"]).findall
+
+
 @lru_cache(2)
 def table(path: str) -> WordTable:
     return WordTable(path)
