@@ -52,7 +52,7 @@ def test_bytes_read_of_runs_do_not_depend_on_their_size(spark, tmp_path):
     assert {k: (r.declared, r.channels, r.first_time, r.last_time) for k, r in got.items()} == {
         "small.txt": (900, 3, 0.0, 8.99), "large.txt": (300_001, 3, 0.0, 2999.99), "wide.txt": (4000, 3000, 0.0, 39.99), "tail.txt": (5000, 3, 0.0, 49.99), "short.txt": (None, 1, None, None),
     }
-    assert got["large.txt"].taken == got["small.txt"].taken == 2 * runs.PEEK < got["wide.txt"].taken < 6 * runs.PEEK
+    assert got["large.txt"].taken == got["small.txt"].taken == 2 * runs.PEEK < got["wide.txt"].taken <= 8 * runs.PEEK
     g = {r.run.rsplit("/", 1)[1]: r for r in runs.inspect_files(spark, str(tmp_path), max_rows=500).collect()}
     assert (g["large.txt"].rows_, g["large.txt"].truncated, g["large.txt"].monotonic, g["large.txt"].uniform, g["large.txt"].reasons) == (500, True, True, True, "truncated")
     assert g["large.txt"].taken == g["tail.txt"].taken <= 3 * runs.PEEK and g["short.txt"].reasons == ""
