@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracklens.functions import hashing as h
@@ -167,16 +168,34 @@ def test_kernel_ridge(spark):
         models.reuse_codebook(book, 3, 1)
 
 
-def test_ranks_by_buckets(spark):
-    from tracklens.operators.inference import ranked
+def test_ranks_in_groups(spark):
+    from tracklens.operators.order import ranked
 
     rng = random.Random(4)
-    rows = [(g, rng.choice([1.0, 1.0, 5.0, rng.random() * 100]), i) for g in "ab" for i in range(200)] + [("c", 3.0, 0)]
-    df = spark.createDataFrame(rows, "g string, x double, i int")
-    got = {(r.g, r.i): r.k for r in ranked(df, ["g"], F.col("x"), ["x", "i"], "k", buckets=7).collect()}
-    for g in "abc":
-        want = sorted((x, i) for h, x, i in rows if h == g)
-        assert all(got[g, i] == k + 1 for k, (_, i) in enumerate(want))
+    rows = [(g, rng.choice([1.0, 1.0, 5.0, rng.random() * 100, None]), i) for g in ("a", "b", None) for i in range(200)] + [("c", 3.0, 0)]
+    df = spark.createDataFrame(rows, "g string, x double, i int").withColumn("_n", F.lit("clash"))
+    got = {(r.g, r.i): r.k for r in ranked(df, ["g"], ["x", "i"], "k", parts=7).collect()}
+    down = {(r.g, r.i): r["rank"] for r in ranked(df, ["g"], [F.desc("x"), "i"]).collect()}
+    assert len(got) == len(down) == len(rows)
+    for g in ("a", "b", "c", None):
+        own = [(x is not None, x or 0, i) for h, x, i in rows if h == g]
+        assert all(got[g, i] == k + 1 for k, (_, _, i) in enumerate(sorted(own)))
+        assert all(down[g, i] == k + 1 for k, (_, _, i) in enumerate(sorted(own, key=lambda r: (not r[0], -r[1], r[2]))))
+    assert ranked(df.limit(0), ["g"], ["x"]).count() == ranked(df.limit(0), [], ["x"]).count() == 0
+
+
+def test_far_frequent_values_and_hot_groups_are_dealt_out(spark):
+    """One far value, a value that a third of all rows have, and a group with nearly all rows: no part holds over 4 times the median."""
+    from tracklens.operators.order import in_ranges, ranked
+
+    d = spark.range(200_000).select("id", F.when(F.col("id") == 7, 1e12).when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id") / 200_000).alias("x"), F.when(F.col("id") < 50, "small").otherwise("hot").alias("g"))
+    for group in ([], ["g"]):
+        keys = [F.col(c) for c in (*group, "x", "id")]
+        sizes = sorted(n for (n,) in in_ranges(d, keys, 16).groupBy(F.spark_partition_id()).count().select("count").collect())
+        assert sum(sizes) == 200_000 and len(sizes) >= 15 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+        r = ranked(d, group, ["x", "id"], "k", parts=16)
+        w = Window.partitionBy(*group).orderBy("x", "id")
+        assert r.withColumn("want", F.row_number().over(w)).where("k <> want").count() == 0
 
 
 def test_outcomes_and_screen_classes(spark):

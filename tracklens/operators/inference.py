@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklens.functions.hashing import draw
+from tracklens.operators.order import ranked
 
 
 def _interval(rounds: DataFrame, keys: Sequence[str], x: Column) -> list[Column]:
@@ -35,11 +36,14 @@ def cluster_bootstrap(clusters: DataFrame, keys: Sequence[str], cluster: str, nu
 
 
 def two_way_bootstrap(cells: DataFrame, a: str, b: str, x: str, rounds: int, seed: str) -> DataFrame:
-    """Point and interval of the mean of x over a complete a-by-b grid, resampling both sides: (point, low, high)."""
+    """Point and interval of the mean of x over a complete a-by-b grid, resampling both sides: (point, low, high).
+
+    Clusters of a side are numbered by ranked(), so no task sees all of them.
+    """
     out = cells
     for side in (a, b):
-        u = cells.select(side).distinct().withColumn("_i", F.row_number().over(Window.orderBy(side)) - 1)
-        u = u.withColumn("_n", F.count("*").over(Window.partitionBy()))
+        u = ranked(cells.select(side).distinct(), [], [side], "_i").withColumn("_i", F.col("_i") - 1)
+        u = u.join(F.broadcast(u.agg(F.count("*").alias("_n"))))
         fan = u.select("_n", F.col("_i").alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
         fan = fan.withColumn("_i", draw("_n", f"{seed}{side}", F.col("round"), F.col("_s"))).groupBy("round", "_i").agg(F.count("*").alias(f"_w_{side}"))
         fan = fan.join(u.select(side, "_i"), "_i").drop("_i")
@@ -49,32 +53,15 @@ def two_way_bootstrap(cells: DataFrame, a: str, b: str, x: str, rounds: int, see
     return cells.agg(F.avg(x).alias("point")).join(per.agg(*_interval(per, [], F.col("_x"))))
 
 
-def ranked(df: DataFrame, group: Sequence[str], scale: Column, order: Sequence[str], name: str, buckets: int = 1024) -> DataFrame:
-    """df with the rank (1, 2, ...) of each row of a group in an order, without a task that sorts a whole group.
-
-    scale is a number that never falls along the order. It is cut into buckets of equal width between its
-    ends; a row's rank is its rank in its bucket and the sizes of the buckets before.
-    """
-    df = df.withColumn("_scale", scale)
-    ends = df.groupBy(*group).agg(F.min("_scale").alias("_low"), F.max("_scale").alias("_high")) if group else df.agg(F.min("_scale").alias("_low"), F.max("_scale").alias("_high"))
-    df = df.join(F.broadcast(ends), list(group)) if group else df.join(F.broadcast(ends))
-    part = F.floor((F.col("_scale") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)) * buckets)
-    df = df.withColumn("_bucket", F.coalesce(F.least(part, F.lit(buckets - 1)), F.lit(0)))
-    sizes = df.groupBy(*group, "_bucket").agg(F.count("*").alias("_size"))
-    before = sizes.select(*group, "_bucket", (F.sum("_size").over(Window.partitionBy(*group).orderBy("_bucket")) - F.col("_size")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(*order))
-    return df.withColumn("_rank", inside).join(before, [*group, "_bucket"]).withColumn(name, F.col("_rank") + F.col("_before")).drop("_scale", "_low", "_high", "_bucket", "_rank", "_before")
-
-
 def permutation_test(pairs: DataFrame, key: str, x: str, y: str, rounds: int, seed: str) -> DataFrame:
     """observed = mean of x * y, p = (1 + rounds at least as large) / (rounds + 1), y permuted by order of hash.
 
-    Places come from ranked(), so no task sorts all rows of a round. key is a number.
+    Places come from ranked(), so no task sorts all rows of a round.
     """
-    base = ranked(pairs, [], F.col(key).cast("double"), [key], "_i")
+    base = ranked(pairs.select(key, x, y), [], [key], "_i")
     fan = base.select(F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"), "_i", x, y)
     fan = fan.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), "round", "_i")))
-    fan = ranked(fan, ["round"], F.conv(F.substring("_h", 1, 8), 16, 10).cast("double"), ["_h", "_i"], "_j")
+    fan = ranked(fan, ["round"], ["_h", "_i"], "_j")
     per = fan.select("round", "_i", x).join(fan.select("round", F.col("_j").alias("_i"), y), ["round", "_i"]).groupBy("round").agg(F.avg(F.col(x) * F.col(y)).alias("_s"))
     seen = pairs.agg(F.avg(F.col(x) * F.col(y)).alias("observed"))
     return seen.join(per).groupBy("observed").agg(((1 + F.count_if(F.col("_s") >= F.col("observed") - 1e-12)) / (F.count("*") + 1)).alias("p"))

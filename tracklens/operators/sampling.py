@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklens.functions.hashing import salted_order
+from tracklens.operators.order import ranked
 
 
 def dedup_by_content(df: DataFrame, content: Column, order: Sequence[str], name: str) -> DataFrame:
@@ -39,11 +40,15 @@ def scale_ladder(df: DataFrame, salt: str, key: str, steps: Sequence[int], broad
 
 
 def evenly(df: DataFrame, group: Sequence[str], order: Sequence[str], limit: int) -> DataFrame:
-    """limit rows a group, evenly spaced in order (positions rounded half to even, repeats once)."""
-    w = Window.partitionBy(*group)
-    df = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
-    steps = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda k: F.bround(k * (F.col("_n") - 1) / F.lit(max(limit - 1, 1))).cast("bigint"))
-    return df.where((F.col("_n") <= limit) | F.array_contains(steps, F.col("_i").cast("bigint"))).drop("_i", "_n")
+    """limit rows a group, evenly spaced in order (positions rounded half to even, repeats once). Groups may be hot; df should be narrow."""
+    d = ranked(df, group, order, "_i")
+    sizes = df.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]).agg((F.count("*") - 1).alias("_last"))
+    steps = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda k: F.bround(k * F.col("_last") / F.lit(max(limit - 1, 1))).cast("bigint"))
+    sizes = sizes.withColumn("_step", F.explode(F.when(F.col("_last") < limit, F.sequence(F.lit(0).cast("bigint"), F.col("_last"))).otherwise(F.array_distinct(steps))))
+    same = F.col("_i") - 1 == F.col("_step")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return d.join(sizes, same).select(df.columns)
 
 
 def round_robin(df: DataFrame, group: str, order: Sequence[str], k: int) -> DataFrame:
@@ -63,8 +68,8 @@ def quarantine(df: DataFrame, group: Sequence[str], split: str) -> DataFrame:
 
 def batches(df: DataFrame, source: str, key: str, seed: int, size: int) -> DataFrame:
     """Adds place and batch of each row in its source's shuffled stream for one pass."""
-    w = Window.partitionBy(source).orderBy(salted_order(str(seed), key), key)
-    return df.withColumn("place", F.row_number().over(w) - 1).withColumn("batch", F.floor(F.col("place") / size))
+    d = ranked(df.withColumn("_h", salted_order(str(seed), key)), [source], ["_h", key], "place").drop("_h")
+    return d.withColumn("place", F.col("place") - 1).withColumn("batch", F.floor(F.col("place") / size))
 
 
 def folds(key: Column, k: int, salt: str = "fold") -> Column:
@@ -93,6 +98,6 @@ def exposure(shown: DataFrame, source: str, key: str) -> DataFrame:
 
 
 def row_pointers(df: DataFrame, order: Sequence[str], rows: int, by: Sequence[str] = ()) -> DataFrame:
-    """Adds shard and row: where a sample stands if shards of at most ``rows`` samples are filled in order."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    return df.withColumn("_p", place).withColumns({"shard": F.floor(F.col("_p") / rows), "row": F.col("_p") % rows}).drop("_p")
+    """Adds shard and row: where a sample would stand if shards of at most ``rows`` samples were filled in order. Pointers of files that are
+    written come from sources.units.pointers."""
+    return ranked(df, by, order, "_p").withColumn("_p", F.col("_p") - 1).withColumns({"shard": F.floor(F.col("_p") / rows), "row": F.col("_p") % rows}).drop("_p")

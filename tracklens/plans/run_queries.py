@@ -16,6 +16,7 @@ from tracklens.operators import inference as x
 from tracklens.operators import models, scenes, sets
 from tracklens.operators import sampling as sm
 from tracklens.operators import vectors as v
+from tracklens.operators.order import ranked
 from tracklens.plans import episodes
 from tracklens.plans import series_queries as sq
 from tracklens.plans.base import Book, table
@@ -210,9 +211,11 @@ def q_shard_check(spark, d):
 SELECT source, doc_id, n AS files_, n_chars, length(text) <> n_chars AS size_differs, len(string_split(text, ' ')) AS words, CASE WHEN n_chars > 2000 THEN 'truncated' ELSE '' END AS reason FROM s""")
 def q_dataset_audit(spark, d):
     """An evenly spaced sample of each source, peeked at, beside the size of the source."""
-    docs = table(spark, d, "documents").withColumn("files_", F.count("*").over(Window.partitionBy("source")))
-    some = sm.evenly(docs, ["source"], ["doc_id"], 5)
-    return some.select("source", "doc_id", "files_", "n_chars", (F.length("text") != F.col("n_chars")).alias("size_differs"), F.size(F.split("text", " ")).alias("words"), F.when(F.col("n_chars") > 2000, "truncated").otherwise("").alias("reason"))
+    docs = table(spark, d, "documents")
+    some = sm.evenly(docs.select("source", "doc_id"), ["source"], ["doc_id"], 5).select("doc_id")  # ids alone are ranked
+    sizes = docs.groupBy("source").agg(F.count("*").alias("files_"))
+    peeked = docs.join(some, "doc_id", "left_semi").join(sizes, "source")
+    return peeked.select("source", "doc_id", "files_", "n_chars", (F.length("text") != F.col("n_chars")).alias("size_differs"), F.size(F.split("text", " ")).alias("words"), F.when(F.col("n_chars") > 2000, "truncated").otherwise("").alias("reason"))
 
 
 # contracts
@@ -404,7 +407,7 @@ def q_csv_round_trip(spark, d):
 def q_input_order(spark, d):
     """Inputs hashed wherever they are, told in the order of the input list."""
     t = table(spark, d, "documents")
-    return x.ranked(t.select("doc_id", F.sha2("text", 256).alias("sha")), [], F.col("doc_id").cast("double"), ["doc_id"], "ord").withColumn("ord", F.col("ord") - 1)
+    return ranked(t.select("doc_id", F.sha2("text", 256).alias("sha")), [], ["doc_id"], "ord").select((F.col("ord") - 1).alias("ord"), "doc_id", "sha")
 
 
 @BOOK.add("SELECT unnest(['p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice']) AS \"column\"")
