@@ -115,14 +115,6 @@ def test_csv_union_and_shards(spark, tmp_path):
     assert files.shard_catalog(spark, str(tmp_path / "s")).where("single_source and rows_ <= 2").count() >= 6
 
 
-def test_resume(spark):
-    units = spark.createDataFrame([("a", "1"), ("b", "2")], "unit string, sha string")
-    done = spark.createDataFrame([("a", "1")], "unit string, sha string")
-    assert [r.unit for r in files.run_pending(units, done, "unit", "sha", lambda d: d).collect()] == ["b"]
-    with pytest.raises(ValueError, match="changed"):
-        files.run_pending(units, done.withColumn("sha", F.lit("9")), "unit", "sha", lambda d: d)
-
-
 def test_map(spark, tmp_path):
     (tmp_path / "m.osm").write_text('<osm><node id="1" lat="0.5" lon="3.1"/><node id="2" lat="0.6" lon="3.2"/><way id="7"><nd ref="2"/><nd ref="1"/><tag k="type" v="curb"/></way><relation id="9"><member type="way" ref="7" role="left"/><tag k="speed" v="30 mph"/></relation></osm>')
     m = files.read_map(spark, str(tmp_path / "m.osm"))

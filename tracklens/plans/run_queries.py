@@ -20,7 +20,7 @@ from tracklens.operators.order import ranked
 from tracklens.plans import episodes
 from tracklens.plans import series_queries as sq
 from tracklens.plans.base import Book, table
-from tracklens.sources import files, records, runs
+from tracklens.sources import files, records, runs, units
 
 BOOK = Book()
 
@@ -343,6 +343,28 @@ def q_run_inspection(spark, d):
     return g.select(_user(), "declared", "rows_", "truncated", "monotonic", "uniform", "reasons")
 
 
+@BOOK.add("SELECT source AS unit, CASE WHEN source < 'src15' THEN 'reused' ELSE 'converted' END AS state, count(*) FILTER (length(text) > 100) AS rows_, sum(length(text)) FILTER (length(text) > 100)::BIGINT AS chars FROM documents GROUP BY source")
+def q_unit_conversion(spark, d):
+    """A conversion by source that some units have behind them: these are reused, the others are converted, and every unit is there once."""
+    out = _in_shared(spark, "units")
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    prints = docs.groupBy("source").agg(F.sum(F.xxhash64("doc_id", "text").cast("decimal(20,0)")).cast("string").alias("sha"))
+    long = lambda x: x.where("length(text) > 100")
+    units.convert_units(prints.where("source < 'src15'"), docs, out, "source", "sha", long)
+    state = units.convert_units(prints, docs, out, "source", "sha", long, batches=3, rows_per_file=200)
+    chars = units.read_units(spark, out).groupBy(F.col("source").alias("unit")).agg(F.sum(F.length("text")).alias("chars"))
+    return state.join(chars, "unit", "left").select("unit", "state", F.col("rows").alias("rows_"), "chars")
+
+
+@BOOK.add("SELECT doc_id, sha256(text) AS sha, length(text) AS chars FROM documents WHERE doc_id % 9 = 4")
+def q_pointer_reads(spark, d):
+    """Samples read by pointers to the shards that were written: pointers come from the files, and only these files are opened."""
+    out = _in_shared(spark, "shards")
+    files.write_shards(table(spark, d, "documents").withColumn("split", hs.salted_split("p", "doc_id")), out, rows=64)
+    found = units.pointers(spark, out, ["doc_id"]).where("doc_id % 9 = 4")
+    return units.read_pointers(found).select("doc_id", F.sha2("text", 256).alias("sha"), F.length("text").cast("bigint").alias("chars"))
+
+
 RECORD_SPLIT = 64 << 10  # far below a file, so that each is read by many tasks
 
 
