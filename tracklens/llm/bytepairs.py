@@ -40,7 +40,7 @@ from tokenizers import Tokenizer
 
 from tracklens.llm.spark import with_fields
 
-TABLE_ENTRIES = 150_000
+TABLE_ENTRIES = 250_000
 TABLE_BYTES = 48 << 20
 PIECE_ENTRIES = 150_000
 LONG = 256
@@ -138,15 +138,16 @@ class WordTable:
         self.pieces: dict[str, tuple[bytes, bytes]] = {}
         self.old_pieces: dict[str, tuple[bytes, bytes]] = {}
 
-    def word(self, word: str) -> Iterator[tuple[bytes, bytes]]:
+    def word(self, word: str) -> list[tuple[bytes, bytes]]:
         """Ids and decoded bytes of the pieces of a text without ASCII white space."""
-        at = 0
-        for m in self.split.finditer(word) if self.split else ():
-            yield from map(self.piece, self._cut(word[at : m.start()]))
+        if not self.split or not self.split.search(word):
+            return [self.piece(p) for p in self._cut(word)]
+        out, at = [], 0
+        for m in self.split.finditer(word):
             i = self.added[m[0]]
-            yield np.array([i], "<u4").tobytes(), self.name[i]
+            out += [*map(self.piece, self._cut(word[at : m.start()])), (np.array([i], "<u4").tobytes(), self.name[i])]
             at = m.end()
-        yield from map(self.piece, self._cut(word[at:]))
+        return out + [self.piece(p) for p in self._cut(word[at:])]
 
     def _cut(self, word: str) -> list[str]:
         if self.plain and word.isascii() and word.isprintable():
@@ -173,7 +174,7 @@ class WordTable:
             if w in ids:
                 self.ids[w], self.text[w] = ids[w], text[w]
             else:
-                got = list(self.word(w.decode()))
+                got = self.word(w.decode())
                 self.ids[w], self.text[w] = got[0] if len(got) == 1 else (b"".join([x for x, _ in got]), b"".join([x for _, x in got]))
             self.held += len(w) + len(self.ids[w]) + len(self.text[w])
 
