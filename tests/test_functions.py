@@ -160,7 +160,7 @@ def test_kernel_ridge(spark):
     d = spark.createDataFrame(rows, "v array<double>, y double")
     m = models.KernelRidge(alpha=1e-6, width=0.5).fit(d, "v", "y")
     assert max(abs(r.prediction - r.y) for r in m.predict(d, "v").collect()) < 1e-3
-    with pytest.raises(ValueError, match="at most"):
+    with pytest.raises(ValueError, match="1 to 3 rows"):
         models.KernelRidge(most=3).fit(d, "v", "y")
     book = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "token int, c array<double>")
     assert models.reuse_codebook(book, 2, 1) is book

@@ -101,6 +101,37 @@ def test_kernel_ridge_equals_its_definition(spark):
     assert [got[i] for i in range(30)] == pytest.approx((y[:20].mean() + k @ w).tolist())
 
 
+def test_kernel_ridge_in_tiles_equals_its_definition(spark):
+    """Several blocks, a width from the data, rows that don't count, and the residual of the system itself."""
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(400, 5)), rng.normal(size=400)
+    x[7] = x[3]
+    rows = [(i, x[i].tolist(), float(y[i])) for i in range(400)] + [(500, None, 1.0), (501, x[0].tolist(), None), (502, [float("nan")] * 5, 1.0)]
+    df = spark.createDataFrame(rows, "i int, v array<double>, y double").repartition(5)
+    m = models.KernelRidge(alpha=0.3, tile=64).fit(df, "v", "y")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert m.n == 400 and m.width == pytest.approx(np.median(d[np.triu_indices(400, 1)]), rel=1e-9)
+    k = np.exp(-(d**2) / (2 * m.width**2))
+    w = np.linalg.solve(k + 0.3 * np.eye(400), y - y.mean())
+    got = {r.i: r.p for r in m.predict(df, "v", "p").collect()}
+    assert [got[i] for i in range(400)] == pytest.approx((y.mean() + k @ w).tolist(), rel=1e-6, abs=1e-7) and got[500] is None
+    clipped = [r.p for r in m.predict(df.where("i < 400"), "v", "p", low=-0.1, high=0.1).collect()]
+    assert min(clipped) == -0.1 and max(clipped) == 0.1
+    same = models.KernelRidge(alpha=1.0, tile=3).fit(spark.createDataFrame([([1.0], 2.0)] * 7, "v array<double>, y double"), "v", "y")
+    assert same.width == 1.0 and same.steps == 0
+    with pytest.raises(ValueError, match="length"):
+        models.KernelRidge().fit(spark.createDataFrame([([1.0], 2.0), ([1.0, 2.0], 2.0)], "v array<double>, y double"), "v", "y")
+    with pytest.raises(ValueError, match="rows"):
+        models.KernelRidge().fit(df.limit(0), "v", "y")
+
+
+def test_median_distances_with_many_ties(spark):
+    x = [[float(i % 3)] for i in range(300)]
+    m = models.KernelRidge(alpha=1.0, tile=50).fit(spark.createDataFrame([(v, 1.0) for v in x], "v array<double>, y double"), "v", "y")
+    d = [abs(a[0] - b[0]) for i, a in enumerate(x) for b in x[:i]]
+    assert m.width == pytest.approx(float(np.median(d)), rel=1e-9)
+
+
 def test_projected_trajectories_keep_limits(spark):
     rng = np.random.default_rng(3)
     rows = [(t, k, float(x), float(y)) for t in range(4) for k, (x, y) in enumerate(np.cumsum(rng.normal(scale=0.1 if t == 0 else 0.6, size=(15, 2)) * (0.1 if t == 0 else 1), axis=0))]

@@ -9,40 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracklens.operators.kernels import KernelRidge  # noqa: F401
 from tracklens.operators.vectors import squared_distance
 
 
-class KernelRidge:
-    """RBF kernel ridge on at most ``most`` training rows; the width is the median distance unless given."""
-
-    def __init__(self, alpha: float = 1.0, width: float | None = None, most: int = 5000):
-        self.alpha, self.width, self.most = alpha, width, most
-
-    def fit(self, train: DataFrame, vector: str, target: str) -> KernelRidge:
-        rows = train.select(vector, target).limit(self.most + 1).collect()
-        if len(rows) > self.most:
-            raise ValueError(f"kernel ridge is for at most {self.most} rows")
-        self.x, y = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
-        d2 = ((self.x[:, None] - self.x[None]) ** 2).sum(2)
-        if self.width is None:
-            off = np.sqrt(d2[np.triu_indices(len(d2), 1)])
-            self.width = float(np.median(off)) if len(off) and np.median(off) > 0 else 1.0
-        self.mean = y.mean()
-        self.weights = np.linalg.solve(np.exp(-d2 / (2 * self.width**2)) + self.alpha * np.eye(len(y)), y - self.mean)
-        return self
-
-    def predict(self, df: DataFrame, vector: str, name: str = "prediction") -> DataFrame:
-        """df with the prediction, in vectorised batches; the training rows travel with the function."""
-        x, w, width, mean = self.x, self.weights, self.width, self.mean
-
-        @F.pandas_udf("double")
-        def f(v: pd.Series) -> pd.Series:
-            d2 = ((np.stack(v.to_list())[:, None] - x[None]) ** 2).sum(2)
-            return pd.Series(mean + np.exp(-d2 / (2 * width**2)) @ w)
-
-        return df.withColumn(name, f(vector))
-
-
 def project(df: DataFrame, key: str, order: str, dt: float, speed: float, acceleration: float, rounds: int = 50) -> DataFrame:
     """(key, order, x, y): trajectories moved little by little until speeds and accelerations are within limits.
 
