@@ -145,16 +145,6 @@ def test_lookup_and_mappings(spark):
     assert sorted((r.name, r.channel) for r in classify.mappings(d, "k", "m", "CAN_([0-9]+)").collect()) == [("CAN_4", "4"), ("x", "7")]
 
 
-def test_projection_keeps_limits(spark):
-    rows = [(1, i, float(i * i), 0.0) for i in range(12)] + [(2, i, 0.1 * i, 0.0) for i in range(12)]
-    d = spark.createDataFrame(rows, "id long, step long, x double, y double")
-    got = models.project(d, "id", "step", 0.1, 20.0, 30.0).orderBy("id", "step").collect()
-    x = np.array([r.x for r in got]).reshape(2, 12)
-    np.testing.assert_allclose(x[1], 0.1 * np.arange(12))
-    v = np.diff(x[0]) / 0.1
-    assert np.abs(v).max() <= 20 + 1e-9 and np.abs(np.diff(v)).max() <= 3 + 1e-9
-
-
 def test_kernel_ridge(spark):
     rows = [([i / 10], float(np.sin(i / 10))) for i in range(40)]
     d = spark.createDataFrame(rows, "v array<double>, y double")

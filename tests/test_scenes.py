@@ -132,20 +132,6 @@ def test_median_distances_with_many_ties(spark):
     assert m.width == pytest.approx(float(np.median(d)), rel=1e-9)
 
 
-def test_projected_trajectories_keep_limits(spark):
-    rng = np.random.default_rng(3)
-    rows = [(t, k, float(x), float(y)) for t in range(4) for k, (x, y) in enumerate(np.cumsum(rng.normal(scale=0.1 if t == 0 else 0.6, size=(15, 2)) * (0.1 if t == 0 else 1), axis=0))]
-    out = models.project(spark.createDataFrame(rows, "t long, k long, x double, y double"), "t", "k", 0.1, 3.0, 20.0).collect()
-    by = {}
-    for r in sorted(out, key=lambda r: (r.t, r.k)):
-        by.setdefault(r.t, []).append((r.x, r.y))
-    for t, p in by.items():
-        v = np.diff(np.array(p), axis=0) / 0.1
-        assert (np.linalg.norm(v, axis=1) <= 3 + 1e-6).all() and (np.linalg.norm(np.diff(v, axis=0), axis=1) <= 2 + 1e-6).all()
-        if t == 0:
-            assert np.allclose(p, [r[2:] for r in rows if r[0] == 0])
-
-
 def test_codebooks_by_spread_starts_and_reseeding(spark):
     rng = np.random.default_rng(5)
     centres = np.array([[0, 0], [50, 0], [0, 50], [50, 50]])

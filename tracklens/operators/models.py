@@ -13,34 +13,6 @@ from tracklens.operators.kernels import KernelRidge  # noqa: F401
 from tracklens.operators.vectors import squared_distance
 
 
-def project(df: DataFrame, key: str, order: str, dt: float, speed: float, acceleration: float, rounds: int = 50) -> DataFrame:
-    """(key, order, x, y): trajectories moved little by little until speeds and accelerations are within limits.
-
-    Each round clips velocities, then changes of velocity, and integrates
-    from the first point; a trajectory that keeps both limits is unchanged. One group is
-    one trajectory, which a contract keeps short.
-    """
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
-        p = part[["x", "y"]].to_numpy(float)
-        for _ in range(rounds):
-            v = np.diff(p, axis=0) / dt
-            size = np.linalg.norm(v, axis=1, keepdims=True)
-            new = v * np.minimum(1, speed / np.maximum(size, 1e-12))
-            for k in range(1, len(new)):
-                d = new[k] - new[k - 1]
-                n = np.linalg.norm(d)
-                if n > acceleration * dt:
-                    new[k] = new[k - 1] + d * (acceleration * dt / n)
-            if np.abs(new - v).max(initial=0) < 1e-12:
-                break
-            p = np.vstack([p[:1], p[:1] + np.cumsum(new * dt, axis=0)])
-        return part[[key, order]].assign(x=p[:, 0], y=p[:, 1])
-
-    return df.groupBy(key).applyInPandas(run, f"{key} long, {order} long, x double, y double")
-
-
 def reuse_codebook(book: DataFrame, size: int, dim: int) -> DataFrame:
     """book (token, c) if it has the expected shape and tokens 0 to size - 1, else ValueError."""
     r = book.agg(F.count("*"), F.count_distinct("token"), F.min("token"), F.max("token"), F.min(F.size("c")), F.max(F.size("c"))).first()

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tracklens.operators import feasible, models
 from tracklens.operators import inference as x
-from tracklens.operators import models
 from tracklens.operators import scenes as sc
 from tracklens.operators import vectors as v
 from tracklens.plans import episodes
@@ -167,4 +167,4 @@ def q_kernel_ridge(spark, d):
 def q_projected_trajectories(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     s = v.steps(e, ["vec_id"], "v").select("vec_id", F.col("step").cast("bigint").alias("step"), "x", "y")
-    return models.project(s, "vec_id", "step", 0.1, 3.0, 20.0)
+    return feasible.project_trajectories(s, "vec_id", "step", feasible.Limits(0.1, 3.0, 20.0, 200.0))
