@@ -119,13 +119,6 @@ def pairs(df: DataFrame, group: str, key: str, columns: Sequence[str], block: in
     return p
 
 
-def medoid(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:
-    """The member with the smallest summed distance to the others of its group."""
-    p = pairs(df, group, key, [vector], block=256).withColumn("d", F.sqrt(squared_distance(f"{vector}_a", f"{vector}_b")))
-    both = p.select(group, F.col("a").alias(key), "d").union(p.select(group, F.col("b"), "d"))
-    return both.groupBy(group, key).agg(F.sum("d").alias("total")).groupBy(group).agg(F.min(F.struct(F.round("total", 6).alias("total"), key)).alias("_m")).select(group, f"_m.{key}", "_m.total")
-
-
 def clearance(cx, cy, c_yaw, c_len, c_wid, ox, oy, o_yaw, o_len, o_wid) -> Column:
     """Separation of two oriented boxes along their four axes; negative where they overlap."""
     dx, dy = col(ox) - col(cx), col(oy) - col(cy)

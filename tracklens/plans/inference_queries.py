@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracklens.functions import numbers as nb
 from tracklens.operators import inference as x
 from tracklens.operators import vectors as v
+from tracklens.operators.medoids import medoid
 from tracklens.plans.base import Book, table
 from tracklens.plans.series_queries import numbered
 from tracklens.plans.table_queries import attempts
@@ -188,7 +189,7 @@ def q_diversity(spark, d):
 
 @BOOK.add(_VEC + ", s AS (SELECT label, id, round(sum(d), 6) AS total FROM (SELECT label, a AS id, d FROM pr UNION ALL SELECT label, b, d FROM pr) GROUP BY ALL) SELECT label, vec_id, total FROM (SELECT label, id AS vec_id, total, row_number() OVER (PARTITION BY label ORDER BY total, id) AS k FROM s) WHERE k = 1")
 def q_medoid(spark, d):
-    return v.medoid(vectors(spark, d), "label", "vec_id", "v")
+    return medoid(vectors(spark, d), "label", "vec_id", "v").drop("evaluated")
 
 
 _BOOKSQL = "WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT label AS token, list(m ORDER BY k) AS c FROM (SELECT label, k, avg(embedding[k + 1]::DOUBLE) AS m FROM embeddings, range(64) t(k) GROUP BY ALL) GROUP BY label), a AS (SELECT vec_id, v, token, list_distance(v, c) AS d FROM n, c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, token) = 1) "
