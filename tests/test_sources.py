@@ -5,7 +5,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from tracklens.sources import files, records, runs
+from tracklens.sources import files, records, runs, texts
 from tracklens.streaming import streams
 
 TEXT = "banner\nPoints=4\nPoint\tTime\tSpeed\n-\ts\tkm/h\n1\t0.00\t20\n2\t0.01\tbad\n3\t0.02\n4\t0.03\t17\n"
@@ -102,7 +102,7 @@ def test_records_and_scenarios(spark, tmp_path):
 def test_csv_of_two_encodings(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("名,x\n甲,1\n".encode("utf-8-sig"))
     (tmp_path / "b.csv").write_bytes("名,y\n乙,2\n".encode("gb18030"))
-    got = sorted((r["名"], r.x, r.y) for r in files.read_csv_auto(spark, str(tmp_path)).collect())
+    got = sorted((r["名"], r.x, r.y) for r in texts.read_csv_auto(spark, str(tmp_path)).collect())
     assert got == sorted([("甲", "1", None), ("乙", None, "2")])
 
 

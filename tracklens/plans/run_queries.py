@@ -20,7 +20,7 @@ from tracklens.operators.order import ranked
 from tracklens.plans import episodes
 from tracklens.plans import series_queries as sq
 from tracklens.plans.base import Book, table
-from tracklens.sources import files, records, runs, units
+from tracklens.sources import files, records, runs, texts, units
 
 BOOK = Book()
 
@@ -422,7 +422,16 @@ def q_csv_round_trip(spark, d):
     b = table(spark, d, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"))
     out = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
     files.write_csv(out, a, b)
-    return files.read_csv_auto(spark, f"{out}/*.csv").select("kind", "id", "name", "nation")
+    return texts.read_csv_auto(spark, f"{out}/*.csv", split_bytes=RECORD_SPLIT).select("kind", "id", "name", "nation")
+
+
+@BOOK.add(r"""SELECT doc_id::VARCHAR AS id, sha256(regexp_replace(text, '[\x00\r]', '', 'g')) AS sha, coalesce(lang, '') AS lang FROM documents""")
+def q_csv_texts(spark, d):
+    """Whole texts, with their line feeds, commas and quotes, as quoted cells of CSV files that are read by ranges far below a file's size."""
+    out = _in_shared(spark, "csv")
+    t = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[\\x00\\r]", "").alias("text"), "lang")
+    t.write.option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(out)
+    return texts.read_csv_auto(spark, f"{out}/*.csv", split_bytes=RECORD_SPLIT).select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha"), "lang")
 
 
 @BOOK.add("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, doc_id, sha256(text) AS sha FROM documents")

@@ -1,4 +1,4 @@
-"""Files as tables: inventories, discovery, CSV of unknown encoding, map XML, shards and resumable units."""
+"""Files as tables: inventories, discovery, CSV sinks, map XML, shards and resumable units."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklens.lineage import cut
 from tracklens.operators.sets import union_all
 
 
@@ -27,30 +26,6 @@ def discover(files: DataFrame, pattern: str = RUN_NAME, companion: str = SIDECAR
     return f.where(F.col("name").rlike(pattern)).join(side, "stem", "left").select("path", "stem", F.coalesce("_has", F.lit(False)).alias("has_companion"))
 
 
-def read_csv_auto(spark: SparkSession, path: str) -> DataFrame:
-    """CSV files with a header, UTF-8 (with or without mark), else GB 18030; all columns are text."""
-    import csv
-    import io
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw = data.as_py()
-                try:
-                    text = raw.decode("utf-8-sig")
-                except UnicodeDecodeError:
-                    text = raw.decode("gb18030")
-                rows = [[(k, v or "") for k, v in r.items() if k is not None] for r in csv.DictReader(io.StringIO(text))]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.map_(pa.string(), pa.string()))], names=["file", "row", "cells"])
-
-    cells = cut(spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, row long, cells map<string,string>"))  # parsed once
-    names = sorted(r[0] for r in cells.select(F.explode(F.map_keys("cells"))).distinct().collect())
-    return cells.select("file", "row", *[F.col("cells")[n].alias(n) for n in names])
-
-
 def write_csv(path: str, *frames: DataFrame, mark: bool = True, by: Sequence[str] = ()) -> None:
     """One CSV data set with a header from frames whose columns may differ, in the order in which they first appear.
 
