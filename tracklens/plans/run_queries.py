@@ -12,8 +12,8 @@ from tracklens.functions import numbers as nb
 from tracklens.lineage import shared_dir
 from tracklens.operators import classify as c
 from tracklens.operators import contracts as k
+from tracklens.operators import corpora, models, scenes, sets
 from tracklens.operators import inference as x
-from tracklens.operators import models, scenes, sets
 from tracklens.operators import sampling as sm
 from tracklens.operators import vectors as v
 from tracklens.operators.order import ranked
@@ -21,6 +21,7 @@ from tracklens.plans import episodes
 from tracklens.plans import series_queries as sq
 from tracklens.plans.base import Book, table
 from tracklens.sources import files, records, runs, texts, units
+from tracklens.sources.ranges import listing
 
 BOOK = Book()
 
@@ -293,6 +294,41 @@ def q_pulse_corpus(spark, d):
     return g.select("l_orderkey", F.size("q").alias("n"), *[F.round(F.coalesce(F.get("q", i), F.lit(0.0)), 4).alias(f"p{i + 1}") for i in range(3)], hs.salted_split("pulse", "l_orderkey").alias("split"))
 
 
+@BOOK.add("""WITH u AS (SELECT doc_id, source, lang, doc_id % 6 AS ord, row_number() OVER (PARTITION BY source, lang, sha256(text) ORDER BY doc_id % 6, doc_id) AS k FROM documents WHERE lang IN ('en', 'de')),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY ord, doc_id) AS n FROM u WHERE k = 1), c AS (SELECT 160 // count(DISTINCT source) AS each FROM documents)
+SELECT doc_id, source, lang FROM r, c WHERE n <= greatest(1, CASE lang WHEN 'en' THEN each * 3 // 5 ELSE each * 2 // 5 END)""")
+def q_quota_corpus(spark, d):
+    """Examples by source and language up to quotas, from files that are read in rounds until the quotas are full."""
+    out = _in_shared(spark, "corpus")
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "text", (F.col("doc_id") % 6).alias("part"))
+    docs.repartition("source", "part").write.partitionBy("source", "part").parquet(out)
+    place = lambda f: (F.regexp_extract(f, "source=([^/]*)/", 1), F.regexp_extract(f, "part=([0-9]+)/", 1).cast("int"))
+    grp, part = place("file")
+    found = listing(spark, out, "*.parquet").select("file", grp.alias("grp"), part.alias("ord"))
+
+    def read(names):
+        g, o = place(F.col("_metadata.file_path"))
+        return spark.read.parquet(*names).select(o.alias("ord"), g.alias("grp"), F.col("lang").alias("kind"), F.col("doc_id").alias("place"), F.sha2("text", 256).alias("key"))
+
+    taken, _ = corpora.quota_corpus(found, read, 160, {"en": (3, 5), "de": (2, 5)})
+    return taken.select(F.col("place").alias("doc_id"), F.col("grp").alias("source"), F.col("kind").alias("lang"))
+
+
+@BOOK.add("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS attempt FROM lineitem),
+s AS (SELECT l_orderkey, list(l_quantity::DOUBLE ORDER BY attempt) AS q FROM l GROUP BY l_orderkey), e AS (SELECT o_orderkey, q FROM orders JOIN s ON l_orderkey = o_orderkey WHERE o_orderkey % 7 <> 0 AND o_orderstatus = 'F' AND o_totalprice > 100000)
+SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'dual' ELSE 'single' END AS branch, o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'val' ELSE 'train' END AS split, len(q)::INT AS steps, list_concat(q, list_transform(range(0, (SELECT max(len(q)) FROM e) - len(q)), lambda x: 0.0::DOUBLE)) AS target FROM e""")
+def q_sequence_corpus(spark, d):
+    """Sequences of valid, dangerous solutions of training conditions, padded; development conditions are disjoint, every fifth validates."""
+    from tracklens.plans.table_queries import attempts
+
+    seq = attempts(spark, d).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.sort_array(F.collect_list(F.struct("attempt", "l_quantity"))), lambda x: x["l_quantity"]).alias("q"))
+    o = table(spark, d, "orders").withColumn("branch", F.when(F.col("o_orderkey") % 2 == 0, "dual").otherwise("single")).withColumn("fingerprint", F.sha2(F.col("o_orderkey").cast("string"), 256))
+    train, dev = o.where("o_orderkey % 7 <> 0"), o.where("o_orderkey % 7 = 0")
+    solved = train.join(seq, "o_orderkey").withColumn("index", F.col("o_orderkey"))
+    good = (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 100000)
+    return corpora.sequence_corpus(solved, train.select("branch", "o_orderkey", "fingerprint"), dev, ["branch", "o_orderkey"], "fingerprint", good, "q", "index").drop("mask")
+
+
 _LANES = """WITH pts AS (SELECT c_nationkey AS relation, CASE WHEN c_custkey % 2 = 0 THEN 'left' ELSE 'right' END AS side, row_number() OVER (PARTITION BY c_nationkey, c_custkey % 2 ORDER BY c_custkey) - 1 AS ord, c_acctbal / 1000 AS lat, c_custkey / 100.0 AS lon FROM customer),
 n AS (SELECT relation, arg_min({l: lat, o: lon}, ord) FILTER (side = 'left') AS l0, arg_max({l: lat, o: lon}, ord) FILTER (side = 'left') AS l1, arg_min({l: lat, o: lon}, ord) FILTER (side = 'right') AS r0, arg_max({l: lat, o: lon}, ord) FILTER (side = 'right') AS r1, max(ord) FILTER (side = 'right') AS last FROM pts GROUP BY relation),
 f AS (SELECT relation, last, sqrt((l0.l - r1.l) ** 2 + (l0.o - r1.o) ** 2) + sqrt((l1.l - r0.l) ** 2 + (l1.o - r0.o) ** 2) < sqrt((l0.l - r0.l) ** 2 + (l0.o - r0.o) ** 2) + sqrt((l1.l - r1.l) ** 2 + (l1.o - r1.o) ** 2) AS flip FROM n) """
