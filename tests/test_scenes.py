@@ -1,4 +1,4 @@
-"""Lanes, neighbours, pulses and episodes on small cases."""
+"""Lanes, neighbours, pulses and models on small cases."""
 
 import math
 
@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracklens.operators import models, scenes, vectors
-from tracklens.plans import episodes
 
 
 def test_right_border_is_turned_round(spark):
@@ -34,63 +33,6 @@ def test_pulse_edges_do_not_drift(spark):
     assert [r.step for r in scenes.pulse(s, "a", "w", "h", 10, 0.1).where("action > 0").orderBy("step").collect()] == [3, 4, 5]
 
 
-def test_episodes_do_not_depend_on_partitions(spark):
-    specs = episodes.sample(spark, 30, "t").withColumn("trigger", F.lit(2.5))
-    one = sorted(tuple(r) for r in episodes.run(specs.coalesce(1)).collect())
-    assert sorted(tuple(r) for r in episodes.run(specs.repartition(5)).collect()) == one
-    never = episodes.run(specs.withColumn("trigger", F.lit(0.0))).collect()
-    assert sum(r.collision for r in never) > 10 and all(r.first_brake_time is None for r in never)
-    assert sum(r[1] for r in one) < sum(r.collision for r in never)
-
-
-def test_braking_distance(spark):
-    spec = spark.createDataFrame([(1, 10.0, 50.0, 0.02, 5.0, 4.0)], "scenario long, speed double, gap double, delay double, limit double, trigger double")
-    r = episodes.run(spec).first()
-    travelled = 50.0 - r.min_clearance
-    assert not r.collision and travelled == pytest.approx(10 * r.first_brake_time + 10.0, abs=0.3)
-
-
-def slow_episode(speed, gap, delay, limit, trigger):
-    """One scenario, step by step."""
-    step, lag = episodes.STEP, max(1, round(delay / episodes.STEP))
-    commands, command, low, first, effort = [], False, gap, None, 0.0
-    for k in range(round(episodes.SECONDS / step)):
-        if k % episodes.DECIDE == 0:
-            command = command or gap / max(speed, 1e-6) < trigger
-        commands.append(command)
-        acting = k >= lag and commands[k - lag]
-        if acting and first is None:
-            first = k * step
-        a = limit if acting else 0.0
-        gap -= max(speed * step - a * step * step / 2, 0)
-        speed = max(speed - a * step, 0)
-        effort += a * step
-        low = min(low, gap)
-        if gap <= 0:
-            return True, speed, low, first, (k + 1) * step, effort
-        if speed <= 0:
-            return False, 0.0, low, first, (k + 1) * step, effort
-    return False, 0.0, low, first, episodes.SECONDS, effort
-
-
-def test_episodes_equal_a_slow_version(spark):
-    specs = episodes.sample(spark, 40, "slow").withColumn("trigger", F.col("scenario") % 4 * 0.9 + 0.2)
-    want = {r.scenario: slow_episode(r.speed, r.gap, r.delay, r["limit"], r.trigger) for r in specs.collect()}
-    for r in episodes.run(specs).collect():
-        hit, speed, low, first, end, effort = want[r.scenario]
-        assert r.collision == hit and r.first_brake_time == pytest.approx(first)
-        assert (r.collision_speed, r.min_clearance, r.elapsed, r.effort) == pytest.approx((speed, low, end, effort))
-    assert len({w[0] for w in want.values()}) == 2
-
-
-def test_search_finds_less_effort_without_collisions(spark):
-    specs = episodes.sample(spark, 12, "find")
-    found = episodes.search(specs, rounds=2, candidates=8)
-    assert found.count() == 12 and found.where("mean < 0.1 or sd < 0.1 or mean > 6").count() == 0
-    rows = lambda d: [x for r in d.orderBy("scenario").collect() for x in (r.mean, r.sd)]
-    assert rows(episodes.search(specs.repartition(3), rounds=2, candidates=8)) == pytest.approx(rows(found))
-
-
 def test_kernel_ridge_equals_its_definition(spark):
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=(30, 3)), rng.normal(size=30)

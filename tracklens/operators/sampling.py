@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklens.functions.hashing import salted_order
+from tracklens.functions.hashing import draw, salted_order
 from tracklens.operators.order import ranked
 
 
@@ -101,3 +101,15 @@ def row_pointers(df: DataFrame, order: Sequence[str], rows: int, by: Sequence[st
     """Adds shard and row: where a sample would stand if shards of at most ``rows`` samples were filled in order. Pointers of files that are
     written come from sources.units.pointers."""
     return ranked(df, by, order, "_p").withColumn("_p", F.col("_p") - 1).withColumns({"shard": F.floor(F.col("_p") / rows), "row": F.col("_p") % rows}).drop("_p")
+
+
+def scenarios(conditions: DataFrame, key: str, seed: str, most_tries: int = 8) -> DataFrame:
+    """(key, speed, gap, delay, limit): parameters of every condition by hashed draws; those that no braking can save are drawn anew.
+
+    Try k of a condition depends on (seed, key, k); the first that fits is taken, else the last.
+    """
+    u = lambda name: draw(F.lit(1_000_000), seed, name, F.col(key), F.col("_k")) / 1e6
+    t = conditions.select(key, F.explode(F.sequence(F.lit(0), F.lit(most_tries - 1))).alias("_k"))
+    t = t.select(key, "_k", (5 + 15 * u("speed")).alias("speed"), (10 + 50 * u("gap")).alias("gap"), (0.1 + 0.4 * u("delay")).alias("delay"), (3 + 6 * u("limit")).alias("limit"))
+    fits = F.col("speed") * F.col("delay") + F.col("speed") * F.col("speed") / (2 * F.col("limit")) < F.col("gap")
+    return t.groupBy(key).agg(F.max_by(F.struct("speed", "gap", "delay", "limit"), F.when(fits, 1000 - F.col("_k")).otherwise(F.col("_k"))).alias("_s")).select(key, "_s.*")

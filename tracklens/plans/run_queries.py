@@ -17,7 +17,6 @@ from tracklens.operators import inference as x
 from tracklens.operators import sampling as sm
 from tracklens.operators import vectors as v
 from tracklens.operators.order import ranked
-from tracklens.plans import episodes
 from tracklens.plans import series_queries as sq
 from tracklens.plans.base import Book, table
 from tracklens.sources import files, records, runs, texts, units
@@ -241,7 +240,7 @@ def q_provenance(spark, d):
 def q_codebook_reuse(spark, d):
     """A codebook with a token for each label (its first vector), taken over only if whole."""
     e = table(spark, d, "embeddings").groupBy(F.col("label").alias("token")).agg(F.min_by("embedding", "vec_id").alias("c"))
-    size = e.count()
+    size = table(spark, d, "embeddings").select("label").distinct().count()
     return models.reuse_codebook(e, size, 64).select("token", F.get("c", 0).alias("first_"), F.size("c").alias("dim"))
 
 
@@ -271,13 +270,14 @@ def q_exposure(spark, d):
     return sm.exposure(s.where("place < 30"), "source", "doc_id")
 
 
-_U = "(('0x' || substr(md5('w4|{0}|' || scenario::VARCHAR || '|' || k::VARCHAR), 1, 8))::BIGINT % 1000000) / 1e6"
+_U = "(('0x' || substr(md5('w4|{0}|' || o_orderkey::VARCHAR || '|' || k::VARCHAR), 1, 8))::BIGINT % 1000000) / 1e6"
 
 
-@BOOK.add("WITH t AS (SELECT scenario, k, 5 + 15 * " + _U.format("speed") + " AS speed, 10 + 50 * " + _U.format("gap") + " AS gap, 0.1 + 0.4 * " + _U.format("delay") + " AS delay, 3 + 6 * " + _U.format("limit") + """ AS lim FROM range(300) s(scenario), range(8) r(k)),
-c AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY CASE WHEN speed * delay + speed * speed / (2 * lim) < gap THEN k - 1000 ELSE -k END) AS o FROM t) SELECT scenario, round(speed, 9) AS speed, round(gap, 9) AS gap, round(delay, 9) AS delay, round(lim, 9) AS "limit" FROM c WHERE o = 1""")
+@BOOK.add("WITH t AS (SELECT o_orderkey, k, 5 + 15 * " + _U.format("speed") + " AS speed, 10 + 50 * " + _U.format("gap") + " AS gap, 0.1 + 0.4 * " + _U.format("delay") + " AS delay, 3 + 6 * " + _U.format("limit") + """ AS lim FROM orders, range(8) r(k)),
+c AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY CASE WHEN speed * delay + speed * speed / (2 * lim) < gap THEN k - 1000 ELSE -k END) AS o FROM t) SELECT o_orderkey, round(speed, 9) AS speed, round(gap, 9) AS gap, round(delay, 9) AS delay, round(lim, 9) AS "limit" FROM c WHERE o = 1""")
 def q_scenarios(spark, d):
-    return episodes.sample(spark, 300, "w4").select("scenario", *[F.round(x, 9).alias(x) for x in ("speed", "gap", "delay", "limit")])
+    """Parameters of a scenario for every order, drawn by hash until they can be driven."""
+    return sm.scenarios(table(spark, d, "orders"), "o_orderkey", "w4").select("o_orderkey", *[F.round(x, 9).alias(x) for x in ("speed", "gap", "delay", "limit")])
 
 
 @BOOK.add("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS attempt FROM lineitem),
@@ -470,6 +470,25 @@ def q_csv_texts(spark, d):
     return texts.read_csv_auto(spark, f"{out}/*.csv", split_bytes=RECORD_SPLIT).select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha"), "lang")
 
 
+@BOOK.add("SELECT source, count(*) * 65 AS bytes, count(DISTINCT lang)::BIGINT AS files_ FROM documents GROUP BY source")
+def q_inventory(spark, d):
+    """Sizes of files by source and language, from the listing alone: each holds a digest and a line feed for every document."""
+    out = _in_shared(spark, "inventory")
+    lines = table(spark, d, "documents").select("source", "lang", F.sha2("text", 256).alias("line"))
+    lines.repartition("source", "lang").write.partitionBy("source", "lang").text(out)
+    found = files.inventory(spark, out, "*.txt").withColumn("source", F.regexp_extract("path", "source=([^/]*)/", 1))
+    return found.groupBy("source").agg(F.sum("size").alias("bytes"), F.count("*").alias("files_"))
+
+
+@BOOK.add("SELECT c_mktsegment AS segment, c_custkey::VARCHAR AS id, c_name AS name FROM customer")
+def q_group_csv(spark, d):
+    """A CSV folder for each group, read again with the group as a column."""
+    out = _in_shared(spark, "groups")
+    c_ = table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    files.write_csv(out, c_, mark=False, by=["segment"])
+    return spark.read.option("header", True).csv(out).select("segment", "id", "name")
+
+
 @BOOK.add("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, doc_id, sha256(text) AS sha FROM documents")
 def q_input_order(spark, d):
     """Inputs hashed wherever they are, told in the order of the input list."""

@@ -1,4 +1,4 @@
-"""Scenes, models, gates and episodes on the driver tables: ten vectors are a scene, their components states."""
+"""Scenes, models and gates on the driver tables: ten vectors are a scene, their components states."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from tracklens.operators import feasible, models
 from tracklens.operators import inference as x
 from tracklens.operators import scenes as sc
 from tracklens.operators import vectors as v
-from tracklens.plans import episodes
 from tracklens.plans.base import Book, table
 
 BOOK = Book()
@@ -137,18 +136,6 @@ def q_kmeans_codebook(spark, d):
     return v.kmeans(e, "v", 8, 3, "codebook", "vec_id", balance="label", batch=2000)
 
 
-@BOOK.add()
-def q_episodes(spark, d):
-    n = table(spark, d, "supplier").count()
-    return episodes.run(episodes.sample(spark, n, "episodes").withColumn("trigger", F.lit(2.0)))
-
-
-@BOOK.add()
-def q_trigger_search(spark, d):
-    n = table(spark, d, "nation").count()
-    return episodes.search(episodes.sample(spark, n, "search"))
-
-
 @BOOK.add("WITH f AS (SELECT vec_id, list_transform(range(0, 64), lambda k: CASE WHEN embedding[k + 1] > 0 THEN embedding[k + 1]::DOUBLE ELSE 0 END) AS a, list_transform(range(0, 64), lambda k: (embedding[k + 1] > 0)::INT::DOUBLE) AS m FROM embeddings) SELECT vec_id, list_concat(a, m) AS features FROM f")
 def q_flat_features(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))

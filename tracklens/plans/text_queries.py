@@ -208,11 +208,13 @@ def q_feasible_windows(spark, d):
     return w.select("user_id", "g", k.disjoint_windows("s", "f", "s2", "f2", 3_600_000_000).alias("feasible"))
 
 
-@BOOK.add("SELECT 'overlap' AS test, list_has_any(['a', 'b'], ['c']) AS holds UNION ALL SELECT 'subset', len(list_filter(['a'], lambda x: NOT list_contains(['a', 'b'], x))) = 0")
+@BOOK.add("""WITH r AS (SELECT l_suppkey, list(DISTINCT l_returnflag) FILTER (l_linestatus = 'O') AS o, list(DISTINCT l_returnflag) FILTER (l_linestatus = 'F') AS f FROM lineitem GROUP BY l_suppkey)
+SELECT l_suppkey, list_has_any(coalesce(o, []), coalesce(f, [])) AS overlaps, list_has_all(coalesce(f, []), coalesce(o, [])) AS inside FROM r""")
 def q_role_sets(spark, d):
-    one, two = F.array(F.lit("a"), F.lit("b")), F.array(F.lit("c"))
-    row = spark.range(1)
-    return row.select(F.lit("overlap").alias("test"), F.arrays_overlap(one, two).alias("holds")).union(row.select(F.lit("subset"), F.size(F.array_except(F.array(F.lit("a")), one)) == 0))
+    """Whether the return flags of a supplier's open lines overlap those of finished ones, and whether they are a subset."""
+    flags = lambda status: F.collect_set(F.when(F.col("l_linestatus") == status, F.col("l_returnflag")))
+    r = table(spark, d, "lineitem").groupBy("l_suppkey").agg(flags("O").alias("o"), flags("F").alias("f"))
+    return r.select("l_suppkey", F.arrays_overlap("o", "f").alias("overlaps"), (F.size(F.array_except("o", "f")) == 0).alias("inside"))
 
 
 @BOOK.add("SELECT lang, (SELECT count(*) FROM documents x WHERE x.lang = d.lang AND doc_id % 5 <> 0) AS train_n, (SELECT count(*) FROM documents x WHERE x.lang = d.lang AND doc_id % 5 = 0) AS val_n FROM (SELECT DISTINCT lang FROM documents) d")
