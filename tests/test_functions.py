@@ -207,6 +207,13 @@ def test_boosted_trees_beat_the_mean(spark):
     rows = [(a, b, 3 * a + b * b, float(a > 0.5), i % 4 == 0) for i in range(400) for a, b in [(rng.random(), rng.random())]]
     r = boosted_baseline(spark.createDataFrame(rows, "a double, b double, y double, l double, t boolean"), ["a", "b"], "y", "l", "t").first()
     assert r.model_error < 0.4 * r.mean_error and r.auc > 0.95
+    held = [(y, x) for _, _, y, x, t in rows if t]
+    mean = sum(y for *_, y, _, t in rows if not t) / sum(not t for *_, t in rows)
+    assert r.mean_error == pytest.approx(sum(abs(y - mean) for y, _ in held) / len(held))
+    pooled = {k: (v.error, v.rows) for k, v in r.residual_errors.items()}
+    assert {k: n for k, (_, n) in pooled.items()} == {k: sum(x == k for _, x in held) for k in (0.0, 1.0)} and sum(e * n for e, n in pooled.values()) / len(held) == pytest.approx(r.model_error)
+    one = boosted_baseline(spark.createDataFrame([(*x[:3], 1.0, x[4]) for x in rows], "a double, b double, y double, l double, t boolean"), ["a", "b"], "y", "l", "t").first()
+    assert one.auc is None and list(one.residual_errors) == [1.0]
 
 
 def test_checksums_of_blocks():

@@ -22,19 +22,31 @@ def reuse_codebook(book: DataFrame, size: int, dim: int) -> DataFrame:
 
 
 def boosted_baseline(df: DataFrame, features: Sequence[str], target: str, label: str, test: str, rounds: int = 15, depth: int = 3, seed: int = 7) -> DataFrame:
-    """(model_error, mean_error, auc), one row: mean absolute errors on the test rows of boosted trees and of the training mean, and
-    the area under the curve of boosted trees for a 0/1 label. Training is distributed; test is a boolean column."""
+    """(model_error, mean_error, auc, residual_errors), one row, from the test rows: mean absolute errors of boosted trees and of the training mean, the
+    area under the curve of a boosted classifier for a 0/1 label, and the error by label value of the trees, pooled (label: error, rows).
+
+    Training is distributed; test is a boolean column. Where training rows have one label alone, the area is null.
+    """
+    from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import GBTRegressor
 
     from tracklens.operators.inference import auc
 
     d = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip").transform(df.select(*features, F.col(target).cast("double").alias("_y"), F.col(label).cast("double").alias("_l"), F.col(test).alias("_t")))
     train, held = d.where(~F.col("_t")), d.where("_t")
-    mean = train.agg(F.avg("_y")).first()[0]
-    fit = lambda y: GBTRegressor(featuresCol="_x", labelCol=y, predictionCol="_guess", maxIter=rounds, maxDepth=depth, seed=seed).fit(train)
-    errors = fit("_y").transform(held).agg(F.avg(F.abs(F.col("_guess") - F.col("_y"))).alias("model_error"), F.avg(F.abs(F.col("_y") - F.lit(mean))).alias("mean_error"))
-    return errors.join(auc(fit("_l").transform(held).withColumn("_l", F.col("_l").cast("int")), [], "_l", "_guess").select("auc"))
+    mean, labels = train.agg(F.avg("_y"), F.count_distinct("_l")).first()
+    common = {"featuresCol": "_x", "predictionCol": "_guess", "maxIter": rounds, "maxDepth": depth, "seed": seed}
+    told = GBTRegressor(labelCol="_y", **common).fit(train).transform(held)
+    by = told.groupBy("_l").agg(F.sum(F.abs(F.col("_guess") - F.col("_y"))).alias("e"), F.sum(F.abs(F.col("_y") - F.lit(mean))).alias("m"), F.count("*").alias("n"))
+    pooled = F.map_from_entries(F.sort_array(F.collect_list(F.struct("_l", F.struct((F.col("e") / F.col("n")).alias("error"), F.col("n").alias("rows"))))))
+    errors = by.agg((F.sum("e") / F.sum("n")).alias("model_error"), (F.sum("m") / F.sum("n")).alias("mean_error"), pooled.alias("residual_errors"))
+    if labels < 2:
+        return errors.withColumn("auc", F.lit(None).cast("double"))
+    judged = GBTClassifier(labelCol="_l", **common).fit(train).transform(held)
+    judged = judged.select(F.col("_l").cast("int").alias("_l"), vector_to_array("probability")[1].alias("_score"))
+    return errors.join(auc(judged, [], "_l", "_score").select("auc"))
 
 
 def flat_features(values: Sequence[str], mask: str) -> Column:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklens.functions.numbers import into_frame, norm
+from tracklens.functions.numbers import into_frame, norm, out_of_frame
+from tracklens.operators.vectors import nearest_centroid
 
 
 def others(states: DataFrame, scene: str, track: str, columns: Sequence[str]) -> DataFrame:
@@ -88,3 +89,25 @@ def pulse(df: DataFrame, start: str, width: str, height: str, steps: int, dt: fl
     s = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
     t = F.col("step") * dt
     return s.withColumn("action", F.when((t >= F.col(start) - 1e-9) & (t < F.col(start) + F.col(width) - 1e-9), F.col(height)).otherwise(F.lit(0.0)))
+
+
+def conversion_audit(samples: DataFrame, book: DataFrame, group: str, split: str, vector: str, yaw: str, tolerance: float = 1e-9) -> DataFrame:
+    """(group, samples, round_trip, splits, leaks, token, share): what a conversion to anchor frames must keep, from one pass over the samples.
+
+    The points of a sample (x, y pairs of the flat vector) go into the frame at its first point turned by yaw and back; round_trip tells
+    whether all of a group come back within the tolerance. A group in more than one split leaks. Samples are labelled with the nearest
+    centroid of book (token, c); token is the most frequent of a group (the smallest on ties) and share its part of the group.
+    """
+    at = lambda i: F.get(vector, i).cast("double")
+
+    def back(i: Column) -> Column:
+        x, y = at(2 * i), at(2 * i + 1)
+        u, w = into_frame(x, y, at(F.lit(0)), at(F.lit(1)), yaw)
+        bx, by = out_of_frame(u, w, at(F.lit(0)), at(F.lit(1)), yaw)
+        return F.greatest(F.abs(bx - x), F.abs(by - y))
+
+    worst = F.array_max(F.transform(F.sequence(F.lit(0), F.floor(F.size(vector) / 2).cast("int") - 1), back))
+    s = nearest_centroid(samples.withColumn("_worst", worst), vector, book)
+    by = s.groupBy(group, "token").agg(F.count("*").alias("_n"), F.max("_worst").alias("_worst"), F.collect_set(split).alias("_splits"))  # a set of split names
+    out = by.groupBy(group).agg(F.sum("_n").alias("samples"), (F.max("_worst") <= tolerance).alias("round_trip"), F.size(F.array_distinct(F.flatten(F.collect_list("_splits")))).alias("splits"), F.min(F.struct((-F.col("_n")).alias("n"), "token")).alias("_m"))
+    return out.select(group, "samples", "round_trip", "splits", (F.col("splits") > 1).alias("leaks"), F.col("_m.token").alias("token"), (-F.col("_m.n") / F.col("samples")).alias("share"))

@@ -8,7 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracklens.functions import numbers as nb
+from tracklens.functions.hashing import salted_split
 from tracklens.operators import inference as x
+from tracklens.operators import scenes
 from tracklens.operators import vectors as v
 from tracklens.operators.medoids import medoid
 from tracklens.plans.base import Book, table
@@ -212,6 +214,15 @@ def q_lloyd_step(spark, d):
     return s.select("token", F.col("k").cast("bigint").alias("k"), F.round("x", 6).alias("x"), "n")
 
 
+@BOOK.add(_BOOKSQL + """, g AS (SELECT vec_id // 10 AS scene, token, CASE WHEN (('0x' || substr(sha256('audit' || vec_id::VARCHAR), 1, 16))::UBIGINT::HUGEINT * 100) // 18446744073709551616::HUGEINT < 90 THEN 'train' ELSE 'val' END AS split FROM a),
+t AS (SELECT scene, token, count(*) AS n, row_number() OVER (PARTITION BY scene ORDER BY count(*) DESC, token) AS k FROM g GROUP BY ALL)
+SELECT g.scene, count(*) AS samples, true AS round_trip, count(DISTINCT split)::INT AS splits, count(DISTINCT split) > 1 AS leaks, any_value(t.token) AS token, round(any_value(t.n) / count(*), 6) AS share FROM g JOIN t ON t.scene = g.scene AND t.k = 1 GROUP BY g.scene""")
+def q_conversion_audit(spark, d):
+    """Round trips through anchor frames, groups in more than one split and the tokens of samples, told by one pass."""
+    e = vectors(spark, d).withColumns({"scene": F.floor(F.col("vec_id") / 10), "yaw": F.col("label") * 0.3, "split": salted_split("audit", "vec_id")})
+    return scenes.conversion_audit(e, codebook(spark, d), "scene", "split", "v", "yaw").withColumn("share", F.round("share", 6))
+
+
 _STEP = "WITH s AS (SELECT vec_id, label, k AS step, embedding[2 * k + 1]::DOUBLE AS x, embedding[2 * k + 2]::DOUBLE AS y FROM embeddings, range(32) t(k)) "
 
 
