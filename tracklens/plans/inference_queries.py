@@ -215,7 +215,7 @@ def q_lloyd_step(spark, d):
 
 
 @BOOK.add(_BOOKSQL + """, g AS (SELECT vec_id // 10 AS scene, token, CASE WHEN (('0x' || substr(sha256('audit' || vec_id::VARCHAR), 1, 16))::UBIGINT::HUGEINT * 100) // 18446744073709551616::HUGEINT < 90 THEN 'train' ELSE 'val' END AS split FROM a),
-t AS (SELECT scene, token, count(*) AS n, row_number() OVER (PARTITION BY scene ORDER BY count(*) DESC, token) AS k FROM g GROUP BY ALL)
+t AS (SELECT scene, token, count(*) AS n, row_number() OVER (PARTITION BY scene ORDER BY count(*) DESC, token) AS k FROM g GROUP BY scene, token)
 SELECT g.scene, count(*) AS samples, true AS round_trip, count(DISTINCT split)::INT AS splits, count(DISTINCT split) > 1 AS leaks, any_value(t.token) AS token, round(any_value(t.n) / count(*), 6) AS share FROM g JOIN t ON t.scene = g.scene AND t.k = 1 GROUP BY g.scene""")
 def q_conversion_audit(spark, d):
     """Round trips through anchor frames, groups in more than one split and the tokens of samples, told by one pass."""
