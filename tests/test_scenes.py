@@ -87,3 +87,18 @@ def test_codebooks_by_spread_starts_and_reseeding(spark):
     few = spark.createDataFrame([(i, "s", [float(i % 2), 0.0]) for i in range(9)], "i int, s string, v array<double>")
     assert sorted(r.c for r in vectors.kmeans(few, "v", 5, 2, "seed", "i").collect()) == [[0.0, 0.0], [1.0, 0.0]]
     assert vectors.kmeans(few.limit(0), "v", 5, 2, "seed", "i").count() == 0
+
+
+def test_spread_in_tiles_equals_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    rows = [("a", i, rng.normal(size=3).tolist()) for i in range(90)] + [("b", 1, [0.0] * 3), ("b", 2, [0.1, 0.0, 0.0]), ("one", 1, [1.0] * 3), (None, 1, [0.0] * 3), (None, 2, [3.0, 4.0, 0.0]), ("b", 3, None)]
+    df = spark.createDataFrame(rows, "g string, k long, v array<double>")
+    want = {}
+    for g in ("a", "b", None):
+        x = np.array([v for h, _, v in rows if h == g and v is not None])
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))[np.triu_indices(len(x), 1)]
+        want[g] = (d.mean(), len(d), int((d < 0.5).sum()))
+    for tile in (1024, 17):
+        got = {r.g: (r.diversity, r.pairs, r.close_pairs) for r in vectors.spread(df, "g", "k", "v", 0.5, tile=tile).collect()}
+        assert got.keys() == want.keys() and all(got[g] == (pytest.approx(want[g][0]), *want[g][1:]) for g in want)
+    assert vectors.spread(df.limit(0), "g", "k", "v", 0.5).count() == 0

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracklens.functions.hashing import draw
 
@@ -119,6 +122,34 @@ def pairs(df: DataFrame, group: str, key: str, columns: Sequence[str], block: in
     return p
 
 
+def spread(df: DataFrame, group: str, key: str, vector: str, close: float, tile: int = 1024) -> DataFrame:
+    """(group, diversity, pairs, close_pairs): the mean distance of all unordered pairs of a group and how many are nearer than close.
+
+    Groups are dealt into blocks of about ``tile`` rows, and every pair of blocks is a task's matrix of distances, of which sums alone are
+    told; no pair is a row, so groups may be large. Null vectors don't count; groups with fewer than two have no row.
+    """
+    d = df.where(F.col(vector).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("k"), F.transform(vector, lambda c: c.cast("double")).alias("v"))
+    sizes = d.groupBy(F.col("g").alias("g0")).agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
+    d = d.join(sizes, F.col("g").eqNullSafe(F.col("g0"))).withColumn("own", F.pmod(F.xxhash64("k", "v"), F.col("blocks")).cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v")
+
+    def sums(t: pa.Table) -> pa.Table:
+        own, x = t.column("own").to_numpy(), t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        a, b = (x, x) if i == j else (x[own == i], x[own == j])
+        total, pairs, near = 0.0, 0, 0
+        for s in range(0, len(a), 128):
+            e = a[s : s + 128, None] - b[None]
+            r = np.sqrt(np.einsum("ijk,ijk->ij", e, e))
+            r = r[np.arange(s, min(len(a), s + 128))[:, None] < np.arange(len(b))[None]] if i == j else r.ravel()
+            total, pairs, near = total + float(r.sum()), pairs + len(r), near + int((r < close).sum())
+        return pa.table({"g": t.column("g")[:1], "total": [total], "pairs": [pairs], "near": [near]})
+
+    kind = T.StructType([T.StructField("g", df.schema[group].dataType), *T.StructType.fromDDL("total double, pairs long, near long").fields])
+    told = d.groupBy("g", "i", "j").applyInArrow(sums, kind).groupBy("g").agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs"), F.sum("near").alias("close_pairs"))
+    return told.where("pairs > 0").select(F.col("g").alias(group), (F.col("total") / F.col("pairs")).alias("diversity"), "pairs", "close_pairs")
+
+
 def clearance(cx, cy, c_yaw, c_len, c_wid, ox, oy, o_yaw, o_len, o_wid) -> Column:
     """Separation of two oriented boxes along their four axes; negative where they overlap."""
     dx, dy = col(ox) - col(cx), col(oy) - col(cy)

@@ -185,8 +185,7 @@ def q_kernel(spark, d):
 
 @BOOK.add(_VEC + "SELECT label, round(avg(d), 6) AS diversity, count(*) AS pairs, count(*) FILTER (d < 0.2) AS close_pairs FROM pr GROUP BY label")
 def q_diversity(spark, d):
-    p = v.pairs(vectors(spark, d), "label", "vec_id", ["v"], block=256).withColumn("d", F.sqrt(v.squared_distance("v_a", "v_b")))
-    return p.groupBy("label").agg(F.round(F.avg("d"), 6).alias("diversity"), F.count("*").alias("pairs"), F.count_if(F.col("d") < 0.2).alias("close_pairs"))
+    return v.spread(vectors(spark, d), "label", "vec_id", "v", 0.2).withColumn("diversity", F.round("diversity", 6))
 
 
 @BOOK.add(_VEC + ", s AS (SELECT label, id, round(sum(d), 6) AS total FROM (SELECT label, a AS id, d FROM pr UNION ALL SELECT label, b, d FROM pr) GROUP BY ALL) SELECT label, vec_id, total FROM (SELECT label, id AS vec_id, total, row_number() OVER (PARTITION BY label ORDER BY total, id) AS k FROM s) WHERE k = 1")

@@ -480,6 +480,17 @@ def q_inventory(spark, d):
     return found.groupBy("source").agg(F.sum("size").alias("bytes"), F.count("*").alias("files_"))
 
 
+@BOOK.add("""SELECT label::VARCHAR AS file, 'v' AS name, 'float64' AS kind, count(*) AS rows_, 64 AS wide, round(sum(list_sum(embedding::DOUBLE[])), 6) AS total FROM embeddings GROUP BY label
+UNION ALL SELECT label::VARCHAR, 'vec_id', 'int64', count(*), 1, sum(vec_id)::DOUBLE FROM embeddings GROUP BY label""")
+def q_array_archives(spark, d):
+    """Vectors and ids as NumPy archives of at most 64 samples, unpacked again."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
+    got = files.parse_npz(files.archives(e, "label", "vec_id", ["vec_id", "v"], rows=64)).withColumn("file", F.substring_index("file", "-", 1))
+    wide = F.coalesce(F.get("shape", F.lit(1)), F.lit(1)).cast("int")
+    sums = got.withColumns({"wide": wide, "part": F.aggregate("values", F.lit(0.0), lambda a, b: a + b)})
+    return sums.groupBy("file", "name", "kind", "wide").agg(F.sum(F.get("shape", F.lit(0))).alias("rows_"), F.round(F.sum("part"), 6).alias("total"))
+
+
 @BOOK.add("SELECT c_mktsegment AS segment, c_custkey::VARCHAR AS id, c_name AS name FROM customer")
 def q_group_csv(spark, d):
     """A CSV folder for each group, read again with the group as a column."""

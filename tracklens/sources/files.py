@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,11 +141,11 @@ def lane_speeds(relation_tag: DataFrame, member: DataFrame) -> DataFrame:
 
 def read_npz(spark: SparkSession, path: str) -> DataFrame:
     """(file, name, shape, kind, values) of every numeric array in NumPy archives; objects are refused."""
-    import io
-    from collections.abc import Iterator
+    return parse_npz(spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content"))
 
-    import numpy as np
-    import pyarrow as pa
+
+def parse_npz(files: DataFrame) -> DataFrame:
+    """read_npz of (file, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,4 +154,22 @@ def read_npz(spark: SparkSession, path: str) -> DataFrame:
                     got = [(k, z[k]) for k in sorted(z.files)]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(got)), pa.array([k for k, _ in got], pa.string()), pa.array([list(x.shape) for _, x in got], pa.list_(pa.int64())), pa.array([str(x.dtype) for _, x in got], pa.string()), pa.array([x.astype(float).reshape(-1).tolist() for _, x in got], pa.list_(pa.float64()))], names=["file", "name", "shape", "kind", "values"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, name string, shape array<long>, kind string, values array<double>")
+    return files.select("file", "content").mapInArrow(run, "file string, name string, shape array<long>, kind string, values array<double>")
+
+
+def archives(df: DataFrame, file: str, order: str, columns: Sequence[str], rows: int = 4096) -> DataFrame:
+    """(file, content): NumPy archives of the columns, numbers or arrays of equal length, with at most ``rows`` samples in order in each.
+
+    A file of more rows is dealt out by a hash of the order into archives named file-0, file-1, ..., so a hot one is many tasks' work.
+    """
+    sizes = df.groupBy(F.col(file).alias("_f")).agg(F.ceil(F.count("*") / rows).alias("_parts"))
+    d = df.join(sizes, F.col(file).eqNullSafe(F.col("_f"))).withColumn("_part", F.pmod(F.xxhash64(order), F.col("_parts")))
+    d = d.select(F.concat_ws("-", F.col(file).cast("string"), F.when(F.col("_parts") > 1, F.col("_part").cast("string"))).alias("file"), F.col(order).alias("_o"), *columns)
+
+    def pack(t: pa.Table) -> pa.Table:
+        t, out = t.sort_by("_o"), io.BytesIO()
+        flat = lambda c: c.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False)
+        np.savez(out, **{c: flat(t.column(c).combine_chunks()) for c in columns})
+        return pa.table({"file": t.column("file")[:1], "content": pa.array([out.getvalue()], pa.binary())})
+
+    return d.groupBy("file").applyInArrow(pack, "file string, content binary")
