@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklens.llm.spark import components, cut
+from tracklens.llm.spark import components, cut, release
 from tracklens.llm.words import U64, Hasher, Words, mix, slices
 
 SHINGLE = 5
@@ -357,8 +357,10 @@ def _judge(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: i
     # first each member against one pivot, the smallest; then only pairs that are still in different trees
     first = tried.groupBy(F.col("b").alias("m")).agg(F.min("a").alias("p"))
     check = lambda p: cut(verify(cut(_plausible(p, reps, num, den)), docs, id_col, text_col, k, num, den), PAIR_ROWS)
+    release(docs.sparkSession)
     links = check(first.select(F.col("p").alias("a"), F.col("m").alias("b")))
     found = _roots(links)
+    release(docs.sparkSession)
     root = lambda x: found.select(F.col("id").alias(f"i{x}"), F.col("component_id").alias(f"c{x}"))
     rest = tried.join(first, F.col("b") == F.col("m")).where("a <> p").join(root("a"), F.col("a") == F.col("ia"), "left").join(root("b"), F.col("b") == F.col("ib"), "left")
     more = check(rest.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"))
@@ -370,6 +372,7 @@ def _judge(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: i
     left = member.where("size > 2").select("key", F.col("id").alias("i"), "band", "pivot").join(found, F.col("i") == F.col("id"), "left").select("key", "i", "band", "pivot", part)
     mixed = left.groupBy(F.col("key").alias("k")).agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.max(F.when(F.col("i") == F.col("pivot"), F.col("part"))).alias("main")).where("lo <> hi")
     open_ = cut(left.join(mixed, F.col("key") == F.col("k")).select("key", "i", "band", "part", "main"))
+    release(docs.sparkSession)
     if not open_.isEmpty():
         crossed = cut(_cross(open_, reps, docs, id_col, text_col, k, num, den))
         if not crossed.isEmpty():

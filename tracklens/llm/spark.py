@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,12 @@ def cut(df: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
         conf.set(key, usual)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that are done with; its cleaner hears of them only when the driver's JVM collects garbage."""
+    gc.collect()  # Python's objects hold those of the JVM
+    spark.sparkContext._jvm.System.gc()
+
+
 def with_fields(df: DataFrame, ddl: str) -> T.StructType:
     """The schema of df and more fields; df's own stays as it is."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
