@@ -76,7 +76,7 @@ def test_registered():
 
     names = __spark_entry__.queries()
     assert "pipeline" in names
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
 
 
 def test_rows_that_repeat(spark, tmp_path):
@@ -93,6 +93,22 @@ def test_rows_that_repeat(spark, tmp_path):
     assert told.columns == docs.columns and {r.lang for r in told.collect()} == {"en"}
 
 
+def test_odd_rows_go_through_all_stages(spark, tmp_path):
+    """Null ids, rows that repeat whole, null benchmark texts and names that clash, through run()."""
+    rng = random.Random(15)
+    item = prose(rng, 30, 400)
+    text = lambda: " ".join(rng.choice(["the", "ship", "and", prose(rng, 1, 900)]) for _ in range(50))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, a, "en", "s", 0), (1, a, "en", "s", 0), (2, b, "en", "s", 0), (None, c, "en", "s", 0), (None, c, "en", "s", 0), (None, f"{d[:50]} {item}", "en", "s", 0), (None, None, None, None, None), (3, f"{d} {item}", "en", "s", 0), (4, "²² 12", "en", "s", 0)]
+    spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, words string, score int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, None, "clash"), (None, item, None), (2, item, None), (3, "", None)], "item_id long, text string, lang string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id or 0 for r in out) == [0, 0, 1, 2]
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = {i: hashlib.sha256(np.array(sp.encode(t, add_bos=True, add_eos=True), "<u4").tobytes()).hexdigest() for i, t in ((1, a), (2, b), (None, c))}
+    assert all(r.ids_sha256 == want[r.doc_id] for r in out)
+
+
 def test_documents_whose_label_is_contradicted_go(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(NAMES[x].split()) for _ in range(40)), x) for i, x in enumerate(["en", "de"] * 60)]
