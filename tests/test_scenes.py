@@ -1,6 +1,7 @@
 """Lanes, neighbours, pulses and models on small cases."""
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -57,6 +58,10 @@ def test_kernel_ridge_in_tiles_equals_its_definition(spark):
     w = np.linalg.solve(k + 0.3 * np.eye(400), y - y.mean())
     got = {r.i: r.p for r in m.predict(df, "v", "p").collect()}
     assert [got[i] for i in range(400)] == pytest.approx((y.mean() + k @ w).tolist(), rel=1e-6, abs=1e-7) and got[500] is None
+    from tracklens.operators import kernels
+
+    streamed = list(kernels._blocks(m.path, tuple(sorted(str(f) for f in Path(m.path.removeprefix("file://")).glob("*.parquet")))))
+    assert sorted(streamed) == sorted(kernels.model(m.path)) and len(streamed) == 7
     clipped = [r.p for r in m.predict(df.where("i < 400"), "v", "p", low=-0.1, high=0.1).collect()]
     assert min(clipped) == -0.1 and max(clipped) == 0.1
     same = models.KernelRidge(alpha=1.0, tile=3).fit(spark.createDataFrame([([1.0], 2.0)] * 7, "v array<double>, y double"), "v", "y")

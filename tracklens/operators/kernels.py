@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from tracklens.operators.order import ranked
 from tracklens.sources.ranges import store_of
 
 BINS = 4096
+CACHE_BYTES = 64 << 20  # of a model that a worker keeps
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -183,7 +185,7 @@ class KernelRidge:
         return w
 
     def predict(self, df: DataFrame, vector: str, name: str = "prediction", low: float | None = None, high: float | None = None) -> DataFrame:
-        """df with the prediction, between low and high where given. Tasks read the model from the shared folder, a block at a time for each batch; null vectors give null."""
+        """df with the prediction, between low and high where given. Tasks read the model from the shared folder, a file of it at a time; null vectors give null."""
         path, width, mean = self.path, self.width, self.mean
         edges = (-np.inf if low is None else low, np.inf if high is None else high)
 
@@ -202,8 +204,21 @@ class KernelRidge:
         return df.withColumn(name, f(vector))
 
 
-@lru_cache(1)
-def model(path: str) -> list[tuple[bytes, bytes]]:
-    """(rows, weights) of the blocks of a fitted model, read once by each worker."""
+def model(path: str) -> Iterable[tuple[bytes, bytes]]:
+    """(rows, weights) of the blocks of a fitted model; a small one is read once by each worker, a large one file by file each time."""
     store, at = store_of(path)
-    return [(x, w) for t in [pq.read_table(at, columns=["b", "x", "w"], filesystem=store)] for _, x, w in sorted(zip(*(t.column(c).to_pylist() for c in ("b", "x", "w")), strict=True))]
+    files = sorted((f.path, f.size) for f in store.get_file_info(fs.FileSelector(at)) if f.base_name.endswith(".parquet"))
+    names = tuple(name for name, _ in files)
+    return _held(path, names) if sum(size for _, size in files) <= CACHE_BYTES else _blocks(path, names)
+
+
+def _blocks(path: str, names: tuple[str, ...]) -> Iterator[tuple[bytes, bytes]]:
+    store, _ = store_of(path)
+    for name in names:
+        t = pq.read_table(name, columns=["x", "w"], filesystem=store)
+        yield from zip(t.column("x").to_pylist(), t.column("w").to_pylist(), strict=True)
+
+
+@lru_cache(1)
+def _held(path: str, names: tuple[str, ...]) -> list[tuple[bytes, bytes]]:
+    return list(_blocks(path, names))
