@@ -32,6 +32,13 @@ def test_single_rows_are_no_segment(spark):
     assert column(s.gap_segments(track(spark, [0, 1, 2, 50]), "k", "i", "t"), "segment") == [0, 0, 0]
 
 
+def test_gradient_of_microseconds_is_exact(spark):
+    """Steps of a clock in microseconds since 1970 aren't rounded to what a double of seconds holds; equal times are no error."""
+    t = [1_704_067_200_000_001, 1_704_067_200_000_002, 1_704_067_200_000_004, 1_704_067_200_000_004]
+    got = column(track(spark, t, [1.0, 2.0, 4.0, 5.0]).withColumn("r", s.gradient("x", "t", "k", "i", unit=1e6)))
+    np.testing.assert_array_equal(got, [1e6, 1e6, np.inf, np.inf])
+
+
 def test_gradient_is_that_of_numpy(spark):
     t, x = [0, 1, 1.5, 4, 4.2, 7], [3, 1, 4, 1, 5, 9]
     got = column(track(spark, t, x).withColumn("r", s.gradient("x", "t", "k", "i")))

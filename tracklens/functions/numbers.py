@@ -46,6 +46,18 @@ def half_even(x: str | Column, digits: int = 0) -> Column:
     return F.bround(col(x), digits)
 
 
+def half_away(x: str | Column, digits: int = 0) -> Column:
+    """x times a power of ten, rounded half away from zero and taken back, as C's round does on doubles; a negative zero stays one."""
+    x, scale = col(x), float(10**digits)
+    return F.signum(x) * F.round(F.abs(x) * scale) / scale
+
+
+def over(x: str | Column, y: str | Column) -> Column:
+    """x / y of doubles by IEEE 754: by zero it is an infinity, or NaN, never an error."""
+    x, y = col(x), col(y)
+    return F.when(y == 0, x * F.lit(float("inf"))).otherwise(F.try_divide(x, y))
+
+
 def wrap_angle(a: str | Column) -> Column:
     """An angle in [-pi, pi)."""
     return F.pmod(col(a) + math.pi, F.lit(2 * math.pi)) - math.pi

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tracklens.functions.numbers import col
+from tracklens.functions.numbers import col, over
 
 Names = str | Sequence[str]
 
@@ -55,12 +55,15 @@ def forward_fill(x: str | Column, key: Names, order: Names) -> Column:
     return F.last(col(x), ignorenulls=True).over(until_now(by(key, order)))
 
 
-def gradient(x: str, t: str, key: Names, order: Names) -> Column:
-    """Second-order central difference on an uneven clock, one-sided at both ends."""
+def gradient(x: str, t: str, key: Names, order: Names, unit: float = 1.0) -> Column:
+    """Second-order central difference on an uneven clock, one-sided at both ends; unit: what one of the clock's units has of those told.
+
+    Steps are taken on the clock as it is, so on whole numbers they are exact; a step of zero makes an infinite slope, or NaN.
+    """
     w = by(key, order)
-    back, ahead = F.col(t) - F.lag(t).over(w), F.lead(t).over(w) - F.col(t)
+    back, ahead = (F.col(t) - F.lag(t).over(w)).cast("double") / unit, (F.lead(t).over(w) - F.col(t)).cast("double") / unit
     dx, dn = F.col(x) - F.lag(x).over(w), F.lead(x).over(w) - F.col(x)
-    return F.when(back.isNull() & ahead.isNull(), F.lit(None).cast("double")).when(back.isNull(), dn / ahead).when(ahead.isNull(), dx / back).otherwise((dn / ahead * back + dx / back * ahead) / (back + ahead))
+    return F.when(back.isNull() & ahead.isNull(), F.lit(None).cast("double")).when(back.isNull(), over(dn, ahead)).when(ahead.isNull(), over(dx, back)).otherwise(over(over(dn, ahead) * back + over(dx, back) * ahead, back + ahead))
 
 
 def moving_average(x: str, width: int, key: Names, order: Names) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracklens.functions.numbers import micros
+from tracklens.functions.numbers import half_away, micros
 from tracklens.operators import series as s
 from tracklens.plans.base import Book, table
 
@@ -58,8 +58,8 @@ def q_ffill(spark, d):
 @BOOK.add(_E + """, w AS (SELECT event_id, value - lag(value) OVER o AS dx, lead(value) OVER o - value AS dn, (t - lag(t) OVER o) / 1e6 AS b, (lead(t) OVER o - t) / 1e6 AS a FROM e WINDOW o AS (PARTITION BY user_id ORDER BY i))
 SELECT event_id, round(CASE WHEN b IS NULL AND a IS NULL THEN NULL WHEN b IS NULL THEN dn / a WHEN a IS NULL THEN dx / b ELSE (dn / a * b + dx / b * a) / (a + b) END, 6) AS slope FROM w""")
 def q_gradient(spark, d):
-    e = events(spark, d).withColumn("sec", F.col("t") / 1e6)
-    return e.withColumn("slope", s.gradient("value", "sec", "user_id", ORDER)).select("event_id", F.round("slope", 6).alias("slope"))
+    e = events(spark, d).withColumn("slope", s.gradient("value", "t", "user_id", ORDER, unit=1e6))
+    return e.select("event_id", half_away("slope", 6).alias("slope"))
 
 
 @BOOK.add(_E + """, w AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, first_value(value) OVER u AS f, last_value(value) OVER u AS l, sum(value) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM e
