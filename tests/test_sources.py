@@ -3,6 +3,7 @@
 import struct
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracklens.sources import files, records, runs, texts
@@ -71,6 +72,21 @@ def test_runs_written_and_read(spark, tmp_path):
     assert back.count() == 11 and back.agg(F.sum("t")).first()[0] == 12.5
 
 
+def test_a_run_is_one_file(spark, tmp_path):
+    """Rows and heads that come from shuffles of their own, and are coalesced apart, end in one file of each run."""
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    rows = spark.range(200_000).select((F.col("id") % 40).alias("u"), F.col("id").alias("t"))
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("u").orderBy("t")))
+    runs.write_runs(rows, f"{tmp_path}/w", "u", ["i"], {"i": "-", "t": "s"})
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert [len(list(p.glob("part*"))) for p in (tmp_path / "w").glob("u=*")] == [1] * 40
+    got = runs.peek(spark, f"{tmp_path}/w").collect()
+    assert {(r.declared, r.channels) for r in got} == {(5000, 2)} and {(r.first_time, r.last_time) for r in got} == {(float(u), 199_960.0 + u) for u in range(40)}
+
+
 def varint(n):
     out = b""
     while n > 127:

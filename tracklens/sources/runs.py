@@ -172,12 +172,13 @@ def inspect(series: DataFrame, key: str, order: str, t: str, declared: str, max_
 def write_runs(rows: DataFrame, path: str, run: str, order: Sequence[str], channels: dict[str, str], banner: str = "export") -> None:
     """A text export in a folder of its own (run=value) for each run: banner, Points=N, names, units, rows in order. channels: name to unit."""
     cell = F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in channels])
-    body = rows.select(run, F.lit(4).alias("_part"), *[F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(order)], cell.alias("line"))
-    head = F.array(F.lit(banner), F.concat(F.lit("Points="), F.col("n").cast("string")), F.lit("\t".join(channels)), F.lit("\t".join(channels.values())))
-    heads = rows.groupBy(run).agg(F.count("*").alias("n")).select(run, F.posexplode(head).alias("_part", "line"))
-    keys = [run, "_part", *[f"_o{i}" for i in range(len(order))]]
-    lines = body.unionByName(heads, allowMissingColumns=True).repartition(run).sortWithinPartitions(*keys)
-    lines.select(F.col(run), "line").write.partitionBy(run).text(path)
+    whole = WindowSpec.partitionBy(run)
+    at = F.row_number().over(whole.orderBy(*[F.col(f"`{c}`") for c in order]))
+    body = rows.repartition(run).select(run, F.count("*").over(whole).alias("_n"), at.alias("_at"), cell.alias("_cell"))
+    # the head goes with the first row: a union of heads and rows could be dealt out apart, in two files of a run
+    head = F.array(F.lit(banner), F.concat(F.lit("Points="), F.col("_n").cast("string")), F.lit("\t".join(channels)), F.lit("\t".join(channels.values())), F.col("_cell"))
+    lines = body.select(run, "_at", F.posexplode(F.when(F.col("_at") == 1, head).otherwise(F.array("_cell"))).alias("_part", "line"))
+    lines.sortWithinPartitions(run, "_at", "_part").select(F.col(run), "line").write.partitionBy(run).text(path)
 
 
 def read_specs(spark: SparkSession, path: str) -> DataFrame:
