@@ -107,3 +107,19 @@ def test_spread_in_tiles_equals_all_pairs(spark):
         got = {r.g: (r.diversity, r.pairs, r.close_pairs) for r in vectors.spread(df, "g", "k", "v", 0.5, tile=tile).collect()}
         assert got.keys() == want.keys() and all(got[g] == (pytest.approx(want[g][0]), *want[g][1:]) for g in want)
     assert vectors.spread(df.limit(0), "g", "k", "v", 0.5).count() == 0
+
+
+def test_pairs_of_a_group_are_never_written(spark):
+    """By tiles far smaller than a group: the exact median and mean of all pairs, from blocks that hold each vector once."""
+    from tracklens.operators import kernels
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 3))
+    df = spark.createDataFrame([(i % 2, [float(c) for c in x[i]]) for i in range(90)] + [(0, None), (7, [1.0, 2.0, 3.0])], "k int, v array<double>")
+    got = {r.k: r for r in kernels.kernel_means(df, "k", "v", tile=16).collect()}
+    assert sorted(got) == ["0", "1"]
+    for k in (0, 1):
+        d = np.linalg.norm(x[k::2, None] - x[None, k::2], axis=2)[np.triu_indices(45, 1)]
+        assert np.allclose([got[str(k)].width, got[str(k)].kernel_mean], [np.median(d), np.exp(-d * d / (2 * np.median(d) ** 2)).mean()], rtol=1e-12) and got[str(k)].pairs == 990
+    tiles = kernels.Tiles(df.where("v is not null"), "k", tile=16)
+    assert tiles.packed.agg(F.sum("n"), F.count("*")).first() == (91, 7)

@@ -33,12 +33,168 @@ def _matrix(raw: bytes, dim: int) -> np.ndarray:
     return np.frombuffer(raw).reshape(-1, dim)
 
 
+STRIP = 512  # rows of a tile whose distances are held at once
+Work = Callable[[str, int, int, Iterator[tuple[int, np.ndarray]]], Iterator[tuple]]
+
+
+@lru_cache(3)
+def _block(uri: str, dim: int) -> np.ndarray:
+    store, path = store_of(uri)
+    return _matrix(pq.read_table(path, columns=["x"], filesystem=store).column("x")[0].as_py(), dim)
+
+
+class Tiles:
+    """All pairs of the rows of each group, as pairs of blocks of ``tile`` rows.
+
+    Rows (``v``, and with it ``extra`` as doubles) are ranked by hash in their group and packed into blocks, a file each in the shared folder. A tile is two
+    places: its task reads two blocks by place and holds distances for STRIP rows of it, so no pass over the pairs shuffles or writes vectors, and memory
+    doesn't grow with the rows. The driver holds the list of blocks, so groups should be few. Rows of a group are taken as different, whatever their ids are.
+    """
+
+    def __init__(self, rows: DataFrame, group: str | None = None, extra: str | None = None, tile: int = 4096):
+        self.spark, self.tile = rows.sparkSession, tile
+        self.folder = f"{shared_dir(self.spark)}/kernel-{uuid.uuid4().hex}"
+        grp = (F.col(group).cast("string") if group else F.lit("")).alias("g")
+        rows = rows.select(grp, "v", (F.col(extra) if extra else F.lit(0.0)).alias("y")).where("g is not null")
+        rows = ranked(rows.withColumn("_h", F.xxhash64("v", "y")), ["g"] if group else [], ["_h"], "_n").drop("_h")
+
+        def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values("_n")
+            x = np.stack(part["v"].to_list()).astype(float)
+            return pd.DataFrame({"g": [key[0]], "b": [int(key[1])], "n": [len(x)], "dim": [x.shape[1]], "x": [x.tobytes()], "y": [part["y"].to_numpy(float).tobytes()]})
+
+        packed = rows.withColumn("_b", F.floor((F.col("_n") - 1) / tile)).groupBy("g", "_b").applyInPandas(pack, "g string, b int, n long, dim int, x binary, y binary")
+        packed.write.option("maxRecordsPerFile", 1).parquet(f"{self.folder}/blocks")
+        self.packed = self.spark.read.parquet(f"{self.folder}/blocks")
+        self.sizes, self.files, self.dims = {}, {}, {}
+        for r in self.packed.select("g", "b", "n", "dim", F.col("_metadata.file_path").alias("file")).collect():  # a row a block
+            self.files[r.g, r.b], self.sizes[r.g], self.dims[r.g] = r.file, self.sizes.get(r.g, 0) + r.n, r.dim
+        self.blocks = {g: 1 + max(b for h, b in self.files if h == g) for g in self.sizes}
+
+    def each(self, work: Work, ddl: str, types: list[pa.DataType], finish: Callable[[], Iterator[tuple]] | None = None, groups: set[str] | None = None) -> DataFrame:
+        """What work tells of each tile, (group, i, j, strips of (first row, squared distances)) with i <= j; finish tells the rest of a task.
+
+        Of a tile on the diagonal each pair is there twice, and each row with itself.
+        """
+        tiles = [(g, i, j) for g, n in sorted(self.blocks.items()) if groups is None or g in groups for i in range(n) for j in range(i, n)]
+        files, dims, names = self.files, self.dims, [x.split()[0] for x in ddl.split(", ")]
+        parts = max(1, min(len(tiles), 4 * self.spark.sparkContext.defaultParallelism))
+        shared = self.spark.sparkContext.broadcast((tiles, files, dims))
+
+        def strips(a: np.ndarray, c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+            for s in range(0, len(a), STRIP):
+                yield s, squared_distances(a[s : s + STRIP], c)
+
+        def out(got: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate(types)], names=names)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tiles, files, dims = shared.value
+            for part in batches:
+                for k in part.column(0).to_pylist():
+                    g, i, j = tiles[k]
+                    got = list(work(g, i, j, strips(_block(files[g, i], dims[g]), _block(files[g, j], dims[g]))))
+                    if got:
+                        yield out(got)
+            if finish is not None and (got := list(finish())):
+                yield out(got)
+
+        return self.spark.range(0, len(tiles), 1, parts).mapInArrow(run, ddl)
+
+    def medians(self) -> dict[str, float]:
+        """By group, the median distance of all pairs, exactly: the range that holds the middle is cut into BINS until few values are in it. 0 without pairs."""
+        out = dict.fromkeys(self.sizes, 0.0)
+
+        def largest(g: str, i: int, j: int, strips: Iterator) -> Iterator[tuple]:
+            yield g, max(float(d.max(initial=0.0)) for _, d in strips)
+
+        tops = {r.g: float(np.sqrt(r.top)) for r in self.each(largest, "g string, top double", [pa.string(), pa.float64()]).groupBy("g").agg(F.max("top").alias("top")).collect()}
+        open_: dict[tuple[str, int], list] = {}  # (group, rank) to [low, high, below, ranges and the bin in each that holds the value, how many are there]
+        ranks = {}
+        for g, n in self.sizes.items():
+            pairs = n * (n - 1) // 2
+            if pairs and tops[g] > 0:
+                ranks[g] = sorted({(pairs - 1) // 2, pairs // 2})
+                open_ |= {(g, k): [0.0, tops[g], 0, (), pairs] for k in ranks[g]}
+        told: dict[tuple[str, int], float] = {}
+        while open_:
+            paths = {(g, tuple(s[3])): (s[0], s[1], s[4] <= BINS) for (g, _), s in open_.items()}
+            ids = {p: n for n, p in enumerate(sorted(paths))}
+            counts: dict[int, np.ndarray] = {}
+
+            def count(g: str, i: int, j: int, strips: Iterator, paths: dict = paths, ids: dict = ids, counts: dict = counts) -> Iterator[tuple]:
+                own = [(path, *paths[g, path], ids[g, path]) for h, path in paths if h == g]
+                for s, d in strips:
+                    d = np.sqrt(d)
+                    d = d[np.arange(s, s + len(d))[:, None] < np.arange(d.shape[1])[None]] if i == j else d.ravel()
+                    for path, low, high, few, at in own:
+                        x = d
+                        for lo, hi, b in path:
+                            x = x[_bins(x, lo, hi) == b]
+                        if few:
+                            yield from ((at, -1, 1, v) for v in x.tolist())
+                        else:
+                            counts[at] = counts.get(at, 0) + np.bincount(_bins(x, low, high), minlength=BINS)
+
+            def rest(counts: dict = counts) -> Iterator[tuple]:
+                for at, n in counts.items():
+                    yield from ((at, int(b), int(n[b]), None) for b in np.flatnonzero(n))
+                counts.clear()
+
+            got = self.each(count, "at int, bin int, n long, d double", [pa.int32(), pa.int32(), pa.int64(), pa.float64()], rest, {g for g, _ in open_})
+            sums = {at: np.zeros(BINS, np.int64) for at in ids.values()}
+            few: dict[int, list[float]] = {}
+            for r in got.groupBy("at", "bin", "d").agg(F.sum("n").alias("n")).collect():  # at most BINS rows a group and rank
+                if r.bin < 0:
+                    few.setdefault(r["at"], []).extend([r.d] * r.n)
+                else:
+                    sums[r["at"]][r.bin] = r.n
+            for (g, k), s in list(open_.items()):
+                low, high, below, path, held = s
+                at = ids[g, tuple(path)]
+                if held <= BINS:
+                    told[g, k] = sorted(few[at])[k - below]
+                elif high - low <= 1e-13 * tops[g]:
+                    told[g, k] = (low + high) / 2
+                else:
+                    n = sums[at]
+                    b = int(np.searchsorted(np.cumsum(n), k - below, "right"))
+                    open_[g, k] = [low + b * (high - low) / BINS, low + (b + 1) * (high - low) / BINS, below + int(n[:b].sum()), (*path, (low, high, b)), int(n[b])]
+                    continue
+                del open_[g, k]
+        return out | {g: sum(told[g, k] for k in ks) / len(ks) for g, ks in ranks.items()}
+
+
+def _bins(d: np.ndarray, low: float, high: float) -> np.ndarray:
+    return np.clip(((d - low) * (BINS / (high - low))).astype(np.int64), 0, BINS - 1)
+
+
+def kernel_means(df: DataFrame, group: str, vector: str, tile: int = 4096) -> DataFrame:
+    """(group as text, kernel_mean, width, pairs): by group the median distance of all pairs, and the mean of exp(-d^2 / (2 width^2)) over them.
+
+    Null vectors and groups don't count; groups without a pair have no row. Vectors of a group that differ in length are an error.
+    """
+    tiles = Tiles(df.select(F.col(group).alias("_g"), F.transform(vector, lambda c: c.cast("double")).alias("v")).where("v is not null"), "_g", tile=tile)
+    width = tiles.medians()
+
+    def sums(g: str, i: int, j: int, strips: Iterator) -> Iterator[tuple]:
+        total, n, h = 0.0, 0, width[g]
+        for s, d in strips:
+            d = d[np.arange(s, s + len(d))[:, None] < np.arange(d.shape[1])[None]] if i == j else d
+            with np.errstate(divide="ignore", invalid="ignore"):
+                total, n = total + float(np.exp(d / np.float64(-2 * h * h)).sum()), n + d.size
+        yield g, total, n, h
+
+    told = tiles.each(sums, "g string, total double, n long, h double", [pa.string(), pa.float64(), pa.int64(), pa.float64()])
+    told = told.groupBy("g").agg(F.sum("total").alias("total"), F.sum("n").alias("pairs"), F.max("h").alias("width")).where("pairs > 0")
+    return told.select(F.col("g").alias(group), (F.col("total") / F.col("pairs")).alias("kernel_mean"), "width", "pairs")
+
+
 class KernelRidge:
     """RBF kernel ridge: weights w of (K + alpha I) w = y - mean(y), K = exp(-d^2 / (2 width^2)).
 
-    The Gram matrix is never held. Training rows are numbered and packed into blocks of ``tile`` rows, every pair of blocks is a tile that
-    a task works on, and the matrix times a vector is a sum over tiles. The system is solved by conjugate gradients; the driver holds the vectors of that
-    method, 8 bytes a training row, which is what ``most`` bounds. Rows, Gram tiles and the fitted model stay in the shared folder.
+    The Gram matrix is never held, nor written: training rows are Tiles, and the matrix times a vector is a sum over tiles. The system is solved by conjugate
+    gradients; the driver holds the vectors of that method, 8 bytes a training row, which is what ``most`` bounds. Rows and the fitted model stay in the shared folder.
 
     The width is the median distance of all pairs unless given (1 where that is 0), found exactly by counts in ever
     narrower ranges. Rows without a finite target or with a vector that isn't finite are left out; vectors of different lengths are an error.
@@ -50,41 +206,21 @@ class KernelRidge:
         self.alpha, self.width, self.most, self.tile, self.tolerance, self.rounds = alpha, width, most, tile, tolerance, rounds
 
     def fit(self, train: DataFrame, vector: str, target: str) -> KernelRidge:
-        spark = train.sparkSession
-        folder = f"{shared_dir(spark)}/kernel-{uuid.uuid4().hex}"
         v, y = F.transform(vector, lambda c: c.cast("double")), F.col(target).cast("double")
         rows = train.select(v.alias("v"), y.alias("y")).where(finite(F.col("y")) & F.col("v").isNotNull() & F.forall("v", lambda c: F.coalesce(finite(c), F.lit(False))))
-        rows = ranked(rows.withColumn("_h", F.xxhash64("v", "y")), [], ["_h"], "_n")
         n, low, high = rows.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
         if not n or n > self.most:
             raise ValueError(f"kernel ridge is for 1 to {self.most} rows, not {n}")
         if low != high:
             raise ValueError("vectors differ in length")
-        dim, blocks = high, -(-n // self.tile)
-
-        def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-            part = part.sort_values("_n")
-            return pd.DataFrame({"b": [int(key[0])], "x": [np.stack(part["v"].to_list()).astype(float).tobytes()], "y": [part["y"].to_numpy(float).tobytes()]})
-
-        packed = rows.withColumn("_b", F.floor((F.col("_n") - 1) / self.tile)).groupBy("_b").applyInPandas(pack, "b int, x binary, y binary")
-        packed.write.parquet(f"{folder}/blocks")
-        packed = spark.read.parquet(f"{folder}/blocks")
-
-        def pair(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-            by = dict(zip(part["b"], part["x"], strict=True))
-            return pd.DataFrame({"i": [int(key[0])], "j": [int(key[1])], "a": [by[key[0]]], "c": [by[key[1]]]})
-
-        both = packed.select("b", "x").withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        both = both.select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "x").repartition(blocks * (blocks + 1) // 2, "i", "j")
-        both.groupBy("i", "j").applyInPandas(pair, "i int, j int, a binary, c binary").write.parquet(f"{folder}/tiles")
-        self.tiles = spark.read.parquet(f"{folder}/tiles").repartition(blocks * (blocks + 1) // 2, "i", "j")
-        self.dim, self.n = dim, n
+        self.tiles, self.n = Tiles(rows, extra="y", tile=self.tile), n
         if self.width is None:
-            self.width = self._median_distance() or 1.0
+            self.width = self.tiles.medians()[""] or 1.0
+        packed = self.tiles.packed
         told = np.concatenate([np.frombuffer(bytes(r.y)) for r in packed.select("b", "y").orderBy("b").toLocalIterator()])
         self.mean = float(told.mean())
         weights = self._solve(told - self.mean)
-        self.path = f"{folder}/model"
+        self.path = f"{self.tiles.folder}/model"
         tile = self.tile
 
         def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,77 +231,29 @@ class KernelRidge:
         packed.select("b", "x").mapInArrow(weigh, "b int, x binary, w binary").write.parquet(self.path)
         return self
 
-    def _each_tile(self, work: Callable[[int, int, np.ndarray, np.ndarray], Iterator[tuple]], ddl: str, types: list[pa.DataType]) -> DataFrame:
-        dim, names = self.dim, [x.split()[0] for x in ddl.split(", ")]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in batches:
-                for i, j, a, c in zip(*(part.column(k) for k in range(4)), strict=True):
-                    got = list(work(i.as_py(), j.as_py(), _matrix(a.as_py(), dim), _matrix(c.as_py(), dim)))
-                    yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate(types)], names=names)
-
-        return self.tiles.select("i", "j", "a", "c").mapInArrow(run, ddl)
-
-    def _median_distance(self) -> float:
-        """The median over all pairs of rows, from counts: the range that holds the middle is cut into BINS until few values are in it."""
-        pairs = self.n * (self.n - 1) // 2
-        if not pairs:
-            return 0.0
-
-        def distances(i: int, j: int, a: np.ndarray, c: np.ndarray) -> np.ndarray:
-            d = np.sqrt(squared_distances(a, c))
-            return d[np.triu_indices(len(a), 1)] if i == j else d.ravel()
-
-        def bins(d: np.ndarray, low: float, high: float) -> np.ndarray:
-            return np.clip(((d - low) * (BINS / (high - low))).astype(np.int64), 0, BINS - 1)
-
-        top = self._each_tile(lambda i, j, a, c: iter([(float(distances(i, j, a, c).max(initial=0.0)),)]), "top double", [pa.float64()]).agg(F.max("top")).first()[0]
-        if not top:
-            return 0.0
-
-        def rank(k: int) -> float:
-            inside: list[tuple[float, float, int]] = []  # ranges and the bin in each that holds the value
-            low, high, below = 0.0, top, 0
-
-            def members(i: int, j: int, a: np.ndarray, c: np.ndarray) -> np.ndarray:
-                d = distances(i, j, a, c)
-                for lo, hi, b in inside:
-                    d = d[bins(d, lo, hi) == b]
-                return d
-
-            while True:
-                counted = self._each_tile(lambda i, j, a, c, lo=low, hi=high: enumerate(np.bincount(bins(members(i, j, a, c), lo, hi), minlength=BINS).tolist()), "bin int, n long", [pa.int32(), pa.int64()])
-                n = np.zeros(BINS, np.int64)
-                for r in counted.where("n > 0").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # at most BINS rows
-                    n[r.bin] = r.n
-                b = int(np.searchsorted(np.cumsum(n), k - below, "right"))
-                inside.append((low, high, b))
-                below += int(n[:b].sum())
-                low, high = low + b * (high - low) / BINS, low + (b + 1) * (high - low) / BINS
-                if n[b] <= BINS:
-                    few = self._each_tile(lambda i, j, a, c: ((x,) for x in members(i, j, a, c).tolist()), "d double", [pa.float64()]).collect()  # n[b] rows
-                    return sorted(r.d for r in few)[k - below]
-                if high - low <= 1e-13 * top:
-                    return (low + high) / 2
-
-        return (rank((pairs - 1) // 2) + rank(pairs // 2)) / 2 if pairs % 2 == 0 else rank(pairs // 2)
-
     def _times(self, p: np.ndarray) -> np.ndarray:
         """(K + alpha I) p."""
         tile, width = self.tile, self.width
-        shared = self.tiles.sparkSession.sparkContext.broadcast(p)
-
-        def work(i: int, j: int, a: np.ndarray, c: np.ndarray) -> Iterator[tuple]:
-            k = np.exp(squared_distances(a, c) / (-2 * width * width))
-            yield i, (k @ shared.value[j * tile : (j + 1) * tile]).tobytes()
+        shared = self.tiles.spark.sparkContext.broadcast(p)
+
+        def work(g: str, i: int, j: int, strips: Iterator) -> Iterator[tuple]:
+            a, c = shared.value[i * tile : (i + 1) * tile], shared.value[j * tile : (j + 1) * tile]
+            q, other = np.empty(len(a)), np.zeros(len(c))
+            for s, d in strips:
+                d /= -2 * width * width
+                k = np.exp(d, out=d)
+                q[s : s + len(k)] = k @ c
+                if i != j:
+                    other += a[s : s + len(k)] @ k
+            yield i, q.tobytes()
             if i != j:
-                yield j, (k.T @ shared.value[i * tile : (i + 1) * tile]).tobytes()
+                yield j, other.tobytes()
 
         def add(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"b": [key[0]], "q": [np.sum([np.frombuffer(q) for q in part["q"]], axis=0).tobytes()]})
 
         out = np.empty(self.n)
-        for r in self._each_tile(work, "b int, q binary", [pa.int32(), pa.binary()]).groupBy("b").applyInPandas(add, "b int, q binary").toLocalIterator():
+        for r in self.tiles.each(work, "b int, q binary", [pa.int32(), pa.binary()]).groupBy("b").applyInPandas(add, "b int, q binary").collect():  # 8 bytes a row
             out[r.b * tile : (r.b + 1) * tile] = np.frombuffer(bytes(r.q))
         shared.unpersist()
         return out + self.alpha * p
