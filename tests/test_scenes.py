@@ -123,3 +123,12 @@ def test_pairs_of_a_group_are_never_written(spark):
         assert np.allclose([got[str(k)].width, got[str(k)].kernel_mean], [np.median(d), np.exp(-d * d / (2 * np.median(d) ** 2)).mean()], rtol=1e-12) and got[str(k)].pairs == 990
     tiles = kernels.Tiles(df.where("v is not null"), "k", tile=16)
     assert tiles.packed.agg(F.sum("n"), F.count("*")).first() == (91, 7)
+
+
+def test_pairs_by_classes_in_blocks(spark):
+    """Equal vectors are compared once, and a group of one key is dealt out in several tasks."""
+    rows = [(g, 100 * g + i, [float(i % 3), float(g)]) for g in (1, 2) for i in range(30)] + [(1, 500, [9.0, 9.0])]
+    d = spark.createDataFrame(rows, "g int, k long, v array<double>")
+    pairs = vectors.class_pairs(d, "g", "k", "v", block=8)
+    want = {(g, a, b): math.sqrt(sum((p - q) ** 2 for p, q in zip(v, w)) / 2) for g, a, v in rows for h, b, w in rows if g == h and a < b}
+    assert {(r.g, r.a, r.b): r.rms for r in pairs.collect()} == want and pairs.count() == len(want)

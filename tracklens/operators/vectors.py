@@ -122,6 +122,28 @@ def pairs(df: DataFrame, group: str, key: str, columns: Sequence[str], block: in
     return p
 
 
+def class_pairs(df: DataFrame, group: str, key: str, vector: str, block: int = 512) -> DataFrame:
+    """(group, a, b, rms) of all unordered pairs a < b of a group: the root mean square of the differences of their vectors.
+
+    Equal vectors are a class, and each two classes of a group are compared once. Pairs of members are joined without vectors, in pairs of blocks of about
+    ``block`` rows, so a large group is many tasks' work; its rows are still the square of its size. Null groups pair with nothing.
+    """
+    d = df.where(F.col(group).isNotNull()).select(group, key, F.col(vector).alias("_v"))
+    classes = d.groupBy(group, "_v").agg(F.xxhash64("_v").alias("_c"), F.min(key).alias("_least"), F.count("*").alias("_size"))
+    named = classes.select(group, "_v", F.struct("_c", "_least").alias("_k"))
+    side = lambda s: named.select(group, F.col("_k").alias(f"_k{s}"), F.col("_v").alias(f"_v{s}"))
+    rms = F.sqrt(squared_distance("_va", "_vb") / F.size("_va"))
+    gaps = side("a").join(side("b"), group).select(group, "_ka", "_kb", rms.alias("rms"))
+    blocks = classes.groupBy(group).agg(F.ceil(F.sum("_size") / block).alias("_blocks"))
+    named = named.select(F.col(group).alias("_g"), F.col("_v").alias("_w"), "_k")
+    m = d.join(named, (F.col(group) == F.col("_g")) & (F.col("_v") == F.col("_w"))).select(group, key, "_k").join(blocks, group)
+    m = m.withColumn("_own", F.pmod(F.xxhash64(key), "_blocks"))
+    left = m.select(group, F.col(key).alias("a"), F.col("_k").alias("_ka"), F.col("_own").alias("_i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("_j"))
+    right = m.select(group, F.col(key).alias("b"), F.col("_k").alias("_kb"), F.col("_own").alias("_j"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("_i"))
+    tiles = left.join(right.hint("shuffle_hash"), [group, "_i", "_j"]).where("a < b")
+    return tiles.join(gaps, [group, "_ka", "_kb"]).select(group, "a", "b", "rms")
+
+
 def spread(df: DataFrame, group: str, key: str, vector: str, close: float, tile: int = 1024) -> DataFrame:
     """(group, diversity, pairs, close_pairs): the mean distance of all unordered pairs of a group and how many are nearer than close.
 
@@ -138,10 +160,10 @@ def spread(df: DataFrame, group: str, key: str, vector: str, close: float, tile:
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         a, b = (x, x) if i == j else (x[own == i], x[own == j])
         total, pairs, near = 0.0, 0, 0
-        for s in range(0, len(a), 128):
-            e = a[s : s + 128, None] - b[None]
+        for s in range(0, len(a), 16):  # 8 MB of differences of 64 components
+            e = a[s : s + 16, None] - b[None]
             r = np.sqrt(np.einsum("ijk,ijk->ij", e, e))
-            r = r[np.arange(s, min(len(a), s + 128))[:, None] < np.arange(len(b))[None]] if i == j else r.ravel()
+            r = r[np.arange(s, min(len(a), s + 16))[:, None] < np.arange(len(b))[None]] if i == j else r.ravel()
             total, pairs, near = total + float(r.sum()), pairs + len(r), near + int((r < close).sum())
         return pa.table({"g": t.column("g")[:1], "total": [total], "pairs": [pairs], "near": [near]})
 

@@ -86,8 +86,7 @@ def q_pulse_actions(spark, d):
 @BOOK.add(_PULSE + "SELECT x.s_nationkey, x.s_suppkey AS a, y.s_suppkey AS b, round(sqrt(avg((x.action - y.action) * (x.action - y.action))), 6) AS rms, sqrt(avg((x.action - y.action) * (x.action - y.action))) < 1e-9 AS same FROM a x JOIN a y ON x.s_nationkey = y.s_nationkey AND x.step = y.step AND x.s_suppkey < y.s_suppkey GROUP BY ALL")
 def q_action_rms(spark, d):
     a = pulses(spark, d).groupBy("s_nationkey", "s_suppkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("step", "action"))), lambda s: s["action"]).alias("v"))
-    rms = F.sqrt(v.squared_distance("v_a", "v_b") / F.size("v_a"))
-    return v.pairs(a, "s_nationkey", "s_suppkey", ["v"]).select("s_nationkey", "a", "b", F.round(rms, 6).alias("rms"), (rms < 1e-9).alias("same"))
+    return v.class_pairs(a, "s_nationkey", "s_suppkey", "v").select("s_nationkey", "a", "b", F.round("rms", 6).alias("rms"), (F.col("rms") < 1e-9).alias("same"))
 
 
 @BOOK.add("WITH m AS (SELECT avg(p_size) AS mx, avg(p_retailprice) AS my FROM part), s AS (SELECT sum((p_size - mx) * (p_retailprice - my)) / (sum((p_size - mx) * (p_size - mx)) + 100) AS w, any_value(mx) AS mx, any_value(my) AS my FROM part, m) SELECT 'intercept' AS name, round(my - w * mx, 4) AS weight FROM s UNION ALL SELECT 'p_size', round(w, 4) FROM s")
