@@ -55,6 +55,42 @@ def test_no_link_is_lost_between_stars(spark, monkeypatch, block):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == of
 
 
+def test_shuffles_of_crossed_buckets_are_released(spark, monkeypatch):
+    """What _cross shuffles to gather sets is dropped before the next step; Spark keeps the shuffles of the last plan until another runs."""
+    rng = random.Random(8)
+    w = prose(rng, 150, 900).split()
+    rows = []
+    for i in range(25):
+        rows.append((1000 - i, " ".join(w)))
+        w[6 * i] = f"c{i}"
+    half = prose(rng, 60, 900)
+    rows += [(2000 + i, f"{half} {prose(rng, 40, 900)}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    live = lambda: {int(k) for k in tracker.shuffleStatuses().keySet().mkString(",").split(",") if k}
+    cross, release, seen = minhash._cross, minhash.release, {}
+
+    def crossing(*a):
+        seen["before"] = max(live(), default=-1)
+        out = cross(*a)
+        seen["crossed"] = True
+        return out
+
+    def releasing(session):
+        release(session)
+        if "crossed" in seen and "left" not in seen:
+            for _ in range(100):  # the cleaner works in a thread of its own
+                if seen["before"] + 1 not in (left := live()):
+                    break
+                time.sleep(0.1)
+            seen["left"] = left
+
+    monkeypatch.setattr(minhash, "_cross", crossing)
+    monkeypatch.setattr(minhash, "release", releasing)
+    minhash.near_duplicates(docs).collect()
+    assert "crossed" in seen and seen["before"] + 1 not in seen["left"]
+
+
 def thue_morse(n):
     """A word of 2**n letters and its complement: their hashes are equal under every polynomial modulo 2**64 once n is 11."""
     bits = [bin(i).count("1") % 2 for i in range(1 << n)]

@@ -270,6 +270,7 @@ def _cross(open_: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text
     sets = _sets(ids, docs, id_col, text_col, k)
     about = reps.join(ids.select(F.col("id").alias("w")), F.col("id") == F.col("w"), "left_semi").select(F.col("id").alias("ri"), "n", "regs", "under")
     about = cut(about.join(sets, F.col("ri") == F.col("id")).drop("id"))
+    release(docs.sparkSession)
     other = F.col("part") != F.col("main")
     blocks = open_.groupBy(F.col("key").alias("bk")).agg(F.count("*").alias("size"), F.ceil(F.count_if(other) / BLOCK).cast("int").alias("nr"), F.ceil(F.count_if(~other) / BLOCK).cast("int").alias("nm")).where(F.col("size") > BLOCK).drop("size")
     d = open_.join(blocks, F.col("key") == F.col("bk"), "left").withColumns({"nr": F.coalesce("nr", F.lit(1)), "nm": F.coalesce("nm", F.lit(0))})
@@ -332,6 +333,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     hash of all columns stays. Rows with a null id all stay.
     """
     judged = cut(_judge(docs, id_col, text_col, k, num, den).select("id", "text_hash", "kept"))
+    release(docs.sparkSession)
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__hash"))
     named = judged.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), "kept").groupBy("__id", "__hash").agg(F.max("kept").alias("__kept"), F.count("*").alias("__n"))
     kept = docs.join(named.where("__kept").select("__id", "__hash"), same, "left_semi")
@@ -364,6 +366,7 @@ def _judge(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: i
     root = lambda x: found.select(F.col("id").alias(f"i{x}"), F.col("component_id").alias(f"c{x}"))
     rest = tried.join(first, F.col("b") == F.col("m")).where("a <> p").join(root("a"), F.col("a") == F.col("ia"), "left").join(root("b"), F.col("b") == F.col("ib"), "left")
     more = check(rest.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"))
+    release(docs.sparkSession)
     if not more.isEmpty():
         links = links.union(more)
         found = cut(components(links))
@@ -372,11 +375,15 @@ def _judge(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: i
     left = member.where("size > 2").select("key", F.col("id").alias("i"), "band", "pivot").join(found, F.col("i") == F.col("id"), "left").select("key", "i", "band", "pivot", part)
     mixed = left.groupBy(F.col("key").alias("k")).agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.max(F.when(F.col("i") == F.col("pivot"), F.col("part"))).alias("main")).where("lo <> hi")
     open_ = cut(left.join(mixed, F.col("key") == F.col("k")).select("key", "i", "band", "part", "main"))
+    del keyed, buckets, member, tried, first, rest, more, left, mixed  # else their tables and shuffles stay
     release(docs.sparkSession)
     if not open_.isEmpty():
         crossed = cut(_cross(open_, reps, docs, id_col, text_col, k, num, den))
+        release(docs.sparkSession)
         if not crossed.isEmpty():
-            found = cut(components(links.union(cut(verify(crossed, docs, id_col, text_col, k, num, den), PAIR_ROWS))))
+            joined = cut(verify(crossed, docs, id_col, text_col, k, num, den), PAIR_ROWS)
+            release(docs.sparkSession)
+            found = cut(components(links.union(joined)))
 
     names = classes.join(found, F.col("rep") == F.col("id"), "left").select("class", F.coalesce("component_id", "rep").alias("component_id"))
     out = every.select("id", "text_hash", "n", "words").join(names, (F.col("n") > 0) & (F.col("words") == F.col("class")), "left")
