@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROUNDS, STEP = 400, 8
+BLOCK = 256  # trajectories of a matrix product
 SLACK = 1e-9
 
 
@@ -73,6 +74,40 @@ def excess(x: np.ndarray, valid: np.ndarray, v0: np.ndarray, limits: Limits) ->
     return np.max(parts, axis=0) - 1
 
 
+def _near(p: np.ndarray, pinned: np.ndarray, ops: list[np.ndarray], shift: list[np.ndarray], radii: list[np.ndarray], rounds: int) -> np.ndarray:
+    """Positions near p with ops (differences by frames) less shift within radii; first frames stay where pinned.
+
+    All differences are rows of one matrix and the coordinates of all trajectories its columns, so a round is three matrix products.
+    """
+    n, t, _ = p.shape
+    o, most = np.concatenate(ops), np.concatenate(radii, 1).T
+    s = np.concatenate([np.broadcast_to(x.transpose(1, 0, 2), (len(d), n, 2)) for d, x in zip(ops, shift, strict=True)])
+    flat = lambda x: np.ascontiguousarray(x).reshape(len(x), -1)
+    solve = np.linalg.inv(np.eye(t) + STEP * o.T @ o)
+    # the first frame is held by a large weight in a solve of its own, for trajectories that have one
+    heavy = np.eye(t)
+    heavy[0, 0] = 1e8
+    held = np.linalg.inv(heavy + STEP * o.T @ o)
+    x = p.transpose(1, 0, 2).copy()
+    weighted = x.copy()
+    weighted[0, pinned] *= 1e8
+    every, none = pinned.all(), not pinned.any()
+    z = _clamped((o @ flat(x)).reshape(s.shape) - s, most)
+    u = np.zeros_like(z)
+    for _ in range(rounds):
+        right = flat(weighted) + STEP * (o.T @ flat(z + s - u))
+        new = ((solve if none else held) @ right).reshape(x.shape)
+        if not (every or none):
+            new = np.where(pinned[None, :, None], new, (solve @ right).reshape(x.shape))
+        moved, x = np.abs(new - x).max(initial=0.0), new
+        u += (o @ flat(x)).reshape(s.shape) - s
+        z = _clamped(u, most)
+        u -= z
+        if moved < 1e-9:
+            break
+    return x.transpose(1, 0, 2)
+
+
 def project(p: np.ndarray, valid: np.ndarray, v0: np.ndarray, limits: Limits, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(positions, whether they are within limits) of trajectories p (n, frames, 2) with valid frames and velocities v0 before the first frame.
 
@@ -99,25 +134,10 @@ def project(p: np.ndarray, valid: np.ndarray, v0: np.ndarray, limits: Limits, ro
     ops = [np.diff(np.eye(t), k, axis=0) for k in (1, 2, 3) if t > k] + [np.diff(np.eye(t), axis=0)[:1]]
     radii = [r for k, r in zip((1, 2, 3, 1), radii, strict=True) if t > k]
     shift = [np.zeros((n, 1, 2))] * (len(ops) - 1) + [first[:, None]]
-    solve = np.linalg.inv(np.eye(t) + STEP * sum(o.T @ o for o in ops))
-    # the first frame is held by a large weight in a solve of its own, for trajectories that have one
-    heavy = np.eye(t)
-    heavy[0, 0] = 1e8
-    held = np.linalg.inv(heavy + STEP * sum(o.T @ o for o in ops))
-    x, target = p.copy(), p.copy()
-    z = [_clamped(np.einsum("kt,ntc->nkc", o, x) - s, r) for o, s, r in zip(ops, shift, radii, strict=True)]
-    u = [np.zeros_like(v) for v in z]
-    weighted = np.where(pinned[:, None, None] & (np.arange(t) == 0)[None, :, None], 1e8 * target, target)
-    for _ in range(rounds):
-        right = weighted + STEP * sum(np.einsum("kt,nkc->ntc", o, v + s - w) for o, v, w, s in zip(ops, z, u, shift, strict=True))
-        new = np.where(pinned[:, None, None], np.einsum("st,ntc->nsc", held, right), np.einsum("st,ntc->nsc", solve, right))
-        moved, x = np.abs(new - x).max(initial=0.0), new
-        for k, (o, s, r) in enumerate(zip(ops, shift, radii, strict=True)):
-            d = np.einsum("kt,ntc->nkc", o, x) - s
-            z[k] = _clamped(d + u[k], r)
-            u[k] += d - z[k]
-        if moved < 1e-9:
-            break
+    x = p.copy()
+    for begin in range(0, n, BLOCK):
+        part = slice(begin, begin + BLOCK)
+        x[part] = _near(p[part], pinned[part], ops, [s[part] if len(s) == n else s for s in shift], [r[part] for r in radii], rounds)
     x = np.where(valid[..., None], x, p)
     x[pinned, 0] = p[pinned, 0]
     def towards(base: np.ndarray, x: np.ndarray) -> np.ndarray:
