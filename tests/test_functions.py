@@ -216,6 +216,24 @@ def test_boosted_trees_beat_the_mean(spark):
     assert one.auc is None and list(one.residual_errors) == [1.0]
 
 
+def test_boosting_reads_equal_features_once(spark, monkeypatch):
+    """Training gets a row for each of 20 features (and label), not 2,000 rows; its errors are those of trees on all rows."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    from tracklens.operators.models import boosted_baseline
+
+    rng, seen, fit = random.Random(6), [], GBTRegressor.fit
+    rows = [(float(i % 5), float(i % 4), rng.random() + i % 5, float(rng.random() > 0.5), i % 7 == 0) for i in range(2000)]
+    df = spark.createDataFrame(rows, "a double, b double, y double, l double, t boolean")
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, d: seen.append(d.count()) or fit(self, d))
+    r = boosted_baseline(df, ["a", "b"], "y", "l", "t").first()
+    assert seen == [20]
+    d = VectorAssembler(inputCols=["a", "b"], outputCol="x").transform(df)
+    told = fit(GBTRegressor(featuresCol="x", labelCol="y", maxIter=15, maxDepth=3, seed=7), d.where("not t")).transform(d.where("t")).collect()
+    assert r.model_error == pytest.approx(sum(abs(x.prediction - x.y) for x in told) / len(told), rel=1e-6)
+
+
 def test_checksums_of_blocks():
     from tracklens.sources.records import BLOCK, POLYNOMIAL, crc32c
 
