@@ -58,6 +58,20 @@ def test_encode_decode_frames(spark):
     assert pieces.digests(docs.limit(0), MODEL).count() == 0
 
 
+def test_tables_end_with_their_task(spark):
+    """A worker that has encoded texts holds none of their words while later stages run in it."""
+
+    def held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(t.ids) + len(t.text) + len(t.old[0]) + t.held for t in [pieces.table(MODEL)]], pa.int64())], names=["n"])
+
+    docs = spark.createDataFrame(corpus(), DOCS).repartition(4)
+    for step in (pieces.digests, pieces.encode):
+        assert step(docs, MODEL).count() == docs.count()
+        step(docs, MODEL).collect()
+        assert {r.n for r in spark.range(0, 64, 1, 64).mapInArrow(held, "n long").collect()} == {0}
+
+
 VOCABULARY = {SP.id_to_piece(i) for i in range(SP.get_piece_size()) if not (SP.is_control(i) or SP.is_unknown(i) or SP.is_byte(i))}
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklens.llm.spark import with_fields
+from tracklens.llm.spark import leaving_nothing, with_fields
 
 DIM = 1 << 12
 SAMPLE_ROWS = 1600  # bound of the labelled sample that the SVMs are fitted on
@@ -181,7 +181,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             got = [m.predict(x.as_py()) for x in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, with_fields(docs, "lang_pred string, score double"))
+    return docs.mapInArrow(leaving_nothing(run), with_fields(docs, "lang_pred string, score double"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklens.llm.spark import components, cut, release
+from tracklens.llm.spark import components, cut, leaving_nothing, release
 from tracklens.llm.words import U64, Hasher, Words, mix, slices
 
 SHINGLE = 5
@@ -137,7 +137,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: i
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cat(sizes), pa.int64()), pa.array(seq, pa.binary()), pa.array(regs, pa.binary()), pa.array(under, pa.binary())], names=["id", "text_hash", "n", "words", "regs", "under"])
 
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
-    return d.mapInArrow(run, "id long, text_hash long, n long, words binary, regs binary, under binary")
+    return d.mapInArrow(leaving_nothing(run), "id long, text_hash long, n long, words binary, regs binary, under binary")
 
 
 def bands(reps: DataFrame) -> DataFrame:
@@ -250,7 +250,7 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([t.column(0).filter(keep), t.column(1).filter(keep)], names=["a", "b"])
 
-    return j.mapInArrow(run, "a long, b long").distinct()
+    return j.mapInArrow(leaving_nothing(run), "a long, b long").distinct()
 
 
 def _alike(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:

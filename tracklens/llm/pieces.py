@@ -3,9 +3,10 @@
 Where no piece of the model holds a whitespace marker after another character,
 no piece crosses into a marked word, so the ids of a text are those of its
 marked words, one after the other, and its decoding is theirs, without the
-space that the model puts before a text. Each worker keeps a table of the
+space that the model puts before a text. Each task keeps a table of the
 marked words it has met, segments and decodes every new one once and joins ids
-and decoded bytes back by position. There is no shuffle.
+and decoded bytes back by position. There is no shuffle. The worker keeps the model
+for its next task, but not the words: they would stay beside whatever runs later.
 
 The table has two generations. When the young one holds TABLE_ENTRIES words or
 TABLE_BYTES bytes it becomes the old one; words met again move over as they are. That bounds
@@ -28,7 +29,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from tracklens.llm.spark import with_fields
+from tracklens.llm.spark import leaving_nothing, with_fields
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -128,7 +129,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
             ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(got) if got else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*names, "ids"])
 
-    return docs.mapInArrow(run, with_fields(docs, "ids array<int>"))
+    return docs.mapInArrow(leaving_nothing(run, lambda: table(model).clear()), with_fields(docs, "ids array<int>"))
 
 
 def decode(rows: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
@@ -161,4 +162,4 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 m.append(len(back))
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), pa.array(m, pa.int64())], names=[id_col, *keep, "n_tokens", "ids_sha256", "decoded_sha256", "n_decoded_bytes"])
 
-    return docs.mapInArrow(run, with_fields(docs.drop(text_col), "n_tokens long, ids_sha256 string, decoded_sha256 string, n_decoded_bytes long"))
+    return docs.mapInArrow(leaving_nothing(run, lambda: table(model).clear()), with_fields(docs.drop(text_col), "n_tokens long, ids_sha256 string, decoded_sha256 string, n_decoded_bytes long"))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +44,24 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def leaving_nothing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], clear: Callable[[], None] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow; when its task ends, clear is called and Arrow gives back what it has freed.
+
+    Python workers outlive their tasks, and what they hold counts beside all later stages of the session.
+    """
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if clear:
+                clear()
+            pa.default_memory_pool().release_unused()
+
+    return task
+
+
 def with_fields(df: DataFrame, ddl: str) -> T.StructType:
     """The schema of df and more fields; df's own stays as it is."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
