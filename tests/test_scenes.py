@@ -72,6 +72,55 @@ def test_kernel_ridge_in_tiles_equals_its_definition(spark):
         models.KernelRidge().fit(df.limit(0), "v", "y")
 
 
+def test_kernel_ridge_takes_few_passes_over_all_pairs(spark, monkeypatch):
+    """Five blocks: steps don't grow with the condition of the system, and the median takes two passes. Where single precision can't tell distances, double does."""
+    from tracklens.operators import kernels
+
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(200, 4)), rng.normal(size=200)
+    df = spark.createDataFrame([(i, x[i].tolist(), float(y[i])) for i in range(200)], "i int, v array<double>, y double").coalesce(2)
+    passes, kinds = [], []
+    each, times = kernels.Tiles.each, kernels.KernelRidge._times
+    monkeypatch.setattr(kernels.Tiles, "each", lambda self, *a, **b: passes.append(a[1]) or each(self, *a, **b))
+    monkeypatch.setattr(kernels.KernelRidge, "_times", lambda self, p, *single: kinds.append(any(single)) or times(self, p, *single))
+    m = models.KernelRidge(alpha=0.5, tile=40).fit(df, "v", "y")
+    assert len(kinds) <= 20 and kinds.count(False) <= 4 and kinds[-1] is False
+    assert len(passes) - len([x for x in passes if "q binary" in x]) == 3  # a sample and two passes
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert m.width == pytest.approx(np.median(d[np.triu_indices(200, 1)]), rel=1e-12)
+    k = np.exp(-(d**2) / (2 * m.width**2))
+    want = y.mean() + k @ np.linalg.solve(k + 0.5 * np.eye(200), y - y.mean())
+    got = {r.i: r.p for r in m.predict(df, "v", "p").collect()}
+    assert [got[i] for i in range(200)] == pytest.approx(want.tolist(), rel=1e-6, abs=1e-7)
+
+    x = x[:24] + np.where(np.arange(24) % 2, 3e3, -3e3)[:, None]
+    kinds.clear()
+    far = spark.createDataFrame([(i, x[i].tolist(), float(y[i])) for i in range(24)], "i int, v array<double>, y double")
+    m = models.KernelRidge(alpha=1.0, width=1.5, tile=10, landmarks=5).fit(far, "v", "y")
+    assert kinds.count(False) > 4
+    k = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / (2 * 1.5**2))
+    want = y[:24].mean() + k @ np.linalg.solve(k + 1.0 * np.eye(24), y[:24] - y[:24].mean())
+    got = {r.i: r.p for r in m.predict(far, "v", "p").collect()}
+    assert [got[i] for i in range(24)] == pytest.approx(want.tolist(), abs=1e-5)
+
+
+@pytest.mark.parametrize("likely", [None, (0.0, 1e-3), (50.0, 50.5), (1.0, 1.0 + 1e-9)])
+def test_median_is_exact_wherever_it_is_looked_for(spark, monkeypatch, likely):
+    """A misleading sample costs passes, not the result; equal rows are at distance 0, so their median is."""
+    from tracklens.operators import kernels
+
+    rng = np.random.default_rng(9)
+    x, same = rng.normal(size=(120, 3)), np.repeat([[0.1, 0.2, 0.7]], 120, axis=0)
+    same[:20] = rng.normal(size=(20, 3))
+    rows = [(g, [float(c) for c in v]) for g, own in (("a", x), ("b", same), ("c", x[:1]), ("d", x[:5])) for v in own]
+    tiles = kernels.Tiles(spark.createDataFrame(rows, "g string, v array<double>"), "g", tile=50)
+    if likely:
+        monkeypatch.setattr(kernels.Tiles, "_likely", lambda self, groups: dict.fromkeys(groups, likely))
+    got = tiles.medians()
+    want = {g: np.median(np.linalg.norm(own[:, None] - own[None], axis=2)[np.triu_indices(len(own), 1)]) for g, own in (("a", x), ("d", x[:5]))}
+    assert got == pytest.approx(want | {"b": 0.0, "c": 0.0}, rel=1e-12, abs=0)
+
+
 def test_median_distances_with_many_ties(spark):
     x = [[float(i % 3)] for i in range(300)]
     m = models.KernelRidge(alpha=1.0, tile=50).fit(spark.createDataFrame([(v, 1.0) for v in x], "v array<double>, y double"), "v", "y")
