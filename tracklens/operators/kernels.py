@@ -21,7 +21,7 @@ from tracklens.sources.ranges import store_of
 
 BINS = 65536  # that a range of distances is cut into
 FEW = 4096  # distances that the driver takes to sort
-SAMPLE = 1024  # rows whose pairs tell where a median may be
+SAMPLE = 2048  # rows whose pairs tell where a median may be
 CACHE_BYTES = 64 << 20  # of a model that a worker keeps
 
 
@@ -85,7 +85,7 @@ def _within(i: int, j: int, left: Place, right: Place, ranges: list[tuple[float,
         if i == j:
             d[np.arange(s, s + len(d))[:, None] >= np.arange(d.shape[1])[None]] = np.nan
         for at, (low, high) in enumerate(ranges):
-            m, n = np.nonzero((d >= low - slack) & (d < high + slack))
+            m, n = np.divmod(np.flatnonzero((d >= low - slack) & (d < high + slack)), d.shape[1])
             own = _exact(a, c, m + s, n)
             yield at, int(np.count_nonzero(d < low - slack) + np.count_nonzero(own < low)), own[(own >= low) & (own < high)], top + slack
 
@@ -254,7 +254,8 @@ class Tiles:
         def sample(g: str, i: int, j: int, left: Place, right: Place) -> Iterator[tuple]:
             x = _block(*left)[:SAMPLE]
             own = _exact(x, x, *np.triu_indices(len(x), 1))
-            off = 12 * np.std((squared_distances(x, x) < np.median(own)).mean(1)) / np.sqrt(len(x)) + 2 / len(x)
+            n, share = len(x), (squared_distances(x, x) < np.median(own)).mean(1)
+            off = 6 * np.sqrt(4 * max(0.0, np.var(share) - 0.25 / n) / n + 0.5 / n**2)  # of a U-statistic
             low, high = np.quantile(own, [max(0.0, 0.5 - off), min(1.0, 0.5 + off)])
             yield g, float(low), float(np.nextafter(high, np.inf))
 
