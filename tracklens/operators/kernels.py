@@ -385,11 +385,10 @@ class KernelRidge:
         inner = np.zeros((m, m))  # alpha W + C'C, by slices of its upper triangle
         parts = self.tiles.each(gram, "b int, q binary", [pa.int32(), pa.binary()], slices, [("", i, s) for s in range(0, m, wide) for i in blocks])
         for r in parts.groupBy("b").applyInPandas(_sum, "b int, q binary").toLocalIterator():
-            inner[r.b : r.b + wide, r.b :] = np.frombuffer(bytes(r.q)).reshape(-1, m - r.b)
+            rows = np.frombuffer(bytes(r.q)).reshape(-1, m - r.b)
+            inner[r.b : r.b + wide, r.b :], inner[r.b :, r.b : r.b + wide] = rows, rows.T
         for at, k in _kernel(*marks):
             inner[at] += alpha * k
-        inner = np.triu(inner)
-        inner += np.triu(inner, 1).T
         inner[np.diag_indices(m)] += 1e-12 * np.linalg.norm(inner)  # landmarks that are (nearly) equal
         inner = np.linalg.inv(inner)
 
